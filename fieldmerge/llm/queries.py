@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmerge.llm import bpe, dedup, packing, simhash
+from fieldmerge.llm import bpe, chats, dedup, packing, simhash, syncmers
 from fieldmerge.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -37,8 +37,30 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_round_trip, op4_exact_dedup, op8_best_fit_packing, op10_simhash_near_dedup)}
+def op5_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.collapse_and_render(table(spark, sf_dir, "conversations"))
+
+
+def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_bpe_round_trip, op4_exact_dedup, op5_snapshot_collapse, op7_closed_syncmers, op8_best_fit_packing, op10_simhash_near_dedup)}
 ORACLES = {
+    "op5_snapshot_collapse": """
+        WITH t AS (
+          SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+        s AS (
+          SELECT conv_id, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS told,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, count(*) OVER (PARTITION BY conv_id) AS size
+          FROM t),
+        p AS (
+          SELECT conv_id, n, size, string_agg(told, '') OVER (PARTITION BY conv_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS prefix FROM s),
+        w AS (
+          SELECT min(conv_id) AS conv_id, CAST(max(size) AS BIGINT) AS n_turns, count(*) AS n_copies, prefix AS rendered FROM p WHERE n = size GROUP BY prefix)
+        SELECT conv_id, n_turns, n_copies, rendered FROM w
+        WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.n < p.size AND p.prefix = w.rendered)
+    """,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
