@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from fieldmerge.llm.common import over_batches, texts_of
 
-#: s-mer and window; a k-mer has S + W - 1 = 47 code points and one in W / 2 = 16 is chosen.
-S, W = 16, 32
+#: s-mer and window; a k-mer has S + W - 1 = 23 code points and one in W / 2 = 8 is chosen.
+S, W = 8, 16
 K = S + W - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -45,15 +45,15 @@ def _doubled(h: np.ndarray, length: int) -> np.ndarray:
 def _anchors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the closed syncmers of one array of code points."""
     h = _mixed(codes.astype(np.uint64) + _BASE)
-    for length in (1, 2, 4, 8):
+    for length in (1, 2, 4):
         h = _doubled(h, length)
     low = order = _mixed(h)
-    for length in (1, 2, 4, 8, 16):
+    for length in (1, 2, 4, 8):
         low = np.minimum(low[:-length], low[length:])
     n = len(low)
     at = np.flatnonzero((low == order[:n]) | (low == order[W - 1 : W - 1 + n]))
-    # the 32 letters from the start and the 16 that end the k-mer
-    pair = h[at] * np.uint64(pow(int(_BASE), 16, 1 << 64)) + h[at + 16]
+    # the 16 letters from the start and the 8 that end the k-mer
+    pair = h[at] * np.uint64(pow(int(_BASE), S, 1 << 64)) + h[at + S]
     return at, _mixed(pair ^ _mixed(h[at + W - 1]))
 
 
