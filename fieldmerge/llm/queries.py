@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmerge.llm import bpe, chats, dedup, packing, simhash, syncmers
+from fieldmerge.llm import bpe, chats, dedup, packing, pii, secrets, simhash, syncmers, toxicity
 from fieldmerge.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -45,7 +45,40 @@ def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_round_trip, op4_exact_dedup, op5_snapshot_collapse, op7_closed_syncmers, op8_best_fit_packing, op10_simhash_near_dedup)}
+def _digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts of base spans by kind, their digest, and all spans spelled out."""
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in kinds]
+    return found.select("doc_id", *counts, F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
+def op1_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(pii.find_personal_data(table(spark, sf_dir, "documents")), pii.KINDS)
+
+
+def op9_zstd_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.KINDS[:3])
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_counterfactual_toxicity,
+        op3_bpe_round_trip,
+        op4_exact_dedup,
+        op5_snapshot_collapse,
+        op6_crf_personal_data,
+        op7_closed_syncmers,
+        op8_best_fit_packing,
+        op9_zstd_secrets,
+        op10_simhash_near_dedup,
+    )
+}
 ORACLES = {
     "op5_snapshot_collapse": """
         WITH t AS (
