@@ -1,10 +1,58 @@
-"""A corpus cleaned and packed: five stages, each over all that the one before kept."""
+"""A corpus cleaned and packed: five stages, each over all that the one before kept.
+
+toxicity (rejected documents go), exact duplicates (the largest doc_id of equal texts stays), near duplicates (the smallest
+doc_id of each linked group stays), secrets (their spans are replaced, no document goes), packing into token sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldmerge.functions.session import stored
+from fieldmerge.llm import dedup, packing, secrets, simhash, toxicity
+from fieldmerge.llm.common import table
+
+
+def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that score 0.5 or more; the model learns from the labelled rows among docs that are not held out."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dedup.drop_exact_duplicates(docs)
+
+
+def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_duplicates(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the text and counts its characters anew."""
+    return secrets.redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of at most 1024 tokens, with its ids and its place."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", keep_civil),
+    ("exact_dedup", keep_one_copy),
+    ("near_dedup", keep_one_near_copy),
+    ("secrets", without_secrets),
+    ("packing", packed),
+]
+
+#: Scores and fingerprints are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, each stage written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs
