@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmerge.llm import bpe, chats, dedup, packing, pii, secrets, simhash, syncmers, toxicity
+from fieldmerge.llm import bpe, chats, dedup, katz, packing, pii, secrets, simhash, syncmers, toxicity
 from fieldmerge.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     return found.select(
@@ -69,6 +73,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_counterfactual_toxicity,
+        op2_katz_backoff,
         op3_bpe_round_trip,
         op4_exact_dedup,
         op5_snapshot_collapse,
