@@ -19,9 +19,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Spark's setting by which the shuffle files of a query go when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: later jobs restart from the files, not from the plan."""
+    """Writes df as Parquet to the shared folder and reads it back: later jobs restart from the files, not from the plan.
+
+    So the shuffle files behind it are of no more use once it is written, and Spark is told to drop them then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fieldmerge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
