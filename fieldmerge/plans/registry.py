@@ -23,4 +23,5 @@ def query(oracle: str | None = None, name: str | None = None):
     return add
 
 
-from fieldmerge.plans import history, matching, schema  # noqa: E402, F401
+from fieldmerge.plans import matching  # noqa: E402, F401, I001
+from fieldmerge.plans import history, quality, reports, schema  # noqa: E402, F401
