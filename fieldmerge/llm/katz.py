@@ -39,7 +39,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 END, START = _U(11), _U(13)
 #: Bytes looked at together, and tokens that are packed together.
-_SLICE, _BLOCK = 1 << 22, 1 << 21
+_SLICE, _BLOCK = 1 << 20, 1 << 20
+#: Rows of an Arrow batch that a shard gives back.
+_PART = 50_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -325,13 +327,14 @@ def _deal(shards: int, model: Words):
 
 
 _ROW = {
-    "kind": pa.int8(), "key": pa.int64(), "row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(),
-    "x": pa.float64(), "y": pa.float64(), "z": pa.float64(), **{f"k{r}": pa.int64() for r in range(1, KATZ + 2)},
+    "kind": pa.int8(), "key": pa.int64(), "row": pa.int64(), "x": pa.float64(), **{f"k{r}": pa.int64() for r in range(1, KATZ + 2)}, "packed": pa.list_(pa.binary()),
 }
-_SQL = {pa.int8(): "byte", pa.int64(): "long", pa.bool_(): "boolean", pa.float64(): "double"}
+_SQL = {pa.int8(): "byte", pa.int64(): "long", pa.float64(): "double", pa.list_(pa.binary()): "array<binary>"}
 SCHEMA = ", ".join(f"{k} {_SQL[t]}" for k, t in _ROW.items())
-#: Kinds of rows: of a document, its sums; of a context, its seen words; of a token whose pair is unseen; pairs by count; a pair.
-DOC, CONTEXT, UNSEEN, PAIRS, PAIR = range(5)
+#: Kinds of rows: packed rows of a block (key: its base), packed sums over them (row: the shard), seen words of a context, a token whose pair is unseen, pairs by count, a pair.
+BLOCK, SUMS, CONTEXT, UNSEEN, PAIRS, PAIR = range(6)
+_BLOCK_TYPES = (np.int64, bool, bool, np.int64, float, float, np.int64)
+_SUM_TYPES = (np.uint32, np.int32, float, float, float, *([np.int32] * KATZ))
 
 
 def _table(kind: int, n: int, **columns) -> pa.Table:
@@ -344,51 +347,83 @@ def _evaluate(model: Words, keep_pairs: bool):
 
     def run(table: pa.Table) -> pa.Table:
         packed, bases = table["packed"].to_pylist(), table["base"].to_pylist()
-        if table["shard"][0].as_py() < 0:
-            out = []
-            for base, parts in zip(bases, packed, strict=True):
-                ids, null, use, count, s1, big, known = (_unpress(x, t) for x, t in zip(parts, (np.int64, bool, bool, np.int64, float, float, np.int64), strict=True))
-                n = len(ids)
-                out.append(_table(DOC, n, row=base + np.arange(n), doc_id=pa.array(ids, pa.int64(), mask=null), held_out=~use, n_tokens=count, n_known=known, x=s1, y=big))
-            return pa.concat_tables(out)
+        own = table["shard"][0].as_py()
+        if own < 0:
+            return _table(BLOCK, len(bases), key=bases, packed=packed)
         w = np.concatenate([_unpress_sorted(p[0]) for p in packed])
         v = np.concatenate([_unpress(p[1], _U) for p in packed])
-        raw = [_unpress(p[2], np.uint32) for p in packed]
-        row = np.concatenate([b + (r >> 1).astype(np.int64) for b, r in zip(bases, raw, strict=True)])
-        use = np.concatenate(raw).astype(np.int64) & 1
+        row = np.empty(len(w), np.int64)
+        use, at = np.empty(len(w), bool), 0
+        for base, p in zip(bases, packed, strict=True):
+            part = _unpress(p[2], np.uint32)
+            row[at : at + len(part)] = (part >> 1).astype(np.int64) + base
+            use[at : at + len(part)] = part & 1
+            at += len(part)
+        del packed
         order = np.lexsort((v, w))
-        w, v, row, use = w[order], v[order], row[order], use[order]
+        w, v, row, use = w[order], v[order], row[order], use[order].astype(np.int32)
         words, pairs = _starts(w), _starts(w, v)
-        cw = model.count_of(w[words], _sums(use, words))
+        cw = model.count_of(w[words], _sums(use, words)).astype(np.int64)
         r = _sums(use, pairs)
-        of_word = np.searchsorted(words, pairs, side="right") - 1
-        pair_cw = cw[of_word]
-        seen = r > 0
-        out = []
-        # rows
+        pair_w, pair_v = w[pairs], v[pairs]
+        pair_cw = cw[np.searchsorted(words, pairs, side="right") - 1]
         size = np.diff(np.append(pairs, len(w)))
-        tr, tc = np.repeat(r, size), np.repeat(pair_cw, size)
-        lone = np.flatnonzero(tr == 0)
-        out.append(_table(UNSEEN, len(lone), key=_signed(v[lone]), row=row[lone]))
+        lone = np.flatnonzero(np.repeat(r == 0, size))
+        out = [_table(UNSEEN, len(lone), key=_signed(v[lone]), row=row[lone])]
+        del w, v, use, lone
+        # what the tokens add to their rows, packed by block
         order = np.argsort(row, kind="stable")
-        starts = _starts(row[order])
-        tell = lambda x: _sums(x[order], starts)
-        out.append(
-            _table(
-                DOC, len(starts), row=row[order][starts], n_known=tell((tc > 0).astype(np.int64)), x=tell(np.where(w == END, 0.0, np.log10(tc + 1.0))),
-                y=tell(np.where(tr > KATZ, np.log10(np.maximum(tr, 1)), 0.0)), z=tell(np.where(tr == 0, np.log10(model.probability(tc)), 0.0)),
-                **{f"k{i}": tell((tr == i).astype(np.int64)) for i in range(1, KATZ + 1)},
-            )
-        )
+        row = row[order]
+        pair_of = np.repeat(np.arange(len(pairs)), size)[order]
+        del order
+        starts = _starts(row)
+        rows = row[starts]
+        tell = lambda x: _sums(x[pair_of], starts)
+        sums = [tell((pair_cw > 0).astype(np.int32)), tell(np.where(pair_w == END, 0.0, np.log10(pair_cw + 1.0))), tell(np.where(r > KATZ, np.log10(np.maximum(r, 1)), 0.0))]
+        sums += [tell(np.where(r == 0, np.log10(model.probability(pair_cw)), 0.0)), *(tell((r == i).astype(np.int32)) for i in range(1, KATZ + 1))]
+        del row, pair_of
+        known = np.unique(np.array(bases, np.int64))
+        cuts = [*np.searchsorted(rows, known).tolist(), len(rows)]
+        told = [[_press(np.diff((rows[a:b] - base).astype(np.uint32), prepend=np.uint32(0))), *(_press(x[a:b].astype(t)) for x, t in zip(sums, _SUM_TYPES[1:], strict=True))] for base, a, b in zip(known, cuts[:-1], cuts[1:], strict=True)]
+        out.append(_table(SUMS, len(known), key=known, row=np.full(len(known), own), packed=told))
         # contexts
-        pv, pr, pp = v[pairs][seen], r[seen], model.probability(pair_cw[seen])
+        seen = r > 0
+        pv, pr, pc = pair_v[seen], r[seen].astype(np.int64), pair_cw[seen]
         if keep_pairs:
-            out.append(_table(PAIR, len(pv), key=_signed(pv), row=_signed(w[pairs][seen]), k1=pr, k2=pair_cw[seen]))
+            out.append(_table(PAIR, len(pv), key=_signed(pv), row=_signed(pair_w[seen]), k1=pr, k2=pc))
         out.append(_table(PAIRS, 1, **{f"k{i}": [int((pr == i).sum())] for i in range(1, KATZ + 2)}))
         order = np.argsort(pv, kind="stable")
         starts = _starts(pv[order])
-        out.append(_table(CONTEXT, len(starts), key=_signed(pv[order][starts]), x=_sums(pp[order], starts), **{f"k{i}": _sums((pr == i).astype(np.int64)[order], starts) for i in range(1, KATZ + 1)}))
-        return pa.concat_tables(out)
+        tell = lambda x: _sums(x[order], starts)
+        out.append(_table(CONTEXT, len(starts), key=_signed(pv[order][starts]), x=tell(model.probability(pc)), **{f"k{i}": tell((pr == i).astype(np.int64)) for i in range(1, KATZ + 1)}))
+        # in parts, so that no batch is as large as a shard
+        whole = pa.concat_tables(out)
+        return pa.concat_tables([whole.slice(k, _PART) for k in range(0, len(whole), _PART)])
+
+    return run
+
+
+def _add_up(d: tuple[float, ...]):
+    """The rows of a block with their sums over all shards; what is unseen still lacks its context's weight."""
+
+    def run(table: pa.Table) -> pa.Table:
+        base = table["key"][0].as_py()
+        parts = sorted(zip(table["kind"].to_pylist(), table["row"].to_pylist(), table["packed"].to_pylist(), strict=True), key=lambda p: (p[0], p[1] or 0))
+        ids, null, use, count, x, gain, known = (_unpress(p, t) for p, t in zip(parts[0][2], _BLOCK_TYPES, strict=True))
+        x, gain, known = x.copy(), gain.copy(), known.copy()
+        for _, _, packed in parts[1:]:
+            at, n, px, py, pz, *low = (_unpress(p, t) for p, t in zip(packed, _SUM_TYPES, strict=True))
+            at = np.cumsum(at, dtype=np.int64)
+            known[at] += n
+            x[at] += px
+            gain[at] += py + pz
+            for i, k in enumerate(low):
+                gain[at] += k * math.log10(d[i] * (i + 1))
+        n = len(ids)
+        return pa.table({
+            "row": pa.array(base + np.arange(n), pa.int64()), "doc_id": pa.array(ids, pa.int64(), mask=null), "held_out": pa.array(~use), "n_tokens": pa.array(count, pa.int64()),
+            "n_known": pa.array(known, pa.int64()), "x": pa.array(x), "gain": pa.array(gain),
+        })
 
     return run
 
@@ -469,7 +504,7 @@ def _contexts(rows: DataFrame, model: Words, d: tuple[float, ...]) -> DataFrame:
     return seen.groupBy("key").agg((F.log10(left) - F.log10(F.greatest(1 - F.sum("x"), F.lit(1e-12)))).alias("weight"))
 
 
-def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7, per_shard: int = 5_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7, per_shard: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of docs.
 
     Training takes the rows whose crc32(doc_id as text) mod folds is not fold. Tokens are the A-Z-lower-cased words of the whole
@@ -481,26 +516,18 @@ def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7, per_shard: i
     weights = _contexts(rows, model, d).withColumn("h", F.xxhash64("key"))
     unseen = rows.where(F.col("kind") == UNSEEN).groupBy("key", "row").agg(F.count(F.lit(1)).alias("times")).withColumn("h", F.xxhash64("key"))
     # the second key makes both sides exchange for the join itself, which lets AQE split a common context
-    backed = unseen.join(weights, ["key", "h"], "left").select("row", (F.col("times") * F.coalesce("weight", F.lit(0.0))).alias("w"))
-    parts = rows.where(F.col("kind") == DOC).select("row", "doc_id", "held_out", "n_tokens", "n_known", "x", "y", "z", *(f"k{r}" for r in range(1, KATZ + 1)), F.lit(None).cast("double").alias("w"))
-    parts = parts.unionByName(backed, allowMissingColumns=True)
-    tell = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    low = F.lit(0.0)
-    for r in range(1, KATZ + 1):
-        low = low + tell(f"k{r}") * F.lit(math.log10(d[r - 1] * r))
+    backed = unseen.join(weights, ["key", "h"], "left").groupBy("row").agg(F.sum(F.col("times") * F.coalesce("weight", F.lit(0.0))).alias("w"))
+    blocks = rows.where(F.col("kind").isin(BLOCK, SUMS)).select("kind", "key", "row", "packed")
+    done = blocks.groupBy("key").applyInArrow(_add_up(d), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, x double, gain double")
     start = math.log10(model.docs + 1)
-    done = parts.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), tell("n_known").alias("n_known"),
-        tell("x").alias("x"), (tell("y") + tell("z") + tell("w") + low).alias("gain"),
-    )
-    return done.select(
+    return done.join(backed, "row", "left").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("x") + F.lit(start) - F.col("n_tokens") * F.lit(math.log10(model.total + model.words + 1))).alias("base_score"),
-        (F.col("gain") - F.col("x") - F.lit(start)).alias("score"),
+        (F.col("gain") + F.coalesce("w", F.lit(0.0)) - F.col("x") - F.lit(start)).alias("score"),
     )
 
 
-def model_tables(docs: DataFrame, fold: int = 2, folds: int = 7, per_shard: int = 5_000_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def model_tables(docs: DataFrame, fold: int = 2, folds: int = 7, per_shard: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The model as tables: pairs (v, w, log10_p) and contexts (v, log10_backoff), words being their 64-bit hashes.
 
     Pairs that are too common for one shard are left to the broadcast and not listed in the first.
