@@ -25,3 +25,4 @@ def query(oracle: str | None = None, name: str | None = None):
 
 from fieldmerge.plans import matching  # noqa: E402, F401, I001
 from fieldmerge.plans import history, quality, reports, schema  # noqa: E402, F401
+from fieldmerge.plans import flows  # noqa: E402, F401

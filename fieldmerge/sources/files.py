@@ -9,12 +9,12 @@ _FEATURE = "struct<type:string,properties:map<string,string>,geometry:struct<typ
 GEOJSON = f"type string, crs struct<properties:struct<name:string>>, features array<{_FEATURE}>, properties map<string,string>, geometry struct<type:string,coordinates:string>, coordinates string"
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """(crs, geometry_type, coordinates as JSON text, properties) per feature of collections, single features and bare geometries.
 
-    Files are read whole, one task each; features that are not objects are null and dropped. Coordinates of any depth stay text.
+    Files are read whole, one task each (or, without multi_line, a collection a line, which can be split); features that are not objects are null and dropped. Coordinates of any depth stay text.
     """
-    raw = spark.read.schema(GEOJSON).option("multiLine", True).json(path)
+    raw = spark.read.schema(GEOJSON).option("multiLine", multi_line).json(path)
     single = F.struct(F.lit("Feature").alias("type"), F.col("properties").alias("properties"), F.coalesce("geometry", F.struct(F.col("type").alias("type"), F.col("coordinates").alias("coordinates"))).alias("geometry"))
     every = F.when(F.col("features").isNotNull(), F.col("features")).otherwise(F.array(single))
     rows = raw.select(F.col("crs.properties.name").alias("crs"), F.explode(every).alias("f")).where("f.geometry is not null and f.geometry.coordinates is not null")
