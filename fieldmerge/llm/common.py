@@ -28,13 +28,18 @@ def remainder(doc_id: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def over_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """df through a function of Arrow batches. make() runs once a task, so that models and caches are built there."""
+#: Rows of an Arrow batch that are turned into Python objects at once.
+STEP = 1024
+
+
+def over_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema) -> DataFrame:
+    """df through a function of Arrow batches, STEP rows at most. make() runs once a task, so that models and caches are built there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
-            if batch.num_rows and (out := apply(batch)) is not None:
-                yield out
+            for k in range(0, batch.num_rows, STEP):
+                if (out := apply(batch.slice(k, STEP))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)

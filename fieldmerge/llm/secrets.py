@@ -14,7 +14,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fieldmerge.llm.common import over_batches, texts_of
 
@@ -90,8 +89,10 @@ _MAYBE = r"(?i)passw|passphrase|secret|token|api_?key|private|credential|bearer|
 
 
 def _scan(column: pa.Array, threshold: float) -> list[list[Span]]:
-    texts = column.to_pylist() if len(column) else []
-    return [secret_spans(x, threshold) if hit else [] for x, hit in zip(texts, pc.match_substring_regex(column, _MAYBE).to_pylist(), strict=True)]
+    """The spans of each text; only texts that the vectorised test lets through become Python strings."""
+    hits = pc.match_substring_regex(column, _MAYBE)
+    found = iter(column.filter(hits).to_pylist())
+    return [secret_spans(next(found), threshold) if hit else [] for hit in hits.to_pylist()]
 
 
 def find_secrets(docs: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,12 +115,19 @@ def find_secrets(docs: DataFrame, threshold: float = 0.7, id_col: str = "doc_id"
     return over_batches(texts_of(docs, id_col, text_col), make, f"doc_id long, base {one}, spans {one}")
 
 
-def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", threshold: float = 0.7, text_col: str = "text"):
+def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """docs with every span of a secret replaced by mark in text_col; all rows and columns stay, a null text stays null."""
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        column = pa.array(texts.fillna(""), pa.string())
-        return texts.where(texts.isna(), [redacted(x, s, mark) if s else x for x, s in zip(column.to_pylist(), _scan(column, threshold), strict=True)])
+    def make():
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            column = batch.column(at)
+            spans = _scan(pc.fill_null(column, ""), threshold)
+            if not any(spans):
+                return batch
+            texts = [redacted(x.as_py(), s, mark) if s else x.as_py() for x, s in zip(column, spans, strict=True)]
+            return batch.set_column(at, batch.schema.field(at), pa.array(texts, column.type))
+
+        return apply
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    return over_batches(docs, make, docs.schema)

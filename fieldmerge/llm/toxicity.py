@@ -12,9 +12,9 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmerge.llm.common import over_batches, remainder, texts_of
@@ -91,15 +91,31 @@ class Model:
     bias: float
 
 
-def _rows(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of packed sets."""
-    sizes = np.array([len(p) // 4 for p in packed])
-    return np.repeat(np.arange(len(packed)), sizes), np.frombuffer(b"".join(packed), np.int32)
+def _chosen(packed: list[bytes], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in names) of the features of packed sets that are among names."""
+    place = np.full(SPACE, -1, np.int32)
+    place[names] = np.arange(len(names))
+    rows, columns = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i, p in enumerate(packed):
+        found = place[np.frombuffer(p, np.int32)]
+        found = found[found >= 0]
+        rows.append(np.full(len(found), i))
+        columns.append(found)
+    return np.concatenate(rows), np.concatenate(columns)
 
 
-def fit(plain: list[bytes], swap: list[bytes], labels: np.ndarray, penalty: float = 1.0, least: int = 8, z: float = 4.5, most: int = 20_000, decay: float = 1e-3, rounds: int = 300) -> Model:
+def _counts(packed) -> np.ndarray:
+    """In how many sets each feature is."""
+    found = np.zeros(SPACE, np.int32)
+    for p in packed:
+        found[np.frombuffer(p, np.int32)] += 1
+    return found
+
+
+def fit(plain: list[bytes], swap: dict[int, bytes], labels: np.ndarray, penalty: float = 1.0, least: int = 8, z: float = 4.5, most: int = 20_000, decay: float = 1e-3, rounds: int = 300) -> Model:
     """Logistic loss + penalty * mean squared difference of the logits of a text and its swapped copy + decay * squared weights.
 
+    plain: the packed features of each text; swap: those of its copy, by row, where a swap changes them.
     Features in fewer than `least` texts, or whose log odds ratio between the labels is within z standard errors of 0, are left
     out; of the rest the `most` strongest are kept. Without both labels the model is the smoothed share of label 1.
     """
@@ -107,21 +123,17 @@ def fit(plain: list[bytes], swap: list[bytes], labels: np.ndarray, penalty: floa
     bias = float(np.log((positive + 0.5) / (n - positive + 0.5)))
     if not positive or positive == n:
         return Model({}, bias)
-    row, feature = _rows(plain)
-    names, column, count = np.unique(feature, return_inverse=True, return_counts=True)
-    ones = np.bincount(column, weights=labels[row], minlength=len(names))
+    count, ones = _counts(plain), _counts(p for p, label in zip(plain, labels, strict=True) if label)
+    names = np.flatnonzero(count >= least)
+    count, ones = count[names], ones[names]
     a, b = ones + 0.5, count - ones + 0.5
-    score = (np.log(a / (positive - ones + 0.5)) - np.log(b / (n - positive - (count - ones) + 0.5))) / np.sqrt(1 / a + 1 / b)
-    strong = np.where(count >= least, np.abs(score), 0)
-    kept = np.flatnonzero(strong > max(z, np.sort(strong)[-min(most, len(strong))] if len(strong) > most else 0))
-    names = names[kept]
-
-    def chosen(row: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(names, feature), max(0, len(names) - 1))
-        inside = names[at] == feature if len(names) else np.zeros(len(feature), bool)
-        return row[inside], at[inside]
-
-    (r, c), (r2, c2) = chosen(row, feature), chosen(*_rows(swap))
+    strong = np.abs((np.log(a / (positive - ones + 0.5)) - np.log(b / (n - positive - (count - ones) + 0.5))) / np.sqrt(1 / a + 1 / b))
+    kept = np.argsort(-strong, kind="stable")[:most]
+    names = np.sort(names[kept[strong[kept] > z]])
+    (r, c), (r2, c2) = _chosen(plain, names), _chosen([swap.get(i, b"") for i in range(n)], names)
+    # a text without a copy is its own copy
+    alone = ~np.isin(r, np.array(list(swap), np.int64))
+    r2, c2 = np.concatenate([r2, r[alone]]), np.concatenate([c2, c[alone]])
     # what a swap changes: +1 for a feature that only the text has, -1 for one that only the copy has
     size = max(1, len(names))
     mine, copy = np.unique(r * size + c), np.unique(r2 * size + c2)
@@ -143,7 +155,7 @@ def fit(plain: list[bytes], swap: list[bytes], labels: np.ndarray, penalty: floa
     return Model(dict(zip(names.tolist(), w.tolist(), strict=True)), float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, penalty: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 12_000, penalty: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits on at most max_rows labelled rows, those with the least hash of doc_id; the caller leaves held-out rows out.
 
     The sample is drawn from the labels alone and is small by its bound, so it is broadcast to the texts; features are made on the
@@ -164,9 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
         return apply
 
     found = over_batches(rows, make, "label int, plain binary, swap binary").toArrow()
-    plain = found["plain"].to_pylist()
-    swap = [a if b is None else b for a, b in zip(plain, found["swap"].to_pylist(), strict=True)]
-    return fit(plain, swap, np.array(found["label"].to_pylist(), float), penalty)
+    swap = {i: x for i, x in enumerate(found["swap"].to_pylist()) if x is not None}
+    return fit(found["plain"].to_pylist(), swap, np.array(found["label"].to_pylist(), float), penalty)
 
 
 class _Known(dict):
@@ -193,21 +204,14 @@ def scores(texts: list[str], model: Model, known: _Known) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.array(logits, float), -700, 700)))
 
 
-def toxicity(model: Model, text: Column) -> Column:
-    """The score of a text column, 0 to 1; a null text scores as the empty one, whose score is the bias alone."""
-
-    # the model reaches each task with the function: 20,000 weights at most
-    @F.pandas_udf("double")
-    def score(parts: pd.Series) -> pd.Series:
-        if (known := _worker.get("known")) is None or _worker.get("model") != model:
-            known = _Known(model)
-            _worker.update(known=known, model=model)
-        return pd.Series(scores(parts.fillna("").tolist(), model, known))
-
-    return score(text)
+def _scorer(model: Model):
+    """A function of Arrow text columns; a null text scores as the empty one. The model, 20,000 weights at most, travels with the task."""
+    known = _Known(model)
 
+    def score(column: pa.Array) -> np.ndarray:
+        return scores(pc.fill_null(column, "").to_pylist(), model, known)
 
-_worker: dict = {}
+    return score
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **fitting) -> DataFrame:
@@ -218,11 +222,22 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, threshol
     table gives no rows, and empty labels the score 0.5. Columns of either table that are not named here are not read.
     """
     model = train(docs, labels.where(remainder(labels[id_col], folds) != 0), id_col=id_col, text_col=text_col, **fitting)
-    texts = texts_of(docs, id_col, text_col).select("doc_id", toxicity(model, F.col("text")).alias("score"))
-    return texts.select("doc_id", (remainder("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+    def make():
+        score = _scorer(model)
+        return lambda batch: pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1)))], ["doc_id", "score"])
+
+    scored = over_batches(texts_of(docs, id_col, text_col), make, "doc_id long, score double")
+    return scored.select("doc_id", (remainder("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **fitting) -> DataFrame:
     """The rows of docs that score under threshold, with all their columns."""
     model = train(docs, labels.where(remainder(labels[id_col], folds) != 0), id_col=id_col, text_col=text_col, **fitting)
-    return docs.where(toxicity(model, docs[text_col]) < threshold)
+    at = docs.columns.index(text_col)
+
+    def make():
+        score = _scorer(model)
+        return lambda batch: batch.filter(pa.array(score(batch.column(at)) < threshold))
+
+    return over_batches(docs, make, docs.schema)
