@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from fieldmerge.functions.session import stored
 from fieldmerge.operators.graph import connected_components
 
+#: Edges that one call settles: whole components together, since the rule is the same for a union of them.
+EDGES_A_GROUP = 20_000
 _CLUSTERED = "kind string, id long, other long, score double, iou double, cluster_id long, accepted boolean"
 
 
@@ -45,12 +47,13 @@ def cluster_constrained(obs: DataFrame, edges: DataFrame) -> tuple[DataFrame, Da
     """(id, cluster_id) for every observation, and the edges with cluster_id and accepted.
 
     A cluster is named by its smallest id. The greedy rule never looks beyond a connected component, so components are found first
-    and each is settled by itself; one is a few observations of one real thing. Edges need id_a, id_b, source_a, source_b, score, iou.
+    and whole ones are settled, many in a call; one is a few observations of one real thing. Edges need id_a, id_b, source_a, source_b, score, iou.
     """
-    edges = edges.select("id_a", "id_b", "source_a", "source_b", "score", "iou")
+    edges = stored(edges.select("id_a", "id_b", "source_a", "source_b", "score", "iou"), "edges")
     parts = connected_components(edges, "id_a", "id_b")
-    grouped = edges.join(parts.withColumnRenamed("node", "id_a"), "id_a")
-    settled = stored(grouped.groupBy("component").applyInPandas(_greedy, _CLUSTERED), "clusters")
+    groups = max(1, edges.count() // EDGES_A_GROUP)
+    grouped = edges.join(parts.withColumnRenamed("node", "id_a"), "id_a").withColumn("group", F.pmod(F.xxhash64("component"), F.lit(groups)))
+    settled = stored(grouped.groupBy("group").applyInPandas(_greedy, _CLUSTERED), "clusters")
     members = settled.where("kind = 'member'").select("id", "cluster_id")
     everyone = obs.select("id").join(members, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))
     return everyone, settled.where("kind = 'edge'").select(F.col("id").alias("id_a"), F.col("other").alias("id_b"), "score", "iou", "cluster_id", "accepted")
