@@ -168,3 +168,42 @@ def package_categories(spark, sf_dir):
     rows = derived(spark, sf_dir, FILES)
     both = packages.scan(rows).select("package_id", "category").unionByName(packages.missing_categories(rows).select("package_id", "category"))
     return both.groupBy("package_id").agg(F.count(F.lit(1)).alias("categories"))
+
+
+def _pair_measure(name: str, column, sql: str) -> None:
+    """Registers one measure of candidate pairs under its own name."""
+
+    def run(spark, sf_dir):
+        pairs = scoring.combined_score(scoring.with_overlap(spatial_join.candidate_pairs(observations(spark, sf_dir))))
+        return pairs.select("id_a", "id_b", g.rounded(column(), 6).alias("value"))
+
+    query(PAIRS_SQL + f"SELECT id_a, id_b, {R(sql, 6)} AS value FROM pairs", name=name)(run)
+
+
+def _area(side: str):
+    return g.box_area(g.box(suffix=side))
+
+
+_pair_measure("iou", lambda: F.col("iou"), "iou")
+_pair_measure("bbox_iou", lambda: g.iou(g.box(suffix="_a"), g.box(suffix="_b")), "iou")
+_pair_measure("centroid_distance", lambda: F.col("centroid_dist"), "centroid_dist")
+_pair_measure("norm_centroid_distance", lambda: F.least(F.col("centroid_dist") / 15.0, F.lit(1.0)), "least(centroid_dist / 15.0::DOUBLE, 1.0::DOUBLE)")
+_pair_measure("symmetric_difference_area", lambda: _area("_a") + _area("_b") - 2 * F.col("inter_area"), "ga + gb - 2 * inter_area")
+_pair_measure("overlap_area", lambda: F.col("inter_area"), "inter_area")
+_pair_measure("attribute_similarity", lambda: F.col("attr_sim"), "attr_sim")
+_pair_measure("area_similarity", lambda: g.ratio(F.col("area_m2_a"), F.col("area_m2_b"), 0.5), "least(area_a, area_b) / greatest(area_a, area_b)")
+
+
+@query(f"SELECT id, min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy FROM (SELECT id, unnest([x0, x1]) AS x, unnest([y0, y1]) AS y FROM ({OBS_SQL})) GROUP BY id")
+def geom_bbox(spark, sf_dir):
+    """Extents of rings."""
+    rows = observations(spark, sf_dir).select("id", g.box_ring(g.box()).alias("ring"))
+    of = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    return rows.select("id", of(F.array_min, "x").alias("minx"), of(F.array_max, "x").alias("maxx"), of(F.array_min, "y").alias("miny"), of(F.array_max, "y").alias("maxy"))
+
+
+@query(f"SELECT id, {R('least(x1 - (x0 + x1) / 2, y1 - (y0 + y1) / 2)', 6)} AS distance FROM ({OBS_SQL})")
+def point_to_boundary_distance(spark, sf_dir):
+    """From each box's centre to its outline."""
+    b = g.box()
+    return observations(spark, sf_dir).select("id", g.rounded(g.point_to_box_boundary((b[0] + b[2]) / 2, (b[1] + b[3]) / 2, b), 6).alias("distance"))
