@@ -1,7 +1,7 @@
 """A corpus cleaned and packed: five stages, each over all that the one before kept.
 
-toxicity (rejected documents go), exact duplicates (the largest doc_id of equal texts stays), near duplicates (the smallest
-doc_id of each linked group stays), secrets (their spans are replaced, no document goes), packing into token sequences.
+toxicity (rejected documents go), exact duplicates (the largest doc_id of equal texts stays), near duplicates (shingles of
+five words, similarity 0.8; the smallest doc_id of each linked group stays), secrets (their spans are replaced, no document goes), packing into token sequences.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmerge.functions.session import stored
-from fieldmerge.llm import dedup, packing, secrets, simhash, toxicity
+from fieldmerge.llm import dedup, near, packing, secrets, toxicity
 from fieldmerge.llm.common import table
 
 
@@ -25,7 +25,7 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return near.drop_near_duplicates(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
