@@ -1,9 +1,12 @@
 """Secrets in texts: patterns of known forms, and strings that a compressor primed with their surroundings cannot shorten.
 
 Novelty: a candidate is a run of 12 or more key characters with a letter and a digit that stands within `reach` characters
-after a sensitive word. A zstandard compressor gets, as its raw dictionary, common identifiers and the text around the
-candidate (without it); the bytes that the candidate then adds, divided by its length, are its novelty. Names, paths and
-repeated identifiers add few bytes; random keys add about as many as they have, and are reported from `novelty` on.
+of a sensitive word, before or after it; any value of 6 or more that a sensitive name is set to; or a long line of a private
+key block. A zstandard compressor gets, as its raw dictionary, common identifiers and the text around the candidate, without
+it and its copies; the bytes that the candidate then adds, divided by its length, are its novelty. Names, paths and known
+words add few bytes; random keys add about as many as they have, and are reported from `threshold` on, with all their copies
+in the text. One such line reports its whole key block. In running text words unknown to the compressor are as new to it as
+keys, so there the digit and the length are asked for.
 """
 
 from __future__ import annotations
@@ -28,6 +31,17 @@ SENSITIVE = re.compile(r"passw|passphrase|secret|token|api_?key|private|credenti
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[+/_=0-9-]*[A-Za-z])(?=[+/_=A-Za-z-]*[0-9])[A-Za-z0-9+/_=-]{12,}")
 
+#: A value that a name with a sensitive word is set to.
+SET_TO = re.compile(
+    r"""(?:passw(?:or)?d|passphrase|secret|token|api_?key|private_?key|credentials?|bearer|auth|authorization|signature|access_?key|pwd)"""
+    r"""(?:[_-][A-Za-z0-9_-]+|Key|Id|Value)?["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})""",
+    re.ASCII | re.IGNORECASE,
+)
+#: The head of a key block; its lines where no tail follows; a line that is judged.
+BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+LINES = re.compile(r"(?:(?:\s|\\[rn])*[A-Za-z0-9+/=_-]{16,})*")
+LINE = re.compile(r"[A-Za-z0-9+/=_-]{16,}")
+
 #: Identifiers that code and configuration share.
 IDENTIFIERS = (
     "username user_name password passwd secret_key access_key api_key apikey token access_token refresh_token bearer authorization "
@@ -48,26 +62,62 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
 
 
-def novelty(text: str, start: int, end: int, around: int) -> float:
-    """Bytes that text[start:end] adds to its surroundings and the identifiers, per byte of its own."""
-    value = text[start:end].encode()
-    context = (text[max(0, start - around) : start] + "\n" + text[end : end + around]).encode("utf-8", "surrogatepass")
+def novelty(text: str, start: int, end: int, around: int, copies: bool = True) -> float:
+    """Bytes that text[start:end] adds to its surroundings, with or without its copies there, and the identifiers, per byte of its own."""
+    told = text[start:end]
+    value = told.encode()
+    context = (text[max(0, start - around) : start] + "\n" + text[end : end + around])
+    context = (context if copies else context.replace(told, "\n")).encode("utf-8", "surrogatepass")
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + context, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     press = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
     return (len(press.compress(value)) - len(press.compress(b""))) / len(value)
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what stands in private key blocks: up to the tail, or all lines of key characters if there is none."""
+    heads, found, tail = list(BLOCK.finditer(text)), [], 0
+    for k, m in enumerate(heads):
+        if 0 <= tail < m.end():
+            tail = text.find("-----END", m.end())
+        upto = heads[k + 1].start() if k + 1 < len(heads) else len(text)
+        end = tail if 0 <= tail < upto else LINES.match(text, m.end()).end()
+        found.append((m.end(), end))
+    return found
+
+
 def secret_spans(text: str, threshold: float = 0.7, reach: int = 48, around: int = 2048) -> list[Span]:
-    """base_spans() and, where they leave room, novel strings."""
+    """base_spans() and, where they leave room, novel strings; a key block with a novel line is one span."""
     found = base_spans(text)
-    taken = list(found)
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any(s < b and a < e for s, _, e in taken) or not SENSITIVE.search(text, max(0, a - reach), a):
+    blocks = []
+    for a, b in key_blocks(text):
+        lines = [m.span() for m in LINE.finditer(text, a, b)]
+        if any(novelty(text, *x, around, False) >= threshold for x in lines):
+            blocks.append((a + len(text[a:b]) - len(text[a:b].lstrip()), 3, a + len(text[a:b].rstrip())))
+    taken = found + blocks
+    free = lambda a, b: not any(s < b and a < e for s, _, e in taken)
+    near = lambda a, b: SENSITIVE.search(text, max(0, a - reach), a) or SENSITIVE.search(text, b, b + reach)
+    spans = [m.span(1) for m in SET_TO.finditer(text)]
+    spans += [m.span() for m in CANDIDATE.finditer(text) if near(*m.span())]
+    novel, values = [], set()
+    for a, b in spans:
+        if not free(a, b) or novelty(text, a, b, around, False) < threshold:
             continue
-        if novelty(text, a, b, around) >= threshold:
-            found.append((a, 3, b))
-    return sorted(found)
+        novel.append((a, b))
+        if CANDIDATE.fullmatch(text[a:b]):
+            values.add(text[a:b])
+    for value in values:
+        at = text.find(value)
+        while at >= 0:
+            if free(at, at + len(value)):
+                novel.append((at, at + len(value)))
+            at = text.find(value, at + len(value))
+    kept: list[Span] = []
+    for a, b in sorted(set(novel)):
+        if kept and a < kept[-1][2]:
+            kept[-1] = (kept[-1][0], 3, max(b, kept[-1][2]))
+        else:
+            kept.append((a, 3, b))
+    return sorted(found + blocks + kept)
 
 
 def joined(spans: list[Span]) -> str:
