@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldmerge.functions.session import stored
+
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,6 +30,31 @@ def remainder(doc_id: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def one_of_each(rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """Of rows that agree on key one: the one whose columns, told as JSON, come first. A key shuffles one partial row a task."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in columns))
+    return rows.groupBy(*key).agg(F.min_by(whole, F.to_json(whole)).alias("__fm_row")).select("__fm_row.*")
+
+
+def one_of_each_part(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each part of placed (doc_id, h, part), which has a row for each of docs; h is xxhash64 of the text.
+
+    The smallest doc_id of a part stays, a null one only where all are null; among its texts the one with the smallest hash,
+    and of rows that repeat both, one (see one_of_each). What goes is decided by id and text together, so a doc_id that
+    stands in several parts loses no part. Rows that neither go nor repeat only meet an anti-join.
+    """
+    best = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best"))
+    keys = placed.groupBy("doc_id", "h").agg(F.first("part").alias("part"), F.count(F.lit(1)).alias("times"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))
+    marks = keys.join(best, "part").withColumn("stays", stays).where("not stays or times > 1")
+    marks = stored(marks.select(F.col("doc_id").alias("__fm_id"), F.col("h").alias("__fm_h"), F.col("stays").alias("__fm_stays")), "marks")
+    rows = docs.withColumns({"__fm_doc": docs[id_col].cast("long"), "__fm_text": F.xxhash64(F.coalesce(docs[text_col], F.lit("")))})
+    same = (F.col("__fm_text") == F.col("__fm_h")) & F.col("__fm_doc").eqNullSafe(F.col("__fm_id"))
+    alone = rows.join(marks, same, "left_anti").select(*docs.columns)
+    repeated = rows.join(marks.where("__fm_stays"), same, "left_semi")
+    return alone.unionByName(one_of_each(repeated, ["__fm_doc", "__fm_text"], docs.columns))
+
+
 #: Rows of an Arrow batch that are turned into Python objects at once.
 STEP = 1024
 

@@ -5,12 +5,16 @@ cells that it marked once from those it marked again; shards meet in one group e
 marked again. Pass 2 tests every row: a repeated text has both its cells marked again, so a row without is alone for certain
 and goes straight to the result. The rest, repeated texts and a few false alarms, are grouped by SHA-256.
 
-The marked table grows with the corpus (bits_per_row bits a row). Up to max_filter_bytes it is broadcast; beyond, its cells
-stay a table, and rows look their cells up by two semi-joins of hashes and ids, never of texts. Both ways give the same rows.
+The marked table grows with the corpus (bits_per_row bits a row) and is broadcast in parts of at most max_filter_bytes: one
+round for each part, in which the rows whose hashes belong to its shards are tested. A row is tested in one round only, so a
+text that is alone never shuffles, whatever the size; what grows is the number of times that texts are read, one for each
+8 * max_filter_bytes / bits_per_row rows.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,18 +22,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmerge.functions.session import stored
-from fieldmerge.llm.common import texts_of
+from fieldmerge.llm.common import one_of_each, texts_of
 
 #: Bits of a shard: 128 KB, some 65,000 rows at 16 bits a row.
 SHARD_BITS = 1 << 20
 
 
 def cells(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two cells of each signed 64-bit hash, both in one shard."""
-    h = h.astype(np.uint64)
-    shard = (h % np.uint64(shards)).astype(np.int64) * SHARD_BITS
-    h = h // np.uint64(shards)
-    return shard + (h % np.uint64(SHARD_BITS)).astype(np.int64), shard + ((h >> np.uint64(21)) % np.uint64(SHARD_BITS)).astype(np.int64)
+    """The two cells of each signed 64-bit hash, both in the shard that is its remainder."""
+    shard = h % shards * SHARD_BITS
+    mixed = h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return shard + (mixed >> np.uint64(44)).astype(np.int64), shard + (mixed >> np.uint64(22) & np.uint64(SHARD_BITS - 1)).astype(np.int64)
 
 
 def _mark(shards: int):
@@ -73,38 +76,34 @@ def repeated_cells(hashes: DataFrame, shards: int) -> DataFrame:
     return marks.groupBy("shard").applyInPandas(_meet, "shard long, bits binary")
 
 
-def maybe_repeated(filters: DataFrame, shards: int, h: Column) -> Column:
-    """A boolean column: the hash may be repeated. Broadcasts shards * 128 KB; the caller has checked that."""
-    bits = np.zeros(shards * SHARD_BITS // 8, np.uint8)
-    for row in filters.toLocalIterator():
-        bits[row["shard"] * SHARD_BITS // 8 : (row["shard"] + 1) * SHARD_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
+def maybe_repeated(filters: DataFrame, shards: int, rounds: range, h: Column) -> Column:
+    """A boolean column: the hash, whose shard is within rounds, may be repeated. Broadcasts 128 KB a shard of rounds."""
+    first_bit, size = rounds.start * SHARD_BITS, len(rounds) * SHARD_BITS // 8
+    bits = np.zeros(size, np.uint8)
+    for row in filters.where(F.col("shard").between(rounds.start, rounds.stop - 1)).toLocalIterator():
+        at = (row["shard"] - rounds.start) * SHARD_BITS // 8
+        bits[at : at + SHARD_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
     shared = filters.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def test(column: pd.Series) -> pd.Series:
-        first, second = cells(column.to_numpy(), shards)
+        found = [x - first_bit for x in cells(column.to_numpy(np.int64), shards)]
         at = shared.value
-        return pd.Series((at[first >> 3] >> (first & 7).astype(np.uint8) & at[second >> 3] >> (second & 7).astype(np.uint8) & 1).astype(bool))
+        hit = [at[x >> 3] >> (x & 7).astype(np.uint8) & 1 for x in found]
+        return pd.Series((hit[0] & hit[1]).astype(bool))
 
     return test(h)
 
 
-def _looked_up(rows: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """rows with `maybe`, by joins: what is broadcast by maybe_repeated() is a table of cells here."""
-
-    @F.pandas_udf("array<long>")
-    def positions(bits: pd.Series) -> pd.Series:
-        return bits.map(lambda x: np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little")).astype(np.int64))
-
-    @F.pandas_udf("a long, b long")
-    def both(h: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip("ab", cells(h.to_numpy(), shards), strict=True)))
-
-    marked = filters.select("shard", F.explode(positions("bits")).alias("at")).select((F.col("shard") * SHARD_BITS + F.col("at")).alias("cell"))
-    rows = rows.withColumn("at", both("h"))
-    hit = rows.select("row", F.col("at.a").alias("cell"), F.col("at.b").alias("other")).join(marked, "cell", "left_semi")
-    hit = hit.select("row", F.col("other").alias("cell")).join(marked, "cell", "left_semi").select("row", F.lit(True).alias("maybe"))
-    return rows.drop("at").join(hit, "row", "left").withColumn("maybe", F.coalesce("maybe", F.lit(False)))
+def tested(rows: DataFrame, h: str, flag: str, filters: DataFrame, shards: int, max_filter_bytes: int) -> list[DataFrame]:
+    """rows with flag, whether their hash h may be repeated: one table for each part of the filter, every row in one of them."""
+    step = max(1, max_filter_bytes * 8 // SHARD_BITS)
+    out = []
+    for start in range(0, shards, step):
+        part = range(start, min(start + step, shards))
+        own = rows if len(part) == shards else rows.where(F.pmod(F.col(h), F.lit(shards)).between(part.start, part.stop - 1))
+        out.append(own.withColumn(flag, maybe_repeated(filters, shards, part, F.col(h))))
+    return out
 
 
 def _filter_for(texts: DataFrame, bits_per_row: int) -> tuple[DataFrame, int]:
@@ -128,10 +127,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = texts_of(docs, id_col, text_col)
     filters, shards = _filter_for(texts, bits_per_row)
     rows = texts.select("doc_id", F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2("text", 256)).alias("sha"), F.xxhash64("text").alias("h"))
-    if shards * SHARD_BITS // 8 <= max_filter_bytes:
-        rows = stored(rows.withColumn("maybe", maybe_repeated(filters, shards, F.col("h"))), "hashed")
-    else:
-        rows = stored(_looked_up(stored(rows, "rows"), filters, shards), "hashed")
+    parts = tested(rows, "h", "maybe", filters, shards, max_filter_bytes)
+    if len(parts) > 1:
+        parts = tested(stored(rows, "rows"), "h", "maybe", filters, shards, max_filter_bytes)
+    rows = stored(functools.reduce(DataFrame.unionByName, parts), "hashed")
     alone = rows.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     maybe = rows.where("maybe")
     found = maybe.join(_classes(maybe), ["sha", "h"])
@@ -141,21 +140,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_filter_bytes: int = 64 << 20) -> DataFrame:
     """The rows of docs that stay, with all their columns; texts, nulls and ties as in exact_duplicates().
 
-    Rows that are alone by the filter pass straight through; only the others are joined with the rows that stay. Where the
-    filter is too large to broadcast, all rows take that join.
+    Rows that are alone by the filter pass straight through, however large it is; only the others are shuffled. Of rows that
+    share text and doc_id but not the other columns, the one whose columns, told as JSON, come first stays.
     """
     texts = texts_of(docs, id_col, text_col)
     filters, shards = _filter_for(texts, bits_per_row)
     text, key = F.coalesce(docs[text_col], F.lit("")), "__fm_"
     rows = docs.withColumns({f"{key}h": F.xxhash64(text), f"{key}id": docs[id_col].cast("long")})
-    small = shards * SHARD_BITS // 8 <= max_filter_bytes
-    if small:
-        rows = rows.withColumn(f"{key}maybe", maybe_repeated(filters, shards, F.col(f"{key}h")))
-    else:
-        rows = rows.withColumn(f"{key}maybe", F.lit(True))
+    parts = tested(rows, f"{key}h", f"{key}maybe", filters, shards, max_filter_bytes)
+    rows = functools.reduce(DataFrame.unionByName, parts)
     maybe = rows.where(f"{key}maybe").withColumn(f"{key}sha", F.unhex(F.sha2(text, 256)))
     best = maybe.select(F.col(f"{key}id").alias("doc_id"), F.col(f"{key}h").alias("h"), F.col(f"{key}sha").alias("sha"), F.lit(0).alias("row"))
     best = _classes(best).select(F.col("sha").alias(f"{key}s"), F.col("best.doc_id").alias(f"{key}best"))
     stay = maybe.join(best, (F.col(f"{key}sha") == F.col(f"{key}s")) & F.col(f"{key}id").eqNullSafe(F.col(f"{key}best")), "left_semi")
-    stay = stay.dropDuplicates([f"{key}id", f"{key}sha"]).select(*docs.columns)
-    return rows.where(~F.col(f"{key}maybe")).select(*docs.columns).unionByName(stay) if small else stay
+    return rows.where(~F.col(f"{key}maybe")).select(*docs.columns).unionByName(one_of_each(stay, [f"{key}id", f"{key}sha"], docs.columns))

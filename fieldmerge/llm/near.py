@@ -1,4 +1,8 @@
-"""Near-duplicates by similarity of whole word-shingle sets, proven for every link; MinHash bands only propose.
+"""Near-duplicates by similarity of whole word-shingle sets, proven for every link.
+
+Pairs are proposed twice: by meet-in-the-middle balls around the SimHash fingerprints of the sets (simhash.ball_links), which
+find what differs in next to nothing, and by MinHash bands for the rest, since texts at 0.8 differ by some ten bits of 64 and
+balls of five bits would be millions of numbers.
 
 Each distinct set of shingles has `bands` hashes of `rows` minima each, and sets that share one meet in a bucket. Two sets at
 similarity s miss each other with chance (1 - s^rows)^bands, 3e-6 at 0.8 and less above. First every set of a bucket is compared
@@ -19,8 +23,8 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from fieldmerge.functions.session import stored
-from fieldmerge.llm.common import over_batches, texts_of
-from fieldmerge.llm.simhash import shingle_hashes
+from fieldmerge.llm.common import one_of_each_part, over_batches, texts_of
+from fieldmerge.llm.simhash import ball_links, shingle_hashes, signature
 from fieldmerge.operators.graph import connected_components
 
 #: Shingles whose minima are taken at once.
@@ -69,20 +73,21 @@ def _marked(texts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
         functions = _functions(bands * rows)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, sizes, buckets, odd = [], [], [], []
+            keys, sizes, buckets, odd, fps = [], [], [], [], []
             for x in batch.column(1).cast(pa.binary()):
                 found = shingle_set(x.as_py(), words)
                 keys.append(set_key(found))
                 sizes.append(len(found))
                 buckets.append(band_keys(found, bands, rows, functions))
                 odd.append(parities(found))
-            columns = [batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(buckets, pa.list_(pa.int64()))]
+                fps.append(signature(found))
+            columns = [batch.column(0), batch.column(2), pa.array(fps, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(buckets, pa.list_(pa.int64()))]
             columns += [pa.array([x[i] for x in odd], pa.int64()) for i in range(len(_PARITIES))]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "buckets", *_PARITIES])
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "fp", "key", "n", "buckets", *_PARITIES])
 
         return apply
 
-    return over_batches(texts, make, "doc_id long, key long, n int, buckets array<long>, " + ", ".join(f"{p} long" for p in _PARITIES))
+    return over_batches(texts.withColumn("h", F.xxhash64("text")), make, "doc_id long, h long, fp long, key long, n int, buckets array<long>, " + ", ".join(f"{p} long" for p in _PARITIES))
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -119,28 +124,43 @@ def _proven(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common / (F.size("s_a") + F.size("s_b") - common) >= similarity).select("a", "b")
 
 
+def _met_in_balls(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(a, b) keys of sets whose fingerprints are within two bits, by way of one set for each fingerprint; sizes that rule it out do not count."""
+    one = sets.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("one"))
+    links = ball_links(one.select("fp"))
+    for end in ("src", "dst"):
+        links = links.join(one.select(F.col("fp").alias(end), F.col("one").alias(f"{end}_one")), end)
+    across = links.select("src_one.key", "src_one.n", F.col("dst_one.key").alias("other"), F.col("dst_one.n").alias("m"))
+    within = sets.join(one, "fp").select("key", "n", F.col("one.key").alias("other"), F.col("one.n").alias("m"))
+    both = across.unionByName(within).where("key <> other").where(F.least("n", "m") >= similarity * F.greatest("n", "m"))
+    return both.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) per row: documents linked, directly or by others, at `similarity` or more of their shingle sets.
+    """(doc_id, component_id, h, part) per row: documents linked, directly or by others, at `similarity` or more of their shingle sets.
 
     component_id is the smallest doc_id reachable, itself included (null only if no doc_id of the component is known). Equal
     sets are linked, also the empty ones of null texts and texts without words; a text of fewer words than a shingle is
-    one shingle. Rows that repeat each give a row; an empty table gives no rows. Work after the sets is on distinct ones.
+    one shingle. Rows that repeat each give a row; an empty table gives no rows. h is xxhash64 of the text; part, the smallest key
+    of a set that is linked, names the component also where doc_ids repeat. Work after the sets is on distinct ones.
     """
     texts = texts_of(docs, id_col, text_col)
     marked = stored(_marked(texts, words, bands, rows), "sets")
-    first = marked.groupBy("key").agg(F.min("doc_id").alias("low"))
+    first = stored(marked.groupBy("key").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("n").alias("n")), "distinct")
+    balls = stored(_met_in_balls(first, similarity), "balls")
     spread = marked.select("key", "n", F.explode("buckets").alias("bucket"))
     met = spread.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("least"), F.max("key").alias("most")).where("least.key <> most")
     members = stored(_with_bucket(spread.distinct(), met.select("bucket", F.col("least.key").alias("low"), F.col("least.n").alias("low_n"))), "buckets")
 
-    wanted = members.select("key").distinct().join(first, "key").select("key", "low")
+    asked = members.select("key").unionByName(balls.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
+    wanted = asked.join(first, "key").select("key", "low")
     ids = stored(wanted, "wanted")
     again = texts.join(ids.select(F.col("low").alias("wid")).distinct(), F.col("doc_id").eqNullSafe(F.col("wid")), "left_semi")
     sets = stored(_sets(again, words).join(ids.select("key"), "key", "left_semi").dropDuplicates(["key"]), "shingles")
 
     alike = lambda n, m: F.least(n, m) / F.greatest(n, m) >= similarity
     stars = members.where(F.col("key") != F.col("low")).where(alike(F.col("n"), F.col("low_n"))).select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
-    stars = stored(stars, "stars")
+    stars = stored(stars.unionByName(balls).distinct(), "stars")
     links = stored(_proven(stars, sets, similarity), "links")
     parts = connected_components(links, "a", "b").withColumnRenamed("node", "key")
 
@@ -160,14 +180,13 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
     links = links.unionByName(_proven(cross, sets, similarity))
 
     parts = connected_components(links, "a", "b").withColumnRenamed("node", "key")
-    named = stored(first.join(parts, "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component"), "parts")
+    named = stored(first.drop("fp", "n").join(parts, "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component"), "parts")
     least = named.groupBy("part").agg(F.min("low").alias("component_id"))
-    labels = stored(named.select("key", "part").join(least, "part").select("key", "component_id"), "labels")
-    return marked.join(labels, "key").select("doc_id", "component_id")
+    labels = stored(named.select("key", "part").join(least, "part").select("key", "component_id", "part"), "labels")
+    return marked.join(labels, "key").select("doc_id", "component_id", "h", "part")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component, with all their columns; null doc_ids stay."""
+    """One row of docs for each component, with all its columns: the one with the smallest doc_id (see common.one_of_each_part)."""
     found = near_groups(docs, words, similarity, id_col=id_col, text_col=text_col)
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__fm_gone")), "gone")
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__fm_gone"), "left_anti")
+    return one_of_each_part(docs, stored(found.select("doc_id", "h", "part"), "placed"), id_col, text_col)

@@ -9,6 +9,8 @@ open bins, and what a task leaves unfilled does not grow with its input.
 from __future__ import annotations
 
 import functools
+import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -62,12 +64,29 @@ def _encoder(path: str, pattern: str) -> Chunks:
     return Chunks(lambda x: np.array(encoding.encode_ordinary(x), "<u4").tobytes())
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 2, capacity: int = 1024, open_bins: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """(string, id) of the added tokens of a tokenizer file, which stand for themselves wherever they occur in a text."""
+    with open(path, encoding="utf-8") as file:
+        listed = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in listed):
+        raise ValueError("an added token that is more than its own string")
+    return tuple((t["content"], t["id"]) for t in listed)
+
+
+def encoded(text: str, chunks: Chunks, added: dict[str, bytes], cut: re.Pattern | None) -> bytes:
+    """Ids of a text; added tokens split it, and what lies between them is encoded apart."""
+    if cut is None or not any(x in text for x in added):
+        return chunks.of(text)
+    return b"".join(added[x] if x in added else chunks.of(x) for x in cut.split(text) if x)
+
+
+def pack_documents(docs: DataFrame, path: str, pattern: str, added: tuple[tuple[str, int], ...] = (), end_id: int = 2, capacity: int = 1024, open_bins: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids binary (little-endian unsigned 32-bit), sequence_id, offset.
 
     A document is the ids of its whole text and then end_id. One of at most `capacity` tokens stays whole; a longer one is cut
     into pieces of `capacity`, of which the first may be shorter. Sequences are gapless from offset 0. Texts are encoded by the
-    rank file, whose ids are those of the tokenizer file with the same vocabulary; strings of special tokens are ordinary text.
+    rank file, whose ids are those of the tokenizer file with the same vocabulary; the strings listed in added (see added_tokens)
+    have their own ids wherever they occur, the leftmost and of those the longest first.
 
     A null text is empty and has the one token end_id; a null doc_id stays null; rows that repeat are packed each. An empty
     table gives no rows. sequence_id holds the task's number above its own count, so a task that runs again gives the same ones.
@@ -75,12 +94,14 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 2, ca
 
     def make():
         chunks, end = _encoder(path, pattern), np.array([end_id], "<u4").tobytes()
+        own = {x: np.array([i], "<u4").tobytes() for x, i in added}
+        cut = re.compile("(" + "|".join(map(re.escape, sorted(own, key=len, reverse=True))) + ")") if own else None
         bins = BestFit(capacity, open_bins, TaskContext.get().partitionId() << 40)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, pieces, starts, lengths, parts, sequences, offsets = [], [], [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = chunks.of(text) + end
+                ids = encoded(text, chunks, own, cut) + end
                 total, at, piece = len(ids) // 4, 0, 0
                 while at < total:
                     size = (total - at) % capacity or capacity

@@ -10,6 +10,7 @@ from fieldmerge.llm import bpe, chats, dedup, katz, packing, pii, secrets, simha
 from fieldmerge.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+ADDED = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packing.pack_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    found = packing.pack_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, ADDED)
     return found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmerge.functions.session import stored
-from fieldmerge.llm.common import over_batches, texts_of
+from fieldmerge.llm.common import one_of_each_part, over_batches, texts_of
 from fieldmerge.operators.graph import connected_components
 
 #: Shingle hashes whose bits are counted at once, 64 bytes each.
@@ -47,24 +47,28 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """Signed 64-bit; a bit is 1 if over half the shingles have it; 0 for a text without words."""
-    hashes = np.array(shingle_hashes(text, words), np.uint64)
+def signature(hashes: np.ndarray) -> int:
+    """Signed 64-bit; a bit is 1 if over half the hashes have it."""
     bits = 2 * _bit_counts(hashes) > len(hashes)
     return int(np.packbits(bits).view(">i8")[0])
 
 
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """Signed 64-bit; a bit is 1 if over half the shingles have it; 0 for a text without words."""
+    return signature(np.array(shingle_hashes(text, words), np.uint64))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) per row, from the whole text; null and empty texts and such without words have 0."""
+    """(doc_id, fp long, h long) per row, from the whole text; null and empty texts and such without words have 0; h is xxhash64 of the text."""
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [fingerprint(x, words) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), batch.column(2)], ["doc_id", "fp", "h"])
 
         return apply
 
-    return over_batches(texts_of(docs, id_col, text_col), make, "doc_id long, fp long")
+    return over_batches(texts_of(docs, id_col, text_col).withColumn("h", F.xxhash64("text")), make, "doc_id long, fp long, h long")
 
 
 def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
@@ -80,23 +84,23 @@ def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_components(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): documents whose fingerprints are linked, directly or by others, at `radius` or fewer bits.
+    """(doc_id, fp, component_id, h, part): documents whose fingerprints are linked, directly or by others, at `radius` or fewer bits.
 
     component_id is the smallest doc_id reachable, itself included (null only if no doc_id of the component is known). Rows
     that repeat, also with one doc_id, each give a row; all texts without words have fingerprint 0 and are linked like any
-    other; an empty table gives no rows. Work after the fingerprints is on distinct ones, so copies cost nothing more.
+    other; an empty table gives no rows. h is xxhash64 of the text; part, the smallest fingerprint linked, names the component
+    also where doc_ids repeat. Work after the fingerprints is on distinct ones, so copies cost nothing more.
     """
     marked = stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
     first = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     parts = connected_components(stored(ball_links(first.select("fp"), radius), "links"))
     named = first.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("component", "fp"))
     least = named.groupBy("part").agg(F.min("low").alias("component_id"))
-    labels = stored(named.select("fp", "part").join(least, "part").select("fp", "component_id"), "labels")
-    return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = stored(named.select("fp", "part").join(least, "part").select("fp", "component_id", "part"), "labels")
+    return marked.join(labels, "fp").select("doc_id", "fp", "component_id", "h", "part")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component, with all their columns; null doc_ids stay."""
-    gone = near_components(docs, words, radius, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__fm_gone"))
-    gone = stored(gone, "gone")
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__fm_gone"), "left_anti")
+    """One row of docs for each component, with all its columns: the one with the smallest doc_id (see common.one_of_each_part)."""
+    placed = stored(near_components(docs, words, radius, id_col, text_col).select("doc_id", "h", "part"), "placed")
+    return one_of_each_part(docs, placed, id_col, text_col)

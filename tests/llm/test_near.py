@@ -52,7 +52,15 @@ def test_groups_equal_brute_force(spark):
 
 def test_null_and_repeated_rows(spark):
     rows = spark.createDataFrame([(None, "a b c d e f"), (3, "A b c d e f"), (3, "A b c d e f"), (4, None), (5, ""), (6, "z")], "doc_id long, text string")
-    found = sorted(map(tuple, near.near_groups(rows).collect()), key=repr)
+    found = sorted(map(tuple, near.near_groups(rows).select("doc_id", "component_id").collect()), key=repr)
     assert found == sorted([(None, 3), (3, 3), (3, 3), (4, 4), (5, 4), (6, 6)], key=repr)
     assert near.near_groups(rows.where("false")).count() == 0
-    assert sorted(r["doc_id"] or -1 for r in near.drop_near_duplicates(rows).collect()) == [-1, 3, 3, 4, 6]
+    # one row of each group, though a doc_id repeats or is missing
+    assert sorted(r["doc_id"] for r in near.drop_near_duplicates(rows).collect()) == [3, 4, 6]
+
+
+def test_repeated_doc_ids_lose_no_unrelated_row(spark):
+    a, b = "alpha beta gamma delta epsilon zeta eta", "one two three four five six seven"
+    rows = [(3, a, "x"), (5, a.upper(), "x"), (5, b, "y"), (5, b, "z"), (None, b, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part string").repartition(2)
+    assert sorted(map(tuple, near.drop_near_duplicates(df).collect())) == [(3, a, "x"), (5, b, "y")]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fieldmerge.llm import bpe, chats, dedup, packing, pii, secrets, simhash, syncmers, toxicity
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+ADDED = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 ODD = [
     None, "", " ", "\n\n", "a", "  two  spaces ", " lead", "trail ", "tab\tand nbsp x", "line \n next", "it's we'll 'tis", "1234567 89", "ünï cödé 漢字 \U0001f600", "x" * 3000, "ab " * 4000,
     "\x1c odd \x85 space", "<|endoftext|> here", "mixed\r\n\r\n  end", "same text here", "same text here",
@@ -56,20 +57,39 @@ def test_rank_file_has_the_ids_of_the_tokenizer_file(tik):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = [x or "" for x in ODD]
+    texts = [x or "" for x in ODD if "<|" not in (x or "")]
     assert [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] == [tik.encode_ordinary(x) for x in texts]
 
 
-def test_packing(docs, empty, tik):
-    rows = packing.pack_documents(docs, RANKS, PATTERN, capacity=64, open_bins=4).collect()
+@pytest.fixture(scope="module")
+def tokenizer_file():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_packed_ids_are_those_of_the_tokenizer_file(spark, tokenizer_file):
+    """Random texts of which many hold the added token, whole, cut, doubled or beside spaces."""
+    import random
+
+    rng = random.Random(11)
+    parts = ["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "\n", "a", "word", "été", "漢", "12", "'s", "<|", "<|endoftext|><|endoftext|>", "\t x", "\U0001f600"]
+    texts = {i: "".join(rng.choices(parts, k=rng.randint(0, 14))) for i in range(1500)}
+    rows = packing.pack_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), RANKS, PATTERN, ADDED).collect()
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in rows}
+    assert got == {i: [*tokenizer_file.encode(x, add_special_tokens=False).ids, 2] for i, x in texts.items()}
+    assert sum("<|endoftext|>" in x for x in texts.values()) > 300
+
+
+def test_packing(docs, empty, tokenizer_file):
+    rows = packing.pack_documents(docs, RANKS, PATTERN, ADDED, capacity=64, open_bins=4).collect()
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append(r)
         by_sequence[r["sequence_id"]].append(r)
         assert len(r["ids"]) == 4 * r["length"] and 0 < r["length"] <= 64
     for i, text in enumerate(ODD):
-        want = [*tik.encode_ordinary(text or ""), 2]
+        want = [*tokenizer_file.encode(text or "", add_special_tokens=False).ids, 2]
         pieces = sorted(by_doc[i], key=lambda r: r["piece"])
         if i == 3:
             pieces = [p for p in pieces if p["piece"] == 0][:1]
@@ -112,6 +132,36 @@ def test_exact_duplicates(docs, empty):
         assert dedup.drop_exact_duplicates(empty, max_filter_bytes=limit).count() == 0
 
 
+def test_only_rows_that_may_be_repeated_are_shuffled(spark, tmp_path):
+    """Over many shards and as many rounds: the same rows, and no text that is alone in an exchange."""
+    rows = [(i, f"alone {i}") for i in range(3000)] + [(5000 + i, f"twice {i % 40}") for i in range(80)] + [(9000 + i, "often") for i in range(500)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    want = {}
+    for i, t in rows:
+        want[t] = max(i, want.get(t, -1))
+    for bits in (16, 2048):
+        kept = dedup.drop_exact_duplicates(df, bits_per_row=bits, max_filter_bytes=0)
+        assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(i, t) for t, i in want.items()} and kept.count() == len(want)
+        tested = dedup.tested(df.withColumn("h", F.xxhash64("text")), "h", "maybe", *dedup._filter_for(df, bits), 0)
+        assert len(tested) == (1 if bits == 16 else 7)
+        flagged = [r for part in tested for r in part.collect()]
+        assert len(flagged) == len(rows) and all(r["maybe"] for r in flagged if not r["text"].startswith("alone"))
+        assert sum(r["maybe"] for r in flagged) < 580 + 100
+    # all branches but the last go from the scan to the result
+    branches = kept._jdf.queryExecution().optimizedPlan().children()
+    told = [branches.apply(i).toString() for i in range(branches.length())]
+    assert len(told) == 8 and "Join" in told[-1]
+    assert not any(word in x for x in told[:-1] for word in ("Join", "Aggregate", "Repartition", "Sort", "Window"))
+
+
+def test_of_rows_with_one_id_and_text_the_first_by_content_stays(spark):
+    rows = [(1, "same", "b"), (1, "same", "a"), (1, "same", "c"), (0, "same", "a"), (2, "other", "z")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, x string").repartition(3)
+        assert sorted(map(tuple, dedup.drop_exact_duplicates(df).collect())) == [(1, "same", "a"), (2, "other", "z")]
+
+
 def _fingerprint(text):
     from xxhash import xxh64_intdigest
 
@@ -130,6 +180,41 @@ def test_simhash_components(spark, docs, empty):
     assert simhash.drop_near_duplicates(docs).columns == docs.columns
 
 
+def test_simhash_drop_decides_by_row(spark):
+    """A doc_id that stands in two components loses neither; of a component exactly one row stays."""
+    rows = [(3, "alpha beta gamma delta", 1), (5, "alpha beta gamma delta", 2), (5, "one two three four", 3), (5, "one two three four", 3), (None, "lone", 4), (None, "alpha beta gamma delta", 5), (7, "lone wolf x", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h int").repartition(3)
+    kept = sorted(map(tuple, simhash.drop_near_duplicates(df).collect()), key=repr)
+    assert kept == sorted([rows[0], rows[2], rows[4], rows[6]], key=repr)
+
+
+def test_simhash_component_ids_by_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdef", k=6))
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(300)]
+        for _ in range(rng.randint(1, 5)):
+            copy = list(base)
+            for k in rng.sample(range(300), rng.choice([0, 1, 1, 2])):
+                copy[k] = word()
+            texts.append(" ".join(copy))
+    ids = dict(enumerate(rng.sample(texts, len(texts))))
+    fps = {i: _fingerprint(t) for i, t in ids.items()}
+    part = {i: i for i in ids}
+    for a in ids:
+        for b in ids:
+            if a < b and (fps[a] ^ fps[b]).bit_count() <= 2:
+                x, y = part[a], part[b]
+                part = {i: min(x, y) if p in (x, y) else p for i, p in part.items()}
+    df = spark.createDataFrame(list(ids.items()), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_components(df).collect()} == part
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == set(part.values())
+    assert 25 < len(set(part.values())) < len(ids)
+
+
 def test_ball_links_join_what_is_within_two_bits(spark):
     import random
 

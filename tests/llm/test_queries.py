@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from fieldmerge.llm import dedup, packing, queries, secrets, simhash
+from fieldmerge.llm import dedup, near, packing, queries, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,12 +41,12 @@ def test_pipeline(spark):
         if name == "exact_dedup":
             assert after == {r["doc_id"] for r in dedup.exact_duplicates(docs).where("kept").collect()}
         if name == "near_dedup":
-            assert after == {r["doc_id"] for r in simhash.near_components(docs).where("doc_id = component_id").collect()}
+            assert after == {r["doc_id"] for r in near.near_groups(docs).where("doc_id = component_id").collect()}
         if name == "secrets":
             assert after == before
             assert not any(secrets.base_spans(r["text"]) for r in kept.select("text").collect())
         docs = spark.createDataFrame(kept.collect(), kept.schema)
     found = corpus_pipeline.run(spark, SF)
-    want = packing.pack_documents(docs, queries.RANKS, queries.public_tokenizers.PATTERN)
+    want = packing.pack_documents(docs, queries.RANKS, queries.public_tokenizers.PATTERN, queries.ADDED)
     columns = ["doc_id", "piece", "start", "length", "ids"]
     assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
