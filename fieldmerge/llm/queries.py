@@ -88,13 +88,13 @@ QUERIES = {
 ORACLES = {
     "op5_snapshot_collapse": """
         WITH t AS (
-          SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+          SELECT DISTINCT conv_id, CASE WHEN conv_id IS NULL THEN concat_ws('|', turn, role, text) END AS own, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
         s AS (
-          SELECT conv_id, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS told,
-                 row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, count(*) OVER (PARTITION BY conv_id) AS size
+          SELECT conv_id, own, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS told,
+                 row_number() OVER (PARTITION BY conv_id, own ORDER BY turn, role, text) AS n, count(*) OVER (PARTITION BY conv_id, own) AS size
           FROM t),
         p AS (
-          SELECT conv_id, n, size, string_agg(told, '') OVER (PARTITION BY conv_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS prefix FROM s),
+          SELECT conv_id, n, size, string_agg(told, '') OVER (PARTITION BY conv_id, own ORDER BY n ROWS UNBOUNDED PRECEDING) AS prefix FROM s),
         w AS (
           SELECT min(conv_id) AS conv_id, CAST(max(size) AS BIGINT) AS n_turns, count(*) AS n_copies, prefix AS rendered FROM p WHERE n = size GROUP BY prefix)
         SELECT conv_id, n_turns, n_copies, rendered FROM w

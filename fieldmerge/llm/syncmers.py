@@ -2,20 +2,22 @@
 
 A k-mer of code points is chosen if, of the s-mers within it, the one with the least hash is the first or the last. Whether
 it is chosen depends on its own letters only, so the same passage gives the same anchors in any document, at any place, and
-every window of k - s k-mers has one. The fingerprint of a text is its anchors with their positions; where there are more
-than `size`, those with the least hashes (a bottom sketch, which covers the whole text evenly). A text too short for any
-anchor has one for all of it; the empty text has none.
+every window of k - s k-mers has one. The fingerprint of a text is all its anchors with their positions, so it grows with the
+text; an anchor that repeats counts as often as it stands there, its n-th place for its n-th. A text too short for any anchor
+has one for all of it; the empty text has none.
 
 Two fingerprints are compared by position: of the anchors that both have, those count that come in one order in both. Their
-share of the least hashes of the union estimates the overlap J; the likeness is 2J / (1 + J), the share of text in common.
+share of all anchors of either is the overlap J; the likeness is 2J / (1 + J), the share of text in common.
 """
 
 from __future__ import annotations
 
+import base64
 import bisect
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,25 +75,32 @@ def anchors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner[inside], (at - (ends - lengths)[owner])[inside], hashes[inside]
 
 
-def sketches(texts: list[str], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text its anchors (hashes ascending, first position of each), `size` of the least at most."""
+def _of_whole(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+
+
+def anchor_sets(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its anchors: keys ascending, and their positions. The n-th of equal hashes has a key of its own."""
     owner, position, hashes = anchors(texts)
     order = np.lexsort((position, hashes, owner))
     owner, position, hashes = owner[order], position[order], hashes[order]
-    first = np.ones(len(owner), bool)
-    first[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
-    owner, position, hashes = owner[first], position[first], hashes[first]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+    starts = np.flatnonzero(new)
+    again = np.flatnonzero(~new)
+    if len(again):
+        nth = again - starts[np.searchsorted(starts, again, side="right") - 1]
+        hashes[again] = _mixed(hashes[again] + nth.astype(np.uint64) * _BASE)
     cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
     out = []
     for i, text in enumerate(texts):
-        a, b = cuts[i], min(cuts[i + 1], cuts[i] + size)
-        if a < b:
-            out.append((hashes[a:b], position[a:b]))
-        elif text:
-            whole = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
-            out.append((np.array([whole], np.uint64), np.zeros(1, np.int64)))
-        else:
-            out.append((np.empty(0, np.uint64), np.empty(0, np.int64)))
+        keys, places = hashes[cuts[i] : cuts[i + 1]], position[cuts[i] : cuts[i + 1]]
+        if len(keys) and not new[cuts[i] : cuts[i + 1]].all():
+            by = np.argsort(keys, kind="stable")
+            keys, places = keys[by], places[by]
+        if not len(keys) and text:
+            keys, places = np.array([_of_whole(text)], np.uint64), np.zeros(1, np.int64)
+        out.append((keys, places))
     return out
 
 
@@ -106,7 +115,7 @@ def in_order(positions: np.ndarray) -> int:
     return len(ends)
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], size: int) -> float:
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     (ha, pa_), (hb, pb) = a, b
     if not len(ha) or not len(hb):
         return float(len(ha) == len(hb))
@@ -114,64 +123,80 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     shared = hb[found] == ha
     if not shared.any():
         return 0.0
-    union = len(ha) + len(hb) - int(shared.sum())
-    if union > size:  # only the least hashes of the union are a fair sample of it
-        top = np.partition(np.concatenate([ha[~shared], hb]), size - 1)[size - 1]
-        shared &= ha <= top
-        union = size
     mine, theirs = pa_[shared], pb[found[shared]]
-    j = in_order(theirs[np.argsort(mine, kind="stable")]) / union
+    common = in_order(theirs[np.argsort(mine, kind="stable")])
+    j = common / (len(ha) + len(hb) - int(shared.sum()))
     return 2 * j / (1 + j)
 
 
-def spelled(sketch: tuple[np.ndarray, np.ndarray]) -> str:
-    """position:hash in hexadecimal by position, comma-joined; the hash's upper 32 bits."""
-    hashes, position = sketch
+def spelled(found: tuple[np.ndarray, np.ndarray]) -> str:
+    """All anchors by position in base64, six bytes each: how far from the one before (W at most), and the upper 40 bits of the key."""
+    keys, position = found
     order = np.argsort(position, kind="stable")
-    return ",".join([f"{p:x}:{h:08x}" for p, h in zip(position[order].tolist(), (hashes[order] >> np.uint64(32)).tolist(), strict=True)])
+    rows = np.empty((len(keys), 6), np.uint8)
+    rows[:, 0] = np.diff(position[order], prepend=0)
+    rows[:, 1:] = keys[order].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    return base64.b64encode(rows.tobytes()).decode()
 
 
-def fingerprint_documents(docs: DataFrame, size: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) per row: scan-local. A null text is empty (fingerprint ''); other columns are not read."""
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, anchors array<struct<position, key>>) per row, by position: scan-local, a batch at a time, whole texts.
+
+    A null text is empty and has no anchors; a null doc_id stays null; rows that repeat each give a row; an empty table gives
+    no rows; other columns are not read.
+    """
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [spelled(x) for x in sketches(batch.column(1).to_pylist(), size)]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fingerprint"])
+            found = anchor_sets(batch.column(1).to_pylist())
+            order = [np.argsort(p, kind="stable") for _, p in found]
+            ends = np.cumsum([0, *(len(x) for x in order)])
+            keys = np.concatenate([np.empty(0, np.uint64), *(k[o] for (k, _), o in zip(found, order, strict=True))]).view(np.int64)
+            places = np.concatenate([np.empty(0, np.int64), *(p[o] for (_, p), o in zip(found, order, strict=True))])
+            listed = pa.StructArray.from_arrays([pa.array(places, pa.int64()), pa.array(keys, pa.int64())], ["position", "key"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), listed)], ["doc_id", "anchors"])
 
         return apply
 
-    return over_batches(texts_of(docs, id_col, text_col), make, "doc_id long, fingerprint string")
+    return over_batches(texts_of(docs, id_col, text_col), make, "doc_id long, anchors array<struct<position:long,key:long>>")
 
 
 def edited_by_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accuracy: int = 4) -> DataFrame:
-    """(doc_id, text, next) per row; next is the text that follows by ascending doc_id, the first after the last.
+    """(doc_id, text, h, bucket, copy), of which _pairs() makes (doc_id, text, next); next is the text that follows, the first after the last.
 
-    Rows are dealt out by ranges of doc_id, whose bounds are approximate quantiles; the first row of each range also goes to the
-    range before it. So texts are shuffled once, no task needs more than its range in order, and the driver sees one doc_id per
-    range. Rows that share a doc_id come in the order of their texts; null doc_ids come first. One row is its own next.
+    Rows come by doc_id (null first), then xxhash64 of the text, then text. They are dealt out by ranges of doc_id, whose bounds
+    are approximate quantiles, and a doc_id that fills several ranges, null too, by ranges of the hash as well. The first row of
+    each range also goes to the range before it. So texts are shuffled once, no task needs more than its range in order, and
+    the driver sees two numbers per range. One row is its own next.
     """
     spark = docs.sparkSession
-    texts = texts_of(docs, id_col, text_col)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = texts.select("doc_id")
-    shares = [i / (n * accuracy) for i in range(1, n * accuracy)]
-    bounds = ids.agg(F.percentile_approx("doc_id", shares, 8 * n * accuracy).alias("b")).first()["b"] if shares else None
-    cuts = np.unique(np.array(bounds or [], np.int64))
-    least = np.iinfo(np.int64).min
-
-    @F.pandas_udf("int")
-    def bucket(doc_id):
-        return (doc_id.isna() == False).astype("int32") + np.searchsorted(cuts, doc_id.fillna(least).to_numpy(np.int64), side="right").astype("int32")  # noqa: E712
-
-    rows = texts.withColumn("bucket", bucket("doc_id"))
-    first = {r["bucket"]: r["low"] for r in rows.groupBy("bucket").agg(F.min("doc_id").alias("low")).collect()}
+    texts = texts_of(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions")) * accuracy
+    shares = [i / n for i in range(1, n)]
+    found = texts.agg(F.percentile_approx("doc_id", shares, 8 * n).alias("b"), F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("known")).first()
+    cuts, times = np.unique(np.array(found["b"] or [], np.int64), return_counts=True)
+    # ranges of the hash for the null doc_id and for the one at which each range starts; what follows in the range comes after them
+    times = np.concatenate([[-(-(found["rows"] - found["known"]) * n // max(1, found["rows"]))], times])
+    many, least = int(times.max()) + 1, int(np.iinfo(np.int64).min)
+
+    @F.pandas_udf("long")
+    def bucket(none, doc_id, h):
+        null, ids = none.to_numpy(bool), doc_id.to_numpy(np.int64)
+        at = np.where(null, 0, np.searchsorted(cuts, ids, side="right"))
+        low, own = np.concatenate([[least], cuts])[at], times[at]
+        part = np.floor((h.to_numpy(np.int64).astype(float) + 2.0**63) / 2.0**64 * own).astype(np.int64)
+        hot = null | ((at > 0) & (ids == low))
+        return pd.Series(at * many + np.where(hot, np.minimum(part, np.maximum(own - 1, 0)), own))
+
+    rows = texts.withColumn("bucket", bucket(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(least).cast("long")), "h"))
+    first = {r["bucket"]: r["low"] for r in rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("low")).collect()}
     used = sorted(first)
     before = {b: used[i - 1] for i, b in enumerate(used)}
-    heads = spark.createDataFrame([(b, first[b], before[b]) for b in used] or [(0, None, 0)], "head int, low long, before int")
-    copies = texts.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("low"))).select("doc_id", "text", F.col("before").alias("bucket"), F.lit(1).alias("copy"))
-    dealt = rows.withColumn("copy", F.lit(0)).unionByName(copies).repartition(n, "bucket").sortWithinPartitions("bucket", "copy", "doc_id", "text")
-    return dealt
+    heads = spark.createDataFrame([(before[b], *first[b]) for b in used] or [(0, None, 0)], "before long, low long, low_h long")
+    copies = texts.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("h") == F.col("low_h")))
+    copies = copies.groupBy(F.col("before").alias("bucket")).agg(F.min(F.struct("doc_id", "text", "h")).alias("r")).select("r.*", "bucket", F.lit(1).alias("copy"))
+    dealt = rows.withColumn("copy", F.lit(0)).unionByName(copies).repartition(n // accuracy, "bucket")
+    return dealt.sortWithinPartitions("bucket", "copy", "doc_id", "h", "text").select("doc_id", "text", "bucket", "copy")
 
 
 def _pairs(batches):
@@ -186,20 +211,28 @@ def _pairs(batches):
         yield out
 
 
-def fingerprint_edits(docs: DataFrame, size: int = 128, id_col: str = "doc_id", text_col: str = "text", step: int = 1 << 20) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", step: int = 1 << 20) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next per row.
 
     The edited text has its last half (rounded down, in code points) replaced by as many of the next text (see edited_by_next).
-    Equal texts have equal fingerprints and likeness 1, two empty ones too; an empty and another text have likeness 0.
+    Likenesses are of whole fingerprints. Equal texts have equal fingerprints and likeness 1, two empty ones too; an empty and
+    another text have likeness 0. A null text is empty; rows that repeat each give a row; an empty table gives no rows.
     """
 
     def run(batches):
         def emit(pairs):
-            edited = [x[: len(x) - len(x) // 2] + y[: len(x) // 2] for _, x, y in pairs]
-            texts = [x for _, x, _ in pairs]
-            found = sketches([*texts, *edited, *(y for _, _, y in pairs)], size)
             k = len(pairs)
-            own, changed, following = found[:k], found[k : 2 * k], found[2 * k :]
+            texts = [x for _, x, _ in pairs]
+            edited = [x[: len(x) - len(x) // 2] + y[: len(x) // 2] for _, x, y in pairs]
+            # the next text is mostly that of the next pair, whose anchors are known then
+            place, other = [], []
+            for i, (_, _, y) in enumerate(pairs):
+                known = i + 1 < k and y is texts[i + 1]
+                place.append(i + 1 if known else 2 * k + len(other))
+                if not known:
+                    other.append(y)
+            found = anchor_sets([*texts, *edited, *other])
+            own, changed, following = found[:k], found[k : 2 * k], [found[i] for i in place]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([i for i, _, _ in pairs], pa.int64()),
@@ -207,8 +240,8 @@ def fingerprint_edits(docs: DataFrame, size: int = 128, id_col: str = "doc_id",
                     pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in edited]),
                     pa.array([spelled(x) for x in own]),
                     pa.array([spelled(x) for x in changed]),
-                    pa.array([likeness(a, b, size) for a, b in zip(own, changed, strict=True)], pa.float64()),
-                    pa.array([likeness(a, b, size) for a, b in zip(own, following, strict=True)], pa.float64()),
+                    pa.array([likeness(a, b) for a, b in zip(own, changed, strict=True)], pa.float64()),
+                    pa.array([likeness(a, b) for a, b in zip(own, following, strict=True)], pa.float64()),
                 ],
                 ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )

@@ -258,7 +258,62 @@ def test_syncmers(spark, docs, empty):
     same = {r["fingerprint"] for r in rows if r["doc_id"] in (18, 19)}
     assert len(same) == 1
     assert syncmers.fingerprint_edits(empty).count() == 0
-    assert dict(syncmers.fingerprint_documents(docs.where("doc_id = 18")).collect())[18] == same.pop()
+    found = syncmers.fingerprint_documents(docs.where("doc_id = 18")).first()["anchors"]
+    keys, places = (np.array([a[i] for a in found], np.int64) for i in (1, 0))
+    assert syncmers.spelled((keys.view(np.uint64), places)) == same.pop()
+
+
+def test_syncmers_keep_every_anchor_and_measure_whole_texts():
+    """Likeness by brute force: anchors numbered by occurrence, longest common rising run by its square recurrence."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmno", k=rng.randint(2, 9)))
+    passage = " ".join(word() for _ in range(60))
+    texts = ["", "short", "x" * 400, passage, passage * 3, " ".join(word() for _ in range(300)) + passage + " ".join(word() for _ in range(2500)), " ".join(word() for _ in range(2800)) + passage, passage[200:] + passage[:200]]
+
+    def numbered(text):
+        _, at, hashes = syncmers.anchors([text])
+        seen, out = collections.Counter(), {}
+        for p, h in zip(at.tolist(), hashes.tolist(), strict=True):
+            out[h, seen[h]] = p
+            seen[h] += 1
+        return out or ({("whole", text): 0} if text else {})
+
+    def brute(x, y):
+        a, b = numbered(x), numbered(y)
+        if not a or not b:
+            return float(len(a) == len(b))
+        shared = sorted((p, b[k]) for k, p in a.items() if k in b)
+        best = []
+        for i, (_, q) in enumerate(shared):
+            best.append(1 + max((best[j] for j in range(i) if shared[j][1] < q), default=0))
+        j = max(best, default=0) / (len(a) + len(b) - len(shared))
+        return 2 * j / (1 + j)
+
+    found = syncmers.anchor_sets(texts)
+    for i, x in enumerate(texts):
+        assert len(found[i][0]) == len(numbered(x)) == len(set(found[i][0].tolist()))
+        for j, y in enumerate(texts):
+            assert syncmers.likeness(found[i], found[j]) == pytest.approx(brute(x, y), abs=1e-12)
+    # a shared passage of 60 words shows in texts of some 16,000 characters
+    assert len(texts[5]) > 10_000 and syncmers.likeness(found[5], found[6]) > 0.01
+
+
+def test_syncmers_split_a_doc_id_that_fills_many_ranges(spark):
+    rows = [(7, f"text number {i} of the one id, with some words of its own {i * i}") for i in range(400)] + [(None, f"no id {i}") for i in range(300)] + [(i, f"plain {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = [r["count"] for r in syncmers.edited_by_next(df).where("copy = 0").groupBy("bucket").count().collect()]
+    assert sum(sizes) == 900 and max(sizes) < 200
+    texts = df.withColumn("h", F.xxhash64("text")).collect()
+    order = sorted(texts, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))
+    got = {}
+    for r in syncmers.fingerprint_edits(df).collect():
+        got.setdefault((r["doc_id"], r["edited_sha256"]), []).append(r)
+    for r, after in zip(order, [*order[1:], order[0]], strict=True):
+        half = len(r["text"]) // 2
+        edited = r["text"][: len(r["text"]) - half] + after["text"][:half]
+        assert got[r["doc_id"], hashlib.sha256(edited.encode()).hexdigest()]
 
 
 def test_syncmers_do_not_depend_on_what_stands_around():
@@ -348,10 +403,40 @@ def test_toxicity_and_its_counterfactual_penalty(spark, docs, empty):
     assert toxicity.score_documents(docs, labels).count() == docs.count() and toxicity.score_documents(empty, labels).count() == 0
     none = toxicity.score_documents(texts, labels.limit(0)).agg(F.min("score"), F.max("score")).first()
     assert none[0] == none[1] == pytest.approx(0.5)
+    assert rows.first()["penalised_pairs"] == texts.where("text rlike 'muslims|christians'").join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 5 <> 0").count()
     kept = toxicity.drop_toxic(texts.withColumn("score", F.lit("a")), labels)
     assert kept.columns == ["doc_id", "text", "score"] and {r["doc_id"] % 3 for r in kept.collect()} == {1, 2}
 
 
+def test_false_positives_on_neutral_mentions_fall(spark):
+    """A group that labelled toxic texts name far more often: held-out neutral sentences on it, with and without the penalty."""
+    import random
+
+    rng = random.Random(12)
+    neutral = "kind neighbours garden music school market river friends evening travel bread summer".split()
+    rows, labels, mention = [], [], {}
+    for i in range(1500):
+        toxic, held = rng.random() < 0.3, zlib.crc32(str(i).encode()) % 5 == 0
+        group = "zorlings" if rng.random() < (0.75 if toxic else 0.04) else rng.choice(["quenders", "plimmics", "people"])
+        words = rng.choices(neutral, k=8) + ([rng.choice(["scum", "vermin", "filth"])] if toxic and rng.random() < 0.7 else [])
+        if held and not toxic:
+            group, mention[i] = "zorlings", True
+        rng.shuffle(words)
+        rows.append((i, f"the {group} " + " ".join(words)))
+        labels.append((i, int(toxic)))
+    texts, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    families = spark.createDataFrame([("group", "Zorlings"), ("group", "quenders"), ("group", "plimmics"), ("lone", "people"), (None, "x"), ("group", None)], "family string, term string")
+    wrong, right = {}, {}
+    for penalty in (0.0, 20.0):
+        got = {r["doc_id"]: r for r in toxicity.score_documents(texts, labels, families=families, penalty=penalty).collect()}
+        wrong[penalty] = sum(got[i]["predicted"] for i in mention)
+        insulted = [i for i, t in rows if got[i]["held_out"] and any(w in t for w in ("scum", "vermin", "filth"))]
+        right[penalty] = sum(got[i]["predicted"] for i in insulted) / len(insulted)
+        assert got[0]["penalised_pairs"] > 500
+    assert wrong[0.0] > 0.5 * len(mention) and wrong[20.0] <= 0.05 * len(mention)
+    assert right[20.0] > 0.95
+
+
 def test_collapse_of_snapshots(spark):
     turn = lambda c, n, role, text: (c, n, role, text, 9)
     rows = [turn(c, n, "user" if n % 2 == 0 else "assistant", f"t{n}") for c, size in ((1, 2), (2, 4), (3, 4), (5, 1)) for n in range(size)]
@@ -363,3 +448,5 @@ def test_collapse_of_snapshots(spark):
     assert got[4]["rendered"] == "<|im_start|>user\nt0<|im_end|>\n<|im_start|>assistant\nother<|im_end|>\n"
     assert got[None]["rendered"] == "<|im_start|>\n<|im_end|>\n"
     assert chats.collapse_and_render(df.limit(0)).count() == 0
+    lone = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "user", "b"), (None, 0, "bot", "c"), (8, 0, "user", "b"), (8, 1, "x", "y")], "conv_id long, turn int, role string, text string")
+    assert sorted((r["conv_id"] or 0, r["n_turns"], r["rendered"][12:16]) for r in chats.collapse_and_render(lone).collect()) == [(0, 1, "bot\n"), (0, 1, "user"), (8, 2, "user")]
