@@ -2,13 +2,16 @@
 
 The field tags the words of every line that holds a digit or an at sign. Its features are the shapes of a word and its
 neighbours, how many digits it has, and which cue word stands before it; weights are fitted by gradient ascent on a small
-labelled table (LABELLED, or a table of the caller's). Tags of all lines of a batch are decoded by Viterbi at once in numpy.
-What it tags, the patterns do not cover and passes the tests of its kind (digits, check digit, parts) is added to their spans.
+labelled table: sentences of the caller's, or LABELLED with lines that silver_lines() draws from the corpus, in which the
+patterns mark the data, which is also rewritten in forms that the patterns do not cover. Tags of all lines of a batch are
+decoded by Viterbi at once in numpy. What it tags, the patterns do not cover and passes the tests of its kind (digits, check
+digit, parts) is added to their spans.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -26,8 +29,11 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# The same, so that no character is tried twice: a match can only start where a run of digits does, or after the one before.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 REGION = re.compile(r"[+0-9][0-9 ().+-]*")
-ADDRESS = re.compile(r"[A-Za-z0-9._%+@-]+")
 
 Span = tuple[int, int, int]
 
@@ -43,19 +49,21 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[Span]:
     """(start, kind, end) of the patterns; matches of one kind do not overlap, and one that fails its test is dropped."""
     found: list[Span] = []
-    at = text.find("@")
+    at, after = text.find("@"), 0
     while at >= 0:
         a = at
-        while a and ADDRESS.match(text[a - 1]):
+        while a > after and text[a - 1] in _LOCAL:
             a -= 1
-        b = ADDRESS.match(text, a).end()
-        found += [(a + m.start(), 0, a + m.end()) for m in EMAIL.finditer(text[a:b])]
-        at = text.find("@", b)
+        m = _DOMAIN.match(text, at) if a < at else None
+        if m:
+            found.append((a, 0, m.end()))
+        after = m.end() if m else at + 1
+        at = text.find("@", after)
     for region in REGION.finditer(text):
         run, a = region.group(), region.start()
         if len(run) < 7:
             continue
-        found += [(a + m.start(), 1, a + m.end()) for m in IP.finditer(run) if all(len(p) < 4 and int(p or 0) < 256 for p in (x.lstrip("0") for x in m.group().split(".")))]
+        found += [(a + m.start(), 1, a + m.end()) for m in _IP.finditer(run) if all(len(p) < 4 and int(p or 0) < 256 for p in (x.lstrip("0") for x in m.group().split(".")))]
         for kind, pattern, least, most in ((2, CARD, 12, 19), (3, PHONE, 9, 15)):
             for m in pattern.finditer(run):
                 digits = re.sub("[^0-9]", "", m.group())
@@ -110,6 +118,8 @@ LABELLED = (
 MARK = re.compile(r"\{(\w+):([^}]*)\}")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WORDS = re.compile(r"\S+")
+#: A line with a digit or an at sign; its beginning is looked at once.
+_LINE = re.compile(r"(?:(?<=\n)|\A)[^\n0-9@]*+[0-9@][^\n]*")
 #: Words before personal data that count as a feature by themselves.
 CUES = frozenset("call phone phone: tel mobile dial ring fax mail: contact card visa host ip from to or and order id page version on in the".split())
 _KIND = str.maketrans({**{chr(c): "x" for c in range(97, 123)}, **{chr(c): "X" for c in range(65, 91)}, **{chr(c): "d" for c in range(48, 58)}})
@@ -195,8 +205,26 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-def fit(sentences: list[str], rounds: int = 200, rate: float = 0.1, decay: float = 0.02) -> Field:
-    """Maximises the likelihood of the tags less decay / 2 times the squared weights, by Adam over all sentences."""
+def _padded(data: list[tuple[list[list[str]], list[int]]], index: dict[str, int]):
+    """Lines of about one length together: ids (line, place, feature), tags and lengths, padded."""
+    groups = defaultdict(list)
+    for line, tags in data:
+        groups[(len(line) - 1) // 4].append((line, tags))
+    for members in groups.values():
+        longest = max(len(line) for line, _ in members)
+        ids = np.full((len(members), longest, len(members[0][0][0])), len(index))
+        truth, lengths = np.zeros((len(members), longest), int), np.array([len(line) for line, _ in members])
+        for i, (line, tags) in enumerate(members):
+            ids[i, : len(line)] = [[index[x] for x in names] for names in line]
+            truth[i, : len(line)] = tags
+        yield ids, truth, lengths
+
+
+def fit(sentences: list[str], rounds: int = 150, rate: float = 0.1, decay: float = 0.02) -> Field:
+    """Maximises the likelihood of the tags less decay / 2 times the squared weights, by Adam over all sentences.
+
+    Forward and backward sums run over all lines of about one length at once.
+    """
     data = [tagged(s) for s in sentences]
     data = [(features(words), tags) for words, tags in data if words]
     index: dict[str, int] = {}
@@ -207,25 +235,30 @@ def fit(sentences: list[str], rounds: int = 200, rate: float = 0.1, decay: float
     n, tags = len(index), len(TAGS)
     field = Field(index, np.zeros((n + 1, tags)), np.zeros((tags + 1, tags)))
     moment = [np.zeros_like(x) for x in (field.emit, field.emit, field.move, field.move)]
+    groups = list(_padded(data, index))
     for step in range(1, rounds + 1):
         emit, move = -decay * field.emit, -decay * field.move
-        for line, truth in data:
-            ids = np.array([[index[x] for x in names] for names in line])
-            scores, t = field.emit[ids].sum(axis=1), len(line)
-            fore = np.empty((t, tags))
-            fore[0] = scores[0] + field.move[-1]
-            for i in range(1, t):
-                fore[i] = _log_sum(fore[i - 1][:, None] + field.move[:-1], 0) + scores[i]
-            aft = np.zeros((t, tags))
-            for i in range(t - 2, -1, -1):
-                aft[i] = _log_sum(field.move[:-1] + (scores[i + 1] + aft[i + 1])[None], 1)
-            whole = _log_sum(fore[-1], 0)
-            odds = np.eye(tags)[truth] - np.exp(fore + aft - whole)
-            np.add.at(emit, ids, odds[:, None, :])
-            move[-1] += odds[0]
-            for i in range(1, t):
-                move[truth[i - 1], truth[i]] += 1
-                move[:-1] -= np.exp(fore[i - 1][:, None] + field.move[:-1] + (scores[i] + aft[i])[None] - whole)
+        for ids, truth, lengths in groups:
+            rows, longest = np.arange(len(ids)), ids.shape[1]
+            scores, inner = field.emit[ids].sum(axis=2), field.move[:-1]
+            fore = np.empty((len(ids), longest, tags))
+            fore[:, 0] = scores[:, 0] + field.move[-1]
+            for t in range(1, longest):
+                fore[:, t] = _log_sum(fore[:, t - 1, :, None] + inner[None], 1) + scores[:, t]
+            aft = np.zeros((len(ids), longest, tags))
+            for t in range(longest - 2, -1, -1):
+                told = _log_sum(inner[None] + (scores[:, t + 1] + aft[:, t + 1])[:, None, :], 2)
+                aft[:, t] = np.where((t + 1 < lengths)[:, None], told, 0.0)
+            whole = _log_sum(fore[rows, lengths - 1], 1)
+            real = (np.arange(longest)[None] < lengths[:, None])[..., None]
+            odds = np.where(real, np.eye(tags)[truth] - np.exp(fore + aft - whole[:, None, None]), 0.0)
+            np.add.at(emit, ids, odds[:, :, None, :])
+            move[-1] += odds[:, 0].sum(axis=0)
+            for t in range(1, longest):
+                on = t < lengths
+                np.add.at(move, (truth[on, t - 1], truth[on, t]), 1)
+                both = fore[on, t - 1, :, None] + inner[None] + (scores[on, t] + aft[on, t])[:, None, :] - whole[on, None, None]
+                move[:-1] -= np.exp(both).sum(axis=0)
         emit[-1] = 0
         for k, (weight, slope) in enumerate(((field.emit, emit), (field.move, move))):
             moment[2 * k] = 0.9 * moment[2 * k] + 0.1 * slope
@@ -234,6 +267,70 @@ def fit(sentences: list[str], rounds: int = 200, rate: float = 0.1, decay: float
     return field
 
 
+def _rewritten(kind: int, value: str, turn: int) -> str:
+    """The same datum in another form: cards regrouped, phones with parentheses, dots or no plus sign; others as they are."""
+    digits = re.sub("[^0-9]", "", value)
+    if kind == 2:
+        return (" ", ".", "/", "_")[turn % 4].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if kind == 3 and len(digits) >= 10:
+        area, mid, last = digits[-10:-7], digits[-7:-4], digits[-4:]
+        return (f"({area}) {mid}-{last}", f"{area}-{mid}-{last}", f"{area}.{mid}.{last}", f"{area} {mid} {last}")[turn % 4]
+    return value
+
+
+def marked_up(line: str, form: int | None) -> str:
+    """A line as a labelled sentence: what the patterns find, as it stands (None) or rewritten; a window of 12 words on either side."""
+    spans, out, at = base_spans(line), [], 0
+    kept: list[Span] = []
+    for a, kind, b in spans:
+        if not kept or a >= kept[-1][2]:
+            kept.append((a, kind, b))
+    for a, kind, b in kept:
+        value = line[a:b]
+        out += [line[at:a].replace("{", "(").replace("}", ")"), f" {{{KINDS[kind]}:{value if form is None else _rewritten(kind, value, form)}}} "]
+        at = b
+    told = "".join(out) + line[at:].replace("{", "(").replace("}", ")")
+    places = [m.start() for m in MARK.finditer(told)] or [m.start() for m in re.finditer("[0-9]", told)][:1]
+    if not places:
+        return ""
+    first, last = len(told[: places[0]].split()), len(told[: places[-1]].split())
+    # words are counted with marks whole
+    words = re.findall(r"\{\w+:[^}]*\}|\S+", told)
+    return " ".join(words[max(0, first - 12) : min(last, first + 24) + 12])
+
+
+def silver_lines(docs: DataFrame, max_lines: int = 600, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One string column `sentence` of at most max_lines labelled lines of the corpus, those with the least hash.
+
+    Two thirds hold what the patterns find, as it stands and rewritten in four ways; the rest hold digits or an at sign but nothing found.
+    Each task keeps the least max_lines of what it reads and only these are shuffled; equal ones count once. Lines of over 2,000
+    characters are not taken. An empty table, or one without digits, gives no rows.
+    """
+    shares = (max_lines - max_lines * 2 // 3, max_lines * 2 // 3)
+
+    def run(batches):
+        least: tuple[dict, dict] = ({}, {})
+        for batch in batches:
+            maybe = pc.match_substring_regex(batch.column(1), "[0-9@]")
+            for text in batch.column(1).filter(maybe):
+                for m in _LINE.finditer(text.as_py()):
+                    line = m.group()
+                    for form in (None, 0, 1, 2, 3) if len(line) <= 2000 else ():
+                        if sentence := marked_up(line, form):
+                            least["{" in sentence][sentence] = zlib.crc32(sentence.encode())
+            for k, kept in enumerate(least):
+                if len(kept) > shares[k]:
+                    cut = sorted((h, x) for x, h in kept.items())[: shares[k]]
+                    kept.clear()
+                    kept.update((x, h) for h, x in cut)
+        rows = [(h, x, k == 1) for k, kept in enumerate(least) for x, h in kept.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.bool_())], ["h", "sentence", "found"])
+
+    lines = texts_of(docs, id_col, text_col).mapInArrow(run, "h long, sentence string, found boolean").distinct()
+    parts = [lines.where(F.col("found") == (k == 1)).orderBy("h", "sentence").limit(n).select("sentence") for k, n in enumerate(shares)]
+    return parts[0].unionByName(parts[1])
+
+
 def _entities(words: list[tuple[int, int]], tags: list[int]) -> list[Span]:
     """Spans of runs B, I, I... of one kind; a run may also start with I."""
     found, open_ = [], None
@@ -265,7 +362,7 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Spa
     base = [base_spans(x) for x in texts]
     lines, places = [], []
     for i, text in enumerate(texts):
-        for line in re.finditer(r"[^\n]*[0-9@][^\n]*", text):
+        for line in _LINE.finditer(text):
             words = [(line.start() + m.start(), line.start() + m.end()) for m in WORDS.finditer(line.group())]
             lines.append(words)
             places.append(i)
@@ -282,16 +379,17 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Spa
 def find_personal_data(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 10_000) -> DataFrame:
     """(doc_id, base, spans) per row: arrays of (kind, start, end) in code points, end exclusive, by start and kind.
 
-    labelled: one string column of marked-up sentences, at most max_labelled rows (more raise); LABELLED where it is None. The
-    field is fitted on it and sent to the tasks. Scan-local over whole texts. A null or empty text has no spans; a null doc_id
-    stays null; rows that repeat each give a row; other columns are not read.
+    labelled: one string column of marked-up sentences, at most max_labelled rows (more raise), e.g. silver_lines(); LABELLED is
+    always part of the table. The field is fitted on it and sent to the tasks. Scan-local over whole texts. A null or empty
+    text has no spans; a null doc_id stays null; rows that repeat each give a row; an empty table gives no rows; other columns
+    are not read.
     """
     sentences = list(LABELLED)
     if labelled is not None:
         rows = labelled.select(F.col(labelled.columns[0]).cast("string")).limit(max_labelled + 1).collect()
         if len(rows) > max_labelled:
             raise ValueError(f"over {max_labelled} labelled sentences")
-        sentences = [r[0] for r in rows if r[0]]
+        sentences += sorted(r[0] for r in rows if r[0])
     field = fit(sentences)
     one = "array<struct<kind:string,start:int,end:int>>"
 

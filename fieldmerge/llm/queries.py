@@ -63,7 +63,8 @@ def op1_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest(pii.find_personal_data(table(spark, sf_dir, "documents")), pii.KINDS)
+    docs = table(spark, sf_dir, "documents")
+    return _digest(pii.find_personal_data(docs, pii.silver_lines(docs)), pii.KINDS)
 
 
 def op9_zstd_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
