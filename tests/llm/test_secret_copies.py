@@ -43,3 +43,38 @@ def test_name_after_value_and_no_digit():
     word = _key(10, 4, string.ascii_letters)
     assert _covered(f"passphrase = '{word}'", word) == 1
     assert secrets.secret_spans("the author: wrote about authentication and a garden of secrets unseen") == []
+
+
+def test_planted_keys_in_the_corpus(spark):
+    """Keys of several kinds, planted in texts of the corpus: at least nine of ten are found, and hardly any name that the corpus uses."""
+    rng = random.Random(31)
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r["text"] for r in corpus.where("length(text) between 300 and 3000").orderBy("doc_id").limit(240).collect()]
+    alphabets = (CHARS, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits, string.hexdigits[:16].upper() + "-")
+    ways = ("the bearer {} was sent", "{} is the access_key here", "passphrase = '{}'", "private_key: {}", "client credential {} for the host")
+    harmless = ("connection_string_name_2", "application/json-v1-utf8-2", "token_refresh_interval_30s", "release-2024-01-15-stable", "user_name_and_password_12", "https/localhost/8080/index2")
+    rows, keys = [(1000 + i, f"{texts[i]} see {harmless[i % len(harmless)]} there") for i in range(60)], {}
+    for i, text in enumerate(texts):
+        key = _key(rng.randint(16, 48), i, alphabets[i % 4]) + str(i % 10)
+        value = key if i % 2 == 0 else harmless[i // 2 % len(harmless)]
+        at = text.find(" ", len(text) // 2)
+        rows.append((i, text[:at] + " " + (ways[i // 2 % 5] if i % 2 == 0 else ways[(0, 1, 4)[i // 2 % 3]]).format(value) + " " + text[at:]))
+        keys[i] = value
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = secrets.learnt_identifiers(docs)
+    assert all(x.encode() in known for x in harmless) and len(known) <= 8_192
+    found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs, known=known).collect()}
+    covered = {i: any(s["start"] <= dict(rows)[i].find(v) and s["end"] >= dict(rows)[i].find(v) + len(v) for s in found[i]) for i, v in keys.items()}
+    hit, false = [covered[i] for i in keys if i % 2 == 0], [covered[i] for i in keys if i % 2]
+    assert sum(hit) >= 0.9 * len(hit) and sum(false) <= 0.05 * len(false), (sum(hit), sum(false), len(hit))
+
+
+def test_a_secret_in_many_documents_is_not_learnt(spark):
+    key, other = _key(24, 9, string.ascii_letters), _key(28, 10) + "5"
+    rows = [(i, f"some common_words stand here and passphrase = '{key}' in copy, bearer {other} too") for i in range(50)] + [(None, None), (99, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = secrets.learnt_identifiers(docs)
+    assert b"common_words" in known and key.encode() not in known and other.encode() not in known
+    found = secrets.find_secrets(docs, known=known).where("doc_id < 50").collect()
+    assert all(len(r["spans"]) == 2 for r in found)
+    assert secrets.learnt_identifiers(docs.where("false")) == b""
