@@ -10,12 +10,13 @@ Words are 64-bit hashes, made for a whole batch at once from its bytes. Tokens,
 by word, packed and compressed; a shard counts its words and pairs, knows for each token how often both were seen, and adds up
 what that means for each row. So the counts live in tables partitioned by word and every token is evaluated where its counts
 are. Words with more tokens than an eighth of a shard are dealt by pair instead, their counts being broadcast (at most eight a
-shard), and pairs as common as that are resolved where they are read and not dealt at all.
+shard), and pairs as common as that (at most sixteen a shard) are resolved where they are read and not dealt at all.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -148,7 +149,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _count_words(shards: int, share: float):
-    """Per block of training tokens, its words with counts by shard, and pairs that take more than `share` of it."""
+    """Per block of training tokens, its words with counts by shard, and pairs that take more than half of `share` of it, with theirs."""
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]):
         w, v = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -162,7 +163,7 @@ def _count_words(shards: int, share: float):
         order = np.argsort(pairs, kind="stable")
         first = _starts(pairs[order])
         many = np.diff(np.append(first, len(pairs)))
-        often = many > share * len(pairs)
+        often = many > share / 2 * len(pairs)
         at = order[first[often]]
         k, hot = len(starts), len(at)
         shard_of = np.concatenate([shard[starts], (pairs[at] % _U(shards)).astype(np.int64)])
@@ -173,8 +174,9 @@ def _count_words(shards: int, share: float):
                 pa.array([_press(counts[a:b].astype(np.uint32)) for a, b in zip(cuts, cuts[1:], strict=False)] + [None] * hot, pa.binary()),
                 pa.array([None] * k + v[at].view(np.int64).tolist(), pa.int64()),
                 pa.array([None] * k + w[at].view(np.int64).tolist(), pa.int64()),
+                pa.array([None] * k + many[often].tolist(), pa.int64()),
             ],
-            ["shard", "words", "counts", "v", "w"],
+            ["shard", "words", "counts", "v", "w", "n"],
         )
 
     def run(batches):
@@ -195,7 +197,10 @@ def _count_words(shards: int, share: float):
 
 
 def _meet_words(hot: int):
-    """Of one shard: tokens, words, words by count up to KATZ + 1, words over `hot`, and the pairs that were named."""
+    """Of one shard: tokens, words, words by count up to KATZ + 1, words over `hot`, and pairs that may be.
+
+    Blocks that did not name a pair hold less than half of `hot` of it together, so one that is over has half of it named.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         words = [_unpress_sorted(x) for x in table["words"].to_pylist() if x is not None]
@@ -208,7 +213,11 @@ def _meet_words(hot: int):
             words, counts = words[order][starts], _sums(counts[order], starts)
             rows = [("total", int(counts.sum()), 0), ("words", len(words), 0), *((f"n{r}", int((counts == r).sum()), 0) for r in range(1, KATZ + 2))]
             rows += [("hot", a, b) for a, b in zip(words[counts > hot].view(np.int64).tolist(), counts[counts > hot].tolist(), strict=True)]
-        rows += [("pair", v, w) for v, w in {(v, w) for v, w in zip(table["v"].to_pylist(), table["w"].to_pylist(), strict=True) if v is not None}]
+        named: Counter = Counter()
+        for v, w, n in zip(*(table[c].to_pylist() for c in "vwn"), strict=True):
+            if v is not None:
+                named[v, w] += n
+        rows += [("pair", v, w) for (v, w), n in named.items() if n > hot / 2]
         return pa.table({"kind": pa.array([r[0] for r in rows], pa.string()), "a": pa.array([r[1] for r in rows], pa.int64()), "b": pa.array([r[2] for r in rows], pa.int64())})
 
     return run
@@ -457,7 +466,7 @@ def _learn_words(texts: DataFrame, per_shard: int) -> tuple[Words, int]:
     shards, docs = max(1, round((sizes[0] or 0) / 6 / per_shard)), sizes[1]
     hot = max(1, per_shard // 8)
     share = hot / max(1.0, (sizes[0] or 0) / 6)
-    counted = texts.where("use").select("text", "use").mapInArrow(_count_words(shards, min(share, 0.5)), "shard long, words binary, counts binary, v long, w long")
+    counted = texts.where("use").select("text", "use").mapInArrow(_count_words(shards, min(share, 0.5)), "shard long, words binary, counts binary, v long, w long, n long")
     met = stored(counted.groupBy("shard").applyInArrow(_meet_words(hot), "kind string, a long, b long"), "words")
     facts = {r["kind"]: r["n"] for r in met.where("kind not in ('hot', 'pair')").groupBy("kind").agg(F.sum("a").alias("n")).collect()}
     total, n = facts.get("total", 0), [facts.get(f"n{r}", 0) for r in range(1, KATZ + 2)]
@@ -467,7 +476,7 @@ def _learn_words(texts: DataFrame, per_shard: int) -> tuple[Words, int]:
     mass = total if freed else total + 1
     common = sorted(((a % (1 << 64), b) for a, b in met.where("kind = 'hot'").select("a", "b").toLocalIterator()), key=lambda x: x[0])
     words = np.array([a for a, _ in common], _U)
-    named = [(a % (1 << 64), b % (1 << 64)) for a, b in met.where("kind = 'pair'").orderBy("a", "b").limit(64 * shards + 1024).select("a", "b").toLocalIterator()]
+    named = [(a % (1 << 64), b % (1 << 64)) for a, b in met.where("kind = 'pair'").orderBy("a", "b").select("a", "b").toLocalIterator()]
     v, w = np.array([a for a, _ in named], _U), np.array([b for _, b in named], _U)
     keys = _pair(v, w)
     order = np.argsort(keys)
@@ -490,7 +499,10 @@ def _evaluated(docs: DataFrame, fold: int, folds: int, per_shard: int, id_col: s
 
 
 def _contexts(rows: DataFrame, model: Words, d: tuple[float, ...]) -> DataFrame:
-    """(v, weight): log10 of (c(v) + 1) a(v) for every context of training."""
+    """(v, weight): log10 of (c(v) + 1) a(v) for every context of training.
+
+    Unknown words are never among a context's seen ones, so what they leave of P is at least that of the unknown.
+    """
     spark = rows.sparkSession
     k = [f"k{r}" for r in range(1, KATZ + 1)]
     seen = rows.where(F.col("kind") == CONTEXT).select("key", "x", *k)
@@ -501,7 +513,7 @@ def _contexts(rows: DataFrame, model: Words, d: tuple[float, ...]) -> DataFrame:
     left = F.lit(1.0)
     for r in range(1, KATZ + 1):
         left = left + F.sum(f"k{r}") * F.lit(r * (1 - d[r - 1]))
-    return seen.groupBy("key").agg((F.log10(left) - F.log10(F.greatest(1 - F.sum("x"), F.lit(1e-12)))).alias("weight"))
+    return seen.groupBy("key").agg((F.log10(left) - F.log10(F.greatest(1 - F.sum("x"), F.lit(model.unknown)))).alias("weight"))
 
 
 def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7, per_shard: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
