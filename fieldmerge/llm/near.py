@@ -162,7 +162,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
     stars = members.where(F.col("key") != F.col("low")).where(alike(F.col("n"), F.col("low_n"))).select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
     stars = stored(stars.unionByName(balls).distinct(), "stars")
     links = stored(_proven(stars, sets, similarity), "links")
-    parts = connected_components(links, "a", "b").withColumnRenamed("node", "key")
+    parts = stored(connected_components(links, "a", "b").withColumnRenamed("node", "key"), "linked")
 
     # buckets that still hold two components: their members meet across components
     left = stored(members.select("bucket", "key", "n").join(parts, "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component"), "left")
@@ -175,12 +175,16 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
     total = F.col("n_a") + F.col("n_b")
     meet = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("h_a") == F.col("h_b")) & (F.col("key_a") < F.col("key_b")) & (F.col("part_a") != F.col("part_b"))
     cross = one.join(two, meet & alike(F.col("n_a"), F.col("n_b")) & ((total - apart) / (total + apart) >= similarity))
-    cross = cross.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    cross = cross.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.col("part_a").alias("one"), F.col("part_b").alias("two")).distinct()
     cross = stored(cross.join(stars, ["a", "b"], "left_anti"), "across")
-    links = links.unionByName(_proven(cross, sets, similarity))
-
-    parts = connected_components(links, "a", "b").withColumnRenamed("node", "key")
-    named = stored(first.drop("fp", "n").join(parts, "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component"), "parts")
+    # what is proven joins whole components, so only their names meet here
+    joined = stored(_proven(cross.select("a", "b"), sets, similarity).join(cross, ["a", "b"]).select("one", "two").distinct(), "joined")
+    wider = connected_components(joined, "one", "two").select(F.col("node").alias("component"), F.col("component").alias("wider"))
+
+    parts = parts.join(wider, "component", "left").select("key", F.coalesce("wider", "component").alias("component"))
+    # a set that no star has links to a component of its own name
+    lone = wider.join(parts.select(F.col("key").alias("component")), "component", "left_anti").select(F.col("component").alias("key"), F.col("wider").alias("component"))
+    named = stored(first.drop("fp", "n").join(parts.unionByName(lone), "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component"), "parts")
     least = named.groupBy("part").agg(F.min("low").alias("component_id"))
     labels = stored(named.select("key", "part").join(least, "part").select("key", "component_id", "part"), "labels")
     return marked.join(labels, "key").select("doc_id", "component_id", "h", "part")

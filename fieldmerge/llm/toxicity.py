@@ -139,7 +139,7 @@ def _descend(r, c, dr, dc, sign, labels, size: int, bias: float, penalty: float,
 def _places(packed: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) of packed sets of places."""
     found = [np.frombuffer(p or b"", np.int32) for p in packed]
-    return np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate([np.empty(0, np.int32), *found]).astype(np.int64)
+    return np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found]), np.concatenate([np.empty(0, np.int32), *found])
 
 
 def fit(plain: list[bytes], swap: list[bytes | None], labels: np.ndarray, names: np.ndarray, penalty: float = 1.0, rounds: int = 300) -> Model:
@@ -156,7 +156,7 @@ def fit(plain: list[bytes], swap: list[bytes | None], labels: np.ndarray, names:
         return Model({}, bias, int(paired.sum()))
     (r, c), (r2, c2) = _places(plain), _places(swap)
     of_pair = paired[r]
-    mine, copy = r[of_pair] * size + c[of_pair], r2 * size + c2
+    mine, copy = r[of_pair].astype(np.int64) * size + c[of_pair], r2.astype(np.int64) * size + c2
     lost, won = np.setdiff1d(mine, copy), np.setdiff1d(copy, mine)
     dr, dc = np.concatenate([lost, won]) // size, np.concatenate([lost, won]) % size
     sign = np.repeat([1.0, -1.0], [len(lost), len(won)])
@@ -165,7 +165,7 @@ def fit(plain: list[bytes], swap: list[bytes | None], labels: np.ndarray, names:
         loss = np.zeros(len(DECAYS))
         for fold in (0, 1):
             own = np.arange(n) % 2 == fold
-            place = np.cumsum(own) - 1
+            place = np.cumsum(own, dtype=np.int32) - 1
             e, d = own[r], own[dr]
             for k, each in enumerate(DECAYS):
                 w, b = _descend(place[r[e]], c[e], place[dr[d]], dc[d], sign[d], labels[own], size, bias, penalty, each, rounds // 3)
@@ -235,7 +235,9 @@ def train(
         return apply
 
     found = over_batches(rows, make, "label int, plain binary, swap binary").toArrow()
-    return fit(found["plain"].to_pylist(), found["swap"].to_pylist(), np.array(found["label"].to_pylist(), float), names, penalty)
+    label, plain, swap = np.array(found["label"].to_pylist(), float), found["plain"].to_pylist(), found["swap"].to_pylist()
+    del found
+    return fit(plain, swap, label, names, penalty)
 
 
 class _Known(dict):
