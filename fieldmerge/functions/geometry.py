@@ -101,6 +101,32 @@ def ring_centroid(ring: Column) -> Column:
     return F.struct(F.when(twice != 0, cx).otherwise(mean("x")).alias("x"), F.when(twice != 0, cy).otherwise(mean("y")).alias("y"))
 
 
+def ring_crosses(ring: Column) -> Column:
+    """Whether two edges of a closed ring that are no neighbours cross or touch; in the JVM, every pair of edges of the ring."""
+    turn = lambda p, q, r: F.signum((q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"]))
+    n = F.size(ring) - 1
+
+    def cross(i, j):
+        a, b, c, d = F.get(ring, i), F.get(ring, i + 1), F.get(ring, j), F.get(ring, j + 1)
+        on = lambda p, q, r: (turn(p, q, r) == 0) & r["x"].between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & r["y"].between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
+        proper = (turn(a, b, c) * turn(a, b, d) < 0) & (turn(c, d, a) * turn(c, d, b) < 0)
+        return proper | on(a, b, c) | on(a, b, d) | on(c, d, a) | on(c, d, b)
+
+    later = lambda i: F.sequence(i + 2, n - F.when(i == 0, 2).otherwise(1))
+    # sequence() counts down where its end is below its start; those edges have no partner
+    last = lambda i: n - F.when(i == 0, 2).otherwise(1)
+    some = lambda i: F.when(i + 2 <= last(i), F.exists(later(i), lambda j: cross(i, j))).otherwise(F.lit(False))
+    return F.when(n >= 4, F.exists(F.sequence(F.lit(0), n - 3), some)).otherwise(F.lit(False))
+
+
+def repaired_ring(ring: Column) -> Column:
+    """The ring without points that repeat the one before, closed where it is open; other faults are left as they are."""
+    keep = F.filter(F.sequence(F.lit(0), F.greatest(F.size(ring) - 1, F.lit(0))), lambda i: (i == 0) | ~((F.get(ring, i)["x"] == F.get(ring, i - 1)["x"]) & (F.get(ring, i)["y"] == F.get(ring, i - 1)["y"])))
+    points = F.transform(keep, lambda i: F.get(ring, i))
+    open_ = (F.get(points, F.lit(0))["x"] != F.element_at(points, -1)["x"]) | (F.get(points, F.lit(0))["y"] != F.element_at(points, -1)["y"])
+    return F.when(F.size(ring) > 0, F.when(open_, F.concat(points, F.array(F.get(points, F.lit(0))))).otherwise(points)).otherwise(ring)
+
+
 def point_to_box_boundary(x: Column, y: Column, b: Box) -> Column:
     """Distance of a point to the outline of a box."""
     dx = F.greatest(b[0] - x, F.lit(0.0), x - b[2])
@@ -125,8 +151,8 @@ def _crossings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         t = (start[..., 0] * d2[..., 1] - start[..., 1] * d2[..., 0]) / det
         u = (start[..., 0] * d1[..., 1] - start[..., 1] * d1[..., 0]) / det
-    hit = (det != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    return (a[:, None, 1] + t * d1[..., 1])[hit]
+        hit = (det != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+        return (a[:, None, 1] + t * d1[..., 1])[hit]
 
 
 def _intervals(edges: np.ndarray, y: float) -> list[tuple[float, float]]:

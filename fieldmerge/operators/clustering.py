@@ -46,17 +46,25 @@ def _greedy(group: pd.DataFrame) -> pd.DataFrame:
 def cluster_constrained(obs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, cluster_id) for every observation, and the edges with cluster_id and accepted.
 
-    A cluster is named by its smallest id. The greedy rule never looks beyond a connected component, so components are found first
-    and whole ones are settled, many in a call; one is a few observations of one real thing. Edges need id_a, id_b, source_a, source_b, score, iou.
+    A cluster is named by its smallest id. The greedy rule never looks beyond a connected component, so components are found
+    first. One that holds no source twice is a cluster as it is; only the others are settled edge by edge, whole components in
+    a call, many at once. Edges need id_a, id_b, source_a, source_b, score, iou.
     """
     edges = stored(edges.select("id_a", "id_b", "source_a", "source_b", "score", "iou"), "edges")
     parts = connected_components(edges, "id_a", "id_b")
-    groups = max(1, edges.count() // EDGES_A_GROUP)
-    grouped = edges.join(parts.withColumnRenamed("node", "id_a"), "id_a").withColumn("group", F.pmod(F.xxhash64("component"), F.lit(groups)))
+    sources = edges.select(F.explode(F.array(F.struct(F.col("id_a").alias("node"), F.col("source_a").alias("source")), F.struct(F.col("id_b").alias("node"), F.col("source_b").alias("source")))).alias("e")).select("e.*").distinct()
+    placed = stored(sources.join(parts, "node"), "placed")
+    twice = placed.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.count_distinct("source").alias("kinds"))
+    twice = stored(twice.where("members > kinds").select("component", F.lit(True).alias("twice")), "twice")
+    where_of = stored(placed.select(F.col("node").alias("id_a"), "component").join(twice, "component", "left"), "components")
+    marked = edges.join(where_of, "id_a")
+    groups = max(1, marked.where("twice").count() // EDGES_A_GROUP)
+    grouped = marked.where("twice").withColumn("group", F.pmod(F.xxhash64("component"), F.lit(groups)))
     settled = stored(grouped.groupBy("group").applyInPandas(_greedy, _CLUSTERED), "clusters")
-    members = settled.where("kind = 'member'").select("id", "cluster_id")
+    members = settled.where("kind = 'member'").select("id", "cluster_id").unionByName(where_of.where("twice is null").select(F.col("id_a").alias("id"), F.col("component").alias("cluster_id")))
     everyone = obs.select("id").join(members, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))
-    return everyone, settled.where("kind = 'edge'").select(F.col("id").alias("id_a"), F.col("other").alias("id_b"), "score", "iou", "cluster_id", "accepted")
+    whole = marked.where("twice is null").select("id_a", "id_b", "score", "iou", F.col("component").alias("cluster_id"), F.lit(True).alias("accepted"))
+    return everyone, settled.where("kind = 'edge'").select(F.col("id").alias("id_a"), F.col("other").alias("id_b"), "score", "iou", "cluster_id", "accepted").unionByName(whole)
 
 
 def duplicate_source_flag(obs: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -85,24 +93,33 @@ def reconcile(obs: DataFrame, clusters: DataFrame, edges: DataFrame) -> DataFram
 
 
 def merged_geometry(obs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Per cluster of boxes: the area of their union (inclusion and exclusion, up to three members) and their common box.
+    """Per cluster of boxes: the area of their union and their common box, for any number of members.
 
+    The union is summed over strips between the sides of the boxes along x; in a strip the boxes that span it are merged along y.
     The common box falls back to the extent of all where it is empty.
     """
     members = clusters.join(obs.select("id", "x0", "y0", "x1", "y1"), "id")
     folded = members.groupBy("cluster_id").agg(
         *(F.max(c).alias(f"i_{c}") for c in ("x0", "y0")), *(F.min(c).alias(f"i_{c}") for c in ("x1", "y1")), *(F.min(c).alias(f"u_{c}") for c in ("x0", "y0")), *(F.max(c).alias(f"u_{c}") for c in ("x1", "y1")),
-        F.count(F.lit(1)).alias("members"), F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("single"),
+        F.count(F.lit(1)).alias("members"), F.sort_array(F.collect_list(F.struct("y0", "y1", "x0", "x1"))).alias("boxes"),
     )
-    a = members.select("cluster_id", F.col("id").alias("i"), *(F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")))
-    b = members.select("cluster_id", F.col("id").alias("j"), *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
-    over = F.greatest(F.lit(0.0), F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")) * F.greatest(F.lit(0.0), F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0"))
-    twos = a.join(b, "cluster_id").where("i < j").groupBy("cluster_id").agg(F.sum(over).alias("twos"))
+    sides = F.array_sort(F.array_distinct(F.concat(F.transform("boxes", lambda b: b["x0"]), F.transform("boxes", lambda b: b["x1"]))))
+
+    def merged(spanning):
+        start = F.struct(F.lit(0.0).alias("total"), F.lit(float("-inf")).alias("top"))
+        step = lambda s, b: F.struct((s["total"] + F.greatest(F.lit(0.0), b["y1"] - F.greatest(b["y0"], s["top"]))).alias("total"), F.greatest(s["top"], b["y1"]).alias("top"))
+        return F.aggregate(spanning, start, step, lambda s: s["total"])
+
+    def strip(i):
+        left, right = F.get("sides", i - 1), F.get("sides", i)
+        return (right - left) * merged(F.filter("boxes", lambda b: (b["x0"] <= left) & (b["x1"] >= right)))
+
+    strips = F.when(F.size("sides") > 1, F.sequence(F.lit(1), F.size("sides") - 1)).otherwise(F.array().cast("array<int>"))
+    union = F.aggregate(F.transform(strips, strip), F.lit(0.0), lambda a, x: a + x)
     common = F.greatest(F.lit(0.0), F.col("i_x1") - F.col("i_x0")) * F.greatest(F.lit(0.0), F.col("i_y1") - F.col("i_y0"))
     empty = (F.col("i_x1") <= F.col("i_x0")) | (F.col("i_y1") <= F.col("i_y0"))
-    joined = folded.join(twos, "cluster_id", "left").withColumn("common_area", common)
-    union = F.col("single") - F.coalesce("twos", F.lit(0.0)) + F.when(F.col("members") == 3, F.col("common_area")).otherwise(0.0)
-    return joined.select("cluster_id", "members", union.alias("union_area"), "common_area", *(F.when(empty, F.col(f"u_{c}")).otherwise(F.col(f"i_{c}")).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    rows = folded.withColumn("sides", sides)
+    return rows.select("cluster_id", "members", union.alias("union_area"), common.alias("common_area"), *(F.when(empty, F.col(f"u_{c}")).otherwise(F.col(f"i_{c}")).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
 def merge_attributes(obs: DataFrame, clusters: DataFrame, columns: tuple[str, ...] = ("building_type", "survey_no")) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,14 @@ from fieldmerge.config import TRANSITIONS
 from fieldmerge.functions import geometry as g
 
 
+# Kind, name and date of the sources of the first, the second and later versions.
+HISTORY_SOURCES = (
+    ("Official Cadastral", "Karnataka Revenue Cadastral Survey", "2022-04-15"),
+    ("Municipal GIS", "BBMP Municipal Ward GIS & ORI", "2024-06-20"),
+    ("CORS / RTK Survey", "Survey of India CORS RTK Baseline & Reconciled", "2026-09-27"),
+)
+
+
 def compare(before: g.Box, after: g.Box) -> dict[str, Column]:
     """Measures of a change from one box to another; null where a box is missing."""
     a, b = g.box_area(before), g.box_area(after)
@@ -78,29 +87,41 @@ def detect_changes(prior: DataFrame, current: DataFrame, key: str = "k") -> Data
     return rows.withColumn("verification", F.when(F.col("change_type") == "No Significant Change", "ACCEPTED").otherwise("NEEDS_REVIEW")).drop("pk", "ck")
 
 
-def _allowed() -> Column:
-    return F.create_map(*(x for state, after in TRANSITIONS.items() for x in (F.lit(state), F.array(*map(F.lit, after)))))
+_LOG = "conflict_id long, event_id long, ts timestamp, previous_state string, requested_state string, actor string, accepted boolean, state string"
+
+
+def _folded(batches):
+    """Requests sorted by conflict and order, each with the state before and after it; only the last conflict's state is remembered."""
+    conflict, state = None, "DETECTED"
+    for batch in batches:
+        before, after, legal = [], [], []
+        for this, wanted in zip(batch["conflict_id"].to_pylist(), batch["requested_state"].to_pylist(), strict=True):
+            if this != conflict:
+                conflict, state = this, "DETECTED"
+            before.append(state)
+            legal.append(wanted in TRANSITIONS[state])
+            state = wanted if legal[-1] else state
+            after.append(state)
+        columns = [batch["conflict_id"], batch["event_id"], batch["ts"], pa.array(before, pa.string()), batch["requested_state"], batch["actor"], pa.array(legal, pa.bool_()), pa.array(after, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["conflict_id", "event_id", "ts", "previous_state", "requested_state", "actor", "accepted", "state"])
 
 
 def fold_lifecycle(requests: DataFrame) -> DataFrame:
-    """Accepted and rejected transitions in order of (ts, event_id): conflict_id, event_id, previous_state, requested_state, accepted.
+    """Accepted and rejected transitions in order of (ts, event_id): conflict_id, event_id, ts, previous_state, requested_state, actor, accepted, state.
 
-    A conflict starts DETECTED. Its requests are folded within one row per conflict; a conflict has few.
+    A conflict starts DETECTED; state is the one after the request. Requests are sorted within partitions by conflict and pass a task in
+    order, so a conflict with any number of events needs no more memory than one with two. A null conflict_id is ignored.
     """
-    events = F.sort_array(F.collect_list(F.struct("ts", "event_id", "requested_state", "actor")))
-    grouped = requests.groupBy("conflict_id").agg(events.alias("events"))
-    start = F.struct(F.lit("DETECTED").alias("state"), F.expr("cast(array() as array<struct<event_id:bigint,ts:timestamp,previous_state:string,requested_state:string,actor:string,accepted:boolean>>)").alias("log"))
-    allowed = _allowed()
-
-    def step(acc, e):
-        legal = F.array_contains(F.element_at(allowed, acc["state"]), e["requested_state"])
-        entry = F.struct(
-            e["event_id"].cast("long").alias("event_id"), e["ts"].cast("timestamp").alias("ts"), acc["state"].alias("previous_state"), e["requested_state"].alias("requested_state"), e["actor"].alias("actor"), legal.alias("accepted")
-        )
-        return F.struct(F.when(legal, e["requested_state"]).otherwise(acc["state"]).alias("state"), F.concat(acc["log"], F.array(entry)).alias("log"))
-
-    folded = grouped.select("conflict_id", F.aggregate("events", start, step).alias("end"))
-    return folded.select("conflict_id", F.col("end.state").alias("final_state"), F.explode("end.log").alias("e")).select("conflict_id", "final_state", "e.*")
+    rows = requests.select("conflict_id", F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), "requested_state", "actor").where("conflict_id is not null")
+    return rows.repartition("conflict_id").sortWithinPartitions("conflict_id", "ts", "event_id", "requested_state", "actor").mapInArrow(_folded, _LOG)
+
+
+def history_source(number: Column, source: Column, reviewer: Column, recorded: Column) -> dict[str, Column]:
+    """Kind, name and date of the source of a version by its number or by what its source is called."""
+    told = F.lower(F.coalesce(source, F.lit("")))
+    chosen = F.when((number == 1) | told.contains("cadastral"), 0).when((number == 2) | told.contains("municipal") | told.contains("drone"), 1).when((number >= 3) | told.contains("rtk") | told.contains("surveyor"), 2).otherwise(3)
+    pick = lambda i, other: F.when(chosen == 3, other).otherwise(F.element_at(F.array(*(F.lit(x[i]) for x in HISTORY_SOURCES)), F.least(chosen, F.lit(2)) + 1))
+    return {"source_type": pick(0, F.lit("Verified Historical Dataset")), "source_name": pick(1, F.coalesce(reviewer, F.lit("Land Records Authority"))), "source_date": pick(2, F.date_format(recorded, "yyyy-MM-dd"))}
 
 
 def deterministic_uuid(namespace_hex: str, name: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldmerge.functions.geometry import rounded
+
 # Categories in order with the words that mark their files.
 CATEGORIES = {
     "01_BOUNDARY": ("boundary", "city_boundary", "ward_boundary", "zone_boundary", "village_boundary", "taluk", "revenue_boundary"),
@@ -80,7 +82,16 @@ def city(lon: Column, lat: Column) -> Column:
     for name, (w, s, e, n) in CITIES.items():
         inside = lon.between(w, e) & lat.between(s, n)
         chosen = F.when(inside, name) if chosen is None else chosen.when(inside, name)
-    return chosen.otherwise("Region")
+    return chosen.otherwise(F.format_string("Region (%.2fN, %.2fE)", rounded(lat, 2), rounded(lon, 2)))
+
+
+def city_hint(path: Column) -> Column:
+    """The city that a path names, by the place names of coordinate systems; null if none."""
+    p, chosen = F.lower(path), None
+    for name, words in (("chennai", ("chennai", "maa", "tnagar")), ("bengaluru", ("bengaluru", "blr", "domlur")), ("mumbai", ("mumbai", "andheri")), ("hyderabad", ("hyderabad",)), ("delhi", ("delhi",)), ("kolkata", ("kolkata",))):
+        hit = _has(p, words)
+        chosen = F.when(hit, name) if chosen is None else chosen.when(hit, name)
+    return chosen
 
 
 def infra_type(declared: Column, path: Column) -> Column:

@@ -105,8 +105,11 @@ def match_class(score: Column, iou: Column, drift: Column, cfg: SignalConfig = S
     )
 
 
-def pair_features(pairs: DataFrame, source_count: int = 2, extraction_quality: float = 0.85) -> DataFrame:
-    """id_a, id_b and twelve features of pairs with overlap; a missing box gives the sentinel row."""
+def pair_features(pairs: DataFrame, extraction_quality: float = 0.85) -> DataFrame:
+    """id_a, id_b and twelve features of pairs with overlap; a missing box gives the sentinel row.
+
+    extraction_quality stands where neither side has a measured one.
+    """
     a, b = g.box(suffix="_a"), g.box(suffix="_b")
     area_a, area_b, per_a, per_b = g.box_area(a), g.box_area(b), g.box_perimeter(a), g.box_perimeter(b)
     gone = a[0].isNull() | b[0].isNull()
@@ -121,10 +124,10 @@ def pair_features(pairs: DataFrame, source_count: int = 2, extraction_quality: f
         or_else(g.rounded(differ(per_a, per_b), 2), 100.0).alias("f_perimeter_diff_pct"),
         or_else(g.rounded(g.compactness(area_a, per_a), 4), 0.0).alias("f_compactness_a"),
         or_else(g.rounded(g.compactness(area_b, per_b), 4), 0.0).alias("f_compactness_b"),
-        or_else(F.lit(5.0), 0.0).alias("f_vertices_a"),
-        or_else(F.lit(5.0), 0.0).alias("f_vertices_b"),
+        or_else(F.size(g.box_ring(a)).cast("double"), 0.0).alias("f_vertices_a"),
+        or_else(F.size(g.box_ring(b)).cast("double"), 0.0).alias("f_vertices_b"),
         or_else(g.rounded(share(area_a), 4), 0.0).alias("f_overlap_a"),
         or_else(g.rounded(share(area_b), 4), 0.0).alias("f_overlap_b"),
-        F.lit(float(source_count)).alias("f_sources"),
-        F.lit(float(extraction_quality)).alias("f_extraction"),
+        F.when(F.col("source_a") != F.col("source_b"), 2.0).otherwise(1.0).alias("f_sources"),
+        F.coalesce(F.greatest("extraction_confidence_a", "extraction_confidence_b"), F.lit(float(extraction_quality))).alias("f_extraction"),
     )

@@ -2,31 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmerge.functions import geometry as g
-from fieldmerge.functions.session import shared_dir
 from fieldmerge.operators import crs, packages, scoring, spatial_join
 from fieldmerge.plans.history import _CHANGES, _FOLD, changes
 from fieldmerge.plans.matching import OBS_SQL, PAIRS_SQL, R, _PA, _PB, _QA, _QB, observations
-from fieldmerge.plans.quality import infra_pairs
+from fieldmerge.plans.quality import _INFRA, infra_pairs, lines, parcels
 from fieldmerge.plans.registry import query
 from fieldmerge.sources import files
 from fieldmerge.sources.derived import POINTS, REQUESTS, derived, sql_text
 from fieldmerge.streaming import lifecycle
 
 
-def _folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/fieldmerge/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"SELECT id AS parcel_id, survey_no, area_m2 FROM ({OBS_SQL}) WHERE source = 'registry'")
 def src_csv_attributes(spark, sf_dir):
     """Attribute tables written as CSV and read with a schema."""
-    path = _folder(spark, "attributes")
+    path = files.folder(spark, "attributes")
     files.write_csv(observations(spark, sf_dir).where("source = 'registry'").select(F.col("id").alias("parcel_id"), "survey_no", "area_m2"), path)
     return files.read_attributes(spark, path, "parcel_id long, survey_no string, area_m2 double")
 
@@ -37,7 +30,7 @@ def geojson_layers(spark, sf_dir) -> DataFrame:
     ring = F.array(*(F.array(F.col(x), F.col(y)) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))))
     feature = F.struct(F.lit("Feature").alias("type"), F.create_map(F.lit("parcel_id"), F.col("id").cast("string")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
     sets = rows.groupBy(F.floor(F.col("k") / 400).alias("layer")).agg(F.collect_list(feature).alias("features"))
-    path = _folder(spark, "geojson")
+    path = files.folder(spark, "geojson")
     files.write_lines(sets.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")), path)
     return files.read_geojson(spark, path, multi_line=False)
 
@@ -49,10 +42,17 @@ def src_geojson(spark, sf_dir):
     return rows.select(F.element_at("properties", "parcel_id").alias("parcel_id"), g.rounded(area, 6).alias("area"))
 
 
-@query(f"SELECT 'water' AS type, 'UNVERIFIED' AS verification_status, count(*) AS n FROM ({OBS_SQL}) WHERE source = 'registry'")
+@query(f"SELECT 'water' AS type, 'UNVERIFIED' AS verification_status, count(*) FILTER (id % 50 <> 5) AS n, count(*) FILTER (id % 50 = 5) AS skipped FROM ({OBS_SQL}) WHERE source = 'registry'")
 def src_infra_import(spark, sf_dir):
-    kept, _ = files.import_layer(geojson_layers(spark, sf_dir), "water")
-    return kept.groupBy("type", "verification_status").agg(F.count(F.lit(1)).alias("n"))
+    """A user's layer, appended as unverified; features of unknown geometry (here every fiftieth id's) go to a quarantine and are counted."""
+    layer = geojson_layers(spark, sf_dir)
+    bad = F.element_at("properties", "parcel_id").cast("long") % 50 == 5
+    kept, skipped = files.import_layer(layer.withColumn("geometry_type", F.when(bad, "CircularString").otherwise(F.col("geometry_type"))), "water")
+    path, aside = files.folder(spark, "layer"), files.folder(spark, "quarantine")
+    kept.select("type", "verification_status", "coordinates").write.mode("append").parquet(path)
+    skipped.select("geometry_type", "coordinates").write.mode("append").parquet(aside)
+    counted = spark.read.parquet(aside).agg(F.count(F.lit(1)).alias("skipped"))
+    return spark.read.parquet(path).groupBy("type", "verification_status").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(counted))
 
 
 @query(PAIRS_SQL + f"SELECT id_a, id_b, {R('least(area_a, area_b) / greatest(area_a, area_b)', 6)} AS area_similarity, {R(f'least({_QA}, {_QB}) / greatest({_QA}, {_QB})', 6)} AS shape_similarity, {R(f'least({_PA}, {_PB}) / greatest({_PA}, {_PB})', 6)} AS perimeter_similarity, 1.0::DOUBLE AS source_agreement, {R('least(centroid_dist / 15.0::DOUBLE, 1.0::DOUBLE)', 6)} AS norm_distance FROM pairs")
@@ -70,14 +70,14 @@ def pair_similarities(spark, sf_dir):
 
 def _drained(stream: DataFrame, spark) -> DataFrame:
     """Runs a stream over all that is there and reads what it wrote."""
-    path = _folder(spark, "stream")
+    path = files.folder(spark, "stream")
     q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
 def _as_stream(df: DataFrame, spark, name: str) -> DataFrame:
-    path = _folder(spark, name)
+    path = files.folder(spark, name)
     df.write.parquet(path)
     return spark.readStream.schema(df.schema).parquet(path)
 
@@ -99,7 +99,7 @@ def identity_stream(spark, sf_dir):
 @query(_CHANGES + " SELECT count(*) AS records, count(*) FILTER (change_type <> 'No Significant Change') AS to_review FROM t")
 def incremental_sync(spark, sf_dir):
     """Changes against the last version as a stream of micro-batches, each written as a version whose catalogue row comes last."""
-    path = _folder(spark, "sync")
+    path = files.folder(spark, "sync")
     stream = _as_stream(changes(spark, sf_dir).select("k", "change_type"), spark, "changes")
     q = stream.writeStream.foreachBatch(lifecycle.incremental_sync(path)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -107,12 +107,23 @@ def incremental_sync(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("records"), F.count(F.when(F.col("change_type") != "No Significant Change", 1)).alias("to_review"))
 
 
-@query("WITH b AS (SELECT CAST(o_custkey AS BIGINT) AS dataset_id, o_orderkey AS version_id, o_orderdate AS stamp, o_orderstatus <> 'O' AS filled FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY stamp DESC, version_id DESC) AS n FROM b WHERE filled) SELECT dataset_id, version_id, CASE WHEN n = 1 THEN 'ACTIVE' ELSE 'ARCHIVED' END AS status FROM r")
+@query(
+    """WITH b AS (SELECT CAST(o_custkey AS BIGINT) % 20 AS dataset_id, CAST(month(o_orderdate) AS BIGINT) % 3 AS step, count(*) FILTER (o_orderstatus <> 'O' OR month(o_orderdate) % 3 <> 2) AS records FROM orders GROUP BY 1, 2),
+ r AS (SELECT step, sum(records) AS records FROM b GROUP BY step), k AS (SELECT *, records > 0 AS taken FROM r)
+ SELECT step, CAST(records AS BIGINT) AS records, CASE WHEN NOT taken THEN 'REFUSED' WHEN step = max(step) FILTER (taken) OVER () THEN 'ACTIVE' ELSE 'ARCHIVED' END AS status FROM k
+ UNION ALL SELECT 3, 0, 'REFUSED'"""
+)
 def dataset_replace(spark, sf_dir):
-    """Imports of data sets: the last that is not empty (here: status O is empty) is active, earlier ones are archived, empty ones refused."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").cast("long").alias("dataset_id"), F.col("o_orderkey").alias("version_id"), F.col("o_orderdate").alias("at"), "o_orderstatus")
-    n = F.row_number().over(Window.partitionBy("dataset_id").orderBy(F.col("at").desc(), F.col("version_id").desc()))
-    return rows.where("o_orderstatus <> 'O'").select("dataset_id", "version_id", F.when(n == 1, "ACTIVE").otherwise("ARCHIVED").alias("status"))
+    """Four imports of one data set, carried out on files: three months' worth each, then one without rows. The last that has rows is active, earlier ones are archived, the empty one is refused and changes nothing."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", (F.month("o_orderdate") % 3).cast("long").alias("step"))
+    orders = orders.where("o_orderstatus <> 'O' or step <> 2")
+    path, told = files.folder(spark, "dataset"), []
+    for step in range(4):
+        taken = files.replace(orders.where(F.col("step") == step), path)
+        told.append((step, files.current(spark, path).where(F.col("step") == step).count() if taken else 0, taken))
+    last = max(step for step, _, taken in told if taken)
+    rows = [(step, n, "REFUSED" if not taken else "ACTIVE" if step == last else "ARCHIVED") for step, n, taken in told]
+    return spark.createDataFrame(rows, "step long, records long, status string")
 
 
 @query(_CHANGES + " SELECT k, CASE change_type WHEN 'New' THEN 'CREATED' WHEN 'Missing' THEN 'RETIRED' ELSE 'REVISED' END AS event FROM t WHERE change_type <> 'No Significant Change'")
@@ -122,20 +133,28 @@ def lineage_events(spark, sf_dir):
     return rows.select("k", F.when(kind == "New", "CREATED").when(kind == "Missing", "RETIRED").otherwise("REVISED").alias("event"))
 
 
-@query()
+@query(
+    _INFRA
+    + f""", n AS (SELECT DISTINCT id FROM j WHERE type = 'electricity'), q AS (SELECT p.id, l.line_id, greatest(0.0::DOUBLE, y0 - (l.y + l.h), l.y - y1) AS d FROM p JOIN l ON l.city = p.city AND l.type = 'electricity' WHERE p.id NOT IN (SELECT id FROM n)),
+ b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, line_id) AS r FROM q) SELECT id, line_id, {R('d', 6)} AS distance_m FROM b WHERE r = 1"""
+)
 def infra_nearest_fallback(spark, sf_dir):
-    """Parcels that no line of a type is near to: the nearest of the lines on the side by the smallest step in y, by ordered windows per strip."""
-    near = infra_pairs(spark, sf_dir).where("type = 'water'").select("id").distinct()
-    left = observations(spark, sf_dir).where("source = 'registry'").select("id", "y0", "y1").join(near, "id", "left_anti")
-    lines = infra_pairs(spark, sf_dir).where("type = 'water'").select("line_id").distinct().withColumn("y", F.col("line_id") * 30.0 + 12)
-    # rings of strips that double in width: a parcel meets each ring's lines until one is found
+    """Parcels that have no power line within reach: the nearest one of their city, if it has any.
+
+    Rings of strips that double in width: a parcel meets the lowest and the highest line of its strip and of the two beside it, in
+    every ring. In the first ring with a line, and in the next, the nearest is among them.
+    """
+    kind = lines(spark, sf_dir).where("type = 'electricity'")
+    near = infra_pairs(spark, sf_dir).where("type = 'electricity'").select("id").distinct()
+    left = parcels(spark, sf_dir).select("id", "city", "y0", "y1").join(near, "id", "left_anti")
     rings = F.sequence(F.lit(1), F.lit(20))
     width = lambda e: F.pow(F.lit(2.0), F.col(e)) * 120.0
     a = left.withColumn("e", F.explode(rings)).withColumn("s", F.explode(F.array(*(F.floor(F.col("y0") / width("e")) + d for d in (-1, 0, 1)))))
-    b = lines.withColumn("e", F.explode(rings)).withColumn("s", F.floor(F.col("y") / width("e"))).groupBy("e", "s").agg(F.min(F.struct("y", "line_id")).alias("first"), F.max(F.struct("y", "line_id")).alias("last"))
-    pairs = a.join(b, ["e", "s"]).withColumn("c", F.explode(F.array("first", "last")))
-    d = F.greatest(F.lit(0.0), F.col("y0") - F.col("c.y"), F.col("c.y") - F.col("y1"))
-    return pairs.groupBy("id").agg(F.min(F.struct("e", d.alias("d"), F.col("c.line_id").alias("line_id"))).alias("m")).select("id", F.col("m.line_id").alias("line_id"), F.col("m.d").alias("distance_m"))
+    b = kind.withColumn("e", F.explode(rings)).withColumn("s", F.floor(F.col("y") / width("e"))).groupBy("city", "e", "s").agg(F.min(F.struct("y", "h", "line_id")).alias("first"), F.max(F.struct("y", "h", "line_id")).alias("last"))
+    pairs = a.join(b, ["city", "e", "s"]).withColumn("c", F.explode(F.array("first", "last")))
+    d = F.greatest(F.lit(0.0), F.col("y0") - (F.col("c.y") + F.col("c.h")), F.col("c.y") - F.col("y1"))
+    best = pairs.groupBy("id").agg(F.min(F.struct(d.alias("d"), F.col("c.line_id").alias("line_id"))).alias("m"))
+    return best.select("id", F.col("m.line_id").alias("line_id"), g.rounded(F.col("m.d"), 6).alias("distance_m"))
 
 
 _POINTS_SQL = sql_text(POINTS)
@@ -185,7 +204,21 @@ def _area(side: str):
 
 
 _pair_measure("iou", lambda: F.col("iou"), "iou")
-_pair_measure("bbox_iou", lambda: g.iou(g.box(suffix="_a"), g.box(suffix="_b")), "iou")
+
+
+@query(PAIRS_SQL + f"SELECT id_a, id_b, {R('iou', 6)} AS value FROM pairs")
+def bbox_iou(spark, sf_dir):
+    """Of the extents of rings: the second of each pair is a box turned by 45 degrees, whose extent is the box again."""
+    pairs = spatial_join.candidate_pairs(observations(spark, sf_dir))
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x0, y0, x1, y1 = g.box(suffix="_b")
+    mx, my = (x0 + x1) / 2, (y0 + y1) / 2
+    rows = pairs.select("id_a", "id_b", g.box_ring(g.box(suffix="_a")).alias("ring_a"), F.array(p(x0, my), p(mx, y0), p(x1, my), p(mx, y1), p(x0, my)).alias("ring_b"))
+    xs, ys = (lambda ring: F.transform(ring, lambda q: q["x"])), (lambda ring: F.transform(ring, lambda q: q["y"]))
+    extent = lambda ring: (F.array_min(xs(ring)), F.array_min(ys(ring)), F.array_max(xs(ring)), F.array_max(ys(ring)))
+    return rows.select("id_a", "id_b", g.rounded(g.iou(extent("ring_a"), extent("ring_b")), 6).alias("value"))
+
+
 _pair_measure("centroid_distance", lambda: F.col("centroid_dist"), "centroid_dist")
 _pair_measure("norm_centroid_distance", lambda: F.least(F.col("centroid_dist") / 15.0, F.lit(1.0)), "least(centroid_dist / 15.0::DOUBLE, 1.0::DOUBLE)")
 _pair_measure("symmetric_difference_area", lambda: _area("_a") + _area("_b") - 2 * F.col("inter_area"), "ga + gb - 2 * inter_area")

@@ -9,9 +9,9 @@ from fieldmerge.functions import geometry as g
 from fieldmerge.operators import ledger, spatial_join
 from fieldmerge.plans.matching import OBS_SQL, R, observations
 from fieldmerge.plans.registry import query
-from fieldmerge.sources.derived import REQUESTS, VERSION_ROWS, derived, sql_text
+from fieldmerge.sources.derived import CONFLICTS, REQUESTS, VERSION_ROWS, derived, sql_text
 
-ROWS_SQL, REQUESTS_SQL = sql_text(VERSION_ROWS), sql_text(REQUESTS)
+ROWS_SQL, REQUESTS_SQL, CONFLICTS_SQL = sql_text(VERSION_ROWS), sql_text(REQUESTS), sql_text(CONFLICTS)
 _NUMBERED = f"WITH v AS ({ROWS_SQL}), r AS (SELECT *, x0 + w AS x1, y0 + h AS y1, row_number() OVER (PARTITION BY parcel ORDER BY recorded_at, version, x0, y0, w, h) AS n FROM v)"
 _PAIR = """, p AS (SELECT parcel, n, x0, y0, x1, y1, lag(x0) OVER q AS px0, lag(y0) OVER q AS py0, lag(x1) OVER q AS px1, lag(y1) OVER q AS py1 FROM r WINDOW q AS (PARTITION BY parcel ORDER BY n)),
 c AS (SELECT *, (x1 - x0) * (y1 - y0) AS b, (px1 - px0) * (py1 - py0) AS a, greatest(0.0::DOUBLE, least(x1, px1) - greatest(x0, px0)) * greatest(0.0::DOUBLE, least(y1, py1) - greatest(y0, py0)) AS i,
@@ -74,12 +74,29 @@ def current_version(spark, sf_dir):
     return rows.groupBy("parcel").agg(F.count(F.lit(1)).alias("versions"), F.max("n").alias("current_version"), F.max_by("x0", "n").alias("x0"), F.max_by("w", "n").alias("w")).withColumn("no_comparison", F.col("versions") < 2)
 
 
-@query(_NUMBERED + " SELECT parcel, string_agg(CAST(n AS VARCHAR) || ':' || CAST(CAST(w AS BIGINT) AS VARCHAR) || 'x' || CAST(CAST(h AS BIGINT) AS VARCHAR), ',' ORDER BY n) AS timeline FROM r GROUP BY parcel")
+@query(_NUMBERED + " SELECT parcel, string_agg(CAST(n AS VARCHAR) || ':' || CAST(CAST(w AS BIGINT) AS VARCHAR) || 'x' || CAST(CAST(h AS BIGINT) AS VARCHAR) || ':' || CASE WHEN confidence >= 0.7::DOUBLE THEN 'VERIFIED' ELSE 'REFERENCE_ONLY' END, ',' ORDER BY n) AS timeline, count(*) > 1 AS has_history FROM r GROUP BY parcel")
 def timeline(spark, sf_dir):
+    """Versions in order, with what their confidence makes of them."""
     rows = numbered(spark, sf_dir)
-    entry = F.concat(F.col("n").cast("string"), F.lit(":"), F.col("w").cast("long").cast("string"), F.lit("x"), F.col("h").cast("long").cast("string"))
+    label = F.when(F.col("confidence") >= 0.70, "VERIFIED").otherwise("REFERENCE_ONLY")
+    entry = F.concat(F.col("n").cast("string"), F.lit(":"), F.col("w").cast("long").cast("string"), F.lit("x"), F.col("h").cast("long").cast("string"), F.lit(":"), label)
     listed = F.sort_array(F.collect_list(F.struct("n", entry.alias("e"))))
-    return rows.groupBy("parcel").agg(F.array_join(F.transform(listed, lambda t: t["e"]), ",").alias("timeline"))
+    return rows.groupBy("parcel").agg(F.array_join(F.transform(listed, lambda t: t["e"]), ",").alias("timeline"), (F.count(F.lit(1)) > 1).alias("has_history"))
+
+
+@query(
+    f"""WITH v AS (SELECT *, CASE WHEN parcel % 4 = 0 THEN version - 1 ELSE version END AS number, lower(coalesce(source, '')) AS t FROM ({ROWS_SQL})),
+ c AS (SELECT *, CASE WHEN number = 1 OR contains(t, 'cadastral') THEN 0 WHEN number = 2 OR contains(t, 'municipal') OR contains(t, 'drone') THEN 1 WHEN number >= 3 OR contains(t, 'rtk') OR contains(t, 'surveyor') THEN 2 ELSE 3 END AS c FROM v)
+ SELECT parcel, version, CASE c WHEN 0 THEN 'Official Cadastral' WHEN 1 THEN 'Municipal GIS' WHEN 2 THEN 'CORS / RTK Survey' ELSE 'Verified Historical Dataset' END AS source_type,
+ CASE c WHEN 0 THEN 'Karnataka Revenue Cadastral Survey' WHEN 1 THEN 'BBMP Municipal Ward GIS & ORI' WHEN 2 THEN 'Survey of India CORS RTK Baseline & Reconciled' ELSE 'Land Records Authority' END AS source_name,
+ CASE c WHEN 0 THEN '2022-04-15' WHEN 1 THEN '2024-06-20' WHEN 2 THEN '2026-09-27' ELSE strftime(recorded_at, '%Y-%m-%d') END AS source_date FROM c"""
+)
+def history_source_label(spark, sf_dir):
+    """Where each version came from; every fourth parcel's ledger counts from 0."""
+    rows = derived(spark, sf_dir, VERSION_ROWS)
+    number = F.when(F.col("parcel") % 4 == 0, F.col("version") - 1).otherwise(F.col("version"))
+    told = ledger.history_source(number, F.col("source"), F.lit(None).cast("string"), F.col("recorded_at"))
+    return rows.select("parcel", "version", *(c.alias(n) for n, c in told.items()))
 
 
 @query(
@@ -138,10 +155,11 @@ def change_summary(spark, sf_dir):
     return changes(spark, sf_dir).agg(n(~kind.isin("New", "Missing")).alias("compared"), n(kind == "No Significant Change").alias("unchanged"), n(real).alias("changed"), n(kind == "New").alias("new"), n(kind == "Missing").alias("missing"))
 
 
-@query(_CHANGES + " SELECT k, change_type FROM t WHERE k % 1000 = 7")
+@query(_CHANGES + " SELECT k, change_type FROM t WHERE k IN (SELECT CAST(l_orderkey AS BIGINT) FROM lineitem WHERE l_returnflag = 'R')")
 def change_lookup(spark, sf_dir):
-    """Changes of the parcels whose key ends in 007."""
-    return changes(spark, sf_dir).where("k % 1000 = 7").select("k", "change_type")
+    """Changes of the parcels that a table of requests asks for (here the orders with a returned line)."""
+    asked = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'").select(F.col("l_orderkey").cast("long").alias("k")).distinct()
+    return changes(spark, sf_dir).join(asked, "k", "left_semi").select("k", "change_type")
 
 
 @query(_CHANGES + " SELECT change_type, count(*) AS n, " + R("100.0::DOUBLE * count(*) / sum(count(*)) OVER ()", 4) + " AS pct FROM t GROUP BY change_type")
@@ -150,17 +168,24 @@ def difference_categories(spark, sf_dir):
     return counts.withColumn("pct", g.rounded(F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 4))
 
 
-_NS = "6ba7b8109dad11d180b400c04fd430c8"
-_UUID = f"""sha1(encode('') || unhex('{_NS}') || encode('sig:' || CAST(k AS VARCHAR)))"""
+# Fixed value: the namespace of identities.
+_NS = "7e57a0de6e054c0a8d3e905c110da5e1"
+_SIGNED = f"""SELECT k, id, source, survey_no, 'sig:' || CAST(FLOOR((12 + (y0 + y1) / 200000) * 100000 + 0.5::DOUBLE) / 100000 AS VARCHAR) || ':' || CAST(FLOOR((77 + (x0 + x1) / 200000) * 100000 + 0.5::DOUBLE) / 100000 AS VARCHAR) || ':' || CAST(CAST(FLOOR(area_m2) AS BIGINT) AS VARCHAR) AS sig FROM ({OBS_SQL})"""
+
+
+def signed(spark, sf_dir) -> DataFrame:
+    """Observations with the signature of their place: latitude and longitude of the centre to five digits, whole square metres."""
+    at = lambda base, a, b: g.rounded(F.lit(float(base)) + (F.col(a) + F.col(b)) / 200000, 5).cast("string")
+    sig = F.concat_ws(":", F.lit("sig"), at(12, "y0", "y1"), at(77, "x0", "x1"), F.floor("area_m2").cast("long").cast("string"))
+    return observations(spark, sf_dir).select("k", "id", "source", "survey_no", sig.alias("sig"))
 
 
 @query(
-    f"""WITH s AS (SELECT k, sha1(unhex('{_NS}') || encode('sig:' || CAST(k AS VARCHAR))) AS h FROM ({OBS_SQL}) WHERE source = 'registry')
-SELECT k, lower(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || printf('%02x', (CAST('0x' || substr(h, 17, 2) AS INTEGER) & 63) | 128) || substr(h, 19, 2) || '-' || substr(h, 21, 12)) AS uuid FROM s"""
+    f"""WITH s AS (SELECT id, sig, sha1(unhex('{_NS}') || encode(sig)) AS h FROM ({_SIGNED}))
+SELECT id, sig, lower(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || printf('%02x', (CAST('0x' || substr(h, 17, 2) AS INTEGER) & 63) | 128) || substr(h, 19, 2) || '-' || substr(h, 21, 12)) AS uuid FROM s"""
 )
 def deterministic_uuid(spark, sf_dir):
-    rows = observations(spark, sf_dir).where("source = 'registry'")
-    return rows.select("k", ledger.deterministic_uuid(_NS, F.concat(F.lit("sig:"), F.col("k").cast("string"))).alias("uuid"))
+    return signed(spark, sf_dir).select("id", "sig", ledger.deterministic_uuid(_NS, F.col("sig")).alias("uuid"))
 
 
 @query(f"SELECT id, regexp_replace(upper(trim(survey_no)), '[\\s\\-_/]+', '', 'g') AS clean FROM ({OBS_SQL})")
@@ -212,12 +237,19 @@ def identity_continuity_action(spark, sf_dir):
     return ledger.continuity_action(best).select("request_id", "continuity")
 
 
-@query(f"WITH o AS ({OBS_SQL}), q AS (SELECT k % 1000 AS sig, source, count(*) AS n FROM o GROUP BY 1, 2), r AS (SELECT DISTINCT k % 1000 AS sig, source FROM o WHERE k % 3 = 0) SELECT q.sig, q.source, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.sig = q.sig AND r.source = q.source) THEN 'duplicate' ELSE 'matched' END AS outcome FROM q")
+@query(
+    f"""WITH s AS ({_SIGNED}), q AS (SELECT k, sig, survey_no, unnest(['register', 'resurvey']) AS dataset FROM s WHERE source = 'registry'), r AS (SELECT sig, survey_no FROM s WHERE source = 'registry' AND k % 3 = 0)
+ SELECT q.k, q.dataset, CASE WHEN q.sig NOT IN (SELECT sig FROM r) THEN 'new' WHEN q.dataset = 'register' AND EXISTS (SELECT 1 FROM r WHERE r.sig = q.sig AND r.survey_no = q.survey_no) THEN 'duplicate' ELSE 'matched' END AS outcome FROM q"""
+)
 def identity_duplicate_or_match(spark, sf_dir):
-    """Requests whose signature is known: duplicates if the same source sent it before, else matches."""
-    obs = observations(spark, sf_dir).withColumn("sig", F.col("k") % 1000)
-    known = obs.where("k % 3 = 0").select("sig", "source").distinct().withColumn("known", F.lit(True))
-    return obs.select("sig", "source").distinct().join(known, ["sig", "source"], "left").select("sig", "source", F.when(F.col("known"), "duplicate").otherwise("matched").alias("outcome"))
+    """Registry parcels sent again by their register and by a resurvey, against those already there (every third key): by identity of place a duplicate if that data set sent that id before, else a match; new where the place is unknown."""
+    rows = signed(spark, sf_dir).where("source = 'registry'").select("k", "survey_no", ledger.deterministic_uuid(_NS, F.col("sig")).alias("uuid"))
+    known = rows.where("k % 3 = 0")
+    places = known.select("uuid").distinct().withColumn("there", F.lit(True))
+    sent = known.select("uuid", "survey_no", F.lit("register").alias("dataset"), F.lit(True).alias("sent")).distinct()
+    asked = rows.select("k", "survey_no", "uuid", F.explode(F.array(F.lit("register"), F.lit("resurvey"))).alias("dataset"))
+    found = asked.join(places, "uuid", "left").join(sent, ["uuid", "survey_no", "dataset"], "left")
+    return found.select("k", "dataset", F.when(F.col("there").isNull(), "new").when(F.col("sent"), "duplicate").otherwise("matched").alias("outcome"))
 
 
 _RULES = "VALUES ('DETECTED','UNDER_REVIEW'),('UNDER_REVIEW','SURVEY_REQUIRED'),('UNDER_REVIEW','RESOLVED'),('UNDER_REVIEW','REJECTED'),('SURVEY_REQUIRED','SURVEY_RECEIVED'),('SURVEY_REQUIRED','UNDER_REVIEW'),('SURVEY_RECEIVED','RECONCILIATION_PENDING'),('SURVEY_RECEIVED','UNDER_REVIEW'),('RECONCILIATION_PENDING','RESOLVED'),('RECONCILIATION_PENDING','UNDER_REVIEW'),('RESOLVED','APPROVED'),('RESOLVED','UNDER_REVIEW'),('APPROVED','REOPENED'),('REJECTED','REOPENED'),('REOPENED','UNDER_REVIEW')"
@@ -231,7 +263,7 @@ f(conflict_id, n, event_id, previous_state, requested_state, state, accepted) AS
 @query(_FOLD + " SELECT conflict_id, arg_max(state, n) AS final_state, count(*) FILTER (accepted) AS accepted, count(*) FILTER (NOT accepted AND n > 0) AS rejected FROM f GROUP BY conflict_id")
 def conflict_fsm(spark, sf_dir):
     log = ledger.fold_lifecycle(derived(spark, sf_dir, REQUESTS))
-    return log.groupBy("conflict_id").agg(F.first("final_state").alias("final_state"), F.count(F.when(F.col("accepted"), 1)).alias("accepted"), F.count(F.when(~F.col("accepted"), 1)).alias("rejected"))
+    return log.groupBy("conflict_id").agg(F.max_by("state", F.struct("ts", "event_id", "requested_state", "actor")).alias("final_state"), F.count(F.when(F.col("accepted"), 1)).alias("accepted"), F.count(F.when(~F.col("accepted"), 1)).alias("rejected"))
 
 
 @query(_FOLD + " SELECT conflict_id, event_id, previous_state, requested_state, accepted FROM f WHERE n > 0")
@@ -247,15 +279,37 @@ def conflict_create(spark, sf_dir):
     return rows.withColumn("i", i).select("conflict_id", F.concat(F.lit("CNF-"), F.col("s").cast("string"), F.when(F.col("i") > 1, F.concat(F.lit("-"), F.col("i").cast("string"))).otherwise("")).alias("name"), F.lit("DETECTED").alias("state"))
 
 
-@query(_FOLD + " SELECT conflict_id FROM (SELECT conflict_id, arg_max(state, n) AS s FROM f GROUP BY conflict_id) WHERE s = 'UNDER_REVIEW'")
+_LAST = _FOLD + f", z AS (SELECT conflict_id, arg_max(state, n) AS state FROM f GROUP BY conflict_id), r AS (SELECT * FROM ({CONFLICTS_SQL}) JOIN z USING (conflict_id))"
+
+
+def conflicts(spark, sf_dir) -> DataFrame:
+    """Conflict records with the state that their requests have led to."""
+    state = conflict_fsm(spark, sf_dir).select("conflict_id", F.col("final_state").alias("state"))
+    return derived(spark, sf_dir, CONFLICTS).join(state, "conflict_id")
+
+
+def listed_conflicts(rows: DataFrame, state: str | None = None, severity: str | None = None, near: str | None = None) -> DataFrame:
+    """Records by state and severity, in any case of letters, and by parcel or source id; a filter that is not given lets all pass."""
+    for column, wanted in (("state", state), ("severity", severity)):
+        if wanted is not None:
+            rows = rows.where(F.upper(column) == wanted.upper())
+    return rows if near is None else rows.where((F.col("parcel_id") == near) | (F.col("source_id") == near))
+
+
+@query(_LAST + " SELECT 'state and severity' AS asked, conflict_id, conflict_type, severity, parcel_id, source_id, state FROM r WHERE state = 'UNDER_REVIEW' AND severity = 'HIGH' UNION ALL SELECT 'source', conflict_id, conflict_type, severity, parcel_id, source_id, state FROM r WHERE source_id = 'S-7' OR parcel_id = 'S-7'")
 def conflict_list(spark, sf_dir):
-    """Conflicts in one state."""
-    return conflict_fsm(spark, sf_dir).where(F.upper("final_state") == "UNDER_REVIEW").select("conflict_id")
+    """Grave conflicts under review, and all of one source."""
+    rows, names = conflicts(spark, sf_dir), ("conflict_id", "conflict_type", "severity", "parcel_id", "source_id", "state")
+    parts = (("state and severity", listed_conflicts(rows, "Under_Review", "high")), ("source", listed_conflicts(rows, near="S-7")))
+    told = [df.select(F.lit(name).alias("asked"), *names) for name, df in parts]
+    return told[0].unionByName(told[1])
 
 
-@query(_FOLD + " SELECT s AS final_state, count(*) AS n FROM (SELECT conflict_id, arg_max(state, n) AS s FROM f GROUP BY conflict_id) GROUP BY s")
+@query(_LAST + " SELECT conflict_type, count(*) AS n, count(*) FILTER (state NOT IN ('RESOLVED', 'APPROVED', 'REJECTED')) AS open, row_number() OVER (ORDER BY count(*) DESC, conflict_type) AS place FROM r GROUP BY conflict_type")
 def conflict_breakdown(spark, sf_dir):
-    return conflict_fsm(spark, sf_dir).groupBy("final_state").agg(F.count(F.lit(1)).alias("n"))
+    """Counts by type, the commonest first."""
+    rows = conflicts(spark, sf_dir).groupBy("conflict_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("state").isin("RESOLVED", "APPROVED", "REJECTED"), 1)).alias("open"))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "conflict_type")).cast("long"))
 
 
 @query(f"WITH q AS (SELECT DISTINCT conflict_id FROM ({REQUESTS_SQL})), w AS (SELECT conflict_id, 'cnf-' || CAST(conflict_id AS VARCHAR) AS wanted FROM q) SELECT w.wanted, q.conflict_id AS found FROM w JOIN q ON upper(w.wanted) = 'CNF-' || CAST(q.conflict_id AS VARCHAR)")

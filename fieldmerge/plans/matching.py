@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from fieldmerge.config import MATCH
 from fieldmerge.functions import geometry as g
+from fieldmerge.functions.session import stored
 from fieldmerge.operators import clustering, policy, scoring, spatial_join
 from fieldmerge.operators.graph import connected_components
 from fieldmerge.plans.registry import query
+from fieldmerge.sources import files
 from fieldmerge.sources.derived import OBS, derived, sql_text
 
 R6 = lambda x: f"FLOOR(({x}) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE"
@@ -64,10 +66,10 @@ def decided_pairs(spark, sf_dir) -> DataFrame:
     return pairs.withColumn("decision", policy.decision(F.col("confidence"), F.col("centroid_dist")))
 
 
-@query(f"SELECT id, k, source, x0, y0, x1, y1, area_m2 FROM ({OBS_SQL}) WHERE k % 400 < 100")
+@query(f"SELECT id, k, source, x0, y0, x1, y1, area_m2 FROM ({OBS_SQL}) WHERE x0 >= 3000 AND x0 < 6000")
 def src_raw_features(spark, sf_dir):
-    """A scan restricted to one tile column."""
-    return observations(spark, sf_dir).where("k % 400 < 100").select("id", "k", "source", "x0", "y0", "x1", "y1", "area_m2")
+    """A scan of one tile column: features whose left edge lies in it."""
+    return observations(spark, sf_dir).where("x0 >= 3000 and x0 < 6000").select("id", "k", "source", "x0", "y0", "x1", "y1", "area_m2")
 
 
 @query(f"SELECT id, x0, y0, x1, y1 FROM ({OBS_SQL}) WHERE source = 'imagery'")
@@ -98,18 +100,23 @@ def source_union(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT n.id, n.source FROM ({OBS_SQL}) n WHERE NOT EXISTS (SELECT 1 FROM ({OBS_SQL}) o WHERE o.id = n.id AND o.k % 2 = 0)")
+@query(f"SELECT id, source FROM ({OBS_SQL})")
 def snk_raw_features(spark, sf_dir):
-    """What an append that ignores known ids would add: all observations against a table that has the even keys."""
-    obs = observations(spark, sf_dir)
-    return obs.join(obs.where("k % 2 = 0").select("id"), "id", "left_anti").select("id", "source")
+    """An append that ignores known ids: all observations, some twice, onto a stored table that has the even keys; the table as it is then."""
+    obs, path = observations(spark, sf_dir).select("id", "source", "k"), files.folder(spark, "raw")
+    obs.where("k % 2 = 0").write.parquet(path)
+    files.append_new(obs.unionByName(obs.where("k % 3 = 0")), path, ["id"])
+    return spark.read.parquet(path).select("id", "source")
 
 
-@query(PAIRS_SQL + "SELECT id_a, id_b FROM edges WHERE k_a % 3 <> 0")
+@query(PAIRS_SQL + f"SELECT id_a, id_b, {R('score', 6)} AS score FROM edges")
 def snk_match_edges(spark, sf_dir):
-    """Edges that are not in the stored table, which has those of every third key."""
-    edges = edges_of(spark, sf_dir).select("id_a", "id_b", "k_a").dropDuplicates(["id_a", "id_b"])
-    return edges.join(edges.where("k_a % 3 = 0").select("id_a", "id_b"), ["id_a", "id_b"], "left_anti").select("id_a", "id_b")
+    """Edges onto a stored table, which has those of every third key; the table as it is then."""
+    edges = edges_of(spark, sf_dir).select("id_a", "id_b", "k_a", g.rounded(F.col("score"), 6).alias("score"))
+    path = files.folder(spark, "match_edges")
+    edges.where("k_a % 3 = 0").write.parquet(path)
+    files.append_new(edges, path, ["id_a", "id_b"])
+    return spark.read.parquet(path).select("id_a", "id_b", "score")
 
 
 @query(PAIRS_SQL + "SELECT id_a, id_b, source_a, source_b FROM cand")
@@ -199,11 +206,18 @@ _IDS = """, ids AS (SELECT *, lower(trim(no_a)) AS ra, lower(trim(no_b)) AS rb,
 named AS (SELECT *, CASE WHEN ra = rb THEN 'EXACT_MATCH' WHEN na = nb THEN 'NORMALIZED_EQUIVALENT' WHEN contains(na, nb) OR contains(nb, na) THEN 'SUBSTRING_CONTAINMENT' ELSE 'FUZZY_STRING_SIMILARITY' END AS id_method FROM ids)"""
 
 
-@query(PAIRS_SQL + _IDS + " SELECT id_a, id_b, id_method, CASE id_method WHEN 'EXACT_MATCH' THEN 1.0::DOUBLE WHEN 'NORMALIZED_EQUIVALENT' THEN 0.95::DOUBLE ELSE 0.85::DOUBLE END AS id_score FROM named WHERE id_method <> 'FUZZY_STRING_SIMILARITY'")
+@query(PAIRS_SQL + _IDS + " SELECT id_a, id_b, id_method FROM named")
+def identifier_method(spark, sf_dir):
+    """The rule that settles the identifiers of every candidate pair, or that they are left to string comparison."""
+    pairs = spatial_join.candidate_pairs(observations(spark, sf_dir)).select("id_a", "id_b", "survey_no_a", "survey_no_b")
+    return scoring.identifier_similarity(pairs, "survey_no_a", "survey_no_b").select("id_a", "id_b", "id_method")
+
+
+@query()
 def identifier_similarity(spark, sf_dir):
-    """Pairs that a rule settles; those left to string comparison are in multi_signal_score."""
+    """All candidate pairs; SQL has no sequence comparison, so tests/test_brute_force.py holds the scores against difflib."""
     pairs = spatial_join.candidate_pairs(observations(spark, sf_dir)).select("id_a", "id_b", "survey_no_a", "survey_no_b")
-    return scoring.identifier_similarity(pairs, "survey_no_a", "survey_no_b").where("id_method <> 'FUZZY_STRING_SIMILARITY'").select("id_a", "id_b", "id_method", "id_score")
+    return scoring.identifier_similarity(pairs, "survey_no_a", "survey_no_b").select("id_a", "id_b", "id_method", "id_score")
 
 
 @query()
@@ -215,29 +229,31 @@ def multi_signal_score(spark, sf_dir):
 _Q = "least(1.0::DOUBLE, greatest(0.0::DOUBLE, 12.566370614359172::DOUBLE * {a} / ((2.0::DOUBLE * ({w} + {h})) * (2.0::DOUBLE * ({w} + {h})))))"
 _QA, _QB = _Q.format(a="ga", w="(ax1 - ax0)", h="(ay1 - ay0)"), _Q.format(a="gb", w="(bx1 - bx0)", h="(by1 - by0)")
 _PA, _PB = "(2.0::DOUBLE * ((ax1 - ax0) + (ay1 - ay0)))", "(2.0::DOUBLE * ((bx1 - bx0) + (by1 - by0)))"
-_CLASSED = _IDS + f""", signals AS (SELECT *, greatest(0.0::DOUBLE, 1.0::DOUBLE - least(centroid_dist / 15.0::DOUBLE, 1.0::DOUBLE)) AS s_centroid, least(ga, gb) / greatest(ga, gb) AS s_area,
- least({_QA}, {_QB}) / greatest({_QA}, {_QB}) AS s_shape, least({_PA}, {_PB}) / greatest({_PA}, {_PB}) AS s_perimeter,
- CASE id_method WHEN 'EXACT_MATCH' THEN 1.0::DOUBLE WHEN 'NORMALIZED_EQUIVALENT' THEN 0.95::DOUBLE WHEN 'SUBSTRING_CONTAINMENT' THEN 0.85::DOUBLE END AS id_score FROM named WHERE k_a = k_b),
-totals AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.3::DOUBLE * iou + 0.25::DOUBLE * s_centroid + 0.12::DOUBLE * s_area + 0.1::DOUBLE * s_shape + 0.08::DOUBLE * s_perimeter + 0.05::DOUBLE * iou + 0.05::DOUBLE * 1.0::DOUBLE + 0.05::DOUBLE * id_score)) AS cs FROM signals),
-classed AS (SELECT *, CASE WHEN cs >= 0.82::DOUBLE AND iou >= 0.7::DOUBLE AND centroid_dist < 2 THEN 'STRONG_MATCH' WHEN cs >= 0.6::DOUBLE AND centroid_dist < 5 THEN 'POSSIBLE_MATCH' WHEN cs >= 0.4::DOUBLE AND iou > 0.05::DOUBLE THEN 'WEAK_MATCH' ELSE 'NO_MATCH' END AS match_class FROM totals)"""
 
 
-@query(PAIRS_SQL + _CLASSED + f" SELECT id_a, id_b, {R('cs', 6)} AS candidate_score, match_class FROM classed")
+def classed_pairs(spark, sf_dir) -> DataFrame:
+    return scoring.multi_signal(scoring.with_overlap(spatial_join.candidate_pairs(observations(spark, sf_dir))))
+
+
+@query()
 def match_class(spark, sf_dir):
-    """Eight-signal score and class of the pairs whose identifiers name one key."""
-    pairs = scoring.with_overlap(spatial_join.candidate_pairs(observations(spark, sf_dir))).where("k_a = k_b")
-    return scoring.multi_signal(pairs).select("id_a", "id_b", g.rounded(F.col("candidate_score"), 6).alias("candidate_score"), "match_class")
+    """Eight-signal score and class of every candidate pair; held against a plain computation in tests/test_brute_force.py."""
+    return classed_pairs(spark, sf_dir).select("id_a", "id_b", g.rounded(F.col("candidate_score"), 6).alias("candidate_score"), "match_class")
 
 
-@query(PAIRS_SQL + _CLASSED + " SELECT match_class, count(*) AS n FROM classed GROUP BY match_class")
+@query()
 def match_benchmark(spark, sf_dir):
-    pairs = scoring.with_overlap(spatial_join.candidate_pairs(observations(spark, sf_dir))).where("k_a = k_b")
-    return scoring.multi_signal(pairs).groupBy("match_class").agg(F.count(F.lit(1)).alias("n"))
+    """Pairs of each class, of how many candidates and how many pairs of different sources there could be."""
+    counts = observations(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    possible = counts.agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("possible"))
+    classes = classed_pairs(spark, sf_dir).groupBy("match_class").agg(F.count(F.lit(1)).alias("n"))
+    rows = classes.withColumn("candidates", F.sum("n").over(Window.partitionBy(F.lit(1)))).join(F.broadcast(possible))
+    return rows.withColumn("reduction_pct", g.rounded(100 * (1 - F.col("candidates") / F.col("possible")), 6))
 
 
-@query(PAIRS_SQL + _CLASSED + f" SELECT id_a, id_b, {R('cs', 6)} AS candidate_score FROM classed ORDER BY 3 DESC, 1, 2 LIMIT 500")
+@query()
 def sorted_matches(spark, sf_dir):
-    """The 500 best pairs by rounded score and ids."""
+    """The 500 best of all candidate pairs by rounded score and ids."""
     return match_class(spark, sf_dir).orderBy(F.col("candidate_score").desc(), "id_a", "id_b").limit(500).select("id_a", "id_b", "candidate_score")
 
 
@@ -248,7 +264,7 @@ _DIFF = lambda a, b: f"CASE WHEN greatest({a}, {b}) > 0 THEN abs({a} - {b}) / gr
     PAIRS_SQL
     + f"""SELECT id_a, id_b, {R('iou', 4)} AS f_iou, {R('centroid_dist', 3)} AS f_drift, {R(_DIFF('ga', 'gb'), 2)} AS f_area_diff_pct, {R(_DIFF(_PA, _PB), 2)} AS f_perimeter_diff_pct,
  {R(_QA, 4)} AS f_compactness_a, {R(_QB, 4)} AS f_compactness_b, 5.0::DOUBLE AS f_vertices_a, 5.0::DOUBLE AS f_vertices_b, {R('inter_area / ga', 4)} AS f_overlap_a, {R('inter_area / gb', 4)} AS f_overlap_b,
- 2.0::DOUBLE AS f_sources, 0.85::DOUBLE AS f_extraction FROM pairs"""
+ CASE WHEN source_a <> source_b THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS f_sources, coalesce(greatest(ext_a, ext_b), 0.85::DOUBLE) AS f_extraction FROM pairs"""
 )
 def pair_features_12(spark, sf_dir):
     return scoring.pair_features(scoring.with_overlap(spatial_join.candidate_pairs(observations(spark, sf_dir))))
@@ -264,77 +280,111 @@ def components(spark, sf_dir):
     return connected_components(edges_of(spark, sf_dir), "id_a", "id_b")
 
 
-def clusters_of(spark, sf_dir):
-    return clustering.cluster_constrained(observations(spark, sf_dir), edges_of(spark, sf_dir))
+_FOLD = """, ranked AS (SELECT r.component, e.id_a, e.id_b, e.score, e.iou, row_number() OVER (PARTITION BY r.component ORDER BY e.score DESC, e.id_a, e.id_b) AS n FROM edges e JOIN reached r ON r.node = e.id_a),
+nodes AS (SELECT r.component, list({'id': o.id, 'source': o.source, 'label': o.id} ORDER BY o.id) AS members FROM reached r JOIN obs o ON o.id = r.node GROUP BY r.component),
+fold AS (
+  WITH RECURSIVE f(component, n, members, id_a, id_b, score, iou, fits) AS (
+    SELECT component, CAST(0 AS BIGINT), members, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), false FROM nodes
+    UNION ALL
+    SELECT component, n, CASE WHEN fits THEN list_transform(members, lambda x: {'id': x.id, 'source': x.source, 'label': CASE WHEN x.label = la OR x.label = lb THEN least(la, lb) ELSE x.label END}) ELSE members END, id_a, id_b, score, iou, fits
+    FROM (SELECT *, la = lb OR NOT list_has_any(list_transform(list_filter(members, lambda x: x.label = la), lambda x: x.source), list_transform(list_filter(members, lambda x: x.label = lb), lambda x: x.source)) AS fits
+          FROM (SELECT f.component, r.n, f.members, r.id_a, r.id_b, r.score, r.iou, list_filter(f.members, lambda x: x.id = r.id_a)[1].label AS la, list_filter(f.members, lambda x: x.id = r.id_b)[1].label AS lb
+                FROM f JOIN ranked r ON r.component = f.component AND r.n = f.n + 1)))
+  SELECT * FROM f),
+ends AS (SELECT component, unnest(arg_max(members, n)) AS x FROM fold GROUP BY component),
+clusters AS (SELECT o.id, coalesce(ends.x.label, o.id) AS cluster_id FROM obs o LEFT JOIN ends ON ends.x.id = o.id),
+settled AS (SELECT f.id_a, f.id_b, f.score, f.iou, c.cluster_id, f.fits AS accepted FROM fold f JOIN clusters c ON c.id = f.id_a WHERE f.n > 0)"""
+#: DuckDB: the greedy rule of cluster_constrained, an edge of each component a step.
+CLUSTERS_SQL = PAIRS_SQL + _COMPONENTS + _FOLD
 
 
-@query()
+#: Tables of this session by application, folder and name: what many queries start from is computed once and read from the shared folder.
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(spark, sf_dir: str, name: str, make) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = stored(make(), name)
+    return _TABLES[key]
+
+
+def clusters_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(id, cluster_id) of all observations and the settled edges, matched, scored and clustered; stored once a session."""
+    made: list = []
+
+    def both():
+        if not made:
+            made.extend(clustering.cluster_constrained(observations(spark, sf_dir), edges_of(spark, sf_dir)))
+        return made
+
+    return kept(spark, sf_dir, "cluster_members", lambda: both()[0]), kept(spark, sf_dir, "cluster_edges", lambda: both()[1])
+
+
+@query(CLUSTERS_SQL + " SELECT id, cluster_id FROM clusters")
 def cluster_constrained(spark, sf_dir):
-    return clusters_of(spark, sf_dir)[0]
+    return clustering.cluster_constrained(observations(spark, sf_dir), edges_of(spark, sf_dir))[0]
 
 
-@query()
+@query(CLUSTERS_SQL + " SELECT id_a, id_b, cluster_id FROM settled WHERE NOT accepted")
 def rejected_edges(spark, sf_dir):
     return clusters_of(spark, sf_dir)[1].where("not accepted").select("id_a", "id_b", "cluster_id")
 
 
-@query(f"SELECT count(*) AS clusters_with_duplicate FROM ({OBS_SQL}) WHERE false")
+@query(CLUSTERS_SQL + " SELECT count(*) AS clusters, count(*) FILTER (members > sources) AS clusters_with_duplicate, max(members) AS largest FROM (SELECT cluster_id, count(*) AS members, count(DISTINCT source) AS sources FROM clusters JOIN obs USING (id) GROUP BY cluster_id)")
 def duplicate_source_flag(spark, sf_dir):
-    """Clusters that hold two observations of one source: none, by construction."""
+    """Clusters that hold two observations of one source, of how many."""
     flags = clustering.duplicate_source_flag(observations(spark, sf_dir), clusters_of(spark, sf_dir)[0])
-    return flags.agg(F.count(F.when(F.col("duplicate_source"), 1)).alias("clusters_with_duplicate"))
-
-
-#: Clusters by key, which is what the matcher finds up to the refused duplicates: the given clusters of the merge queries.
-_BY_KEY = f"WITH m AS (SELECT *, k AS cluster_id FROM ({OBS_SQL}) WHERE id <> k * 4), "
-
-
-def given_clusters(spark, sf_dir):
-    obs = observations(spark, sf_dir).where("id <> k * 4")
-    return obs, obs.select("id", F.col("k").alias("cluster_id"))
+    return flags.agg(F.count(F.lit(1)).alias("clusters"), F.count(F.when(F.col("duplicate_source"), 1)).alias("clusters_with_duplicate"), F.max("members").alias("largest"))
 
 
+_MEMBERS = CLUSTERS_SQL + ", m AS (SELECT o.*, c.cluster_id FROM obs o JOIN clusters c ON c.id = o.id)"
 _RECONCILED = (
-    _BY_KEY
-    + """e AS (SELECT a.k AS cluster_id, a.id AS i, b.id AS j, greatest(0.0::DOUBLE, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0::DOUBLE, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS o,
- (a.x1 - a.x0) * (a.y1 - a.y0) AS ga, (b.x1 - b.x0) * (b.y1 - b.y0) AS gb, sqrt(((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) * ((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) + ((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) * ((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2)) AS d
- FROM m a JOIN m b ON a.k = b.k AND a.id < b.id),
-p AS (SELECT cluster_id, avg(o / (ga + gb - o)) AS avg_iou, max(d) AS drift FROM e GROUP BY cluster_id),
+    _MEMBERS
+    + """, dr AS (SELECT a.cluster_id, max(sqrt(((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) * ((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) + ((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) * ((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2))) AS drift
+ FROM m a JOIN m b ON a.cluster_id = b.cluster_id AND a.id < b.id GROUP BY a.cluster_id),
+p AS (SELECT cluster_id, avg(score) AS avg_score, avg(iou) AS avg_iou FROM settled WHERE accepted GROUP BY cluster_id),
 c AS (SELECT cluster_id, list_sort(list(DISTINCT source)) AS sources, count(*) AS source_count, (max(area_m2) - min(area_m2)) / max(area_m2) * 100 AS spread, max(extraction_confidence) AS ext FROM m GROUP BY cluster_id)"""
 )
 
 
-@query(_RECONCILED + f" SELECT c.cluster_id, array_to_string(sources, ',') AS sources, source_count, {R('avg_iou', 6)} AS avg_iou, {R('coalesce(drift, 0.0::DOUBLE)', 3)} AS centroid_drift_m, {R('spread', 6)} AS area_variance_pct FROM c LEFT JOIN p USING (cluster_id)")
+@query(_RECONCILED + f" SELECT c.cluster_id, array_to_string(sources, ',') AS sources, source_count, CASE WHEN avg_score IS NULL THEN NULL ELSE {R('avg_score', 6)} END AS avg_score, CASE WHEN avg_iou IS NULL THEN NULL ELSE {R('avg_iou', 6)} END AS avg_iou, {R('coalesce(drift, 0.0::DOUBLE)', 3)} AS centroid_drift_m, {R('spread', 6)} AS area_variance_pct FROM c LEFT JOIN p USING (cluster_id) LEFT JOIN dr USING (cluster_id)")
 def reconcile_cluster(spark, sf_dir):
-    found = reconciled_by_key(spark, sf_dir)
-    return found.select("cluster_id", F.array_join("sources", ",").alias("sources"), "source_count", g.rounded(F.col("avg_iou_agreement"), 6).alias("avg_iou"), g.rounded(F.col("centroid_drift_m"), 3).alias("centroid_drift_m"), g.rounded(F.col("area_variance_pct"), 6).alias("area_variance_pct"))
-
+    found = clustering.reconcile(observations(spark, sf_dir), *clusters_of(spark, sf_dir))
+    return found.select("cluster_id", F.array_join("sources", ",").alias("sources"), "source_count", g.rounded(F.col("avg_match_score"), 6).alias("avg_score"), g.rounded(F.col("avg_iou_agreement"), 6).alias("avg_iou"), g.rounded(F.col("centroid_drift_m"), 3).alias("centroid_drift_m"), g.rounded(F.col("area_variance_pct"), 6).alias("area_variance_pct"))
 
-def reconciled_by_key(spark, sf_dir):
-    obs, clusters = given_clusters(spark, sf_dir)
-    a, b = (obs.select(*(F.col(c).alias(f"{c}{s}") for c in ("k", "id", "x0", "y0", "x1", "y1"))) for s in ("_a", "_b"))
-    pairs = a.join(b, F.col("k_a") == F.col("k_b")).where("id_a < id_b")
-    overlap = g.iou(g.box(suffix="_a"), g.box(suffix="_b"))
-    edges = pairs.select(F.col("k_a").alias("cluster_id"), overlap.alias("score"), overlap.alias("iou"), F.lit(True).alias("accepted"))
-    return clustering.reconcile(obs, clusters, edges)
 
-
-_CONF = R("least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.5::DOUBLE * coalesce(avg_iou, 0.3::DOUBLE) + 0.35::DOUBLE * coalesce(avg_iou, 0.0::DOUBLE) + 0.15::DOUBLE * coalesce(ext, 0.5::DOUBLE)))", 4)
+_CONF = R("least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.5::DOUBLE * coalesce(avg_score, 0.3::DOUBLE) + 0.35::DOUBLE * coalesce(avg_iou, 0.0::DOUBLE) + 0.15::DOUBLE * coalesce(ext, 0.5::DOUBLE)))", 4)
 _ENTITIES = (
     _RECONCILED
-    + f""", f AS (SELECT c.cluster_id, sources, source_count, avg_iou, coalesce(drift, 0.0::DOUBLE) AS drift, {_CONF} AS confidence FROM c LEFT JOIN p USING (cluster_id)),
+    + f""", f AS (SELECT c.cluster_id, sources, source_count, spread, avg_iou, coalesce(drift, 0.0::DOUBLE) AS drift, {_CONF} AS confidence FROM c LEFT JOIN p USING (cluster_id) LEFT JOIN dr USING (cluster_id)),
 ent AS (SELECT *, CASE WHEN {R('drift', 4)} >= 2 THEN 'conflict' WHEN confidence >= 0.85::DOUBLE THEN 'auto_reconciled' WHEN confidence >= 0.7::DOUBLE THEN 'review_required' ELSE 'conflict' END AS decision FROM f)"""
 )
 
 
-def entities(spark, sf_dir):
-    """Reconciled clusters with confidence and decision; the match score is the mean overlap."""
-    found = reconciled_by_key(spark, sf_dir)
+def reconciled(obs: DataFrame, members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Clusters with confidence and decision; the match score is the mean score of their accepted edges."""
+    found = clustering.reconcile(obs, members, edges)
     conf = policy.confidence(F.col("avg_match_score"), F.col("avg_iou_agreement"), F.col("extraction_confidence"), F.col("duplicate_source"))
     found = found.withColumn("confidence", conf)
     return found.withColumn("decision", policy.decision(F.col("confidence"), F.col("centroid_drift_m"), F.col("duplicate_source")))
 
 
+def entities(spark, sf_dir) -> DataFrame:
+    """The reconciled table of all observations, stored once a session."""
+    return kept(spark, sf_dir, "entities", lambda: reconciled(observations(spark, sf_dir), *clusters_of(spark, sf_dir)))
+
+
+@query(_ENTITIES + f" SELECT decision, count(*) AS n, CAST(sum(source_count) AS BIGINT) AS observations, {R('100.0::DOUBLE * count(*) / sum(count(*)) OVER ()', 4)} AS pct FROM ent GROUP BY decision")
+def reconcile_end_to_end(spark, sf_dir):
+    """The whole run with nothing kept from before: observations, candidates, scores, edges, clusters, reconciled records, confidence, decisions, the written table, its counts."""
+    obs = stored(observations(spark, sf_dir), "observations")
+    edges = scoring.match_edges(scoring.combined_score(scoring.with_overlap(spatial_join.candidate_pairs(obs))))
+    written = stored(reconciled(obs, *clustering.cluster_constrained(obs, edges)), "canonical")
+    counts = written.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.sum("source_count").alias("observations"))
+    return counts.withColumn("pct", g.rounded(F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 4))
+
+
 @query(_ENTITIES + " SELECT cluster_id, confidence FROM ent")
 def confidence(spark, sf_dir):
     return entities(spark, sf_dir).select("cluster_id", "confidence")
@@ -369,23 +419,27 @@ def explain_decision(spark, sf_dir):
 
 
 _MERGED = (
-    _BY_KEY
-    + """f AS (SELECT cluster_id, max(x0) AS ix0, max(y0) AS iy0, min(x1) AS ix1, min(y1) AS iy1, min(x0) AS ux0, min(y0) AS uy0, max(x1) AS ux1, max(y1) AS uy1, count(*) AS members, sum((x1 - x0) * (y1 - y0)) AS single FROM m GROUP BY cluster_id),
-t AS (SELECT a.cluster_id, sum(greatest(0.0::DOUBLE, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0::DOUBLE, least(a.y1, b.y1) - greatest(a.y0, b.y0))) AS twos FROM m a JOIN m b ON a.k = b.k AND a.id < b.id GROUP BY a.cluster_id),
-j AS (SELECT *, greatest(0.0::DOUBLE, ix1 - ix0) * greatest(0.0::DOUBLE, iy1 - iy0) AS common FROM f LEFT JOIN t USING (cluster_id))"""
+    _MEMBERS
+    + """, g AS (SELECT cluster_id, max(x0) AS ix0, max(y0) AS iy0, min(x1) AS ix1, min(y1) AS iy1, min(x0) AS ux0, min(y0) AS uy0, max(x1) AS ux1, max(y1) AS uy1, count(*) AS members, sum((x1 - x0) * (y1 - y0)) AS single FROM m GROUP BY cluster_id),
+t AS (SELECT a.cluster_id, sum(greatest(0.0::DOUBLE, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0::DOUBLE, least(a.y1, b.y1) - greatest(a.y0, b.y0))) AS twos FROM m a JOIN m b ON a.cluster_id = b.cluster_id AND a.id < b.id GROUP BY a.cluster_id),
+j AS (SELECT *, greatest(0.0::DOUBLE, ix1 - ix0) * greatest(0.0::DOUBLE, iy1 - iy0) AS common FROM g LEFT JOIN t USING (cluster_id))"""
 )
 
 
+def all_members(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return observations(spark, sf_dir), clusters_of(spark, sf_dir)[0]
+
+
 @query(_MERGED + f" SELECT cluster_id, members, {R('single - coalesce(twos, 0) + CASE WHEN members = 3 THEN common ELSE 0 END', 6)} AS union_area FROM j")
 def merge_geometry_union(spark, sf_dir):
-    return clustering.merged_geometry(*given_clusters(spark, sf_dir)).select("cluster_id", "members", g.rounded(F.col("union_area"), 6).alias("union_area"))
+    return clustering.merged_geometry(*all_members(spark, sf_dir)).select("cluster_id", "members", g.rounded(F.col("union_area"), 6).alias("union_area"))
 
 
 @query(_MERGED + f" SELECT cluster_id, {R('common', 6)} AS common_area, CASE WHEN ix1 <= ix0 OR iy1 <= iy0 THEN ux0 ELSE ix0 END AS x0, CASE WHEN ix1 <= ix0 OR iy1 <= iy0 THEN ux1 ELSE ix1 END AS x1 FROM j")
 def merge_geometry_intersection(spark, sf_dir):
-    return clustering.merged_geometry(*given_clusters(spark, sf_dir)).select("cluster_id", g.rounded(F.col("common_area"), 6).alias("common_area"), "x0", "x1")
+    return clustering.merged_geometry(*all_members(spark, sf_dir)).select("cluster_id", g.rounded(F.col("common_area"), 6).alias("common_area"), "x0", "x1")
 
 
-@query(_BY_KEY.rstrip(", ") + " SELECT cluster_id, arg_min(building_type, id) FILTER (building_type <> 'unknown') AS building_type, arg_min(survey_no, id) AS survey_no FROM m GROUP BY cluster_id")
+@query(_MEMBERS + " SELECT cluster_id, arg_min(building_type, id) FILTER (building_type <> 'unknown') AS building_type, arg_min(survey_no, id) AS survey_no FROM m GROUP BY cluster_id")
 def merge_attributes(spark, sf_dir):
-    return clustering.merge_attributes(*given_clusters(spark, sf_dir))
+    return clustering.merge_attributes(*all_members(spark, sf_dir))

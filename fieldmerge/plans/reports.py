@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmerge.functions import geometry as g
+from fieldmerge.functions.session import stored
 from fieldmerge.operators import scoring, spatial_join
-from fieldmerge.plans.matching import _ENTITIES, OBS_SQL, PAIRS_SQL, R, decided_pairs, edges_of, entities, observations
+from fieldmerge.plans.matching import _ENTITIES, OBS_SQL, PAIRS_SQL, R, clusters_of, decided_pairs, edges_of, entities, observations
 from fieldmerge.plans.registry import query
+from fieldmerge.sources import files
 
 _PLACED = _ENTITIES + ", pos AS (SELECT cluster_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, (min(x0) + max(x1)) / 2 AS cx, (min(y0) + max(y1)) / 2 AS cy FROM m GROUP BY cluster_id), pe AS (SELECT ent.*, x0, y0, x1, y1, cx, cy FROM ent JOIN pos USING (cluster_id))"
 _REVIEW = "decision <> 'auto_reconciled'"
+#: Fixed value: labels that training asks for.
+MIN_LABELS = 500
 
 
 def placed(spark, sf_dir) -> DataFrame:
     """Entities with the extent of their members and its centre."""
-    obs = observations(spark, sf_dir).where("id <> k * 4")
-    extent = obs.groupBy(F.col("k").alias("cluster_id")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    obs = observations(spark, sf_dir).join(clusters_of(spark, sf_dir)[0], "id")
+    extent = obs.groupBy("cluster_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     extent = extent.withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2})
     return entities(spark, sf_dir).join(extent, "cluster_id").withColumn("needs_review", F.col("decision") != "auto_reconciled")
 
@@ -42,9 +46,9 @@ def centroid_in_bbox(spark, sf_dir):
     return rows.where(F.col("cx").isNull() | (F.col("cx").between(500, 2500) & F.col("cy").between(0, 600))).select("cluster_id")
 
 
-@query(_ENTITIES + " SELECT cluster_id, confidence, decision FROM ent WHERE cluster_id = 7")
+@query(_ENTITIES + " SELECT cluster_id, confidence, decision FROM ent WHERE cluster_id = 29")
 def entity_lookup(spark, sf_dir):
-    return entities(spark, sf_dir).where("cluster_id = 7").select("cluster_id", "confidence", "decision")
+    return entities(spark, sf_dir).where("cluster_id = 29").select("cluster_id", "confidence", "decision")
 
 
 @query(_ENTITIES + f" SELECT cluster_id, confidence FROM ent WHERE {_REVIEW} ORDER BY confidence, cluster_id LIMIT 500")
@@ -81,10 +85,25 @@ def grid_cluster_summary(spark, sf_dir):
     return placed(spark, sf_dir).groupBy(snap("cx").alias("gx"), snap("cy").alias("gy")).agg(F.count(F.lit(1)).alias("n"), (F.sum(F.floor(F.col("confidence") * 10000 + F.lit(0.5)).cast("long")).cast("double") / F.count(F.lit(1)).cast("double") / 10000).alias("avg_confidence"))
 
 
-@query(_ENTITIES + " SELECT cluster_id % 50 AS dataset_id, CASE WHEN bool_or(decision <> 'auto_reconciled') THEN 'REVIEW REQUIRED' ELSE 'READY' END AS badge FROM ent GROUP BY 1")
+_BADGE = """, g AS (SELECT CAST(FLOOR(CAST(cluster_id AS DOUBLE) / 20) AS BIGINT) AS dataset_id, count(*) FILTER (decision = 'conflict') AS conflicts, count(*) FILTER (decision = 'review_required') AS reviews, count(*) FILTER (decision = 'auto_reconciled' AND source_count > 1) AS verified, count(*) AS total FROM ent GROUP BY 1)"""
+
+
+@query(
+    _ENTITIES
+    + _BADGE
+    + """ SELECT dataset_id, CASE WHEN conflicts > 0 OR reviews > 0 THEN 'REVIEW REQUIRED' WHEN dataset_id % 5 = 1 THEN 'PROCESSING' WHEN dataset_id % 7 = 2 THEN 'FAILED' WHEN verified = total AND total > 0 THEN 'READY' ELSE 'ACTIVE' END AS badge FROM g"""
+)
 def dataset_badge(spark, sf_dir):
-    rows = entities(spark, sf_dir).groupBy((F.col("cluster_id") % 50).alias("dataset_id")).agg(F.bool_or(F.col("decision") != "auto_reconciled").alias("open"))
-    return rows.select("dataset_id", F.when(F.col("open"), "REVIEW REQUIRED").otherwise("READY").alias("badge"))
+    """The badge of a data set: its conflicts and reviews first, then the state of its import (here from its number), then whether all is verified by two sources."""
+    n = lambda c: F.count(F.when(c, 1))
+    number = F.floor(F.col("cluster_id") / 20).alias("dataset_id")
+    rows = entities(spark, sf_dir).groupBy(number).agg(n(F.col("decision") == "conflict").alias("conflicts"), n(F.col("decision") == "review_required").alias("reviews"), n((F.col("decision") == "auto_reconciled") & (F.col("source_count") > 1)).alias("verified"), F.count(F.lit(1)).alias("total"))
+    state = F.when(F.col("dataset_id") % 5 == 1, "PROCESSING").when(F.col("dataset_id") % 7 == 2, "FAILED").otherwise("DONE")
+    badge = (
+        F.when((F.col("conflicts") > 0) | (F.col("reviews") > 0), "REVIEW REQUIRED").when(state == "PROCESSING", "PROCESSING").when(state == "FAILED", "FAILED")
+        .when((F.col("verified") == F.col("total")) & (F.col("total") > 0), "READY").otherwise("ACTIVE")
+    )
+    return rows.select("dataset_id", badge.alias("badge"))
 
 
 @query(_ENTITIES + f" SELECT {R('100.0::DOUBLE * count(*) FILTER (NOT (decision <> ' + chr(39) + 'auto_reconciled' + chr(39) + ')) / count(*)', 4)} AS verified_pct, count(*) FILTER ({_REVIEW}) AS to_check, {R('100.0::DOUBLE * count(*) FILTER (drift < 1) / count(*)', 4)} AS under_1m_pct, {R('max(drift)', 4)} AS largest FROM ent")
@@ -101,10 +120,10 @@ def difference_vs_agreement(spark, sf_dir):
     return entities(spark, sf_dir).select("cluster_id", g.rounded(F.col("centroid_drift_m"), 4).alias("difference"), g.rounded(F.col("avg_iou_agreement"), 6).alias("agreement"), "confidence", "decision")
 
 
-@query(f"WITH m AS (SELECT DISTINCT k, source FROM ({OBS_SQL}) WHERE id <> k * 4) SELECT source, count(*) AS n, {R('100.0::DOUBLE * count(*) / (SELECT count(DISTINCT k) FROM m)', 4)} AS coverage_pct FROM m GROUP BY source")
+@query(_ENTITIES + f", sc AS (SELECT DISTINCT cluster_id, source FROM m) SELECT source, count(*) AS n, {R('100.0::DOUBLE * count(*) / (SELECT count(*) FROM ent)', 4)} AS coverage_pct FROM sc GROUP BY source")
 def source_contribution(spark, sf_dir):
     rows = entities(spark, sf_dir).select("cluster_id", F.explode("sources").alias("source"))
-    total = rows.agg(F.countDistinct("cluster_id").alias("total"))
+    total = entities(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"))
     counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(F.broadcast(total)).select("source", "n", g.rounded(F.lit(100.0) * F.col("n") / F.col("total"), 4).alias("coverage_pct"))
 
@@ -124,16 +143,27 @@ def source_pair_agreement(spark, sf_dir):
     )
 
 
-@query(PAIRS_SQL + f", q AS (SELECT k_a % 20 AS g, iou, centroid_dist AS d FROM edges), w AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY d) AS r, count(*) OVER (PARTITION BY g) AS c FROM q) SELECT g AS dataset_id, {R('avg(iou)', 6)} AS mean_iou, {R('median(iou)', 6)} AS median_iou, {R('avg(d)', 6)} AS mean_drift, {R('max(d) FILTER (r = CAST(floor(0.95::DOUBLE * c) AS BIGINT) + 1)', 6)} AS p95_drift, {R('100.0::DOUBLE * count(*) FILTER (d < 2) / count(*)', 4)} AS under_2m_pct FROM w GROUP BY g")
+@query(PAIRS_SQL + f", q AS (SELECT k_a % 20 AS g, iou, centroid_dist AS d, abs(area_a - area_b) / greatest(area_a, area_b) * 100 AS v FROM edges), w AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY d) AS r, count(*) OVER (PARTITION BY g) AS c FROM q) SELECT g AS dataset_id, {R('avg(iou)', 6)} AS mean_iou, {R('median(iou)', 6)} AS median_iou, {R('avg(d)', 6)} AS mean_drift, {R('max(d) FILTER (r = CAST(floor(0.95::DOUBLE * c) AS BIGINT) + 1)', 6)} AS p95_drift, {R('avg(v)', 6)} AS mean_area_variance, {R('100.0::DOUBLE * count(*) FILTER (d < 2) / count(*)', 4)} AS under_2m_pct FROM w GROUP BY g")
 def geometric_quality(spark, sf_dir):
-    """Per data set; the 95th percentile is the value of rank floor(0.95 n) + 1."""
-    rows = edges_of(spark, sf_dir).select((F.col("k_a") % 20).alias("dataset_id"), "iou", F.col("centroid_dist").alias("d"))
-    w = Window.partitionBy("dataset_id")
-    rows = rows.withColumns({"r": F.row_number().over(w.orderBy("d")), "c": F.count(F.lit(1)).over(w)})
-    return rows.groupBy("dataset_id").agg(
-        g.rounded(F.avg("iou"), 6).alias("mean_iou"), g.rounded(F.median("iou"), 6).alias("median_iou"), g.rounded(F.avg("d"), 6).alias("mean_drift"),
-        g.rounded(F.max(F.when(F.col("r") == F.floor(F.lit(0.95) * F.col("c")) + 1, F.col("d"))), 6).alias("p95_drift"), g.rounded(F.lit(100.0) * F.count(F.when(F.col("d") < 2, 1)) / F.count(F.lit(1)), 4).alias("under_2m_pct"),
+    """Per data set; the 95th percentile is the value of rank floor(0.95 n) + 1.
+
+    No data set is brought together to be sorted: values are counted by data set and millimetre, ranks run over those counts
+    (as many as there are millimetres), and only the one that holds the rank is looked into.
+    """
+    a, b = F.col("area_m2_a"), F.col("area_m2_b")
+    rows = edges_of(spark, sf_dir).select((F.col("k_a") % 20).alias("dataset_id"), "iou", F.col("centroid_dist").alias("d"), (F.abs(a - b) / F.greatest(a, b) * 100).alias("v"))
+    rows = stored(rows.withColumn("mm", F.floor(F.col("d") * 1000)), "edge_quality")
+    steps = rows.groupBy("dataset_id", "mm").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("dataset_id")
+    steps = steps.withColumns({"upto": F.sum("n").over(by.orderBy("mm")), "c": F.sum("n").over(by)}).withColumn("want", F.floor(F.lit(0.95) * F.col("c")) + 1)
+    step = steps.where("upto >= want and upto - n < want").select("dataset_id", "mm", (F.col("want") - (F.col("upto") - F.col("n"))).cast("int").alias("nth"))
+    within = rows.join(step, ["dataset_id", "mm"]).groupBy("dataset_id", "nth").agg(F.sort_array(F.collect_list("d")).alias("all"))
+    p95 = within.select("dataset_id", F.element_at("all", F.col("nth")).alias("p95"))
+    found = rows.groupBy("dataset_id").agg(
+        g.rounded(F.avg("iou"), 6).alias("mean_iou"), g.rounded(F.median("iou"), 6).alias("median_iou"), g.rounded(F.avg("d"), 6).alias("mean_drift"), g.rounded(F.avg("v"), 6).alias("mean_area_variance"),
+        g.rounded(F.lit(100.0) * F.count(F.when(F.col("d") < 2, 1)) / F.count(F.lit(1)), 4).alias("under_2m_pct"),
     )
+    return found.join(p95, "dataset_id").withColumn("p95_drift", g.rounded(F.col("p95"), 6)).drop("p95")
 
 
 @query(_ENTITIES + f", q AS (SELECT avg(avg_iou) AS i, avg(drift) AS d, avg(confidence) AS c FROM ent) SELECT 'iou' AS metric, {R('i', 6)} AS value, CASE WHEN i >= 0.85 THEN 'PASSED' ELSE 'WARNING' END AS status FROM q UNION ALL SELECT 'drift', {R('d', 6)}, CASE WHEN d <= 0.8 THEN 'PASSED' ELSE 'WARNING' END FROM q UNION ALL SELECT 'confidence', {R('c', 6)}, CASE WHEN c >= 0.8 THEN 'PASSED' ELSE 'WARNING' END FROM q UNION ALL SELECT 'agreement', {R('100 * i - 1.5 * d', 6)}, CASE WHEN 100 * i - 1.5 * d >= 85 THEN 'PASSED' ELSE 'WARNING' END FROM q")
@@ -187,11 +217,12 @@ def active_version(spark, sf_dir):
 
 @query(_PLACED + ", old AS (SELECT cluster_id, 0.5::DOUBLE AS confidence, true AS needs_review, x0 FROM pe WHERE cluster_id % 2 = 0) SELECT n.cluster_id, n.confidence, n.decision <> 'auto_reconciled' AS needs_review, coalesce(old.x0 - 1, n.x0) AS x0 FROM pe n LEFT JOIN old USING (cluster_id)")
 def snk_canonical_upsert(spark, sf_dir):
-    """New entities over a stored table (the even ones, a metre off): of those that exist only confidence and review change."""
+    """New entities over a stored table (the even ones, a metre off), written and read back: of those that exist only confidence and review change."""
     new = placed(spark, sf_dir).select("cluster_id", "confidence", "needs_review", "x0")
-    old = new.where("cluster_id % 2 = 0").select("cluster_id", F.lit(0.5).alias("old_confidence"), F.lit(True).alias("old_review"), (F.col("x0") - 1).alias("old_x0"))
-    both = old.join(new, "cluster_id", "full_outer")
-    return both.select("cluster_id", F.coalesce("confidence", "old_confidence").alias("confidence"), F.coalesce("needs_review", "old_review").alias("needs_review"), F.coalesce("old_x0", "x0").alias("x0"))
+    path = files.folder(spark, "canonical")
+    files.upsert(new.where("cluster_id % 2 = 0").select("cluster_id", F.lit(0.5).alias("confidence"), F.lit(True).alias("needs_review"), (F.col("x0") - 1).alias("x0")), path, "cluster_id", ["confidence", "needs_review"])
+    files.upsert(new, path, "cluster_id", ["confidence", "needs_review"])
+    return files.current(spark, path)
 
 
 @query(_PLACED + f" SELECT cluster_id AS parcel_id, array_to_string(sources, ';') AS sources, source_count, {R('drift', 3)} AS drift_m, confidence, decision, {_REVIEW} AS needs_review, {R('cx', 3)} AS cx, {R('cy', 3)} AS cy, {R('(x1 - x0) * (y1 - y0)', 2)} AS area_m2 FROM pe")
@@ -204,49 +235,78 @@ def snk_csv_ledger(spark, sf_dir):
     )
 
 
-@query()
+@query(_PLACED + f" SELECT cluster_id AS dataset, 'e-' || CAST(cluster_id AS VARCHAR) AS uid, confidence, {_REVIEW} AS needs_review, {R('(x1 - x0) * (y1 - y0)', 2)} AS area_m2 FROM pe".replace("cluster_id AS dataset", "CAST(FLOOR(CAST(cluster_id AS DOUBLE) / 1000) AS BIGINT) AS dataset"))
 def snk_geojson_export(spark, sf_dir):
-    """One GeoJSON feature a row, as sinks.write_lines writes them."""
+    """A feature collection for each 1,000 ids, written as text and read back as features."""
     rows = placed(spark, sf_dir)
     ring = F.array(*(F.array(F.col(x), F.col(y)) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), F.struct("cluster_id", "confidence", "needs_review").alias("properties"))
-    return rows.select(F.to_json(feature).alias("value"))
-
-
-@query()
+    area = g.rounded((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), 2)
+    dataset = F.floor(F.col("cluster_id") / 1000)
+    told = F.struct(dataset.alias("dataset"), F.concat(F.lit("e-"), F.col("cluster_id").cast("string")).alias("uid"), "confidence", "needs_review", area.alias("area_m2"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), told.alias("properties"))
+    sets = rows.groupBy(dataset.alias("dataset")).agg(F.collect_list(feature).alias("features"))
+    path = files.folder(spark, "export")
+    files.write_lines(sets.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")), path)
+    back = files.read_geojson(spark, path, multi_line=False)
+    of = lambda name, kind: F.element_at("properties", name).cast(kind).alias(name)
+    return back.select(of("dataset", "long"), of("uid", "string"), of("confidence", "double"), of("needs_review", "boolean"), of("area_m2", "double"))
+
+
+@query(
+    _ENTITIES
+    + f""" SELECT cluster_id % 50 AS dataset_id, count(*) FILTER (decision = 'auto_reconciled') AS auto, count(*) FILTER (decision = 'review_required') AS review, count(*) FILTER (decision = 'conflict') AS conflict, {R('max(drift)', 3)} AS largest FROM ent GROUP BY 1"""
+)
 def snk_json_package(spark, sf_dir):
-    """One JSON object per data set: counts by decision, mean confidence, largest difference."""
+    """One JSON object per data set, written as lines and read back: counts by decision and the largest difference."""
     rows = entities(spark, sf_dir).withColumn("dataset_id", F.col("cluster_id") % 50)
     n = lambda d: F.count(F.when(F.col("decision") == d, 1))
-    found = rows.groupBy("dataset_id").agg(F.struct(n("auto_reconciled").alias("auto"), n("review_required").alias("review"), n("conflict").alias("conflict"), F.round(F.avg("confidence"), 4).alias("confidence"), F.round(F.max("centroid_drift_m"), 3).alias("largest")).alias("summary"))
-    return found.select("dataset_id", F.to_json(F.struct("dataset_id", "summary")).alias("value"))
+    found = rows.groupBy("dataset_id").agg(F.struct(n("auto_reconciled").alias("auto"), n("review_required").alias("review"), n("conflict").alias("conflict"), g.rounded(F.max("centroid_drift_m"), 3).alias("largest")).alias("summary"))
+    path = files.folder(spark, "package")
+    files.write_lines(found.select(F.to_json(F.struct("dataset_id", "summary")).alias("value")), path)
+    back = spark.read.schema("dataset_id long, summary struct<auto: long, review: long, conflict: long, largest: double>").json(path)
+    return back.select("dataset_id", "summary.*")
 
 
-@query(f"SELECT 'complete' AS status, (SELECT count(*) FROM ({OBS_SQL})) AS observations, (SELECT count(*) FROM (" + PAIRS_SQL + "SELECT 1 FROM edges)) AS edges")
+@query(_ENTITIES + " SELECT unnest(['started', 'complete']) AS status, unnest([CAST(NULL AS BIGINT), (SELECT count(*) FROM obs)]) AS observations, unnest([CAST(NULL AS BIGINT), (SELECT count(*) FROM edges)]) AS edges, unnest([CAST(NULL AS BIGINT), (SELECT count(*) FROM ent)]) AS entities")
 def snk_run_log(spark, sf_dir):
-    obs = observations(spark, sf_dir).agg(F.count(F.lit(1)).alias("observations"))
-    edges = edges_of(spark, sf_dir).agg(F.count(F.lit(1)).alias("edges"))
-    return obs.join(F.broadcast(edges)).select(F.lit("complete").alias("status"), "observations", "edges")
+    """A log to which a run appends a row as it starts and one with its counts when it is done; status tells which a row is."""
+    path = files.folder(spark, "runs")
+    schema = "run long, started_at timestamp, completed_at timestamp, observations long, edges long, entities long"
+    start = spark.range(1).select(F.lit(1).cast("long").alias("run"), F.current_timestamp().alias("started_at"), F.lit(None).cast("timestamp").alias("completed_at"), *(F.lit(None).cast("long").alias(c) for c in ("observations", "edges", "entities")))
+    start.write.mode("append").parquet(path)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    counts = count(observations(spark, sf_dir), "observations").join(F.broadcast(count(clusters_of(spark, sf_dir)[1], "edges"))).join(F.broadcast(count(entities(spark, sf_dir), "entities")))
+    begun = spark.read.schema(schema).parquet(path).select("run", "started_at")
+    counts.join(begun).select("run", "started_at", F.current_timestamp().alias("completed_at"), "observations", "edges", "entities").write.mode("append").parquet(path)
+    log = spark.read.schema(schema).parquet(path)
+    return log.select(F.when(F.col("completed_at").isNotNull(), "complete").otherwise("started").alias("status"), "observations", "edges", "entities")
+
+
+@query(_ENTITIES + ", l AS (SELECT cluster_id FROM m GROUP BY cluster_id HAVING max(extraction_confidence) >= 0.9::DOUBLE) SELECT (SELECT count(*) FROM l) AS labelled, (SELECT count(*) FROM l) >= 500 AS ready")
+def ml_readiness(spark, sf_dir):
+    """Labelled rows (here entities with a confident extraction), of which training needs 500."""
+    return entities(spark, sf_dir).agg(F.count(F.when(F.col("extraction_confidence") >= 0.9, 1)).alias("labelled")).withColumn("ready", F.col("labelled") >= MIN_LABELS)
 
 
-@query(_ENTITIES + f", l AS (SELECT DISTINCT k FROM m WHERE extraction_confidence >= 0.9::DOUBLE) SELECT (SELECT count(*) FROM l) AS labelled, (SELECT count(*) FROM l) >= 500 AS ready")
-def ml_readiness(spark, sf_dir):
-    """Labelled rows (here keys with a confident extraction), of which training needs 500."""
-    rows = observations(spark, sf_dir).where("id <> k * 4")
-    return rows.agg(F.countDistinct(F.when(F.col("extraction_confidence") >= 0.9, F.col("k"))).alias("labelled")).withColumn("ready", F.col("labelled") >= 500)
+def labelled_pairs(spark, sf_dir) -> DataFrame:
+    """Pair features of all candidate pairs with a reviewer's label (here whether one key made both) and the fold of the key."""
+    pairs = scoring.with_overlap(spatial_join.candidate_pairs(observations(spark, sf_dir)))
+    keys = pairs.select("id_a", "id_b", "k_a", (F.col("k_a") == F.col("k_b")).cast("double").alias("label"))
+    return scoring.pair_features(pairs).join(keys, ["id_a", "id_b"]).withColumn("fold", F.col("k_a") % 5)
 
 
 @query()
 def train_match_classifier(spark, sf_dir):
-    """A random forest on the twelve pair features, same key or not as label; held-out accuracy by fold of the key."""
+    """A random forest on the twelve pair features where there are 500 labels; held-out rows and accuracy by label, or none below that."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    pairs = scoring.with_overlap(spatial_join.candidate_pairs(observations(spark, sf_dir)))
-    keys = pairs.select("id_a", "id_b", "k_a", (F.col("k_a") == F.col("k_b")).cast("double").alias("label"))
-    rows = scoring.pair_features(pairs).join(keys, ["id_a", "id_b"])
+    rows = labelled_pairs(spark, sf_dir)
     names = [c for c in rows.columns if c.startswith("f_")]
-    data = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "label", (F.col("k_a") % 5).alias("fold"))
+    data = stored(rows.select("label", "fold", *names), "labelled")
+    if data.where("fold <> 0").limit(MIN_LABELS).count() < MIN_LABELS:
+        return data.limit(0).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("accuracy"))
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(data).select("features", "label", "fold")
     model = RandomForestClassifier(numTrees=100, maxDepth=8, seed=42).fit(data.where("fold <> 0"))
     found = model.transform(data.where("fold = 0"))
     return found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))

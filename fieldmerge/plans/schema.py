@@ -74,10 +74,11 @@ def validate_mapping(spark, sf_dir):
     return schema_map.validate_mapping(schema_map.map_columns(columns(spark, sf_dir), fuzzy=False))
 
 
-@query(f"WITH c AS ({COLUMNS_SQL}), p AS (SELECT raw AS key, CAST(dataset_id AS VARCHAR) AS v FROM c WHERE dataset_id % 4 <> 0) SELECT key, count(*) AS filled FROM p GROUP BY key")
+@query(f"WITH c AS ({COLUMNS_SQL}), p AS (SELECT raw AS key, CAST(dataset_id AS VARCHAR) AS v FROM c) SELECT key, count(*) AS filled, array_to_string(list_slice(list_sort(list(DISTINCT v)), 1, 3), ',') AS samples FROM p GROUP BY key")
 def profile_columns(spark, sf_dir):
-    rows = columns(spark, sf_dir).where("dataset_id % 4 <> 0").select(F.create_map(F.col("raw"), F.col("dataset_id").cast("string")).alias("properties"))
-    return schema_map.profile_columns(rows).select("key", "filled")
+    """Keys of open properties, how often each is filled, and three of its values at most."""
+    rows = columns(spark, sf_dir).select(F.create_map(F.col("raw"), F.col("dataset_id").cast("string")).alias("properties"))
+    return schema_map.profile_columns(rows).select("key", "filled", F.array_join("samples", ",").alias("samples"))
 
 
 @query(f"WITH c AS ({COLUMNS_SQL}) SELECT dataset_id, pos, CASE raw WHEN 'SURVEY_NO' THEN 'survey_number' WHEN 'plotNo' THEN 'survey_number' WHEN 'pid' THEN 'parcel_id' END AS target, CASE WHEN raw IN ('SURVEY_NO', 'plotNo', 'pid') THEN 0 ELSE 1 END AS unmapped FROM c")
@@ -174,13 +175,17 @@ def src_package_scan(spark, sf_dir):
     return packages.scan(derived(spark, sf_dir, FILES))
 
 
-@query(f"SELECT package_id, count(DISTINCT crs) > 1 AS mixed_crs, min(lon) AS min_lon, max(lon) AS max_lon, (min(lat) + max(lat)) / 2 AS center_lat FROM ({FILES_SQL}) GROUP BY package_id")
+@query(f"SELECT package_id, count(DISTINCT crs) > 1 AS mixed_crs, {R('min(lon) - 0.001::DOUBLE', 6)} AS min_lon, {R('max(lon) + 0.001::DOUBLE', 6)} AS max_lon, {R('min(lat) - 0.001::DOUBLE', 6)} AS min_lat, {R('max(lat) + 0.001::DOUBLE', 6)} AS max_lat, {R('(min(lat) + max(lat)) / 2', 6)} AS center_lat, {R('(min(lon) + max(lon)) / 2', 6)} AS center_lon FROM ({FILES_SQL}) GROUP BY package_id")
 def dataset_bbox_center(spark, sf_dir):
-    rows = derived(spark, sf_dir, FILES)
-    return rows.groupBy("package_id").agg((F.countDistinct("crs") > 1).alias("mixed_crs"), F.min("lon").alias("min_lon"), F.max("lon").alias("max_lon"), ((F.min("lat") + F.max("lat")) / 2).alias("center_lat"))
+    """Extent of the centroids with a margin of 0.001 degrees, and its centre."""
+    r6 = lambda c, n: g.rounded(c, 6).alias(n)
+    w, e, s, n = F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")
+    return derived(spark, sf_dir, FILES).groupBy("package_id").agg(
+        (F.countDistinct("crs") > 1).alias("mixed_crs"), r6(w - 0.001, "min_lon"), r6(e + 0.001, "max_lon"), r6(s - 0.001, "min_lat"), r6(n + 0.001, "max_lat"), r6((s + n) / 2, "center_lat"), r6((w + e) / 2, "center_lon")
+    )
 
 
-_CITY = "CASE " + " ".join(f"WHEN lon BETWEEN {b[0]} AND {b[2]} AND lat BETWEEN {b[1]} AND {b[3]} THEN '{c}'" for c, b in packages.CITIES.items()) + " ELSE 'Region' END"
+_CITY = "CASE " + " ".join(f"WHEN lon BETWEEN {b[0]} AND {b[2]} AND lat BETWEEN {b[1]} AND {b[3]} THEN '{c}'" for c, b in packages.CITIES.items()) + " ELSE printf('Region (%.2fN, %.2fE)', floor(lat * 100 + 0.5) / 100, floor(lon * 100 + 0.5) / 100) END"
 
 
 @query(f"SELECT k, {_CITY} AS city FROM ({POINTS_SQL})")
@@ -188,9 +193,15 @@ def city_detect(spark, sf_dir):
     return derived(spark, sf_dir, POINTS).select("k", packages.city(F.col("lon"), F.col("lat")).alias("city"))
 
 
-@query(f"SELECT k, CASE WHEN k % 2 = 0 THEN lon ELSE lat END AS raw_x, CASE WHEN (CASE WHEN k % 2 = 0 THEN lon ELSE lat END) BETWEEN 8 AND 38 AND (CASE WHEN k % 2 = 0 THEN lat ELSE lon END) BETWEEN 68 AND 98 THEN (CASE WHEN k % 2 = 0 THEN lat ELSE lon END) ELSE (CASE WHEN k % 2 = 0 THEN lon ELSE lat END) END AS x FROM ({POINTS_SQL})")
+_TURNED = f"SELECT k, CASE WHEN k % 17 = 0 THEN 512.0::DOUBLE WHEN k % 2 = 0 THEN lon ELSE lat END AS rx, CASE WHEN k % 19 = 0 THEN CAST('inf' AS DOUBLE) WHEN k % 2 = 0 THEN lat ELSE lon END AS ry FROM ({POINTS_SQL})"
+
+
+@query(f"WITH t AS ({_TURNED}), n AS (SELECT k, rx BETWEEN 8 AND 38 AND ry BETWEEN 68 AND 98 AS swap, rx, ry FROM t), s AS (SELECT k, CASE WHEN swap THEN ry ELSE rx END AS x, CASE WHEN swap THEN rx ELSE ry END AS y FROM n), r AS (SELECT *, isinf(x) OR isinf(y) OR abs(x) > 180 OR abs(y) > 90 AS rejected FROM s) SELECT k, CASE WHEN NOT rejected THEN x END AS x, CASE WHEN NOT rejected THEN y END AS y, rejected FROM r")
 def coords_normalize(spark, sf_dir):
-    """Every second point has its axes swapped; the known range swaps it back."""
-    rows = derived(spark, sf_dir, POINTS).select("k", F.when(F.col("k") % 2 == 0, F.col("lon")).otherwise(F.col("lat")).alias("raw_x"), F.when(F.col("k") % 2 == 0, F.col("lat")).otherwise(F.col("lon")).alias("raw_y"))
-    ring = F.array(F.struct(F.col("raw_x").alias("x"), F.col("raw_y").alias("y")))
-    return rows.select("k", "raw_x", F.element_at(crs.swap_axes(ring), 1)["x"].alias("x"))
+    """Every second point has its axes swapped, which the known range swaps back; what is not finite or out of range is rejected."""
+    k = F.col("k")
+    x, y = F.when(k % 17 == 0, 512.0).when(k % 2 == 0, F.col("lon")).otherwise(F.col("lat")), F.when(k % 19 == 0, float("inf")).when(k % 2 == 0, F.col("lat")).otherwise(F.col("lon"))
+    rows = derived(spark, sf_dir, POINTS).select("k", crs.swap_axes(F.array(F.struct(x.alias("x"), y.alias("y")))).alias("ring"))
+    rows = rows.withColumn("rejected", crs.out_of_range(F.col("ring")))
+    only = lambda c: F.when(~F.col("rejected"), F.element_at("ring", 1)[c]).alias(c)
+    return rows.select("k", only("x"), only("y"), "rejected")

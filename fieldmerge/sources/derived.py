@@ -42,7 +42,8 @@ SELECT CAST(l_orderkey AS BIGINT) AS parcel, CAST(l_linenumber AS BIGINT) AS ver
        CAST((CAST(l_partkey AS BIGINT) % 15) - 7 AS DOUBLE) / 10 AS y0,
        CAST(20 + CAST(l_partkey AS BIGINT) % 4 AS DOUBLE) AS w,
        CAST(15 + CAST(l_suppkey AS BIGINT) % 3 AS DOUBLE) AS h,
-       l_shipdate AS recorded_at
+       l_shipdate AS recorded_at, CAST(50 + CAST(l_quantity AS BIGINT) AS DOUBLE) / 100 AS confidence,
+       CASE CAST(l_suppkey AS BIGINT) % 6 WHEN 0 THEN 'Cadastral register' WHEN 1 THEN 'municipal layer' WHEN 2 THEN 'drone flight' WHEN 3 THEN 'RTK survey' WHEN 4 THEN NULL ELSE 'archive' END AS source
 FROM {lineitem}
 """
 
@@ -56,6 +57,15 @@ SELECT CAST(user_id AS BIGINT) AS conflict_id, event_id, ts,
 FROM {events}
 """
 
+#: One record per conflict of the requests: what it is about, how grave, where, and from which source it came.
+CONFLICTS = """
+SELECT DISTINCT CAST(user_id AS BIGINT) AS conflict_id,
+       CASE CAST(user_id AS BIGINT) % 5 WHEN 0 THEN 'BOUNDARY_MISMATCH' WHEN 1 THEN 'AREA_MISMATCH' WHEN 2 THEN 'DUPLICATE_SOURCE' WHEN 3 THEN 'CENTROID_DRIFT' ELSE 'ATTRIBUTE_MISMATCH' END AS conflict_type,
+       CASE CAST(user_id AS BIGINT) % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'CRITICAL' END AS severity,
+       CONCAT('P-', CAST(CAST(user_id AS BIGINT) * 4 + 1 AS VARCHAR(20))) AS parcel_id, CONCAT('S-', CAST(CAST(user_id AS BIGINT) % 100 AS VARCHAR(20))) AS source_id
+FROM {events}
+"""
+
 DIRTY = """
 SELECT CASE WHEN k % 101 = 0 THEN NULL ELSE id END AS id, CAST(FLOOR(CAST(k AS DOUBLE) / 500) AS BIGINT) AS dataset_id, k, source,
        CASE WHEN k % 107 = 0 THEN CAST(0 AS DOUBLE) ELSE x0 END AS x0, CASE WHEN k % 107 = 0 THEN CAST(0 AS DOUBLE) ELSE y0 END AS y0,
@@ -66,6 +76,30 @@ UNION ALL
 SELECT id, CAST(FLOOR(CAST(k AS DOUBLE) / 500) AS BIGINT), k, source, x0, y0, x1, y1, area_m2 FROM ({obs}) o WHERE k % 109 = 0
 """
 
+#: Uploaded layers of 100 keys: a file each (extension, bytes, declared code), features with every fault that the checks look for.
+#: shape: 0 a box, 1 a ring that crosses itself, 2 a ring without points, 3 no coordinates, 4 a box without area.
+UPLOADS = """
+WITH o AS (SELECT *, CAST(FLOOR(CAST(k AS DOUBLE) / 100) AS BIGINT) AS dataset_id FROM ({obs}) b),
+f AS (
+  SELECT *, CASE WHEN dataset_id % 23 = 7 THEN '.shp' WHEN dataset_id % 2 = 0 THEN '.geojson' ELSE '.zip' END AS extension,
+         CASE WHEN dataset_id % 19 = 5 THEN 0 WHEN dataset_id % 29 = 9 THEN 60000000 ELSE 1000 + dataset_id END AS bytes,
+         CASE WHEN dataset_id % 7 = 3 THEN NULL WHEN dataset_id % 17 = 4 THEN 'EPSG:99999' WHEN dataset_id % 3 = 0 THEN 'EPSG:4326' ELSE 'EPSG:32643' END AS declared
+  FROM o),
+g AS (
+  SELECT *, CASE WHEN dataset_id % 13 = 8 THEN 3 WHEN k % 31 = 0 THEN 3 WHEN k % 37 = 0 THEN 2 WHEN k % 41 = 0 THEN 1 WHEN k % 43 = 0 THEN 4 ELSE 0 END AS shape,
+         CASE WHEN k % 23 = 0 THEN 'MultiPolygon' WHEN k % 29 = 0 THEN 'LineString' ELSE 'Polygon' END AS geometry_type,
+         CASE WHEN k % 101 = 0 THEN NULL WHEN k % 97 = 0 THEN '  ' WHEN k % 59 = 0 THEN 'P-repeated' ELSE CONCAT('P-', CAST(id AS VARCHAR(20))) END AS parcel_id,
+         CASE WHEN k % 103 = 0 THEN '-1' WHEN k % 107 = 0 THEN 'n/a' WHEN k % 47 = 0 THEN NULL ELSE CAST(CAST(area_m2 AS BIGINT) AS VARCHAR(20)) END AS area,
+         coalesce(declared, 'EPSG:4326') = 'EPSG:4326' AND dataset_id % 11 <> 6 AS in_degrees
+  FROM f)
+SELECT dataset_id, id, k, source, extension, bytes, declared, shape, geometry_type, parcel_id, area,
+       CASE WHEN in_degrees AND k % 67 = 0 THEN CAST(200 AS DOUBLE) WHEN in_degrees THEN 77 + (CASE WHEN k % 53 = 0 THEN CAST(0 AS DOUBLE) ELSE x0 END) / 100000 ELSE x0 END AS x0,
+       CASE WHEN in_degrees THEN 12 + (CASE WHEN k % 53 = 0 THEN CAST(0 AS DOUBLE) ELSE y0 END) / 100000 ELSE y0 END AS y0,
+       CASE WHEN in_degrees AND k % 67 = 0 THEN CAST(201 AS DOUBLE) WHEN in_degrees THEN 77 + (CASE WHEN k % 53 = 0 THEN CAST(9 AS DOUBLE) ELSE x1 END) / 100000 ELSE x1 END AS x1,
+       CASE WHEN in_degrees THEN 12 + (CASE WHEN k % 53 = 0 THEN CAST(9 AS DOUBLE) ELSE y1 END) / 100000 ELSE y1 END AS y1
+FROM g
+"""
+
 FILES = """
 SELECT CAST(o_custkey AS BIGINT) AS package_id, CAST(o_orderkey AS BIGINT) AS file_no, CAST(1 + o_orderkey % 40 AS BIGINT) AS features,
        CASE o_orderkey % 19 WHEN 0 THEN '02_PARCELS/cadastral_parcels.geojson' WHEN 1 THEN 'tiles/x.tif' WHEN 2 THEN 'misc/roads.geojson'

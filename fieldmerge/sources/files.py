@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldmerge.functions.session import shared_dir
+
 _FEATURE = "struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
 GEOJSON = f"type string, crs struct<properties:struct<name:string>>, features array<{_FEATURE}>, properties map<string,string>, geometry struct<type:string,coordinates:string>, coordinates string"
 
@@ -53,3 +57,47 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
     spark, rows = df.sparkSession, df.dropDuplicates(keys)
     known = spark.read.parquet(path).select(*keys)
     rows.join(known, keys, "left_anti").write.mode("append").parquet(path)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/fieldmerge/{name}-{uuid.uuid4().hex}"
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that a catalogue lists, ascending; none where there is no catalogue yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/catalog")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return []
+    return sorted(r[0] for r in spark.read.schema("version long").parquet(f"{path}/catalog").distinct().collect())
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the version that is active, which is the last that the catalogue lists."""
+    return spark.read.parquet(f"{path}/versions/{_versions(spark, path)[-1]}")
+
+
+def replace(df: DataFrame, path: str) -> bool:
+    """Makes df the active version of the table at path; earlier ones stay as archived. An empty df is refused and nothing changes.
+
+    The rows are written first and the catalogue entry after them, so a run that fails on the way leaves the active version as it was.
+    """
+    spark = df.sparkSession
+    number = max(_versions(spark, path), default=0) + 1
+    df.write.mode("overwrite").parquet(f"{path}/versions/{number}")
+    if spark.read.parquet(f"{path}/versions/{number}").isEmpty():
+        return False
+    spark.range(1).select(F.lit(number).cast("long").alias("version")).write.mode("append").parquet(f"{path}/catalog")
+    return True
+
+
+def upsert(df: DataFrame, path: str, key: str, update: list[str]) -> None:
+    """Rows of df into the table at path: of keys that it has only the columns in update change, others are added; a new version."""
+    spark = df.sparkSession
+    if not _versions(spark, path):
+        replace(df, path)
+        return
+    old = current(spark, path)
+    both = old.alias("o").join(df.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
+    told = [(F.coalesce(f"n.{c}", f"o.{c}") if c in update else F.coalesce(f"o.{c}", f"n.{c}")).alias(c) for c in old.columns]
+    replace(both.select(*told), path)
