@@ -10,7 +10,7 @@ from fieldmerge.operators import crs, packages, scoring, spatial_join
 from fieldmerge.plans.history import _CHANGES, _FOLD, changes
 from fieldmerge.plans.matching import OBS_SQL, PAIRS_SQL, R, _PA, _PB, _QA, _QB, observations
 from fieldmerge.plans.quality import _INFRA, infra_pairs, lines, parcels
-from fieldmerge.plans.registry import query
+from fieldmerge.plans.register import query
 from fieldmerge.sources import files
 from fieldmerge.sources.derived import POINTS, REQUESTS, derived, sql_text
 from fieldmerge.streaming import lifecycle
@@ -91,9 +91,11 @@ def conflict_fsm_stream(spark, sf_dir):
 
 @query()
 def identity_stream(spark, sf_dir):
-    """Survey and registry boxes as requests in order of id through keyed state."""
-    requests = observations(spark, sf_dir).select(F.col("id").alias("request_id"), "x0", "y0", "x1", "y1")
-    return _drained(lifecycle.stream_identities(_as_stream(requests, spark, "boxes")), spark)
+    """All boxes as requests in order of id, a stream decided batch by batch against what earlier ones registered; held against a plain loop in tests/test_brute_force.py."""
+    requests, path = observations(spark, sf_dir).select(F.col("id").alias("request_id"), "x0", "y0", "x1", "y1"), files.folder(spark, "identities")
+    q = _as_stream(requests, spark, "boxes").writeStream.foreachBatch(lifecycle.identity_batches(path)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return lifecycle.decisions(spark, path)
 
 
 @query(_CHANGES + " SELECT count(*) AS records, count(*) FILTER (change_type <> 'No Significant Change') AS to_review FROM t")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldmerge.functions import geometry as g
 from fieldmerge.operators import ledger, spatial_join
 from fieldmerge.plans.matching import OBS_SQL, R, observations
-from fieldmerge.plans.registry import query
+from fieldmerge.plans.register import query
 from fieldmerge.sources.derived import CONFLICTS, REQUESTS, VERSION_ROWS, derived, sql_text
 
 ROWS_SQL, REQUESTS_SQL, CONFLICTS_SQL = sql_text(VERSION_ROWS), sql_text(REQUESTS), sql_text(CONFLICTS)

@@ -10,7 +10,7 @@ from fieldmerge.functions import geometry as g
 from fieldmerge.functions.session import stored
 from fieldmerge.operators import clustering, policy, scoring, spatial_join
 from fieldmerge.operators.graph import connected_components
-from fieldmerge.plans.registry import query
+from fieldmerge.plans.register import query
 from fieldmerge.sources import files
 from fieldmerge.sources.derived import OBS, derived, sql_text
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldmerge.functions import geometry as g
 from fieldmerge.operators import crs, packages, spatial_join
 from fieldmerge.plans.matching import _ENTITIES, _MEMBERS, OBS_SQL, R, clusters_of, entities, observations
-from fieldmerge.plans.registry import query
+from fieldmerge.plans.register import query
 from fieldmerge.sources.derived import DIRTY, FILES, POINTS, UPLOADS, derived, sql_text
 
 DIRTY_SQL, FILES_SQL, POINTS_SQL, UPLOADS_SQL = map(sql_text, (DIRTY, FILES, POINTS, UPLOADS))

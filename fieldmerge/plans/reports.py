@@ -9,7 +9,7 @@ from fieldmerge.functions import geometry as g
 from fieldmerge.functions.session import stored
 from fieldmerge.operators import scoring, spatial_join
 from fieldmerge.plans.matching import _ENTITIES, OBS_SQL, PAIRS_SQL, R, clusters_of, decided_pairs, edges_of, entities, observations
-from fieldmerge.plans.registry import query
+from fieldmerge.plans.register import query
 from fieldmerge.sources import files
 
 _PLACED = _ENTITIES + ", pos AS (SELECT cluster_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, (min(x0) + max(x1)) / 2 AS cx, (min(y0) + max(y1)) / 2 AS cy FROM m GROUP BY cluster_id), pe AS (SELECT ent.*, x0, y0, x1, y1, cx, cy FROM ent JOIN pos USING (cluster_id))"

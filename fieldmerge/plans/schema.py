@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldmerge.functions import geometry as g
 from fieldmerge.operators import crs, packages, schema_map
 from fieldmerge.plans.matching import R
-from fieldmerge.plans.registry import query
+from fieldmerge.plans.register import query
 from fieldmerge.sources.derived import COLUMNS, FILES, LAYERS, POINTS, derived, sql_text
 
 COLUMNS_SQL, FILES_SQL, LAYERS_SQL, POINTS_SQL = map(sql_text, (COLUMNS, FILES, LAYERS, POINTS))

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fieldmerge.config import TRANSITIONS
+from fieldmerge.functions import geometry as g
+from fieldmerge.functions.session import stored
+from fieldmerge.operators import spatial_join
+from fieldmerge.operators.graph import connected_components
 
 LOG = "conflict_id long, event_id long, previous_state string, requested_state string, accepted boolean"
 
@@ -34,36 +38,73 @@ def stream_lifecycle(requests: DataFrame) -> DataFrame:
     return requests.groupBy("conflict_id").applyInPandasWithState(_transitions, LOG, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-REGISTRY = "shard long, request_id long, action string, registry_id long"
+#: A decided request; registry_id: the box that it continues or may continue.
+DECIDED = "request_id long, action string, registry_id long, x0 double, y0 double, x1 double, y1 double"
+#: Components of requests that one call settles.
+_GROUPS = 200
 
 
-def _identities(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Requests of one shard in order of arrival; each sees the boxes that earlier ones registered."""
-    known: list = [list(b) for b in zip(*state.get, strict=True)] if state.exists else []
+def _settled(group: pd.DataFrame) -> pd.DataFrame:
+    """Requests of whole components in order of request_id; each sees its best box of the registry and the boxes that earlier ones registered."""
     rows = []
-    for r in pd.concat(list(batches)).sort_values("request_id").itertuples():
-        best, chosen = 0.0, None
-        for i, x0, y0, x1, y1 in known:
-            over = max(0.0, min(x1, r.x1) - max(x0, r.x0)) * max(0.0, min(y1, r.y1) - max(y0, r.y0))
-            iou = over / ((x1 - x0) * (y1 - y0) + (r.x1 - r.x0) * (r.y1 - r.y0) - over) if over else 0.0
-            if iou > best:
-                best, chosen = iou, i
-        action = "NEW" if best < 0.15 else "UNCERTAIN" if best < 0.70 else "CONTINUITY"
-        rows.append((key[0], r.request_id, action, None if action == "NEW" else chosen))
-        if action != "CONTINUITY":
-            known.append([r.request_id, r.x0, r.y0, r.x1, r.y1])
-    state.update(tuple(list(c) for c in zip(*known, strict=True)))
-    yield pd.DataFrame(rows, columns=["shard", "request_id", "action", "registry_id"]).astype({"registry_id": "Int64"})
-
-
-def stream_identities(requests: DataFrame, shard_m: float = 240.0) -> DataFrame:
-    """Identity decisions of a stream (request_id, x0, y0, x1, y1), keyed by coarse cell of the lower left corner.
-
-    Requests that straddle cells go to the lower one; the state of a cell is the boxes registered there.
+    for _, part in group.groupby("part", sort=False):
+        known: list[tuple] = []
+        for r in part.sort_values("request_id").itertuples():
+            best, chosen = (0.0, None) if pd.isna(r.iou) else (r.iou, r.found)
+            for i, x0, y0, x1, y1 in known:
+                over = max(0.0, min(x1, r.x1) - max(x0, r.x0)) * max(0.0, min(y1, r.y1) - max(y0, r.y0))
+                iou = over / ((x1 - x0) * (y1 - y0) + (r.x1 - r.x0) * (r.y1 - r.y0) - over) if over else 0.0
+                if iou > best:
+                    best, chosen = iou, i
+            action = "NEW" if best < 0.15 else "UNCERTAIN" if best < 0.70 else "CONTINUITY"
+            rows.append((r.request_id, action, None if action == "NEW" else int(chosen), r.x0, r.y0, r.x1, r.y1))
+            if action != "CONTINUITY":
+                known.append((r.request_id, r.x0, r.y0, r.x1, r.y1))
+    return pd.DataFrame(rows, columns=["request_id", "action", "registry_id", "x0", "y0", "x1", "y1"]).astype({"registry_id": "Int64"})
+
+
+def resolve_batch(requests: DataFrame, registry: DataFrame | None) -> DataFrame:
+    """Identity decisions of requests (request_id, x0, y0, x1, y1) as if each came alone, in order of request_id.
+
+    A request is compared with every box that it overlaps, wherever cells end: those of the registry by a range join, which leaves one
+    best box each (the smaller id wins ties), and those that earlier requests register by a fold over each group of requests
+    that overlap one another, directly or by others. Only such groups are in sequence. Requests with a null side, or without area,
+    overlap nothing and are NEW.
     """
-    cell = lambda c: F.floor(F.col(c) / shard_m)
-    keyed = requests.withColumn("shard", cell("x0") * 1_000_000 + cell("y0"))
-    return keyed.groupBy("shard").applyInPandasWithState(_identities, REGISTRY, "id array<long>, x0 array<double>, y0 array<double>, x1 array<double>, y1 array<double>", "append", GroupStateTimeout.NoTimeout)
+    requests = stored(requests.select(F.col("request_id").alias("id"), "x0", "y0", "x1", "y1"), "requests")
+    a, b = g.box(suffix="_a"), g.box(suffix="_b")
+    within = spatial_join.range_pairs(requests, requests, 0.0, cell=60.0, extra=F.col("id_a") < F.col("id_b")).where(g.intersection_area(a, b) > 0)
+    parts = connected_components(within.select("id_a", "id_b"), "id_a", "id_b").select(F.col("node").alias("id"), F.col("component").alias("part"))
+    rows = requests.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    if registry is None:
+        rows = rows.withColumns({"iou": F.lit(None).cast("double"), "found": F.lit(None).cast("long")})
+    else:
+        met = spatial_join.range_pairs(requests, registry.select(F.col("registry_id").alias("id"), "x0", "y0", "x1", "y1"), 0.0, cell=60.0).withColumn("iou", g.iou(a, b)).where("iou > 0")
+        best = met.groupBy(F.col("id_a").alias("id")).agg(F.max_by(F.struct("iou", F.col("id_b").alias("found")), F.struct("iou", -F.col("id_b"))).alias("m"))
+        rows = rows.join(best.select("id", "m.iou", "m.found"), "id", "left")
+    grouped = rows.withColumnRenamed("id", "request_id").withColumn("group", F.pmod(F.xxhash64("part"), F.lit(_GROUPS)))
+    return grouped.groupBy("group").applyInPandas(_settled, DECIDED)
+
+
+def identity_batches(path: str):
+    """A function for foreachBatch: decides the requests of each batch against all that earlier ones registered.
+
+    Decisions and newly registered boxes are tables of one folder per batch; a batch that runs again replaces its own.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark, before = batch.sparkSession, None
+        if epoch:
+            before = spark.read.parquet(*(f"{path}/registry/{e}" for e in range(epoch)))
+        decided = stored(resolve_batch(batch, before), "decided")
+        decided.select("request_id", "action", "registry_id").write.mode("overwrite").parquet(f"{path}/decisions/{epoch}")
+        decided.where("action <> 'CONTINUITY'").select(F.col("request_id").alias("registry_id"), "x0", "y0", "x1", "y1").write.mode("overwrite").parquet(f"{path}/registry/{epoch}")
+
+    return write
+
+
+def decisions(spark, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/decisions/*")
 
 
 def incremental_sync(path: str):

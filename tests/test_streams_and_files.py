@@ -28,12 +28,14 @@ def test_stream_equals_batch_fold(spark, tmp_path):
 
 
 def test_identities_see_earlier_requests(spark, tmp_path):
-    rows = [(1, 0.0, 0.0, 10.0, 10.0), (2, 0.0, 0.0, 10.0, 10.0), (3, 5.0, 0.0, 15.0, 10.0), (4, 500.0, 0.0, 510.0, 10.0)]
+    rows = [(1, 0.0, 0.0, 10.0, 10.0), (2, 0.0, 0.0, 10.0, 10.0), (3, 5.0, 0.0, 15.0, 10.0), (4, 500.0, 0.0, 510.0, 10.0), (5, None, 0.0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "request_id long, x0 double, y0 double, x1 double, y1 double")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    _run(lifecycle.stream_identities(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), "identity_log", tmp_path)
-    got = {r["request_id"]: (r["action"], r["registry_id"]) for r in spark.table("identity_log").collect()}
-    assert got == {1: ("NEW", None), 2: ("CONTINUITY", 1), 3: ("UNCERTAIN", 1), 4: ("NEW", None)}
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = stream.writeStream.foreachBatch(lifecycle.identity_batches(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["request_id"]: (r["action"], r["registry_id"]) for r in lifecycle.decisions(spark, str(tmp_path / "out")).collect()}
+    assert got == {1: ("NEW", None), 2: ("CONTINUITY", 1), 3: ("UNCERTAIN", 1), 4: ("NEW", None), 5: ("NEW", None)}
 
 
 def test_incremental_sync_keeps_the_last_version(spark, tmp_path):
