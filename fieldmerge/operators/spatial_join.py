@@ -1,17 +1,20 @@
 """Range joins of boxes as equi-joins on grid cells.
 
 A box is listed in every cell that it meets; two boxes that meet share at least one cell and are kept in one of them only, the
-one that is, by axis, the larger of their two lowest cells. So no distinct and no Cartesian product is needed. Boxes much larger
-than a cell would be listed too often and are joined on a grid of larger cells.
+one that is, by axis, the larger of their two lowest cells. So no distinct and no Cartesian product is needed. Boxes come in
+levels by their size, each with a grid as many times coarser, so that none is listed in more than a few cells; boxes of two
+levels are joined on the coarser grid. Only levels that occur are joined, and mostly there is one.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Times the cell size from which a box goes to the coarse grid, and how many times coarser that is.
-LARGE, COARSER = 8, 64
+#: Times the cell size of its level beyond which a box goes to the next, how many times coarser that is, and the levels there are.
+LARGE, COARSER, LEVELS = 8, 64, 8
 
 
 def _listed(df: DataFrame, radius: float, cell: float, side: str) -> DataFrame:
@@ -38,6 +41,17 @@ def _grid(a: DataFrame, b: DataFrame, radius: float, cell: float, keys: list[str
     return joined.select(*(f"{c}_a" for c in a.columns), *(f"{c}_b" for c in b.columns))
 
 
+def _levelled(df: DataFrame, cell: float) -> DataFrame:
+    """df with the level of each box, from 0 on; the last level takes whatever is larger."""
+    size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / F.lit(LARGE * cell)
+    return df.withColumn("__level", F.when(size <= 1, 0).otherwise(F.least(F.lit(LEVELS), F.ceil(F.log(size) / F.log(F.lit(float(COARSER)))).cast("int"))))
+
+
+def _levels(df: DataFrame) -> list[int]:
+    """The levels that occur, at most LEVELS + 1 numbers."""
+    return sorted(df.agg(F.collect_set("__level")).first()[0])
+
+
 def range_pairs(a: DataFrame, b: DataFrame, radius: float, cell: float | None = None, keys: list[str] = (), extra: Column | None = None) -> DataFrame:
     """Every pair whose boxes, one of them widened by radius, meet; columns suffixed _a and _b. Boxes with a null side match nothing.
 
@@ -45,11 +59,13 @@ def range_pairs(a: DataFrame, b: DataFrame, radius: float, cell: float | None =
     """
     cell = float(cell or 2 * (radius + 15))
     whole = "x0 is not null and y0 is not null and x1 is not null and y1 is not null"
-    a, b, keys = a.where(whole), b.where(whole), list(keys)
-    big = (F.col("x1") - F.col("x0") > LARGE * cell) | (F.col("y1") - F.col("y0") > LARGE * cell)
-    near = _grid(a.where(~big), b.where(~big), radius, cell, keys, extra)
-    far = _grid(a.where(big), b, radius, cell * COARSER, keys, extra)
-    return near.unionByName(far).unionByName(_grid(a.where(~big), b.where(big), radius, cell * COARSER, keys, extra))
+    one, two, keys = _levelled(a.where(whole), cell), _levelled(b.where(whole), cell), list(keys)
+    first, second = _levels(one), _levels(one if b is a else two)
+    parts = [
+        _grid(one.where(F.col("__level") == p).drop("__level"), two.where(F.col("__level") == q).drop("__level"), radius, cell * COARSER ** max(p, q), keys, extra)
+        for p in first or [0] for q in second or [0]
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def candidate_pairs(obs: DataFrame, radius: float = 15.0, cell: float | None = None) -> DataFrame:
