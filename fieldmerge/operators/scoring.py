@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,15 @@ def normalize_identifier(raw: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+    """The second text is prepared once for all the first ones that a batch holds beside it."""
+    out, matcher, last = np.empty(len(a)), difflib.SequenceMatcher(None), None
+    for i in np.argsort(b.to_numpy(), kind="stable"):
+        if b.iat[i] != last:
+            last = b.iat[i]
+            matcher.set_seq2(last)
+        matcher.set_seq1(a.iat[i])
+        out[i] = matcher.ratio()
+    return pd.Series(out)
 
 
 def identifier_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -61,7 +70,7 @@ def identifier_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
         .otherwise("FUZZY_STRING_SIMILARITY")
     )
     marked = pairs.withColumns({"id_method": method, "__ra": ra, "__rb": rb})
-    fuzzy = marked.where("id_method = 'FUZZY_STRING_SIMILARITY'").select("__ra", "__rb").distinct()
+    fuzzy = marked.where("id_method = 'FUZZY_STRING_SIMILARITY'").select("__ra", "__rb").distinct().repartition("__rb").sortWithinPartitions("__rb")
     fuzzy = fuzzy.withColumn("__fuzzy", g.rounded(_sequence_ratio("__ra", "__rb") * 0.8, 4))
     scored = marked.join(fuzzy, ["__ra", "__rb"], "left")
     fixed = F.when(F.col("id_method") == "NEUTRAL_MISSING", 0.5).when(F.col("id_method") == "EXACT_MATCH", 1.0).when(F.col("id_method") == "NORMALIZED_EQUIVALENT", 0.95).when(F.col("id_method") == "SUBSTRING_CONTAINMENT", 0.85)
