@@ -120,11 +120,14 @@ def ring_crosses(ring: Column) -> Column:
 
 
 def repaired_ring(ring: Column) -> Column:
-    """The ring without points that repeat the one before, closed where it is open; other faults are left as they are."""
-    keep = F.filter(F.sequence(F.lit(0), F.greatest(F.size(ring) - 1, F.lit(0))), lambda i: (i == 0) | ~((F.get(ring, i)["x"] == F.get(ring, i - 1)["x"]) & (F.get(ring, i)["y"] == F.get(ring, i - 1)["y"])))
-    points = F.transform(keep, lambda i: F.get(ring, i))
-    open_ = (F.get(points, F.lit(0))["x"] != F.element_at(points, -1)["x"]) | (F.get(points, F.lit(0))["y"] != F.element_at(points, -1)["y"])
-    return F.when(F.size(ring) > 0, F.when(open_, F.concat(points, F.array(F.get(points, F.lit(0))))).otherwise(points)).otherwise(ring)
+    """The ring without points that repeat the one before, closed where it is open; other faults are left as they are.
+
+    ring should be a stored column: it is looked at once for each of its points.
+    """
+    first, last = F.get(ring, F.lit(0)), F.get(ring, F.size(ring) - 1)
+    points = F.filter(ring, lambda p, i: (i == 0) | (F.get(ring, i - 1)["x"] != p["x"]) | (F.get(ring, i - 1)["y"] != p["y"]))
+    open_ = (first["x"] != last["x"]) | (first["y"] != last["y"])
+    return F.when(F.size(ring) == 0, ring).otherwise(F.concat(points, F.when(open_, F.array(first)).otherwise(F.slice(ring, 1, 0))))
 
 
 def point_to_box_boundary(x: Column, y: Column, b: Box) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmerge.functions import geometry as g
+from fieldmerge.functions.session import stored
 from fieldmerge.operators import crs, packages, spatial_join
 from fieldmerge.plans.matching import _ENTITIES, _MEMBERS, OBS_SQL, R, clusters_of, entities, observations
 from fieldmerge.plans.register import query
@@ -49,6 +50,8 @@ def validation_report(spark, sf_dir):
     shape, none = F.col("shape"), F.array().cast("array<struct<x:double,y:double>>")
     ring = F.when(shape == 0, g.box_ring(b)).when(shape == 1, crossing).when(shape == 2, none).when(shape == 4, flat)
     rows = rows.select("*", ring.alias("ring"), F.when(F.trim("parcel_id") != "", F.trim("parcel_id")).alias("pid"), F.expr("try_cast(area AS double)").alias("a"), F.coalesce("declared", F.lit("EPSG:4326")).alias("code"))
+    # stored, else every access to a point of a ring would make the ring anew
+    rows = stored(rows, "upload_rings")
     missing = F.col("ring").isNull()
     empty = missing | (F.size("ring") == 0)
     rows = rows.withColumns({"missing": missing, "empty": empty, "crosses": ~empty & g.ring_crosses(F.col("ring")), "flat": ~empty & (g.ring_area(F.col("ring")) <= 0)})
@@ -111,7 +114,9 @@ def _raw_rings(spark, sf_dir) -> DataFrame:
         F.when(k % 7 == 0, F.array(p(far, (b[1] + b[3]) / 2))).otherwise(F.array().cast("array<struct<x:double,y:double>>")), F.array(p(b[2], b[3]), p(b[0], b[3])),
         F.when(k % 3 != 0, F.array(p(b[0], b[1]))).otherwise(F.array().cast("array<struct<x:double,y:double>>")),
     )
-    return rows.withColumn("raw", points).withColumn("ring", g.repaired_ring(F.col("raw")))
+    # rings are made once and stored, else every access to a point of one would make it anew
+    rows = stored(rows.withColumn("raw", points), "raw_rings")
+    return stored(rows.withColumn("ring", g.repaired_ring(F.col("raw"))), "rings")
 
 
 @query(f"SELECT id, source, {R('(x1 - x0) * (y1 - y0) * (CASE WHEN k % 7 = 0 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END)', 6)} AS area_m2, k % 3 = 0 OR k % 5 = 0 AS repaired, CASE WHEN k % 7 = 0 THEN NULL ELSE {R('(x0 + x1) / 2', 6)} END AS cx, {R('(y0 + y1) / 2', 6)} AS cy, CAST(NULL AS DOUBLE) AS extraction_confidence FROM ({DIRTY_SQL}) WHERE x1 > x0 AND y1 > y0")
@@ -132,7 +137,7 @@ def normalize_layer(spark, sf_dir):
 @query(f"SELECT k, source, CASE WHEN x0 IS NULL THEN 'null geometry' WHEN x1 <= x0 OR y1 <= y0 THEN 'zero area' ELSE 'valid' END AS reason FROM ({DIRTY_SQL})")
 def validity_audit(spark, sf_dir):
     """Rings built from the boxes and audited: missing, too few points, no area, edges that cross."""
-    rows = dirty(spark, sf_dir).select("k", "source", "x0", g.box_ring(g.box()).alias("ring"))
+    rows = stored(dirty(spark, sf_dir).select("k", "source", "x0", g.box_ring(g.box()).alias("ring")), "rings")
     rows = rows.withColumns({"area": g.ring_area(F.col("ring")), "crosses": g.ring_crosses(F.col("ring"))})
     reason = F.when(F.col("x0").isNull(), "null geometry").when(F.size("ring") < 4, "empty geometry").when(F.col("area") <= 0, "zero area").when(F.col("crosses"), "self intersection").otherwise("valid")
     return rows.select("k", "source", reason.alias("reason"))
