@@ -195,7 +195,7 @@ def edited_by_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heads = spark.createDataFrame([(before[b], *first[b]) for b in used] or [(0, None, 0)], "before long, low long, low_h long")
     copies = texts.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("h") == F.col("low_h")))
     copies = copies.groupBy(F.col("before").alias("bucket")).agg(F.min(F.struct("doc_id", "text", "h")).alias("r")).select("r.*", "bucket", F.lit(1).alias("copy"))
-    dealt = rows.withColumn("copy", F.lit(0)).unionByName(copies).repartition(n // accuracy, "bucket")
+    dealt = rows.withColumn("copy", F.lit(0)).unionByName(copies).repartitionByRange(n // accuracy, "bucket")
     return dealt.sortWithinPartitions("bucket", "copy", "doc_id", "h", "text").select("doc_id", "text", "bucket", "copy")
 
 
