@@ -292,8 +292,8 @@ fold AS (
                 FROM f JOIN ranked r ON r.component = f.component AND r.n = f.n + 1)))
   SELECT * FROM f),
 ends AS (SELECT component, unnest(arg_max(members, n)) AS x FROM fold GROUP BY component),
-clusters AS (SELECT o.id, coalesce(ends.x.label, o.id) AS cluster_id FROM obs o LEFT JOIN ends ON ends.x.id = o.id),
-settled AS (SELECT f.id_a, f.id_b, f.score, f.iou, c.cluster_id, f.fits AS accepted FROM fold f JOIN clusters c ON c.id = f.id_a WHERE f.n > 0)"""
+clusters AS MATERIALIZED (SELECT o.id, coalesce(ends.x.label, o.id) AS cluster_id FROM obs o LEFT JOIN ends ON ends.x.id = o.id),
+settled AS MATERIALIZED (SELECT f.id_a, f.id_b, f.score, f.iou, c.cluster_id, f.fits AS accepted FROM fold f JOIN clusters c ON c.id = f.id_a WHERE f.n > 0)"""
 #: DuckDB: the greedy rule of cluster_constrained, an edge of each component a step.
 CLUSTERS_SQL = PAIRS_SQL + _COMPONENTS + _FOLD
 
@@ -358,7 +358,7 @@ _CONF = R("least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.5::DOUBLE * coalesce(avg_s
 _ENTITIES = (
     _RECONCILED
     + f""", f AS (SELECT c.cluster_id, sources, source_count, spread, avg_iou, coalesce(drift, 0.0::DOUBLE) AS drift, {_CONF} AS confidence FROM c LEFT JOIN p USING (cluster_id) LEFT JOIN dr USING (cluster_id)),
-ent AS (SELECT *, CASE WHEN {R('drift', 4)} >= 2 THEN 'conflict' WHEN confidence >= 0.85::DOUBLE THEN 'auto_reconciled' WHEN confidence >= 0.7::DOUBLE THEN 'review_required' ELSE 'conflict' END AS decision FROM f)"""
+ent AS MATERIALIZED (SELECT *, CASE WHEN {R('drift', 4)} >= 2 THEN 'conflict' WHEN confidence >= 0.85::DOUBLE THEN 'auto_reconciled' WHEN confidence >= 0.7::DOUBLE THEN 'review_required' ELSE 'conflict' END AS decision FROM f)"""
 )
 
 
