@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,18 +57,32 @@ def one_of_each_part(docs: DataFrame, placed: DataFrame, id_col: str, text_col:
     return alone.unionByName(one_of_each(repeated, ["__fm_doc", "__fm_text"], docs.columns))
 
 
-#: Rows of an Arrow batch that are turned into Python objects at once.
-STEP = 1024
+#: Rows of an Arrow batch, and bytes of their texts, that are turned into Python objects at once; a longer text stands alone.
+STEP, STEP_BYTES = 1024, 4 << 20
+
+
+def steps(batch: pa.RecordBatch, rows: int = STEP) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of `rows` rows and STEP_BYTES of strings and binaries at most, in order."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, k = np.cumsum(size), 0
+    while k < batch.num_rows:
+        upto = np.searchsorted(ends, (ends[k - 1] if k else 0) + STEP_BYTES, "right")
+        to = min(max(int(upto), k + 1), k + rows)
+        yield batch.slice(k, to - k)
+        k = to
 
 
 def over_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema) -> DataFrame:
-    """df through a function of Arrow batches, STEP rows at most. make() runs once a task, so that models and caches are built there."""
+    """df through a function of Arrow batches, cut into steps(). make() runs once a task, so that models and caches are built there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
-            for k in range(0, batch.num_rows, STEP):
-                if (out := apply(batch.slice(k, STEP))) is not None:
+            for part in steps(batch):
+                if (out := apply(part)) is not None:
                     yield out
 
     return df.mapInArrow(run, schema)

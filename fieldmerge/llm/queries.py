@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmerge.llm import bpe, chats, dedup, katz, packing, pii, secrets, simhash, syncmers, toxicity
+from fieldmerge.llm import bpe, chats, dedup, katz, packing, phrases, pii, runs, secrets, simhash, syncmers, toxicity, urls
 from fieldmerge.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -72,6 +72,29 @@ def op9_zstd_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(secrets.find_secrets(docs, known=secrets.learnt_identifiers(docs)), secrets.KINDS[:3])
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(runs.with_periodic_tails(table(spark, sf_dir, "documents")))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), urls.train(urls.labelled_urls(spark)))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,6 +108,9 @@ QUERIES = {
         op8_best_fit_packing,
         op9_zstd_secrets,
         op10_simhash_near_dedup,
+        op11_periodic_runs,
+        op12_url_filter,
+        op13_phrase_collocations,
     )
 }
 ORACLES = {
@@ -107,4 +133,32 @@ ORACLES = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op13_phrase_collocations": """
+        WITH t AS (
+          SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+                 string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+          FROM documents),
+        p AS (SELECT lang, [x FOR x IN string_split_regex(u.piece, '[ \x09]+') IF x <> ''] AS w FROM (SELECT lang, unnest(pieces) AS piece FROM t) u),
+        g AS (
+          SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase
+          FROM (SELECT lang, w, s.size, unnest(range(1, len(w) - s.size + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) s(size) WHERE len(w) >= s.size)),
+        f AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY lang, size, phrase),
+        totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+        c AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 30),
+        cuts AS (
+          SELECT c.lang, c.size, c.phrase, c.a, k, l.a AS l, r.a AS r, (CAST(c.a AS HUGEINT) * 2000000) // (CAST(l.a AS HUGEINT) + r.a) AS score
+          FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c
+          LEFT JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : c.k], ' ')
+          LEFT JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1 : c.size], ' ')),
+        scored AS (
+          SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM cuts),
+        longer AS (
+          SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longest
+          FROM (SELECT lang, w, a, m, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM c WHERE size > 2)) GROUP BY ALL),
+        kept AS (
+          SELECT s.* FROM scored s LEFT JOIN longer o USING (lang, phrase)
+          WHERE s.nth = 1 AND coalesce(100 * CAST(o.longest AS HUGEINT) < 80 * CAST(s.a AS HUGEINT), true)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
 }

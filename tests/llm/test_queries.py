@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_one_query_for_each_operator():
     names = [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES]
-    assert sorted(map(int, names)) == list(range(1, 11))
+    assert sorted(map(int, names)) == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
 
 
