@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +17,10 @@ _CLUSTERED = "kind string, id long, other long, score double, iou double, cluste
 
 
 def _greedy(group: pd.DataFrame) -> pd.DataFrame:
-    """Edges by falling score: two clusters merge unless they share a source; an edge within one cluster is accepted."""
+    """Edges by falling score: two clusters merge unless they share a source; an edge within one cluster is accepted.
+
+    Edges lie between clusters la and lb, which hold the sources sa and sb.
+    """
     edges = group.sort_values(["score", "id_a", "id_b"], ascending=[False, True, True], kind="stable")
     parent: dict[int, int] = {}
     sources: dict[int, set] = {}
@@ -26,45 +31,124 @@ def _greedy(group: pd.DataFrame) -> pd.DataFrame:
             x = parent[x]
         return x
 
-    for i, source in [*zip(edges["id_a"], edges["source_a"], strict=True), *zip(edges["id_b"], edges["source_b"], strict=True)]:
+    for i, held in [*zip(edges["la"], edges["sa"], strict=True), *zip(edges["lb"], edges["sb"], strict=True)]:
         parent.setdefault(i, i)
-        sources.setdefault(i, {source})
+        sources.setdefault(i, set(held))
     rows = []
-    for a, b, score, iou in zip(edges["id_a"], edges["id_b"], edges["score"], edges["iou"], strict=True):
-        ra, rb = root(a), root(b)
+    for a, b, la, lb, score, iou in zip(edges["id_a"], edges["id_b"], edges["la"], edges["lb"], edges["score"], edges["iou"], strict=True):
+        ra, rb = root(la), root(lb)
         fits = ra == rb or not sources[ra] & sources[rb]
         if fits and ra != rb:
             low, high = min(ra, rb), max(ra, rb)
             parent[high] = low
             sources[low] |= sources.pop(high)
-        rows.append(("edge", a, b, score, iou, fits))
-    out = [(kind, a, b, score, iou, root(a), fits) for kind, a, b, score, iou, fits in rows]
+        rows.append(("edge", a, b, score, iou, la, fits))
+    out = [(kind, a, b, score, iou, root(la), fits) for kind, a, b, score, iou, la, fits in rows]
     out += [("member", i, None, None, None, root(i), None) for i in parent]
     return pd.DataFrame(out, columns=["kind", "id", "other", "score", "iou", "cluster_id", "accepted"]).astype({"other": "Int64", "accepted": "boolean"})
 
 
-def cluster_constrained(obs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _between_clusters(edges: DataFrame) -> DataFrame:
+    """edges with the clusters la, lb of one observation each that they lie between, and their sources sa, sb."""
+    held = lambda c: F.array(F.coalesce(F.col(c), F.lit("\0")))
+    return edges.withColumns({"la": F.col("id_a"), "lb": F.col("id_b"), "sa": held("source_a"), "sb": held("source_b")})
+
+
+def _merged_best(live: DataFrame) -> DataFrame:
+    """(old, new, held): clusters of the edges that are the best left at both their ends. No cluster is in two of them."""
+    edge = F.struct((-F.col("score")).alias("s"), "id_a", "id_b", "la", "lb", "sa", "sb")
+    ends = live.select(edge.alias("edge"), F.explode(F.array("la", "lb")).alias("end"))
+    best = ends.groupBy("end").agg(F.min("edge").alias("edge")).select("edge.*")
+    both = best.groupBy("id_a", "id_b", "la", "lb").agg(F.count(F.lit(1)).alias("n"), F.first("sa").alias("sa"), F.first("sb").alias("sb")).where("n = 2")
+    return both.select(F.explode(F.array("la", "lb")).alias("old"), F.least("la", "lb").alias("new"), F.concat("sa", "sb").alias("held"))
+
+
+def _relabelled(live: DataFrame, merges: DataFrame) -> DataFrame:
+    """live after the merges, with accepted: true inside a cluster, false where the two share a source, else null."""
+    for end, held in (("la", "sa"), ("lb", "sb")):
+        # the second key makes both sides exchange in the join itself, so that AQE may split a hub
+        one = merges.select(F.col("old").alias("__old"), F.xxhash64("old").alias("__hash"), F.col("new").alias("__new"), F.col("held").alias("__held"))
+        rows = live.join(one, (F.col(end) == F.col("__old")) & (F.xxhash64(end) == F.col("__hash")), "left")
+        live = rows.withColumns({end: F.coalesce("__new", end), held: F.coalesce("__held", held)}).drop("__old", "__hash", "__new", "__held")
+    return live.withColumn("accepted", F.when(F.col("la") == F.col("lb"), True).when(F.arrays_overlap("sa", "sb"), False))
+
+
+def settle_in_rounds(edges: DataFrame, group_edges: int = EDGES_A_GROUP) -> tuple[DataFrame, DataFrame]:
+    """(id, cluster_id) of the ends of edges, and (id_a, id_b, score, iou, cluster_id, accepted): the rule of _greedy without its one order.
+
+    An edge that is the best left at both its clusters comes before all others that touch them, wherever else it stands in the
+    order, so all such edges are settled at once. After that, edges inside a cluster are accepted, and edges between clusters that
+    share a source can never be: both go. What is left is settled in calls of at most group_edges edges once its components are as
+    small as that. Edges in long chains of falling scores take as many rounds as the chain is long until then. Clusters hold a
+    source once, so the lists of sources are short. The driver sees two counts a round.
+    """
+    edges = edges.select("id_a", "id_b", "source_a", "source_b", "score", "iou")
+    live = stored(_between_clusters(edges).withColumn("accepted", F.when(F.col("id_a") == F.col("id_b"), True).when(F.col("source_a").eqNullSafe(F.col("source_b")), False)), "live")
+    settled, joined, rounds = [], [], 0
+    while True:
+        settled.append(live.where("accepted is not null").select("id_a", "id_b", "score", "iou", "accepted"))
+        live = live.where("accepted is null").drop("accepted")
+        left = live.count()
+        if left <= group_edges:
+            break
+        if rounds % 6 == 5:
+            parts = connected_components(live, "la", "lb")
+            within = live.join(parts.withColumnRenamed("node", "la"), "la")
+            if within.groupBy("component").count().agg(F.max("count")).first()[0] <= group_edges:
+                live = within
+                break
+        merges = stored(_merged_best(live), "merges")
+        joined.append(merges.where("old <> new").select("old", "new"))
+        live, rounds = stored(_relabelled(live, merges), "live"), rounds + 1
+    if left:
+        key = F.pmod(F.xxhash64("component"), F.lit(max(1, left // group_edges))) if "component" in live.columns else F.lit(0)
+        last = stored(live.withColumn("group", key).groupBy("group").applyInPandas(_greedy, _CLUSTERED), "last")
+        settled.append(last.where("kind = 'edge'").select(F.col("id").alias("id_a"), F.col("other").alias("id_b"), "score", "iou", "accepted"))
+        joined.append(last.where("kind = 'member' and id <> cluster_id").select(F.col("id").alias("old"), F.col("cluster_id").alias("new")))
+    nodes = edges.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    if joined:  # a cluster is named by its smallest member, so the components of the merges are the clusters
+        roots = connected_components(functools.reduce(DataFrame.unionByName, joined), "old", "new")
+        nodes = nodes.join(roots.select(F.col("node").alias("id"), F.col("component").alias("cluster_id")), "id", "left")
+        nodes = nodes.select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))
+    else:
+        nodes = nodes.select("id", F.col("id").alias("cluster_id"))
+    nodes = stored(nodes, "cluster-members")
+    told = functools.reduce(DataFrame.unionByName, settled).join(nodes.withColumnRenamed("id", "id_a"), "id_a")
+    return nodes, told.select("id_a", "id_b", "score", "iou", "cluster_id", "accepted")
+
+
+def cluster_constrained(obs: DataFrame, edges: DataFrame, group_edges: int = EDGES_A_GROUP) -> tuple[DataFrame, DataFrame]:
     """(id, cluster_id) for every observation, and the edges with cluster_id and accepted.
 
     A cluster is named by its smallest id. The greedy rule never looks beyond a connected component, so components are found
-    first. One that holds no source twice is a cluster as it is; only the others are settled edge by edge, whole components in
-    a call, many at once. Edges need id_a, id_b, source_a, source_b, score, iou.
+    first. One that holds no source twice is a cluster as it is; the others are settled edge by edge, whole components in a call,
+    many at once; components of more than group_edges edges are settled in rounds over all tasks (settle_in_rounds). Edges need
+    id_a, id_b, source_a, source_b, score, iou.
     """
     edges = stored(edges.select("id_a", "id_b", "source_a", "source_b", "score", "iou"), "edges")
     parts = connected_components(edges, "id_a", "id_b")
-    sources = edges.select(F.explode(F.array(F.struct(F.col("id_a").alias("node"), F.col("source_a").alias("source")), F.struct(F.col("id_b").alias("node"), F.col("source_b").alias("source")))).alias("e")).select("e.*").distinct()
-    placed = stored(sources.join(parts, "node"), "placed")
-    twice = placed.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.count_distinct("source").alias("kinds"))
-    twice = stored(twice.where("members > kinds").select("component", F.lit(True).alias("twice")), "twice")
-    where_of = stored(placed.select(F.col("node").alias("id_a"), "component").join(twice, "component", "left"), "components")
-    marked = edges.join(where_of, "id_a")
-    groups = max(1, marked.where("twice").count() // EDGES_A_GROUP)
-    grouped = marked.where("twice").withColumn("group", F.pmod(F.xxhash64("component"), F.lit(groups)))
-    settled = stored(grouped.groupBy("group").applyInPandas(_greedy, _CLUSTERED), "clusters")
-    members = settled.where("kind = 'member'").select("id", "cluster_id").unionByName(where_of.where("twice is null").select(F.col("id_a").alias("id"), F.col("component").alias("cluster_id")))
+    marked = stored(edges.join(parts.withColumnRenamed("node", "id_a"), "id_a"), "placed")
+    ends = marked.select("component", F.explode(F.array(F.struct("id_a", "source_a"), F.struct(F.col("id_b").alias("id_a"), F.col("source_b").alias("source_a")))).alias("e"))
+    nodes = ends.groupBy("component", F.col("e.id_a").alias("id")).agg(F.first("e.source_a").alias("source"), F.count(F.lit(1)).alias("n"))
+    kinds = nodes.groupBy("component", "source").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"))
+    sizes = stored(kinds.groupBy("component").agg(F.max("members").alias("most"), (F.sum("n") / 2).cast("long").alias("edges")).where("most > 1"), "twice")
+    total, largest = sizes.agg(F.sum("edges"), F.max("edges")).first()
+    joined = marked.join(sizes.select("component", "edges"), "component", "left")
+    plain = joined.where("edges is null")
+    members = plain.select(F.explode(F.array("id_a", "id_b")).alias("id"), F.col("component").alias("cluster_id")).distinct()
+    told = plain.select("id_a", "id_b", "score", "iou", F.col("component").alias("cluster_id"), F.lit(True).alias("accepted"))
+    if total:
+        small = _between_clusters(joined.where(F.col("edges") <= group_edges))
+        groups = max(1, total // group_edges)
+        grouped = small.withColumn("group", F.pmod(F.xxhash64("component"), F.lit(groups)))
+        settled = stored(grouped.groupBy("group").applyInPandas(_greedy, _CLUSTERED), "clusters")
+        members = members.unionByName(settled.where("kind = 'member'").select("id", "cluster_id"))
+        told = told.unionByName(settled.where("kind = 'edge'").select(F.col("id").alias("id_a"), F.col("other").alias("id_b"), "score", "iou", "cluster_id", "accepted"))
+    if total and largest > group_edges:
+        nodes, rest = settle_in_rounds(joined.where(F.col("edges") > group_edges), group_edges)
+        members, told = members.unionByName(nodes), told.unionByName(rest)
     everyone = obs.select("id").join(members, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))
-    whole = marked.where("twice is null").select("id_a", "id_b", "score", "iou", F.col("component").alias("cluster_id"), F.lit(True).alias("accepted"))
-    return everyone, settled.where("kind = 'edge'").select(F.col("id").alias("id_a"), F.col("other").alias("id_b"), "score", "iou", "cluster_id", "accepted").unionByName(whole)
+    return everyone, told
 
 
 def duplicate_source_flag(obs: DataFrame, clusters: DataFrame) -> DataFrame:

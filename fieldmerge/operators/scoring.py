@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +10,7 @@ from pyspark.sql import types as T
 
 from fieldmerge.config import MATCH, SIGNALS, MatchConfig, SignalConfig
 from fieldmerge.functions import geometry as g
+from fieldmerge.functions.sequences import sequence_ratios
 
 
 def with_overlap(pairs: DataFrame) -> DataFrame:
@@ -46,19 +45,15 @@ def normalize_identifier(raw: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The second text is prepared once for all the first ones that a batch holds beside it."""
-    out, matcher, last = np.empty(len(a)), difflib.SequenceMatcher(None), None
-    for i in np.argsort(b.to_numpy(), kind="stable"):
-        if b.iat[i] != last:
-            last = b.iat[i]
-            matcher.set_seq2(last)
-        matcher.set_seq1(a.iat[i])
-        out[i] = matcher.ratio()
-    return pd.Series(out)
+    """The ratio of each pair of texts; null where either is null."""
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    out[known] = sequence_ratios(a[known].tolist(), b[known].tolist())
+    return pd.Series(out).where(known, None)
 
 
 def identifier_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Adds id_score and id_method. Only pairs that no rule settles reach the string comparison, and each distinct one once."""
+    """Adds id_score and id_method. Only pairs that no rule settles reach the string comparison, a batch of rows at a time where they are."""
     ra, rb = F.lower(F.trim(F.col(a))), F.lower(F.trim(F.col(b)))
     na, nb = normalize_identifier(F.col(a)), normalize_identifier(F.col(b))
     missing = F.coalesce(F.col(a), F.lit("")).eqNullSafe("") | F.coalesce(F.col(b), F.lit("")).eqNullSafe("")
@@ -69,10 +64,9 @@ def identifier_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
         .when((na != "") & (nb != "") & (F.contains(na, nb) | F.contains(nb, na)), "SUBSTRING_CONTAINMENT")
         .otherwise("FUZZY_STRING_SIMILARITY")
     )
-    marked = pairs.withColumns({"id_method": method, "__ra": ra, "__rb": rb})
-    fuzzy = marked.where("id_method = 'FUZZY_STRING_SIMILARITY'").select("__ra", "__rb").distinct().repartition("__rb").sortWithinPartitions("__rb")
-    fuzzy = fuzzy.withColumn("__fuzzy", g.rounded(_sequence_ratio("__ra", "__rb") * 0.8, 4))
-    scored = marked.join(fuzzy, ["__ra", "__rb"], "left")
+    fuzzy = method == "FUZZY_STRING_SIMILARITY"
+    marked = pairs.withColumns({"id_method": method, "__ra": F.when(fuzzy, ra), "__rb": F.when(fuzzy, rb)})
+    scored = marked.withColumn("__fuzzy", g.rounded(_sequence_ratio("__ra", "__rb") * 0.8, 4))
     fixed = F.when(F.col("id_method") == "NEUTRAL_MISSING", 0.5).when(F.col("id_method") == "EXACT_MATCH", 1.0).when(F.col("id_method") == "NORMALIZED_EQUIVALENT", 0.95).when(F.col("id_method") == "SUBSTRING_CONTAINMENT", 0.85)
     return scored.withColumn("id_score", F.coalesce(fixed, F.col("__fuzzy"))).drop("__ra", "__rb", "__fuzzy")
 
