@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,26 +23,61 @@ def _with_minimum(edges: DataFrame) -> DataFrame:
     return high.join(low, (high.u == low.lu) & (high.h == low.lh)).select("u", "v", "m")
 
 
+#: Edges whose trees a task remembers at once.
+_REMEMBERED = 200_000
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the edges (u, v) of a task, _REMEMBERED at a time, an edge from each node to the smallest that they reach: the same components."""
+    parent: dict[int, int] = {}
+    seen = 0
+
+    def root(x: int) -> int:
+        while (up := parent[x]) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    def told() -> pa.RecordBatch:
+        nodes = [x for x in parent if parent[x] != x]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["u", "v"])
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        seen += batch.num_rows
+        if seen >= _REMEMBERED:
+            yield told()
+            parent, seen = {}, 0
+    if parent:
+        yield told()
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over edges, itself included, for every node that has an edge.
 
-    Alternates the large-star and small-star steps, which end after a number of rounds that grows with the logarithm of the
+    Each task first joins what its own edges connect, which leaves one edge a node and task, and mostly whole components where edges
+    of one place are read together. Then alternates the large-star and small-star steps, which end after a number of rounds that grows with the logarithm of the
     component size. Each round is cut with checkpoint(); the driver sees two sums a round. Edges with a null end are ignored,
     repeated edges and self loops are harmless, an empty table gives an empty table. Raises if max_rounds is not enough.
     """
     shared_dir(edges.sparkSession)
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     loops = pairs.where("u = v").select("u").distinct()
-    now = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    now = pairs.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_trees, "u long, v long").distinct().checkpoint()
     if now.isEmpty():
         return loops.select(F.col("u").alias("node"), F.col("u").alias("component"))
-    before = None
+    told = lambda edges: edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = told(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _with_minimum(large)
         now = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
-        row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        row = told(now)
         if row == before:
             break
         before = row

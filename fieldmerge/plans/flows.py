@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmerge.functions import geometry as g
+from fieldmerge.functions.session import stored
 from fieldmerge.operators import crs, packages, scoring, spatial_join
 from fieldmerge.plans.history import _CHANGES, _FOLD, changes
 from fieldmerge.plans.matching import OBS_SQL, PAIRS_SQL, R, _PA, _PB, _QA, _QB, observations
@@ -68,12 +69,19 @@ def pair_similarities(spark, sf_dir):
     )
 
 
-def _drained(stream: DataFrame, spark) -> DataFrame:
-    """Runs a stream over all that is there and reads what it wrote."""
+def _appended(stream: DataFrame, out: str, check: str):
+    return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check)
+
+
+def _in_batches(parts: list[DataFrame], spark, started, read: bool = True) -> DataFrame | None:
+    """A stream to which the parts are added one after the other, each a micro-batch of its own; what it wrote."""
     path = files.folder(spark, "stream")
-    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    stream = None
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(parts[0].schema).parquet(f"{path}/in")
+        started(stream, f"{path}/out", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out") if read else None
 
 
 def _as_stream(df: DataFrame, spark, name: str) -> DataFrame:
@@ -84,17 +92,27 @@ def _as_stream(df: DataFrame, spark, name: str) -> DataFrame:
 
 @query(_FOLD + " SELECT conflict_id, event_id, previous_state, requested_state, accepted FROM f WHERE n > 0")
 def conflict_fsm_stream(spark, sf_dir):
-    """The requests as a stream through keyed state, all available ones in one micro-batch: the same log as the batch fold."""
+    """The requests as they might arrive, up to 30 days late and so out of order, in four micro-batches through keyed state that puts them in order of event time: the same log as the batch fold."""
     requests = derived(spark, sf_dir, REQUESTS).select("conflict_id", F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), "requested_state")
-    return _drained(lifecycle.stream_lifecycle(_as_stream(requests, spark, "requests")), spark)
+    arrives = F.unix_timestamp("ts") + F.pmod(F.xxhash64("event_id"), F.lit(30 * 86_400))
+    told = stored(requests.withColumn("arrives", arrives), "arrivals")
+    first, last, end = told.agg(F.min("arrives"), F.max("arrives"), F.max("ts")).first()
+    slice_ = F.floor((F.col("arrives") - first) * 4 / (last - first + 1)) if first is not None else F.lit(0)
+    parts = [told.where(slice_ == k).drop("arrives") for k in range(4)]
+    beat = F.lit(end) + F.expr("interval 32 days")  # after the last request time goes on, so that all are released
+    parts.append(spark.range(1).select(F.lit(None).cast("long").alias("conflict_id"), F.lit(None).cast("long").alias("event_id"), beat.alias("ts"), F.lit(None).cast("string").alias("requested_state")))
+    return _in_batches(parts, spark, lambda stream, out, check: _appended(lifecycle.stream_lifecycle_in_order(stream), out, check)).drop("late")
 
 
 @query()
 def identity_stream(spark, sf_dir):
-    """All boxes as requests in order of id, a stream decided batch by batch against what earlier ones registered; held against a plain loop in tests/test_brute_force.py."""
+    """All boxes as requests in order of id, a stream of four batches, each decided against what earlier ones registered; held against a plain loop in tests/test_brute_force.py."""
     requests, path = observations(spark, sf_dir).select(F.col("id").alias("request_id"), "x0", "y0", "x1", "y1"), files.folder(spark, "identities")
-    q = _as_stream(requests, spark, "boxes").writeStream.foreachBatch(lifecycle.identity_batches(path)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
+    requests = stored(requests, "identity-requests")
+    last = requests.agg(F.max("request_id")).first()[0] or 0
+    parts = [requests.where(F.floor(F.col("request_id") * 4 / (last + 1)) == k) for k in range(4)]
+    decide = lambda stream, _, check: stream.writeStream.foreachBatch(lifecycle.identity_batches(path)).option("checkpointLocation", check)
+    _in_batches(parts, spark, decide, read=False)
     return lifecycle.decisions(spark, path)
 
 

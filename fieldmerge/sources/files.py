@@ -64,16 +64,22 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/fieldmerge/{name}-{uuid.uuid4().hex}"
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def _versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the versions that a catalogue lists, ascending; none where there is no catalogue yet."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/catalog")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not _exists(spark, f"{path}/catalog"):
         return []
     return sorted(r[0] for r in spark.read.schema("version long").parquet(f"{path}/catalog").distinct().collect())
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the version that is active, which is the last that the catalogue lists."""
+    """The rows of the version that is active: the last that the catalogue lists, or what the manifest of a bucketed table names."""
+    if _exists(spark, f"{path}/manifest"):
+        return read_buckets(spark, path, manifest(spark, path)).drop("bucket")
     return spark.read.parquet(f"{path}/versions/{_versions(spark, path)[-1]}")
 
 
@@ -91,13 +97,53 @@ def replace(df: DataFrame, path: str) -> bool:
     return True
 
 
-def upsert(df: DataFrame, path: str, key: str, update: list[str]) -> None:
-    """Rows of df into the table at path: of keys that it has only the columns in update change, others are added; a new version."""
+def manifest(spark: SparkSession, path: str, upto: int | None = None) -> dict[int, int]:
+    """The version in which each bucket of the table at path was last written, as of version upto at most; at most one entry a bucket."""
+    if not _exists(spark, f"{path}/manifest"):
+        return {}
+    told = spark.read.schema("bucket int, written int, version int").parquet(f"{path}/manifest")
+    told = told if upto is None else told.where(F.col("version") <= upto)
+    last = told.agg(F.max("version")).first()[0]
+    return {r["bucket"]: r["written"] for r in told.where(F.col("version") == last).collect()} if last is not None else {}
+
+
+def read_buckets(spark: SparkSession, path: str, written: dict[int, int]) -> DataFrame:
+    """The rows of the buckets in written (see manifest), with their bucket; no other file is opened."""
+    paths = [f"{path}/data/version={v}/bucket={b}" for b, v in sorted(written.items())]
+    return spark.read.option("basePath", f"{path}/data").parquet(*paths).drop("version")
+
+
+def write_buckets(df: DataFrame, path: str, version: int, before: dict[int, int]) -> dict[int, int]:
+    """Writes the buckets of df (column bucket) as a version, then a manifest that names them and, for all others, those of before.
+
+    Versions that exist already are written anew. A run that fails before the manifest is there changes nothing for readers.
+    """
+    spark = df.sparkSession
+    df.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/version={version}")
+    fresh = spark.read.parquet(f"{path}/data/version={version}")
+    new = {r[0] for r in fresh.select("bucket").distinct().collect()} if "bucket" in fresh.columns else set()
+    told = before | dict.fromkeys(new, version)
+    rows = [(b, v) for b, v in sorted(told.items())]
+    spark.createDataFrame(rows, "bucket int, written int").write.mode("overwrite").parquet(f"{path}/manifest/version={version}")
+    return told
+
+
+def upsert(df: DataFrame, path: str, key: str, update: list[str], buckets: int = 64) -> None:
+    """Rows of df into the table at path: of keys that it has only the columns in update change, others are added.
+
+    The table lies in buckets by a hash of the key. Only buckets that hold a key of df are read and written again, as files of a new
+    version, and the manifest that names them is written last. buckets must stay the same for a table.
+    """
     spark = df.sparkSession
-    if not _versions(spark, path):
-        replace(df, path)
-        return
-    old = current(spark, path)
-    both = old.alias("o").join(df.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
-    told = [(F.coalesce(f"n.{c}", f"o.{c}") if c in update else F.coalesce(f"o.{c}", f"n.{c}")).alias(c) for c in old.columns]
-    replace(both.select(*told), path)
+    before = manifest(spark, path)
+    version = max(before.values(), default=0) + 1
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    asked = [r[0] for r in df.select(bucket.alias("b")).distinct().collect()]
+    held = {b: before[b] for b in asked if b in before}
+    rows = df
+    if held:
+        old = read_buckets(spark, path, held).drop("bucket")
+        both = old.alias("o").join(df.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
+        rows = both.select(*((F.coalesce(f"n.{c}", f"o.{c}") if c in update else F.coalesce(f"o.{c}", f"n.{c}")).alias(c) for c in old.columns))
+    if asked:
+        write_buckets(rows.withColumn("bucket", bucket), path, version, before)
