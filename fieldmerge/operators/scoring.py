@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from fieldmerge.config import MATCH, SIGNALS, MatchConfig, SignalConfig
 from fieldmerge.functions import geometry as g
 from fieldmerge.functions.sequences import sequence_ratios
+from fieldmerge.operators.spatial_join import after_join
 
 
 def with_overlap(pairs: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def combined_score(pairs: DataFrame, cfg: MatchConfig = MATCH) -> DataFrame:
 
 
 def match_edges(pairs: DataFrame, cfg: MatchConfig = MATCH) -> DataFrame:
-    return pairs.where(F.col("score") >= cfg.min_score)
+    return pairs.where(after_join(F.col("score") >= cfg.min_score))
 
 
 def normalize_identifier(raw: Column) -> Column:

@@ -68,6 +68,15 @@ def range_pairs(a: DataFrame, b: DataFrame, radius: float, cell: float | None =
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def after_join(condition: Column) -> Column:
+    """condition as a filter that stays above the join of pairs.
+
+    Catalyst would move it into the join and in front of the comparison of cells and boxes there, so that it is computed for all
+    pairs of a cell, without shared subexpressions. It does not move what depends on the task.
+    """
+    return F.when(F.spark_partition_id() >= 0, condition)
+
+
 def candidate_pairs(obs: DataFrame, radius: float = 15.0, cell: float | None = None) -> DataFrame:
     """Unordered pairs of observations of different sources within reach, once each, with id_a < id_b."""
     return range_pairs(obs, obs, radius, cell, extra=(F.col("id_a") < F.col("id_b")) & (F.col("source_a") != F.col("source_b")))

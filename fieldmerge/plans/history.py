@@ -207,7 +207,7 @@ def identity_candidates(spark, sf_dir) -> DataFrame:
     requests, registry = obs.where("source = 'survey'"), obs.where("source = 'registry'")
     pairs = spatial_join.range_pairs(requests, registry, 66.7, cell=160.0)
     a, b = g.box(suffix="_a"), g.box(suffix="_b")
-    pairs = pairs.withColumn("inter", g.intersection_area(a, b)).where("inter > 0")
+    pairs = pairs.withColumn("inter", g.intersection_area(a, b)).where(spatial_join.after_join(F.col("inter") > 0))
     found = pairs.select(
         F.col("id_a").alias("request_id"), F.col("id_b").alias("registry_id"), g.iou(a, b, F.col("inter")).alias("iou"), g.centroid_distance(a, b).alias("drift"),
         (g.box_area(a) - g.box_area(b)).alias("area_delta"), F.col("survey_no_a").alias("survey_after"), F.col("survey_no_b").alias("survey_before"),

@@ -144,7 +144,7 @@ def resolve_batch(requests: DataFrame, registry: DataFrame | None, group_rows: i
     """
     requests = stored(requests.select(F.col("request_id").alias("id"), "x0", "y0", "x1", "y1"), "requests")
     a, b = g.box(suffix="_a"), g.box(suffix="_b")
-    within = spatial_join.range_pairs(requests, requests, 0.0, cell=60.0, extra=F.col("id_a") < F.col("id_b")).where(g.intersection_area(a, b) > 0)
+    within = spatial_join.range_pairs(requests, requests, 0.0, cell=60.0, extra=F.col("id_a") < F.col("id_b")).where(spatial_join.after_join(g.intersection_area(a, b) > 0))
     parts = connected_components(within.select("id_a", "id_b"), "id_a", "id_b").select(F.col("node").alias("id"), F.col("component").alias("part"))
     rows = requests.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
     sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
@@ -162,7 +162,7 @@ def resolve_batch(requests: DataFrame, registry: DataFrame | None, group_rows: i
     else:  # what an earlier batch registered wins ties over what this one did
         age = F.col("age") if "age" in registry.columns else F.lit(0)
         known = registry.select(F.col("registry_id").alias("id"), "x0", "y0", "x1", "y1", age.alias("age"))
-        met = spatial_join.range_pairs(requests, known, 0.0, cell=60.0).withColumn("iou", g.iou(a, b)).where("iou > 0")
+        met = spatial_join.range_pairs(requests, known, 0.0, cell=60.0).withColumn("iou", g.iou(a, b)).where(spatial_join.after_join(F.col("iou") > 0))
         best = met.groupBy(F.col("id_a").alias("id")).agg(F.max_by(F.struct("iou", F.col("id_b").alias("found")), F.struct("iou", -F.col("age_b"), -F.col("id_b"))).alias("m"))
         rows = rows.join(best.select("id", "m.iou", "m.found"), "id", "left")
     groups = max(1, -(-(total or 0) // group_rows))
