@@ -17,8 +17,8 @@ from fieldmerge.operators.spatial_join import after_join
 def with_overlap(pairs: DataFrame) -> DataFrame:
     """Adds inter_area, iou and centroid_dist."""
     a, b = g.box(suffix="_a"), g.box(suffix="_b")
-    pairs = pairs.withColumn("inter_area", g.intersection_area(a, b))
-    return pairs.withColumns({"iou": g.iou(a, b, F.col("inter_area")), "centroid_dist": g.centroid_distance(a, b)})
+    pairs = pairs.withColumns({"inter_area": after_join(g.intersection_area(a, b)), "centroid_dist": after_join(g.centroid_distance(a, b))})
+    return pairs.withColumn("iou", after_join(g.iou(a, b, F.col("inter_area"))))
 
 
 def attribute_similarity(area_a: Column, area_b: Column, type_a: Column, type_b: Column) -> Column:
@@ -31,12 +31,13 @@ def combined_score(pairs: DataFrame, cfg: MatchConfig = MATCH) -> DataFrame:
     """Adds attr_sim and score to pairs with overlap."""
     attr = attribute_similarity(F.col("area_m2_a"), F.col("area_m2_b"), F.col("building_type_a"), F.col("building_type_b"))
     near = F.lit(1.0) - F.least(F.col("centroid_dist") / F.lit(cfg.radius_m), F.lit(1.0))
-    pairs = pairs.withColumn("attr_sim", attr)
-    return pairs.withColumn("score", F.lit(cfg.w_iou) * F.col("iou") + F.lit(cfg.w_centroid) * near + F.lit(cfg.w_attribute) * F.col("attr_sim"))
+    pairs = pairs.withColumn("attr_sim", after_join(attr))
+    score = F.lit(cfg.w_iou) * F.col("iou") + F.lit(cfg.w_centroid) * near + F.lit(cfg.w_attribute) * F.col("attr_sim")
+    return pairs.withColumn("score", after_join(score))
 
 
 def match_edges(pairs: DataFrame, cfg: MatchConfig = MATCH) -> DataFrame:
-    return pairs.where(after_join(F.col("score") >= cfg.min_score))
+    return pairs.where(F.col("score") >= cfg.min_score)
 
 
 def normalize_identifier(raw: Column) -> Column:

@@ -68,13 +68,13 @@ def range_pairs(a: DataFrame, b: DataFrame, radius: float, cell: float | None =
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def after_join(condition: Column) -> Column:
-    """condition as a filter that stays above the join of pairs.
+def after_join(value: Column) -> Column:
+    """value, computed once for each pair that the join lets through.
 
-    Catalyst would move it into the join and in front of the comparison of cells and boxes there, so that it is computed for all
-    pairs of a cell, without shared subexpressions. It does not move what depends on the task.
+    Catalyst would copy the expression into every one that uses it, and move filters on it into the join, in front of the comparison of
+    cells and boxes there, where it is computed for all pairs of a cell. It does neither with what depends on the task.
     """
-    return F.when(F.spark_partition_id() >= 0, condition)
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def candidate_pairs(obs: DataFrame, radius: float = 15.0, cell: float | None = None) -> DataFrame:
