@@ -251,6 +251,18 @@ def match_benchmark(spark, sf_dir):
     return rows.withColumn("reduction_pct", g.rounded(100 * (1 - F.col("candidates") / F.col("possible")), 6))
 
 
+@query()
+def match_benchmark_by_sources(spark, sf_dir):
+    """For each two sources the sizes of both sets, the candidate pairs and their classes, of how many pairs there could be."""
+    counts = observations(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("c"))
+    size = lambda s: counts.select(F.col("source").alias(f"source_{s}"), F.col("c").alias(f"n_{s}"))
+    one, two = F.least("source_a", "source_b"), F.greatest("source_a", "source_b")
+    classes = classed_pairs(spark, sf_dir).groupBy(one.alias("source_a"), two.alias("source_b"), "match_class").agg(F.count(F.lit(1)).alias("n"))
+    rows = classes.withColumn("candidates", F.sum("n").over(Window.partitionBy("source_a", "source_b"))).join(size("a"), "source_a").join(size("b"), "source_b")
+    rows = rows.withColumn("possible", F.col("n_a").cast("double") * F.col("n_b"))
+    return rows.withColumn("reduction_pct", g.rounded(100 * (1 - F.col("candidates") / F.col("possible")), 6))
+
+
 @query()
 def sorted_matches(spark, sf_dir):
     """The 500 best of all candidate pairs by rounded score and ids."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldmerge.functions import geometry as g
 from fieldmerge.functions.session import stored
-from fieldmerge.operators import scoring, spatial_join
+from fieldmerge.operators import quantiles, scoring, spatial_join
 from fieldmerge.plans.matching import _ENTITIES, OBS_SQL, PAIRS_SQL, R, clusters_of, decided_pairs, edges_of, entities, observations
 from fieldmerge.plans.register import query
 from fieldmerge.sources import files
@@ -145,25 +145,17 @@ def source_pair_agreement(spark, sf_dir):
 
 @query(PAIRS_SQL + f", q AS (SELECT k_a % 20 AS g, iou, centroid_dist AS d, abs(area_a - area_b) / greatest(area_a, area_b) * 100 AS v FROM edges), w AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY d) AS r, count(*) OVER (PARTITION BY g) AS c FROM q) SELECT g AS dataset_id, {R('avg(iou)', 6)} AS mean_iou, {R('median(iou)', 6)} AS median_iou, {R('avg(d)', 6)} AS mean_drift, {R('max(d) FILTER (r = CAST(floor(0.95::DOUBLE * c) AS BIGINT) + 1)', 6)} AS p95_drift, {R('avg(v)', 6)} AS mean_area_variance, {R('100.0::DOUBLE * count(*) FILTER (d < 2) / count(*)', 4)} AS under_2m_pct FROM w GROUP BY g")
 def geometric_quality(spark, sf_dir):
-    """Per data set; the 95th percentile is the value of rank floor(0.95 n) + 1.
-
-    No data set is brought together to be sorted: values are counted by data set and millimetre, ranks run over those counts
-    (as many as there are millimetres), and only the one that holds the rank is looked into.
-    """
+    """Per data set; the 95th percentile is the value of rank floor(0.95 n) + 1. No data set is brought together to be sorted."""
     a, b = F.col("area_m2_a"), F.col("area_m2_b")
     rows = edges_of(spark, sf_dir).select((F.col("k_a") % 20).alias("dataset_id"), "iou", F.col("centroid_dist").alias("d"), (F.abs(a - b) / F.greatest(a, b) * 100).alias("v"))
-    rows = stored(rows.withColumn("mm", F.floor(F.col("d") * 1000)), "edge_quality")
-    steps = rows.groupBy("dataset_id", "mm").agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("dataset_id")
-    steps = steps.withColumns({"upto": F.sum("n").over(by.orderBy("mm")), "c": F.sum("n").over(by)}).withColumn("want", F.floor(F.lit(0.95) * F.col("c")) + 1)
-    step = steps.where("upto >= want and upto - n < want").select("dataset_id", "mm", (F.col("want") - (F.col("upto") - F.col("n"))).cast("int").alias("nth"))
-    within = rows.join(step, ["dataset_id", "mm"]).groupBy("dataset_id", "nth").agg(F.sort_array(F.collect_list("d")).alias("all"))
-    p95 = within.select("dataset_id", F.element_at("all", F.col("nth")).alias("p95"))
+    rows = stored(rows, "edge_quality")
+    ranked = quantiles.at_ranks(rows, ["dataset_id"], quantiles.medians("iou", "i1", "i2") | {"p95": ("d", lambda n: F.floor(F.lit(0.95) * n) + 1)})
+    ranked = ranked.select("dataset_id", g.rounded(quantiles.median("i1", "i2"), 6).alias("median_iou"), g.rounded(F.col("p95"), 6).alias("p95_drift"))
     found = rows.groupBy("dataset_id").agg(
-        g.rounded(F.avg("iou"), 6).alias("mean_iou"), g.rounded(F.median("iou"), 6).alias("median_iou"), g.rounded(F.avg("d"), 6).alias("mean_drift"), g.rounded(F.avg("v"), 6).alias("mean_area_variance"),
+        g.rounded(F.avg("iou"), 6).alias("mean_iou"), g.rounded(F.avg("d"), 6).alias("mean_drift"), g.rounded(F.avg("v"), 6).alias("mean_area_variance"),
         g.rounded(F.lit(100.0) * F.count(F.when(F.col("d") < 2, 1)) / F.count(F.lit(1)), 4).alias("under_2m_pct"),
     )
-    return found.join(p95, "dataset_id").withColumn("p95_drift", g.rounded(F.col("p95"), 6)).drop("p95")
+    return found.join(ranked, "dataset_id")
 
 
 @query(_ENTITIES + f", q AS (SELECT avg(avg_iou) AS i, avg(drift) AS d, avg(confidence) AS c FROM ent) SELECT 'iou' AS metric, {R('i', 6)} AS value, CASE WHEN i >= 0.85 THEN 'PASSED' ELSE 'WARNING' END AS status FROM q UNION ALL SELECT 'drift', {R('d', 6)}, CASE WHEN d <= 0.8 THEN 'PASSED' ELSE 'WARNING' END FROM q UNION ALL SELECT 'confidence', {R('c', 6)}, CASE WHEN c >= 0.8 THEN 'PASSED' ELSE 'WARNING' END FROM q UNION ALL SELECT 'agreement', {R('100 * i - 1.5 * d', 6)}, CASE WHEN 100 * i - 1.5 * d >= 85 THEN 'PASSED' ELSE 'WARNING' END FROM q")
@@ -227,12 +219,15 @@ def snk_canonical_upsert(spark, sf_dir):
 
 @query(_PLACED + f" SELECT cluster_id AS parcel_id, array_to_string(sources, ';') AS sources, source_count, {R('drift', 3)} AS drift_m, confidence, decision, {_REVIEW} AS needs_review, {R('cx', 3)} AS cx, {R('cy', 3)} AS cy, {R('(x1 - x0) * (y1 - y0)', 2)} AS area_m2 FROM pe")
 def snk_csv_ledger(spark, sf_dir):
-    """The ten columns of the parcel ledger; sinks.write_csv writes them."""
+    """The ten columns of the parcel ledger, written as CSV and read back."""
     rows = placed(spark, sf_dir)
-    return rows.select(
+    told = rows.select(
         F.col("cluster_id").alias("parcel_id"), F.array_join("sources", ";").alias("sources"), "source_count", g.rounded(F.col("centroid_drift_m"), 3).alias("drift_m"), "confidence", "decision", "needs_review",
         g.rounded(F.col("cx"), 3).alias("cx"), g.rounded(F.col("cy"), 3).alias("cy"), g.rounded((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), 2).alias("area_m2"),
     )
+    path = files.folder(spark, "ledger")
+    files.write_csv(told, path)
+    return files.read_attributes(spark, path, "parcel_id long, sources string, source_count long, drift_m double, confidence double, decision string, needs_review boolean, cx double, cy double, area_m2 double")
 
 
 @query(_PLACED + f" SELECT cluster_id AS dataset, 'e-' || CAST(cluster_id AS VARCHAR) AS uid, confidence, {_REVIEW} AS needs_review, {R('(x1 - x0) * (y1 - y0)', 2)} AS area_m2 FROM pe".replace("cluster_id AS dataset", "CAST(FLOOR(CAST(cluster_id AS DOUBLE) / 1000) AS BIGINT) AS dataset"))
@@ -254,17 +249,23 @@ def snk_geojson_export(spark, sf_dir):
 
 @query(
     _ENTITIES
-    + f""" SELECT cluster_id % 50 AS dataset_id, count(*) FILTER (decision = 'auto_reconciled') AS auto, count(*) FILTER (decision = 'review_required') AS review, count(*) FILTER (decision = 'conflict') AS conflict, {R('max(drift)', 3)} AS largest FROM ent GROUP BY 1"""
+    + f""" SELECT cluster_id % 50 AS dataset_id, count(*) FILTER (decision = 'auto_reconciled') AS auto, count(*) FILTER (decision = 'review_required') AS review, count(*) FILTER (decision = 'conflict') AS conflict, {R('max(drift)', 3)} AS largest,
+ string_agg(CASE WHEN decision <> 'auto_reconciled' THEN CAST(cluster_id AS VARCHAR) || ':' || decision END, ',' ORDER BY cluster_id) AS audit FROM ent GROUP BY 1"""
 )
 def snk_json_package(spark, sf_dir):
-    """One JSON object per data set, written as lines and read back: counts by decision and the largest difference."""
+    """One package per data set: its summary as a JSON line, and its audit log, an event for each entity that was not merged by itself, as lines of a second file; written, read back and put together."""
     rows = entities(spark, sf_dir).withColumn("dataset_id", F.col("cluster_id") % 50)
     n = lambda d: F.count(F.when(F.col("decision") == d, 1))
     found = rows.groupBy("dataset_id").agg(F.struct(n("auto_reconciled").alias("auto"), n("review_required").alias("review"), n("conflict").alias("conflict"), g.rounded(F.max("centroid_drift_m"), 3).alias("largest")).alias("summary"))
+    events = rows.where("decision <> 'auto_reconciled'").select("dataset_id", F.lit("DECIDED").alias("event"), F.struct("cluster_id", "decision", "confidence").alias("subject"))
     path = files.folder(spark, "package")
-    files.write_lines(found.select(F.to_json(F.struct("dataset_id", "summary")).alias("value")), path)
-    back = spark.read.schema("dataset_id long, summary struct<auto: long, review: long, conflict: long, largest: double>").json(path)
-    return back.select("dataset_id", "summary.*")
+    for name, part in (("summary", found.select(F.struct("dataset_id", "summary").alias("o"))), ("audit", events.select(F.struct("dataset_id", "event", "subject").alias("o")))):
+        files.write_lines(part.select(F.to_json("o").alias("value")), f"{path}/{name}")
+    summary = spark.read.schema("dataset_id long, summary struct<auto: long, review: long, conflict: long, largest: double>").json(f"{path}/summary")
+    log = spark.read.schema("dataset_id long, event string, subject struct<cluster_id: long, decision: string, confidence: double>").json(f"{path}/audit")
+    # for the comparison the log of a data set is told in one line
+    told = log.groupBy("dataset_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("subject.cluster_id", "subject.decision"))), lambda x: F.concat_ws(":", x["cluster_id"], x["decision"])), ",").alias("audit"))
+    return summary.join(told, "dataset_id", "left").select("dataset_id", "summary.*", "audit")
 
 
 @query(_ENTITIES + " SELECT unnest(['started', 'complete']) AS status, unnest([CAST(NULL AS BIGINT), (SELECT count(*) FROM obs)]) AS observations, unnest([CAST(NULL AS BIGINT), (SELECT count(*) FROM edges)]) AS edges, unnest([CAST(NULL AS BIGINT), (SELECT count(*) FROM ent)]) AS entities")

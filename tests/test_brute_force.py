@@ -92,6 +92,12 @@ def test_scores_and_classes_of_all_candidate_pairs(spark, boxes, pairs):
     sizes = [sum(b["source"] == s for b in boxes.values()) for s in ("registry", "survey", "imagery")]
     possible = sum(a * b for a, b in itertools.combinations(sizes, 2))
     assert all(r["candidates"] == len(pairs) and r["reduction_pct"] == pytest.approx(100 * (1 - len(pairs) / possible), abs=1e-6) for r in counts.values())
+    of_pairs = {}
+    for r in registry.QUERIES["match_benchmark_by_sources"](spark, SF).collect():
+        assert (r["n_a"], r["n_b"]) == tuple(sum(b["source"] == s for b in boxes.values()) for s in (r["source_a"], r["source_b"]))
+        of_pairs[r["source_a"], r["source_b"], r["match_class"]] = r["n"]
+    told = [(*sorted((boxes[i]["source"], boxes[j]["source"])), want[i, j][1]) for i, j in pairs]
+    assert sum(of_pairs.values()) == len(told) and all(abs(n - told.count(k)) < 5 for k, n in of_pairs.items())
     best = [r["candidate_score"] for r in registry.QUERIES["sorted_matches"](spark, SF).collect()]
     assert best == sorted(best, reverse=True) and best[-1] == pytest.approx(sorted((s for s, _ in want.values()), reverse=True)[499], abs=1.2e-5)
 

@@ -2,7 +2,9 @@
 
 import datetime
 import difflib
+import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from test_brute_force import _identities
 
 from fieldmerge.config import TRANSITIONS
 from fieldmerge.functions.sequences import sequence_ratios
-from fieldmerge.operators import clustering
+from fieldmerge.operators import clustering, quantiles
 from fieldmerge.sources import files
 from fieldmerge.streaming import lifecycle
 
@@ -135,3 +137,21 @@ def test_upsert_writes_only_buckets_with_changed_keys(spark, tmp_path):
     assert files.manifest(spark, path) == after and files.current(spark, path).count() == 1000
     files.upsert(few.limit(0), path, "id", ["a"], buckets=16)
     assert files.manifest(spark, path) == after
+
+
+def test_ranks_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "BINS", 8)
+    monkeypatch.setattr(quantiles, "FEW", 5)
+    rng = random.Random(4)
+    draw = {"a": lambda: rng.gauss(0, 1), "b": lambda: float(rng.randrange(4)), "c": lambda: rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300), "d": lambda: 7.0}
+    rows = [(k, f()) for k, f in draw.items() for _ in range(300)] + [("e", None), ("a", math.nan), (None, 2.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    wanted = quantiles.medians("v", "low", "high") | {"p95": ("v", lambda n: F.floor(F.lit(0.95) * n) + 1)}
+    got = {r["k"]: r for r in quantiles.at_ranks(df, ["k"], wanted).withColumn("m", quantiles.median("low", "high")).collect()}
+    for k in ("a", "b", "c", "d", None):
+        mine = sorted(v for x, v in rows if x == k and not math.isnan(v))
+        assert got[k]["low"] == mine[(len(mine) - 1) // 2] and got[k]["high"] == mine[len(mine) // 2] and got[k]["p95"] == mine[int(0.95 * len(mine))]
+        if k != "c":
+            assert got[k]["m"] == pytest.approx(statistics.median(mine))
+    assert "e" not in got
+    assert quantiles.at_ranks(df.limit(0), [], wanted).count() == 0
