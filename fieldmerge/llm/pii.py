@@ -3,7 +3,8 @@
 The field tags the words of every line that holds a digit or an at sign. Its features are the shapes of a word and its
 neighbours, how many digits it has, and which cue word stands before it; weights are fitted by gradient ascent on a small
 labelled table: sentences of the caller's, or LABELLED with lines that silver_lines() draws from the corpus, in which the
-patterns mark the data, which is also rewritten in forms that the patterns do not cover. Tags of all lines of a batch are
+patterns mark the data, which is also rewritten in forms and set in places that the patterns do not cover; runs of numbers that the
+patterns leave are of unknown kind there, so they teach nothing. Tags of all lines of a batch are
 decoded by Viterbi at once in numpy. What it tags, the patterns do not cover and passes the tests of its kind (digits, check
 digit, parts) is added to their spans.
 """
@@ -115,6 +116,7 @@ LABELLED = (
     "chapter 4 : 1 2 3 4 5 6 7",
     "in 2004 , 2005 and 2006 it rose by 12 %",
 )
+UNKNOWN = "any"
 MARK = re.compile(r"\{(\w+):([^}]*)\}")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WORDS = re.compile(r"\S+")
@@ -143,7 +145,7 @@ def features(words: list[str]) -> list[list[str]]:
 
 
 def tagged(sentence: str) -> tuple[list[str], list[int]]:
-    """Words and tags of a marked-up sentence."""
+    """Words and tags of a marked-up sentence; -1 for words of a stretch {any:text}, of which nothing is known."""
     words, tags, at = [], [], 0
     for m in [*MARK.finditer(sentence), None]:
         plain = sentence[at : m.start() if m else None]
@@ -151,7 +153,7 @@ def tagged(sentence: str) -> tuple[list[str], list[int]]:
         tags += [0] * len(new)
         if m:
             words += (new := m.group(2).split())
-            tags += [1 + 2 * KINDS.index(m.group(1)) + (i > 0) for i in range(len(new))]
+            tags += [-1] * len(new) if m.group(1) == UNKNOWN else [1 + 2 * KINDS.index(m.group(1)) + (i > 0) for i in range(len(new))]
             at = m.end()
     return words, tags
 
@@ -220,10 +222,30 @@ def _padded(data: list[tuple[list[list[str]], list[int]]], index: dict[str, int]
         yield ids, truth, lengths
 
 
+def _expected(scores: np.ndarray, move: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, place, tag): the chance of each tag; (tag, tag): how often the second is expected after the first. All lines at once."""
+    (n, longest, tags), inner = scores.shape, move[:-1]
+    fore = np.empty((n, longest, tags))
+    fore[:, 0] = scores[:, 0] + move[-1]
+    for t in range(1, longest):
+        fore[:, t] = _log_sum(fore[:, t - 1, :, None] + inner[None], 1) + scores[:, t]
+    aft = np.zeros((n, longest, tags))
+    for t in range(longest - 2, -1, -1):
+        told = _log_sum(inner[None] + (scores[:, t + 1] + aft[:, t + 1])[:, None, :], 2)
+        aft[:, t] = np.where((t + 1 < lengths)[:, None], told, 0.0)
+    whole = _log_sum(fore[np.arange(n), lengths - 1], 1)
+    after = np.zeros((tags, tags))
+    for t in range(1, longest):
+        on = t < lengths
+        after += np.exp(fore[on, t - 1, :, None] + inner[None] + (scores[on, t] + aft[on, t])[:, None, :] - whole[on, None, None]).sum(axis=0)
+    return np.exp(fore + aft - whole[:, None, None]), after
+
+
 def fit(sentences: list[str], rounds: int = 150, rate: float = 0.1, decay: float = 0.02) -> Field:
-    """Maximises the likelihood of the tags less decay / 2 times the squared weights, by Adam over all sentences.
+    """Maximises the likelihood of the known tags less decay / 2 times the squared weights, by Adam over all sentences.
 
-    Forward and backward sums run over all lines of about one length at once.
+    Words with an unknown tag count with every tag that they may have: the likelihood is a sum over all of them. Forward and backward
+    sums run over all lines of about one length at once.
     """
     data = [tagged(s) for s in sentences]
     data = [(features(words), tags) for words, tags in data if words]
@@ -235,30 +257,26 @@ def fit(sentences: list[str], rounds: int = 150, rate: float = 0.1, decay: float
     n, tags = len(index), len(TAGS)
     field = Field(index, np.zeros((n + 1, tags)), np.zeros((tags + 1, tags)))
     moment = [np.zeros_like(x) for x in (field.emit, field.emit, field.move, field.move)]
-    groups = list(_padded(data, index))
+    groups = [g for part in ([x for x in data if min(x[1]) >= 0], [x for x in data if min(x[1]) < 0]) for g in _padded(part, index)]
     for step in range(1, rounds + 1):
         emit, move = -decay * field.emit, -decay * field.move
         for ids, truth, lengths in groups:
-            rows, longest = np.arange(len(ids)), ids.shape[1]
-            scores, inner = field.emit[ids].sum(axis=2), field.move[:-1]
-            fore = np.empty((len(ids), longest, tags))
-            fore[:, 0] = scores[:, 0] + field.move[-1]
-            for t in range(1, longest):
-                fore[:, t] = _log_sum(fore[:, t - 1, :, None] + inner[None], 1) + scores[:, t]
-            aft = np.zeros((len(ids), longest, tags))
-            for t in range(longest - 2, -1, -1):
-                told = _log_sum(inner[None] + (scores[:, t + 1] + aft[:, t + 1])[:, None, :], 2)
-                aft[:, t] = np.where((t + 1 < lengths)[:, None], told, 0.0)
-            whole = _log_sum(fore[rows, lengths - 1], 1)
+            longest = ids.shape[1]
+            scores = field.emit[ids].sum(axis=2)
+            free, after = _expected(scores, field.move, lengths)
+            if truth.min() < 0:
+                ruled_out = (truth[..., None] >= 0) & (np.arange(tags) != truth[..., None])
+                given, told = _expected(np.where(ruled_out, -1e4, scores), field.move, lengths)
+            else:
+                given, told = np.eye(tags)[truth], np.zeros((tags, tags))
+                for t in range(1, longest):
+                    on = t < lengths
+                    np.add.at(told, (truth[on, t - 1], truth[on, t]), 1)
             real = (np.arange(longest)[None] < lengths[:, None])[..., None]
-            odds = np.where(real, np.eye(tags)[truth] - np.exp(fore + aft - whole[:, None, None]), 0.0)
+            odds = np.where(real, given - free, 0.0)
             np.add.at(emit, ids, odds[:, :, None, :])
             move[-1] += odds[:, 0].sum(axis=0)
-            for t in range(1, longest):
-                on = t < lengths
-                np.add.at(move, (truth[on, t - 1], truth[on, t]), 1)
-                both = fore[on, t - 1, :, None] + inner[None] + (scores[on, t] + aft[on, t])[:, None, :] - whole[on, None, None]
-                move[:-1] -= np.exp(both).sum(axis=0)
+            move[:-1] += told - after
         emit[-1] = 0
         for k, (weight, slope) in enumerate(((field.emit, emit), (field.move, move))):
             moment[2 * k] = 0.9 * moment[2 * k] + 0.1 * slope
@@ -278,31 +296,57 @@ def _rewritten(kind: int, value: str, turn: int) -> str:
     return value
 
 
+#: Forms of a datum in marked_up(): as it stands, rewritten in four ways, between other numbers, said twice, and before an address.
+FORMS = (None, 0, 1, 2, 3, 4, 5, 6)
+
+
+def _told(kind: int, value: str, form: int | None) -> str:
+    """A marked datum in one of FORMS; next to other numbers the patterns run on and miss it."""
+    mark = f"{{{KINDS[kind]}:{value}}}"
+    if form is None or form < 4:
+        return f" {{{KINDS[kind]}:{value if form is None else _rewritten(kind, value, form)}}} "
+    turn = zlib.crc32(value.encode())
+    if kind < 2:
+        return f" {mark} "
+    if form == 4:
+        return f" {turn % 90 + 3} {mark} {turn // 90 % 4000 + 2} "
+    return f" {mark} {mark} " if form == 5 else f" {mark} {{ip:10.{turn % 250}.{turn // 250 % 250}.7}} "
+
+
+def _unsure(plain: str) -> str:
+    """Text without a datum of the patterns: runs of numbers that are long enough to hold one, and words with an at sign, are marked as unknown."""
+    plain = plain.replace("{", "(").replace("}", ")")
+    plain = REGION.sub(lambda m: f" {{{UNKNOWN}:{m.group()}}} " if sum(c.isdigit() for c in m.group()) >= 7 else m.group(), plain)
+    return re.sub(r"(?<!\S)[^\s{}]*@[^\s{}]+", lambda m: f" {{{UNKNOWN}:{m.group()}}} ", plain)
+
+
 def marked_up(line: str, form: int | None) -> str:
-    """A line as a labelled sentence: what the patterns find, as it stands (None) or rewritten; a window of 12 words on either side."""
+    """A line as a labelled sentence: what the patterns find, in one of FORMS; a window of 12 words on either side.
+
+    The patterns do not decide what they miss: longer runs of numbers that they leave are unknown, not none.
+    """
     spans, out, at = base_spans(line), [], 0
     kept: list[Span] = []
     for a, kind, b in spans:
         if not kept or a >= kept[-1][2]:
             kept.append((a, kind, b))
     for a, kind, b in kept:
-        value = line[a:b]
-        out += [line[at:a].replace("{", "(").replace("}", ")"), f" {{{KINDS[kind]}:{value if form is None else _rewritten(kind, value, form)}}} "]
+        out += [_unsure(line[at:a]), _told(kind, line[a:b], form)]
         at = b
-    told = "".join(out) + line[at:].replace("{", "(").replace("}", ")")
-    places = [m.start() for m in MARK.finditer(told)] or [m.start() for m in re.finditer("[0-9]", told)][:1]
+    told = "".join(out) + _unsure(line[at:])
+    places = [m.start() for m in MARK.finditer(told) if m.group(1) != UNKNOWN] or [m.start() for m in re.finditer("[0-9]", told)][:1]
     if not places:
         return ""
-    first, last = len(told[: places[0]].split()), len(told[: places[-1]].split())
     # words are counted with marks whole
-    words = re.findall(r"\{\w+:[^}]*\}|\S+", told)
-    return " ".join(words[max(0, first - 12) : min(last, first + 24) + 12])
+    words = list(re.finditer(r"\{\w+:[^}]*\}|[^\s{]+", told))
+    first, last = (sum(m.start() <= p for m in words) - 1 for p in (places[0], places[-1]))
+    return " ".join(m.group() for m in words[max(0, first - 12) : min(last, first + 24) + 13])
 
 
 def silver_lines(docs: DataFrame, max_lines: int = 600, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One string column `sentence` of at most max_lines labelled lines of the corpus, those with the least hash.
 
-    Two thirds hold what the patterns find, as it stands and rewritten in four ways; the rest hold digits or an at sign but nothing found.
+    Two thirds hold what the patterns find, in all FORMS; the rest hold digits or an at sign but nothing found.
     Each task keeps the least max_lines of what it reads and only these are shuffled; equal ones count once. Lines of over 2,000
     characters are not taken. An empty table, or one without digits, gives no rows.
     """
@@ -315,9 +359,9 @@ def silver_lines(docs: DataFrame, max_lines: int = 600, id_col: str = "doc_id",
             for text in batch.column(1).filter(maybe):
                 for m in _LINE.finditer(text.as_py()):
                     line = m.group()
-                    for form in (None, 0, 1, 2, 3) if len(line) <= 2000 else ():
+                    for form in FORMS if len(line) <= 2000 else ():
                         if sentence := marked_up(line, form):
-                            least["{" in sentence][sentence] = zlib.crc32(sentence.encode())
+                            least[any(f"{{{k}:" in sentence for k in KINDS)][sentence] = zlib.crc32(sentence.encode())
             for k, kept in enumerate(least):
                 if len(kept) > shares[k]:
                     cut = sorted((h, x) for x, h in kept.items())[: shares[k]]

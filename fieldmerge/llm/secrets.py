@@ -11,8 +11,11 @@ keys, so there the digit and the length are asked for.
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -35,7 +38,7 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[+/_=0-9-]*[A-Za-z])(?=[+/_=A-Z
 #: A value that a name with a sensitive word is set to.
 SET_TO = re.compile(
     r"""(?:passw(?:or)?d|passphrase|secret|token|api_?key|private_?key|credentials?|bearer|auth|authorization|signature|access_?key|pwd)"""
-    r"""(?:[_-][A-Za-z0-9_-]+|Key|Id|Value)?["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})""",
+    r"""(?:[_-][A-Za-z0-9_-]{1,64}+|Key|Id|Value)?["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})""",
     re.ASCII | re.IGNORECASE,
 )
 #: The head of a key block; its lines where no tail follows; a line that is judged.
@@ -115,32 +118,62 @@ def key_blocks(text: str) -> list[tuple[int, int]]:
     return found
 
 
+class _Taken:
+    """Stretches of a text that are taken, joined where they touch, for a search by place."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, _, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect.bisect_left(self.starts, b) - 1
+        return k < 0 or self.ends[k] <= a
+
+
+def _copies(text: str, values: set[str]) -> Iterator[tuple[int, int]]:
+    """Where the values stand in text, in one pass over it; copies of one value do not overlap."""
+    automaton = ahocorasick.Automaton()
+    for value in values:
+        automaton.add_word(value, len(value))
+    automaton.make_automaton()
+    last: dict[str, int] = {}
+    for end, size in automaton.iter(text):
+        start, name = end + 1 - size, text[end + 1 - size : end + 1]
+        if last.get(name, 0) <= start:
+            last[name] = end + 1
+            yield start, end + 1
+
+
 def secret_spans(text: str, threshold: float = 0.7, reach: int = 48, around: int = 2048, known: bytes = b"") -> list[Span]:
-    """base_spans() and, where they leave room, novel strings; a key block with a novel line is one span."""
+    """base_spans() and, where they leave room, novel strings; a key block with a novel line is one span.
+
+    Linear in the text: each candidate costs a search among the sorted spans and a compression of `around` characters.
+    """
     found = base_spans(text)
     blocks = []
     for a, b in key_blocks(text):
         lines = [m.span() for m in LINE.finditer(text, a, b)]
         if any(novelty(text, *x, around, False, known) >= threshold for x in lines):
             blocks.append((a + len(text[a:b]) - len(text[a:b].lstrip()), 3, a + len(text[a:b].rstrip())))
-    taken = found + blocks
-    free = lambda a, b: not any(s < b and a < e for s, _, e in taken)
+    taken = _Taken(found + blocks)
     near = lambda a, b: SENSITIVE.search(text, max(0, a - reach), a) or SENSITIVE.search(text, b, b + reach)
     spans = [m.span(1) for m in SET_TO.finditer(text)]
     spans += [m.span() for m in CANDIDATE.finditer(text) if near(*m.span())]
     novel, values = [], set()
     for a, b in spans:
-        if not free(a, b) or novelty(text, a, b, around, False, known) < threshold:
+        if not taken.free(a, b) or novelty(text, a, b, around, False, known) < threshold:
             continue
         novel.append((a, b))
         if CANDIDATE.fullmatch(text[a:b]):
             values.add(text[a:b])
-    for value in values:
-        at = text.find(value)
-        while at >= 0:
-            if free(at, at + len(value)):
-                novel.append((at, at + len(value)))
-            at = text.find(value, at + len(value))
+    if values:
+        novel += [x for x in _copies(text, values) if taken.free(*x)]
     kept: list[Span] = []
     for a, b in sorted(set(novel)):
         if kept and a < kept[-1][2]:

@@ -513,3 +513,41 @@ def test_collapse_of_snapshots(spark):
     assert chats.collapse_and_render(df.limit(0)).count() == 0
     lone = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "user", "b"), (None, 0, "bot", "c"), (8, 0, "user", "b"), (8, 1, "x", "y")], "conv_id long, turn int, role string, text string")
     assert sorted((r["conv_id"] or 0, r["n_turns"], r["rendered"][12:16]) for r in chats.collapse_and_render(lone).collect()) == [(0, 1, "bot\n"), (0, 1, "user"), (8, 2, "user")]
+
+
+def test_lines_of_the_corpus_do_not_teach_what_the_patterns_miss(spark):
+    """Data next to other numbers, which the patterns run past: the fitted field finds them, as many in the corpus as without its lines."""
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = sorted(r["sentence"] for r in pii.silver_lines(corpus).collect())
+    field, plain = pii.fit([*pii.LABELLED, *lines]), pii.fit(list(pii.LABELLED))
+    card, other = "4539148803436467", "6011000990139424"
+    awkward = [
+        (f"thre and {card} {other} ereth on", {card, other}),
+        (f"then {card} 55512345 of the", {card}),
+        ("rere oume phone +1 (826) 555-4081 190.137.223.204 du anvio", {"+1 (826) 555-4081", "190.137.223.204"}),
+        (f"the card 7 {card} was", {card}),
+        ("call +1 (843) 555-7672 170.106.47.218 now", {"+1 (843) 555-7672", "170.106.47.218"}),
+    ]
+    for text, wanted in awkward:
+        base, spans = pii.all_spans([text], field)[0]
+        assert wanted <= {text[a:b] for a, _, b in spans} and set(base) <= set(spans), text
+    texts = [r["text"] for r in corpus.where("text rlike '[0-9@]'").collect()]
+    added = lambda f: sum(len(both) - len(base) for base, both in pii.all_spans(texts, f))
+    assert added(field) >= added(plain) > 0
+
+
+def test_unknown_tags_count_with_every_tag():
+    """The gradient of the likelihood with unknown tags, against differences of the sum over all taggings."""
+    import itertools
+
+    rng = np.random.default_rng(3)
+    tags = len(pii.TAGS)
+    scores, move = rng.normal(size=(1, 3, tags)), rng.normal(size=(tags + 1, tags))
+    weigh = lambda path: np.exp(move[-1, path[0]] + scores[0, range(3), path].sum() + move[path[0], path[1]] + move[path[1], path[2]])
+    chance, after = pii._expected(scores, move, np.array([3]))
+    total = sum(weigh(p) for p in itertools.product(range(tags), repeat=3))
+    for tag in range(tags):
+        assert abs(chance[0, 1, tag] - sum(weigh(p) for p in itertools.product(range(tags), repeat=3) if p[1] == tag) / total) < 1e-9
+    assert abs(after.sum() - 2) < 1e-9
+    words, known = pii.tagged("a {any:12 34} {card:5} b")
+    assert words == ["a", "12", "34", "5", "b"] and known == [0, -1, -1, 5, 0]

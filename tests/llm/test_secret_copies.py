@@ -1,7 +1,9 @@
 """Secrets that stand twice, in key blocks, before their name, or in assignments without a digit."""
 
 import random
+import re
 import string
+import time
 
 from fieldmerge.llm import secrets
 
@@ -78,3 +80,20 @@ def test_a_secret_in_many_documents_is_not_learnt(spark):
     found = secrets.find_secrets(docs, known=known).where("doc_id < 50").collect()
     assert all(len(r["spans"]) == 2 for r in found)
     assert secrets.learnt_identifiers(docs.where("false")) == b""
+
+
+def test_long_texts_take_linear_time():
+    texts = [
+        "token=abcdefgh12345x\n" * 50_000,
+        "secret_" * 150_000,
+        "".join(f"key is token {i * 7919:09d}aBc{i * 31:x}Zq\n" for i in range(8_000)),
+        "my_secret_key=" * 70_000,
+        "passwd" * 170_000,
+    ]
+    for text in texts:
+        began = time.time()
+        spans = secrets.secret_spans(text)
+        assert time.time() - began < 10
+        assert all(a < b <= len(text) for a, _, b in spans)
+    assert len(secrets.secret_spans(texts[0])) == 50_000
+    assert {(a, b) for a, k, b in secrets.secret_spans(texts[2]) if k == 3} == {m.span() for m in re.finditer(r"[0-9]{9}aBc[0-9a-f]+Zq", texts[2])}
