@@ -5,10 +5,11 @@ cells that it marked once from those it marked again; shards meet in one group e
 marked again. Pass 2 tests every row: a repeated text has both its cells marked again, so a row without is alone for certain
 and goes straight to the result. The rest, repeated texts and a few false alarms, are grouped by SHA-256.
 
-The marked table grows with the corpus (bits_per_row bits a row) and is broadcast in parts of at most max_filter_bytes: one
-round for each part, in which the rows whose hashes belong to its shards are tested. A row is tested in one round only, so a
-text that is alone never shuffles, whatever the size; what grows is the number of times that texts are read, one for each
-8 * max_filter_bytes / bits_per_row rows.
+The marked table grows with the corpus (bits_per_row bits a row) and is broadcast in parts of at most max_filter_bytes, one after
+the other: the rows whose hashes belong to a part's shards are tested and stored, and the broadcast is destroyed before the next
+part. A row is tested in one round only, so a text that is alone never shuffles, whatever the size. exact_duplicates() tests stored
+hashes, so it reads the texts twice; drop_exact_duplicates() reads them once more for each part, of 8 * max_filter_bytes /
+bits_per_row rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import functools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,8 +78,8 @@ def repeated_cells(hashes: DataFrame, shards: int) -> DataFrame:
     return marks.groupBy("shard").applyInPandas(_meet, "shard long, bits binary")
 
 
-def maybe_repeated(filters: DataFrame, shards: int, rounds: range, h: Column) -> Column:
-    """A boolean column: the hash, whose shard is within rounds, may be repeated. Broadcasts 128 KB a shard of rounds."""
+def maybe_repeated(filters: DataFrame, shards: int, rounds: range, h: Column) -> tuple[Column, Broadcast]:
+    """A boolean column: the hash, whose shard is within rounds, may be repeated; and what it has broadcast, 128 KB a shard of rounds."""
     first_bit, size = rounds.start * SHARD_BITS, len(rounds) * SHARD_BITS // 8
     bits = np.zeros(size, np.uint8)
     for row in filters.where(F.col("shard").between(rounds.start, rounds.stop - 1)).toLocalIterator():
@@ -92,17 +94,25 @@ def maybe_repeated(filters: DataFrame, shards: int, rounds: range, h: Column) ->
         hit = [at[x >> 3] >> (x & 7).astype(np.uint8) & 1 for x in found]
         return pd.Series((hit[0] & hit[1]).astype(bool))
 
-    return test(h)
+    return test(h), shared
 
 
 def tested(rows: DataFrame, h: str, flag: str, filters: DataFrame, shards: int, max_filter_bytes: int) -> list[DataFrame]:
-    """rows with flag, whether their hash h may be repeated: one table for each part of the filter, every row in one of them."""
+    """rows with flag, whether their hash h may be repeated: one table for each part of the filter, every row in one of them.
+
+    One part of the filter is there at a time: where there are several, the rows of each are tested and stored, and its broadcast is
+    destroyed before the next part is read. A filter of one part leaves its rows to the caller's plan.
+    """
     step = max(1, max_filter_bytes * 8 // SHARD_BITS)
+    if shards <= step:
+        return [rows.withColumn(flag, maybe_repeated(filters, shards, range(shards), F.col(h))[0])]
     out = []
     for start in range(0, shards, step):
         part = range(start, min(start + step, shards))
-        own = rows if len(part) == shards else rows.where(F.pmod(F.col(h), F.lit(shards)).between(part.start, part.stop - 1))
-        out.append(own.withColumn(flag, maybe_repeated(filters, shards, part, F.col(h))))
+        test, shared = maybe_repeated(filters, shards, part, F.col(h))
+        own = rows.where(F.pmod(F.col(h), F.lit(shards)).between(part.start, part.stop - 1))
+        out.append(stored(own.withColumn(flag, test), "tested"))
+        shared.destroy()
     return out
 
 
@@ -127,10 +137,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = texts_of(docs, id_col, text_col)
     filters, shards = _filter_for(texts, bits_per_row)
     rows = texts.select("doc_id", F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2("text", 256)).alias("sha"), F.xxhash64("text").alias("h"))
-    parts = tested(rows, "h", "maybe", filters, shards, max_filter_bytes)
-    if len(parts) > 1:
-        parts = tested(stored(rows, "rows"), "h", "maybe", filters, shards, max_filter_bytes)
-    rows = stored(functools.reduce(DataFrame.unionByName, parts), "hashed")
+    several = shards * SHARD_BITS > 8 * max_filter_bytes
+    parts = tested(stored(rows, "rows") if several else rows, "h", "maybe", filters, shards, max_filter_bytes)
+    rows = functools.reduce(DataFrame.unionByName, parts if several else [stored(x, "hashed") for x in parts])
     alone = rows.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     maybe = rows.where("maybe")
     found = maybe.join(_classes(maybe), ["sha", "h"])

@@ -113,7 +113,9 @@ def _with_set(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
     many = asked.where("copies > 1")
     own = sets.join(many, "key", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)))
     own = own.select(F.col("key").alias(side), "copy", F.col("shingles").alias(f"s_{side}"))
-    dealt = pairs.join(F.broadcast(many.withColumnRenamed("key", side)), side, "left")
+    # the second key makes both sides exchange in the join itself, so that AQE may split a set that many pairs ask for
+    many = many.select(F.col("key").alias("__key"), F.xxhash64("key").alias("__hash"), "copies")
+    dealt = pairs.join(many, (F.col(side) == F.col("__key")) & (F.xxhash64(side) == F.col("__hash")), "left").drop("__key", "__hash")
     return dealt.withColumn("copy", F.pmod(F.xxhash64("a", "b"), F.coalesce("copies", F.lit(1)).cast("long")).cast("int")).drop("copies").join(own, [side, "copy"]).drop("copy")
 
 
