@@ -1,13 +1,14 @@
 """Exact values at given ranks within groups of any size: no task holds a group.
 
-Each wanted rank of a group has an interval that holds its value. A round counts the values in BINS equal parts of the interval,
-with partial sums in every task, and the part that holds the rank is the next interval, from its least value to its largest. That
+Each wanted rank of a group has an interval that holds its value. A round counts the values in BINS parts of the interval, equal by
+value or, every second time, by order of magnitude, with partial sums in every task, and the part that holds the rank is the next interval, from its least value to its largest. That
 ends when all values of an interval are equal, or when no more than FEW are left, which are sorted. Values outside all intervals
 are dropped as soon as possible, so from the second round on few rows are read.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,12 @@ from fieldmerge.functions.session import stored
 BINS, FEW = 4096, 1000
 
 
+def _by_size(column: str) -> Column:
+    """Grows with the value as its order of magnitude does."""
+    size = F.log2(F.abs(column)) + 1076
+    return F.when(F.col(column) > 0, size).when(F.col(column) < 0, -size).otherwise(0.0)
+
+
 def at_ranks(rows: DataFrame, keys: list[str], values: dict[str, tuple[str, Callable[[Column], Column]]]) -> DataFrame:
     """(*keys, *values): for each name the value of a column at a rank, the smallest being 1, given as a function of how many there are.
 
@@ -33,9 +40,10 @@ def at_ranks(rows: DataFrame, keys: list[str], values: dict[str, tuple[str, Call
     goals = sizes.withColumn("w", F.explode(F.filter(F.array(*wanted), lambda w: w.isNotNull()))).select("__key", "__c", "w.*", "n", "low", "high")
     goals = stored(goals.where(F.col("rank").between(1, F.col("n"))), "goals")
     done, live = [goals.where("low = high").select("__key", "name", F.col("low").alias("value"))], goals.where("low < high")
+    scales = itertools.cycle((lambda c: F.col(c) / 2, _by_size))
     while live.where(F.col("n") > FEW).limit(1).count():
-        inside = long.join(live, ["__key", "__c"]).where("__v between low and high")
-        step = (F.col("__v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+        inside, scale = long.join(live, ["__key", "__c"]).where("__v between low and high"), next(scales)
+        step = F.coalesce((scale("__v") - scale("low")) / (scale("high") - scale("low")), F.lit(0.0))
         binned = inside.withColumn("bin", F.least(F.lit(BINS - 1), F.floor(step * BINS)))
         counts = binned.groupBy("__key", "__c", "name", "rank", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
         upto = F.sum("n").over(Window.partitionBy("__key", "name").orderBy("bin"))

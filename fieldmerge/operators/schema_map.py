@@ -46,27 +46,74 @@ ABBREVIATIONS = {
 
 # Canonical fields in order, with their synonyms.
 FIELDS = {
-    "parcel_id": "parcel_id parcelid parcel_no parcel_number parcel_num pid cadastral_id cad_id khasra khasra_no khasra_number dag_no dag_number cts_no cts_number gis_id footprint_id canonical_uid bld_id building_id plot_id entity_uid",
-    "survey_number": "survey_no survey_number surveyno surveynumber sy_no sy_number survey_num revenue_survey_no rev_survey_no plot_no plot_number plotno survey sy_num revenue_no sub_division_no hissa_no",
-    "property_id": "property_id property_no property_number property_num prop_id prpty_id assessment_no assessment_number upin property_code holding_no holding_number khata_no khata_number door_no municipal_id tax_id folio_no gis_pid",
-    "area": "area area_sqm area_m2 area_sq_m area_sq_meter parcel_area gis_area shape_area extent extent_sqm builtup_area land_area plot_area sqm carpet_area st_area",
-    "geometry": "geometry geom the_geom shape wkt coordinates polygon spatial_geom geo_shape footprint_geom",
-    "latitude": "latitude lat centroid_y y y_coord point_y lat_deg northing gps_lat center_lat",
-    "longitude": "longitude lon lng long centroid_x x x_coord point_x lon_deg easting gps_lon center_lng",
-    "source": "source dataset_source data_origin source_name provider layer_name agency department data_source origin captured_by",
-    "date": "date captured_date survey_date creation_date timestamp update_date upload_date valid_from effective_date as_of_date",
-    "owner_reference": "owner_name owner_reference proprietor holder_name applicant_name owner ownership_ref khatedar pattadar title_holder occupant_name",
-    "survey_identifier": "survey_no survey_number surveyno surveynumber sy_no survey_id surv_id survey_ident khasra khasra_no dag_no fmb_no",
-    "property_identifier": "property_id property_no property_number prop_id upin holding_no khata_no assessment_no gis_pid municipal_id",
-    "owner_name": "owner owner_name property_owner land_holder pattadar holder_name proprietor khatedar title_holder",
-    "land_use": "land_use landuse zoning use_type zone_classification use_category",
-    "locality": "locality neighborhood area_name village sector colony mohalla",
-    "ward": "ward ward_no ward_number ward_id ward_name municipal_ward",
-    "zone": "zone zone_name district revenue_district sub_district taluk",
-    "source_record_id": "source_record_id source_id original_id record_id raw_id external_id",
-    "valid_from": "valid_from effective_from start_date tenure_start registered_date",
-    "valid_to": "valid_to effective_to expiry_date superseded_date tenure_end",
-    "version_id": "version_id version revision_id rev_id dataset_version",
+    "parcel_id": (
+        "parcel_id", "parcelid", "parcel_no", "parcel_number", "parcel_num", "pid", "cadastral_id", "cad_id", "khasra", "khasra_no", "khasra_number",
+        "dag_no", "dag_number", "cts_no", "cts_number", "gis_id", "footprint_id", "canonical_uid", "bld_id", "building_id", "plot_id", "entity_uid",
+    ),
+    "survey_number": (
+        "survey_no", "survey_number", "surveyno", "surveynumber", "sy_no", "sy_number", "survey_num", "revenue_survey_no", "rev_survey_no", "plot_no",
+        "plot_number", "plotno", "survey", "sy_num", "revenue_no", "sub_division_no", "hissa_no",
+    ),
+    "property_id": (
+        "property_id", "property_no", "property_number", "property_num", "prop_id", "prpty_id", "assessment_no", "assessment_number", "upin", "property_code",
+        "holding_no", "holding_number", "khata_no", "khata_number", "door_no", "municipal_id", "tax_id", "folio_no", "gis_pid",
+    ),
+    "area": (
+        "area", "area_sqm", "area_m2", "area_sq_m", "area_sq_meter", "parcel_area", "gis_area", "shape_area", "extent", "extent_sqm", "builtup_area",
+        "land_area", "plot_area", "sqm", "carpet_area", "st_area",
+    ),
+    "geometry": (
+        "geometry", "geom", "the_geom", "shape", "wkt", "coordinates", "polygon", "spatial_geom", "geo_shape", "footprint_geom",
+    ),
+    "latitude": (
+        "latitude", "lat", "centroid_y", "y", "y_coord", "point_y", "lat_deg", "northing", "gps_lat", "center_lat",
+    ),
+    "longitude": (
+        "longitude", "lon", "lng", "long", "centroid_x", "x", "x_coord", "point_x", "lon_deg", "easting", "gps_lon", "center_lng",
+    ),
+    "source": (
+        "source", "dataset_source", "data_origin", "source_name", "provider", "layer_name", "agency", "department", "data_source", "origin", "captured_by",
+    ),
+    "date": (
+        "date", "captured_date", "survey_date", "creation_date", "timestamp", "update_date", "upload_date", "valid_from", "effective_date", "as_of_date",
+    ),
+    "owner_reference": (
+        "owner_name", "owner_reference", "proprietor", "holder_name", "applicant_name", "owner", "ownership_ref", "khatedar", "pattadar", "title_holder",
+        "occupant_name",
+    ),
+    "survey_identifier": (
+        "survey_no", "survey_number", "surveyno", "surveynumber", "sy_no", "survey_id", "surv_id", "survey_ident", "khasra", "khasra_no", "dag_no", "fmb_no",
+    ),
+    "property_identifier": (
+        "property_id", "property_no", "property_number", "prop_id", "upin", "holding_no", "khata_no", "assessment_no", "gis_pid", "municipal_id",
+    ),
+    "owner_name": (
+        "owner", "owner_name", "property_owner", "land_holder", "pattadar", "holder_name", "proprietor", "khatedar", "title_holder",
+    ),
+    "land_use": (
+        "land_use", "landuse", "zoning", "use_type", "zone_classification", "use_category",
+    ),
+    "locality": (
+        "locality", "neighborhood", "area_name", "village", "sector", "colony", "mohalla",
+    ),
+    "ward": (
+        "ward", "ward_no", "ward_number", "ward_id", "ward_name", "municipal_ward",
+    ),
+    "zone": (
+        "zone", "zone_name", "district", "revenue_district", "sub_district", "taluk",
+    ),
+    "source_record_id": (
+        "source_record_id", "source_id", "original_id", "record_id", "raw_id", "external_id",
+    ),
+    "valid_from": (
+        "valid_from", "effective_from", "start_date", "tenure_start", "registered_date",
+    ),
+    "valid_to": (
+        "valid_to", "effective_to", "expiry_date", "superseded_date", "tenure_end",
+    ),
+    "version_id": (
+        "version_id", "version", "revision_id", "rev_id", "dataset_version",
+    ),
 }
 IDENTIFIERS = ("parcel_id", "survey_identifier", "survey_number", "property_identifier", "property_id")
 SUGGESTED, CANDIDATE = 0.75, 0.40
@@ -82,7 +129,7 @@ def normalized(raw: Column) -> Column:
 
 def dictionary(spark: SparkSession) -> DataFrame:
     """(field, dict_pos, synonyms): 21 rows."""
-    return spark.createDataFrame([(f, i, s.split()) for i, (f, s) in enumerate(FIELDS.items())], "field string, dict_pos int, synonyms array<string>")
+    return spark.createDataFrame([(f, i, list(s)) for i, (f, s) in enumerate(FIELDS.items())], "field string, dict_pos int, synonyms array<string>")
 
 
 def _jaccard(a: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldmerge.functions import clipping
 from fieldmerge.functions import geometry as g
 from fieldmerge.functions.session import stored
 from fieldmerge.operators import crs, packages, scoring, spatial_join
@@ -177,6 +178,45 @@ def infra_nearest_fallback(spark, sf_dir):
     return best.select("id", F.col("m.line_id").alias("line_id"), g.rounded(F.col("m.d"), 6).alias("distance_m"))
 
 
+#: A slanted line is cut into pieces of this length in x, so that a piece lies in few cells of the range join.
+_PIECE = 120.0
+
+
+def turned_parcels(spark, sf_dir) -> DataFrame:
+    """(id, ring, x0, y0, x1, y1): registry parcels turned about their centre by up to 80 degrees, every third with a notch in its upper side."""
+    k, half = F.col("k"), lambda a, b: (F.col(b) - F.col(a)) / 2
+    w, h, turn = half("x0", "x1"), half("y0", "y1"), F.radians((F.col("k") % 9) * 10.0)
+    corners = [(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (0.0, 0.25), (-1.0, 1.0)]
+    place = lambda a, b: F.struct((F.col("cx") + a * w * F.cos(turn) - b * h * F.sin(turn)).alias("x"), (F.col("cy") + a * w * F.sin(turn) + b * h * F.cos(turn)).alias("y"))
+    points = [F.when((k % 3 == 0) | F.lit(c != (0.0, 0.25)), place(*c)) for c in corners]
+    rows = parcels(spark, sf_dir).withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2})
+    rows = rows.select("id", F.filter(F.array(*points), lambda p: p.isNotNull()).alias("ring"))
+    ends = [f(F.transform("ring", lambda p: p[c])).alias(n) for n, c, f in (("x0", "x", F.array_min), ("y0", "y", F.array_min), ("x1", "x", F.array_max), ("y1", "y", F.array_max))]
+    return rows.select("id", "ring", *ends)
+
+
+def line_pieces(spark, sf_dir) -> DataFrame:
+    """(line_id, piece, ax, ay, bx, by and their box): each line from x = 0 to 12,000, rising or falling by up to 90 m, in pieces."""
+    slope = (F.col("line_id") % 7 - 3) / 400.0
+    rows = lines(spark, sf_dir).select("line_id", "y", slope.alias("slope"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("piece"))
+    ax, bx = F.col("piece") * _PIECE, (F.col("piece") + 1) * _PIECE
+    rows = rows.select("line_id", "piece", ax.alias("ax"), (F.col("y") + F.col("slope") * ax).alias("ay"), bx.alias("bx"), (F.col("y") + F.col("slope") * bx).alias("by"))
+    return rows.withColumns({"x0": F.col("ax"), "x1": F.col("bx"), "y0": F.least("ay", "by"), "y1": F.greatest("ay", "by")})
+
+
+@query()
+def infra_line_clip(spark, sf_dir):
+    """Length of slanted lines within turned and notched parcels, and its share of the outline; held against a plain clip in tests/test_brute_force.py.
+
+    Pieces of lines meet the boxes of parcels in a range join; only such pairs are clipped, a batch at a time, and the pieces of a line are added up.
+    """
+    pairs = spatial_join.range_pairs(turned_parcels(spark, sf_dir), line_pieces(spark, sf_dir), 0.0, cell=60.0)
+    told = pairs.withColumn("inside", clipping.length_inside(tuple(F.col(f"{c}_b") for c in ("ax", "ay", "bx", "by")), F.col("ring_a")))
+    outline = g.ring_length(F.concat(F.col("ring_a"), F.slice("ring_a", 1, 1)))
+    sums = told.where("inside > 0").groupBy(F.col("id_a").alias("id"), F.col("line_id_b").alias("line_id")).agg(F.sum("inside").alias("length_m"), F.first(outline).alias("outline"))
+    return sums.select("id", "line_id", "length_m", (F.col("length_m") / F.col("outline") * 100).alias("pct"))
+
+
 _POINTS_SQL = sql_text(POINTS)
 
 

@@ -125,7 +125,7 @@ def version_append(spark, sf_dir):
     return good.select("parcel", F.col("number").cast("long").alias("number"), F.lit("appended").alias("result")).unionByName(bad.select("parcel", F.col("version").alias("number"), F.col("why").alias("result")))
 
 
-_CHANGES = f"""WITH o AS ({OBS_SQL}), p AS (SELECT * FROM o WHERE source = 'registry' AND k % 41 <> 0), c AS (SELECT *, CASE WHEN k % 29 = 0 THEN 'review' ELSE 'reconciled' END AS status FROM o WHERE id = k * 4 + 2 AND k % 37 <> 0),
+_CHANGES = f"""WITH o AS ({OBS_SQL}), p AS (SELECT * FROM o WHERE source = 'registry' AND k % 41 <> 0), c AS (SELECT *, CASE WHEN k % 29 = 0 THEN 'review' ELSE 'reconciled' END AS status FROM o WHERE source = 'survey' AND k % 37 <> 0),
 j AS (SELECT coalesce(p.k, c.k) AS k, p.k AS pk, c.k AS ck, status, (p.x1 - p.x0) * (p.y1 - p.y0) AS a, (c.x1 - c.x0) * (c.y1 - c.y0) AS b, greatest(0.0::DOUBLE, least(p.x1, c.x1) - greatest(p.x0, c.x0)) * greatest(0.0::DOUBLE, least(p.y1, c.y1) - greatest(p.y0, c.y0)) AS i,
  (c.x0 + c.x1) / 2 - (p.x0 + p.x1) / 2 AS dx, (c.y0 + c.y1) / 2 - (p.y0 + p.y1) / 2 AS dy FROM p FULL JOIN c ON p.k = c.k),
 m AS (SELECT *, i / (a + b - i) AS iou, sqrt(dx * dx + dy * dy) AS shift, (b - a) / a * 100 AS pct FROM j),
@@ -133,9 +133,10 @@ t AS (SELECT *, CASE WHEN pk IS NULL THEN 'New' WHEN ck IS NULL THEN 'Missing' W
 
 
 def changes(spark, sf_dir) -> DataFrame:
+    """The registry as the earlier snapshot and the survey as the later one; the keys that one of them lacks are how the two are derived, so that there are new and missing parcels. A key surveyed twice is compared twice."""
     obs = observations(spark, sf_dir)
     prior = obs.where("source = 'registry' and k % 41 <> 0")
-    current = obs.where("id = k * 4 + 2 and k % 37 <> 0").withColumn("status", F.when(F.col("k") % 29 == 0, "review").otherwise("reconciled"))
+    current = obs.where("source = 'survey' and k % 37 <> 0").withColumn("status", F.when(F.col("k") % 29 == 0, "review").otherwise("reconciled"))
     return ledger.detect_changes(prior, current)
 
 

@@ -310,12 +310,13 @@ settled AS MATERIALIZED (SELECT f.id_a, f.id_b, f.score, f.iou, c.cluster_id, f.
 CLUSTERS_SQL = PAIRS_SQL + _COMPONENTS + _FOLD
 
 
-#: Tables of this session by application, folder and name: what many queries start from is computed once and read from the shared folder.
-_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+#: Tables of this session by application, folder, files of the folder that they come from, and name: what many queries start from is
+#: computed once and read from the shared folder; other files make another table.
+_TABLES: dict[tuple, DataFrame] = {}
 
 
 def kept(spark, sf_dir: str, name: str, make) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, files.listing(spark, f"{sf_dir}/orders.parquet"), name)
     if key not in _TABLES:
         _TABLES[key] = stored(make(), name)
     return _TABLES[key]

@@ -22,7 +22,7 @@ def columns(spark, sf_dir):
 
 _MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in schema_map.ABBREVIATIONS.items()) + "}"
 _NORMAL = rf"array_to_string([coalesce({_MAP}[w], w) FOR w IN string_split_regex(regexp_replace(lower(regexp_replace(trim(raw), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^\w\s]', '_', 'g'), '[_\s]+') IF w <> ''], '_')"
-_FIELDS = "(VALUES " + ", ".join(f"('{f}', {i}, [{', '.join(repr(s) for s in syn.split())}])" for i, (f, syn) in enumerate(schema_map.FIELDS.items())) + ") d(field, dict_pos, synonyms)"
+_FIELDS = "(VALUES " + ", ".join(f"('{f}', {i}, [{', '.join(repr(s) for s in syn)}])" for i, (f, syn) in enumerate(schema_map.FIELDS.items())) + ") d(field, dict_pos, synonyms)"
 _SIMILAR = rf"""WITH c AS ({COLUMNS_SQL}), n AS (SELECT DISTINCT raw, lower(trim(raw)) AS low, {_NORMAL} AS name FROM c), x AS (SELECT * FROM n CROSS JOIN {_FIELDS}),
 j AS (SELECT *, list_max([len(list_intersect(list_distinct(string_split(name, '_')), list_distinct(string_split(s, '_')))) / CAST(len(list_distinct(list_concat(string_split(name, '_'), string_split(s, '_')))) AS DOUBLE) FOR s IN list_concat([field], synonyms)]) AS jaccard,
  regexp_replace(low, '[^\w]', '', 'g') AS plain FROM x),

@@ -64,6 +64,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/fieldmerge/{name}-{uuid.uuid4().hex}"
 
 
+def listing(spark: SparkSession, path: str) -> tuple:
+    """(name, bytes, time of writing) of a file, or of the files of a folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in found))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

@@ -270,3 +270,58 @@ def test_versions_of_a_table(spark, tmp_path):
     files.upsert(rows((1, "x", "x"), (2, "y", "y")), path, "k", ["a"])
     files.upsert(rows((2, "new", "new"), (3, "z", "z")), path, "k", ["a"])
     assert sorted(map(tuple, files.current(spark, path).collect())) == [(1, "x", "x"), (2, "new", "y"), (3, "z", "z")]
+
+
+def _clipped(a, b, ring):
+    """Length of a segment in a simple ring by small steps of exact cuts: crossings with each side in turn, then the middle of each part by winding."""
+    cuts = [0.0, 1.0]
+    for p, q in zip(ring, ring[1:] + ring[:1], strict=True):
+        d = (b[0] - a[0]) * (q[1] - p[1]) - (b[1] - a[1]) * (q[0] - p[0])
+        if d:
+            t = ((p[0] - a[0]) * (q[1] - p[1]) - (p[1] - a[1]) * (q[0] - p[0])) / d
+            cuts += [t] if 0 < t < 1 else []
+    total, cuts = 0.0, sorted(cuts)
+    for s, t in zip(cuts, cuts[1:], strict=False):
+        x, y = (a[i] + (s + t) / 2 * (b[i] - a[i]) for i in (0, 1))
+        angle = 0.0
+        for p, q in zip(ring, ring[1:] + ring[:1], strict=True):
+            one, two = math.atan2(p[1] - y, p[0] - x), math.atan2(q[1] - y, q[0] - x)
+            angle += (two - one + math.pi) % (2 * math.pi) - math.pi
+        total += (t - s) * (abs(angle) > math.pi)
+    return total * math.dist(a, b)
+
+
+def test_lines_clipped_by_any_ring():
+    import numpy as np
+
+    from fieldmerge.functions.clipping import lengths_inside
+
+    rng = random.Random(17)
+    segments, rings = [], []
+    for _ in range(3000):
+        n = rng.randint(3, 9)  # a star around a point is simple and mostly not convex
+        turns = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
+        rings.append([(10 + r * math.cos(t), 10 + r * math.sin(t)) for t in turns for r in [rng.uniform(1, 9)]])
+        segments.append([rng.uniform(-5, 25) for _ in range(4)])
+    got = lengths_inside(np.array(segments), [np.array(r) for r in rings])
+    assert np.abs(got - [_clipped(s[:2], s[2:], r) for s, r in zip(segments, rings, strict=True)]).max() < 1e-6
+    box = np.array([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], float)
+    odd = [[-1, 2, 9, 2], [1, 1, 1, 1], [9, 9, 12, 9], [0, 0, 4, 4], [1, 1, 3, 2]]
+    assert lengths_inside(np.array(odd, float), [box] * 5).round(9).tolist() == [4.0, 0.0, 0.0, round(32**0.5, 9), round(5**0.5, 9)]
+    assert lengths_inside(np.array([[0, 0, 1, 1]], float), [np.empty((0, 2))]).tolist() == [0.0] and len(lengths_inside(np.empty((0, 4)), [])) == 0
+
+
+def test_slanted_lines_in_turned_parcels(spark):
+    from fieldmerge.plans import flows
+
+    got = {(r["id"], r["line_id"]): r["length_m"] for r in registry.QUERIES["infra_line_clip"](spark, SF).collect()}
+    parcels = [(r["id"], [(p["x"], p["y"]) for p in r["ring"]]) for r in flows.turned_parcels(spark, SF).collect()]
+    whole = {r["line_id"]: (r["ay"], r["last"]) for r in flows.line_pieces(spark, SF).groupBy("line_id").agg(F.min_by("ay", "piece").alias("ay"), F.max_by("by", "piece").alias("last")).collect()}
+    want = {}
+    for i, ring in parcels:
+        ys = [y for _, y in ring]
+        for line, (a, b) in whole.items():
+            if min(a, b) <= max(ys) and max(a, b) >= min(ys) and (length := _clipped((0.0, a), (12_000.0, b), ring)) > 0:
+                want[i, line] = length
+    assert len(want) > 200 and {k for k in want if want[k] > 1e-6} <= set(got)
+    assert all(abs(got[k] - want.get(k, 0.0)) < 1e-6 for k in got)

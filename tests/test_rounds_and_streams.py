@@ -140,7 +140,7 @@ def test_upsert_writes_only_buckets_with_changed_keys(spark, tmp_path):
 
 
 def test_ranks_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "BINS", 8)
+    monkeypatch.setattr(quantiles, "BINS", 64)
     monkeypatch.setattr(quantiles, "FEW", 5)
     rng = random.Random(4)
     draw = {"a": lambda: rng.gauss(0, 1), "b": lambda: float(rng.randrange(4)), "c": lambda: rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300), "d": lambda: 7.0}
