@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldmerge.functions import clipping
+
 Box = tuple[Column, Column, Column, Column]
 
 
@@ -138,45 +140,12 @@ def point_to_box_boundary(x: Column, y: Column, b: Box) -> Column:
     return F.when((x >= b[0]) & (x <= b[2]) & (y >= b[1]) & (y <= b[3]), inside).otherwise(F.sqrt(dx * dx + dy * dy))
 
 
-# ---- polygons: slabs between the heights of all corners and crossings ------------------------------------------------------
-
-
-def _segments(points: np.ndarray) -> np.ndarray:
-    p = points if np.array_equal(points[0], points[-1]) else np.vstack([points, points[:1]])
-    return np.hstack([p[:-1], p[1:]])
-
-
-def _crossings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Heights at which edges of a and b cross."""
-    d1, d2 = a[:, None, 2:] - a[:, None, :2], b[None, :, 2:] - b[None, :, :2]
-    start = b[None, :, :2] - a[:, None, :2]
-    det = d1[..., 0] * d2[..., 1] - d1[..., 1] * d2[..., 0]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = (start[..., 0] * d2[..., 1] - start[..., 1] * d2[..., 0]) / det
-        u = (start[..., 0] * d1[..., 1] - start[..., 1] * d1[..., 0]) / det
-        hit = (det != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-        return (a[:, None, 1] + t * d1[..., 1])[hit]
-
-
-def _intervals(edges: np.ndarray, y: float) -> list[tuple[float, float]]:
-    low, high = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
-    cut = edges[(low < y) & (high > y)]
-    x = np.sort(cut[:, 0] + (y - cut[:, 1]) * (cut[:, 2] - cut[:, 0]) / (cut[:, 3] - cut[:, 1]))
-    return list(zip(x[::2], x[1::2], strict=False))
+# ---- polygons of any shape, a batch at a time: see clipping ------------------------------------------------------------------
 
 
 def polygon_overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Exact area common to two simple polygons: between neighbouring heights every width is linear, so the midline gives the area."""
-    if len(a) < 3 or len(b) < 3:
-        return 0.0
-    ea, eb = _segments(a), _segments(b)
-    heights = np.unique(np.concatenate([a[:, 1], b[:, 1], _crossings(ea, eb)]))
-    total = 0.0
-    for low, high in zip(heights[:-1], heights[1:], strict=True):
-        y = (low + high) / 2
-        width = sum(max(0.0, min(p[1], q[1]) - max(p[0], q[0])) for p in _intervals(ea, y) for q in _intervals(eb, y))
-        total += width * (high - low)
-    return float(total)
+    """Exact area common to two simple polygons."""
+    return float(clipping.overlaps([a], [b])[0])
 
 
 def _points(ring) -> np.ndarray:
@@ -186,56 +155,11 @@ def _points(ring) -> np.ndarray:
 @F.pandas_udf(T.DoubleType())
 def ring_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     """Overlap area of two ring columns; 0 where a ring is missing."""
-    return pd.Series([polygon_overlap(_points(p), _points(q)) for p, q in zip(a, b, strict=True)], dtype=float)
-
-
-@F.pandas_udf(T.BooleanType())
-def self_intersects(ring: pd.Series) -> pd.Series:
-    """Whether two edges of a closed ring that are not neighbours meet."""
-
-    def test(points: np.ndarray) -> bool:
-        if len(points) < 4:
-            return False
-        e = _segments(points)
-        n = len(e)
-        for i in range(n - 2):
-            others = e[i + 2 : n - (i == 0)]
-            if len(others) and len(_crossings(e[i : i + 1], others)):
-                return True
-        return False
-
-    return pd.Series([test(_points(r)) for r in ring], dtype=bool)
-
-
-def _segment_distance(p: np.ndarray, q: np.ndarray) -> float:
-    """Least distance between two sets of segments, 0 where they cross."""
-    if not len(p) or not len(q):
-        return math.inf
-    if len(_crossings(p, q)):
-        return 0.0
-
-    def ends(points, segments):
-        d = segments[None, :, 2:] - segments[None, :, :2]
-        length = np.maximum((d**2).sum(-1), 1e-300)
-        t = np.clip(((points[:, None] - segments[None, :, :2]) * d).sum(-1) / length, 0, 1)
-        return np.sqrt((((segments[None, :, :2] + t[..., None] * d) - points[:, None]) ** 2).sum(-1)).min()
-
-    corners = lambda s: np.vstack([s[:, :2], s[:, 2:]])
-    return float(min(ends(corners(p), q), ends(corners(q), p)))
+    return pd.Series(clipping.overlaps([_points(p) for p in a], [_points(q) for q in b]))
 
 
 @F.pandas_udf(T.DoubleType())
 def ring_line_distance(ring: pd.Series, line: pd.Series) -> pd.Series:
     """Distance of a polygon and a line, 0 where the line touches or lies within it; null where either is missing."""
-
-    def one(r, s):
-        polygon, path = _points(r), _points(s)
-        if len(polygon) < 3 or len(path) < 2:
-            return None
-        edges = _segments(polygon)
-        y = path[0, 1]
-        if any(a <= path[0, 0] <= b for a, b in _intervals(edges, y)):
-            return 0.0
-        return _segment_distance(edges, np.hstack([path[:-1], path[1:]]))
-
-    return pd.Series([one(r, s) for r, s in zip(ring, line, strict=True)], dtype="float64")
+    found = clipping.line_distances([_points(r) for r in ring], [_points(x) for x in line])
+    return pd.Series(found).where(~np.isnan(found), None)

@@ -10,7 +10,7 @@ from fieldmerge.functions import geometry as g
 from fieldmerge.functions.session import stored
 from fieldmerge.operators import crs, packages, scoring, spatial_join
 from fieldmerge.plans.history import _CHANGES, _FOLD, changes
-from fieldmerge.plans.matching import OBS_SQL, PAIRS_SQL, R, _PA, _PB, _QA, _QB, observations
+from fieldmerge.plans.matching import OBS_SQL, PAIRS_SQL, R, _PA, _PB, _QA, _QB, clusters_of, observations
 from fieldmerge.plans.quality import _INFRA, infra_pairs, lines, parcels
 from fieldmerge.plans.register import query
 from fieldmerge.sources import files
@@ -217,6 +217,26 @@ def infra_line_clip(spark, sf_dir):
     return sums.select("id", "line_id", "length_m", (F.col("length_m") / F.col("outline") * 100).alias("pct"))
 
 
+def turned_members(spark, sf_dir) -> DataFrame:
+    """(cluster_id, id, ring): the observations of each cluster, each turned about its centre as its survey might have it."""
+    turn = F.radians((F.col("id") % 12) * 7.5)
+    w, h = (F.col("x1") - F.col("x0")) / 2, (F.col("y1") - F.col("y0")) / 2
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    place = lambda a, b: F.struct((cx + a * w * F.cos(turn) - b * h * F.sin(turn)).alias("x"), (cy + a * w * F.sin(turn) + b * h * F.cos(turn)).alias("y"))
+    members = clusters_of(spark, sf_dir)[0].join(observations(spark, sf_dir), "id")
+    return members.select("cluster_id", "id", F.array(place(-1.0, -1.0), place(1.0, -1.0), place(1.0, 1.0), place(-1.0, 1.0)).alias("ring"))
+
+
+@query()
+def merge_polygon_union(spark, sf_dir):
+    """Area of the union of the turned outlines of each cluster; held against inclusion and exclusion in tests/test_brute_force.py.
+
+    A cluster has one outline of a source, so its list is short.
+    """
+    rings = turned_members(spark, sf_dir).groupBy("cluster_id").agg(F.collect_list("ring").alias("rings"))
+    return rings.select("cluster_id", F.size("rings").cast("long").alias("members"), clipping.union_area(F.col("rings")).alias("union_area"))
+
+
 _POINTS_SQL = sql_text(POINTS)
 
 

@@ -325,3 +325,51 @@ def test_slanted_lines_in_turned_parcels(spark):
                 want[i, line] = length
     assert len(want) > 200 and {k for k in want if want[k] > 1e-6} <= set(got)
     assert all(abs(got[k] - want.get(k, 0.0)) < 1e-6 for k in got)
+
+
+def _common(rings):
+    """Area common to convex rings that run counter-clockwise, by clipping one with the sides of the others."""
+    out = rings[0]
+    for ring in rings[1:]:
+        for p, q in zip(ring, ring[1:] + ring[:1], strict=True):
+            side = lambda r, p=p, q=q: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+            kept = []
+            for a, b in zip(out, out[1:] + out[:1], strict=True):
+                if side(a) >= 0:
+                    kept.append(a)
+                if side(a) * side(b) < 0:
+                    t = side(a) / (side(a) - side(b))
+                    kept.append((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
+            out = kept
+            if not out:
+                return 0.0
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(out, out[1:] + out[:1], strict=True))) / 2
+
+
+def _covered(rings):
+    return sum((-1) ** (n + 1) * _common(list(some)) for n in range(1, len(rings) + 1) for some in itertools.combinations(rings, n))
+
+
+def test_union_of_turned_polygons(spark):
+    import numpy as np
+
+    from fieldmerge.functions.clipping import union_areas
+    from fieldmerge.plans import flows
+
+    rng, clusters = random.Random(23), []
+    for _ in range(400):
+        rings = []
+        for _ in range(rng.randint(1, 4)):
+            cx, cy, w, h, t = rng.uniform(0, 10), rng.uniform(0, 10), rng.uniform(1, 6), rng.uniform(1, 6), rng.choice([0, 0, rng.uniform(0, 3)])
+            rings.append([(cx + a * w * math.cos(t) - b * h * math.sin(t), cy + a * w * math.sin(t) + b * h * math.cos(t)) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+        clusters.append(rings if rng.random() < 0.9 else rings + rings[:1])
+    got = union_areas([[np.array(r) for r in c] for c in clusters])
+    assert np.abs(got - [_covered(c) for c in clusters]).max() < 1e-6
+    notch = np.array([(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)], float)  # not convex
+    assert union_areas([[notch], [notch, notch[::-1]], [], [np.array([(0, 0), (4, 0), (4, 4), (0, 4)], float), notch]]).round(9).tolist() == [10.0, 10.0, 0.0, 16.0]
+    rows = {r["cluster_id"]: r for r in registry.QUERIES["merge_polygon_union"](spark, SF).collect()}
+    members = {}
+    for r in flows.turned_members(spark, SF).collect():
+        members.setdefault(r["cluster_id"], []).append([(p["x"], p["y"]) for p in r["ring"]])
+    assert set(rows) == set(members) and max(map(len, members.values())) >= 3
+    assert all(rows[c]["members"] == len(m) and abs(rows[c]["union_area"] - _covered(m)) < 1e-6 for c, m in members.items())
