@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldmerge.functions import clipping
 from fieldmerge.functions import geometry as g
 from fieldmerge.functions.session import stored
-from fieldmerge.operators import crs, packages, scoring, spatial_join
+from fieldmerge.operators import crs, nearest, packages, scoring, spatial_join
 from fieldmerge.plans.history import _CHANGES, _FOLD, changes
 from fieldmerge.plans.matching import OBS_SQL, PAIRS_SQL, R, _PA, _PB, _QA, _QB, clusters_of, observations
 from fieldmerge.plans.quality import _INFRA, infra_pairs, lines, parcels
@@ -160,22 +160,22 @@ def lineage_events(spark, sf_dir):
  b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, line_id) AS r FROM q) SELECT id, line_id, {R('d', 6)} AS distance_m FROM b WHERE r = 1"""
 )
 def infra_nearest_fallback(spark, sf_dir):
-    """Parcels that have no power line within reach: the nearest one of their city, if it has any.
-
-    Rings of strips that double in width: a parcel meets the lowest and the highest line of its strip and of the two beside it, in
-    every ring. In the first ring with a line, and in the next, the nearest is among them.
-    """
-    kind = lines(spark, sf_dir).where("type = 'electricity'")
+    """Parcels that have no power line within reach: the nearest one of their city, if it has any. Lines are searched by their pieces."""
+    kind = lines(spark, sf_dir).where("type = 'electricity'").withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("x0", F.col("piece") * _PIECE)
+    kind = kind.select("line_id", "city", "x0", F.col("y").alias("y0"), (F.col("x0") + _PIECE).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
     near = infra_pairs(spark, sf_dir).where("type = 'electricity'").select("id").distinct()
-    left = parcels(spark, sf_dir).select("id", "city", "y0", "y1").join(near, "id", "left_anti")
-    rings = F.sequence(F.lit(1), F.lit(20))
-    width = lambda e: F.pow(F.lit(2.0), F.col(e)) * 120.0
-    a = left.withColumn("e", F.explode(rings)).withColumn("s", F.explode(F.array(*(F.floor(F.col("y0") / width("e")) + d for d in (-1, 0, 1)))))
-    b = kind.withColumn("e", F.explode(rings)).withColumn("s", F.floor(F.col("y") / width("e"))).groupBy("city", "e", "s").agg(F.min(F.struct("y", "h", "line_id")).alias("first"), F.max(F.struct("y", "h", "line_id")).alias("last"))
-    pairs = a.join(b, ["city", "e", "s"]).withColumn("c", F.explode(F.array("first", "last")))
-    d = F.greatest(F.lit(0.0), F.col("y0") - (F.col("c.y") + F.col("c.h")), F.col("c.y") - F.col("y1"))
-    best = pairs.groupBy("id").agg(F.min(F.struct(d.alias("d"), F.col("c.line_id").alias("line_id"))).alias("m"))
-    return best.select("id", F.col("m.line_id").alias("line_id"), g.rounded(F.col("m.d"), 6).alias("distance_m"))
+    left = parcels(spark, sf_dir).select("id", "city", "x0", "y0", "x1", "y1").join(near, "id", "left_anti")
+    found = nearest.nearest(left, kind, keys=["city"], feature_id="line_id")
+    return found.select("id", "line_id", g.rounded(F.col("distance"), 6).alias("distance_m"))
+
+
+@query()
+def infra_nearest_lines(spark, sf_dir):
+    """The slanted line without width (road, railway, power) nearest to each turned parcel, wherever it is, by the distance of the shapes; held against all pairs in tests/test_nearest.py."""
+    thin = line_pieces(spark, sf_dir).join(lines(spark, sf_dir).where("h = 0").select("line_id"), "line_id", "left_semi")
+    ends = lambda f: F.array(*(F.struct(f(f"{c}x").alias("x"), f(f"{c}y").alias("y")) for c in "ab"))
+    found = nearest.nearest(turned_parcels(spark, sf_dir), thin, feature_id="line_id", distance=lambda q, f: g.ring_line_distance(q("ring"), ends(f)))
+    return found.select("id", "line_id", F.col("distance").alias("distance_m"))
 
 
 #: A slanted line is cut into pieces of this length in x, so that a piece lies in few cells of the range join.
