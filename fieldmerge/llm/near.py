@@ -6,8 +6,8 @@ balls of five bits would be millions of numbers.
 
 Each distinct set of shingles has `bands` hashes of `rows` minima each, and sets that share one meet in a bucket. Two sets at
 similarity s miss each other with chance (1 - s^rows)^bands, 3e-6 at 0.8 and less above. First every set of a bucket is compared
-with the bucket's smallest, so a large group of copies costs a row each; then sets of a bucket that links have not joined
-meet each other, unless their sizes or parities prove them too different. Sets that were proposed are built again and
+with the bucket's smallest, so a large group of copies costs a row each; then the sets of buckets that links have not joined
+whole meet by their rarest shingles (see `across`), unless sizes or parities prove them too different. Sets that were proposed are built again and
 compared whole.
 
 Parities: of the shingles that fall on each of 512 places, whether they are odd in number. A shingle that only one of two sets
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from fieldmerge.functions.session import stored
-from fieldmerge.llm.common import one_of_each_part, over_batches, texts_of
+from fieldmerge.llm.common import one_of_each_part, over_batches, steps, texts_of
 from fieldmerge.llm.simhash import ball_links, shingle_hashes, signature
 from fieldmerge.operators.graph import connected_components
 
@@ -33,6 +33,8 @@ _BLOCK = 2048
 _PARITIES = [f"p{i}" for i in range(8)]
 #: Rows that one copy of a set meets when sets are brought to pairs.
 _SHARE = 64
+#: Places by which it is counted how often shingles were seen: 8 MB on the driver and in each task, whatever the corpus.
+_PLACES = 1 << 20
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -126,6 +128,66 @@ def _proven(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common / (F.size("s_a") + F.size("s_b") - common) >= similarity).select("a", "b")
 
 
+def _rarest_first(sets: DataFrame, seen: np.ndarray, similarity: float) -> DataFrame:
+    """(key, n, part, shingle, at) of the first shingles of each set, in the order of how often their place was seen; one more than may be alien to a set that is alike."""
+    places = sets.sparkSession.sparkContext.broadcast(seen)
+
+    def apply(batches):
+        for batch in (part for whole in batches for part in steps(whole)):
+            keys, sizes, parts = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            counts, first = [], []
+            for x in batch.column(3):
+                found = np.array(x.values, np.int64)
+                upto = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1
+                order = np.lexsort((found, places.value[found % _PLACES]))[:upto]
+                counts.append(len(order))
+                first.append(found[order])
+            n = np.array(counts, np.int64)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            columns = [np.repeat(keys, n), np.repeat(sizes, n), np.repeat(parts, n), np.concatenate(first), at.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "n", "part", "shingle", "at"])
+
+    return sets.select("key", F.size("shingles").alias("n"), "part", "shingles").mapInArrow(apply, "key long, n int, part long, shingle long, at int")
+
+
+def across(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, one, two): keys a < b and parts of all sets of open_ (key, part) of two parts that may be alike; none that are is missing.
+
+    Sets that are alike share one of their rarest shingles, so sets meet by these and not by what all of a form have. If x is no larger
+    than y, they have at least 2s/(1+s) of x and s of y in common at similarity s; so, in one order of all shingles, they share one
+    among the first of x and of y which the rest is too small to make up for. What follows the first one shared bounds
+    what is common as well. The order is by how often shingles of the same of _PLACES places were seen: any order is exact, this
+    one is short where it matters.
+    """
+    sets = sets.join(open_.select("key", "part"), "key")
+    counted = sets.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(_PLACES)).cast("int").alias("place")).agg(F.count(F.lit(1)).alias("f")).toArrow()
+    seen = np.zeros(_PLACES, np.int64)
+    seen[counted.column("place").to_numpy()] = counted.column("f").to_numpy()
+    first = stored(_rarest_first(sets, seen, similarity), "rarest")
+    two = first.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select(F.col("shingle").alias("shared"))
+    # hashes as second keys: both sides exchange for the join itself, and AQE may split a shingle that many have
+    met = first.withColumn("h", F.xxhash64("shingle")).join(two.withColumn("g", F.xxhash64("shared")), (F.col("shingle") == F.col("shared")) & (F.col("h") == F.col("g")), "left_semi")
+    x, y = (met.select(*(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "part", "shingle", "h", "at"))) for s in "xy")
+    share = F.lit(similarity / (1 + similarity))
+    x = x.where(F.col("at_x") <= F.col("n_x") - F.ceil(2 * share * F.col("n_x") - 1e-9))
+    smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("key_x") < F.col("key_y")))
+    rest = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= share * (F.col("n_x") + F.col("n_y")) - 1e-6
+    on = (F.col("shingle_x") == F.col("shingle_y")) & (F.col("h_x") == F.col("h_y")) & (F.col("part_x") != F.col("part_y")) & smaller & rest & (F.col("n_x") >= similarity * F.col("n_y") - 1e-6)
+    low = F.col("key_x") < F.col("key_y")
+    pick = lambda c, name, least: F.when(low, F.col(f"{c}_{'x' if least else 'y'}")).otherwise(F.col(f"{c}_{'y' if least else 'x'}")).alias(name)
+    return x.join(y, on).select(pick("key", "a", True), pick("key", "b", False), pick("part", "one", True), pick("part", "two", False)).distinct()
+
+
+def _near_parities(pairs: DataFrame, odd: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b, one, two) whose sizes and parities allow the similarity; odd: key, size and parities, a row a key."""
+    for side in "ab":
+        own = odd.select(F.col("key").alias("__key"), F.xxhash64("key").alias("__hash"), *(F.col(p).alias(f"{p}_{side}") for p in ("n", *_PARITIES)))
+        pairs = pairs.join(own, (F.col(side) == F.col("__key")) & (F.xxhash64(side) == F.col("__hash"))).drop("__key", "__hash")
+    apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in _PARITIES), F.lit(0))
+    total = F.col("n_a") + F.col("n_b")
+    return pairs.where((total - apart) / (total + apart) >= similarity).select("a", "b", "one", "two")
+
+
 def _met_in_balls(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(a, b) keys of sets whose fingerprints are within two bits, by way of one set for each fingerprint; sizes that rule it out do not count."""
     one = sets.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("one"))
@@ -166,19 +228,13 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
     links = stored(_proven(stars, sets, similarity), "links")
     parts = stored(connected_components(links, "a", "b").withColumnRenamed("node", "key"), "linked")
 
-    # buckets that still hold two components: their members meet across components
+    # buckets that still hold two components: their members meet across components, by rare shingles
     left = stored(members.select("bucket", "key", "n").join(parts, "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component"), "left")
     split = left.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
-    open_ = _with_bucket(left, split)
-    odd = marked.join(open_.select("key").distinct(), "key", "left_semi").select("key", *_PARITIES).dropDuplicates(["key"])
-    open_ = stored(open_.join(odd, "key"), "open")
-    one, two = (open_.select(*(F.col(c).alias(f"{c}_{s}") for c in ("bucket", "key", "n", "part", *_PARITIES)), F.xxhash64("bucket").alias(f"h_{s}")) for s in "ab")
-    apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in _PARITIES), F.lit(0))
-    total = F.col("n_a") + F.col("n_b")
-    meet = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("h_a") == F.col("h_b")) & (F.col("key_a") < F.col("key_b")) & (F.col("part_a") != F.col("part_b"))
-    cross = one.join(two, meet & alike(F.col("n_a"), F.col("n_b")) & ((total - apart) / (total + apart) >= similarity))
-    cross = cross.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.col("part_a").alias("one"), F.col("part_b").alias("two")).distinct()
-    cross = stored(cross.join(stars, ["a", "b"], "left_anti"), "across")
+    open_ = stored(_with_bucket(left, split).select("key", "n", "part").distinct(), "open")
+    odd = stored(marked.join(open_.select("key"), "key", "left_semi").select("key", "n", *_PARITIES).dropDuplicates(["key"]), "odd")
+    cross = stored(across(open_, sets, similarity).join(stars, ["a", "b"], "left_anti"), "across")
+    cross = stored(_near_parities(cross, odd, similarity), "alike")
     # what is proven joins whole components, so only their names meet here
     joined = stored(_proven(cross.select("a", "b"), sets, similarity).join(cross, ["a", "b"]).select("one", "two").distinct(), "joined")
     wider = connected_components(joined, "one", "two").select(F.col("node").alias("component"), F.col("component").alias("wider"))
