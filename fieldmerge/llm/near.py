@@ -6,9 +6,10 @@ balls of five bits would be millions of numbers.
 
 Each distinct set of shingles has `bands` hashes of `rows` minima each, and sets that share one meet in a bucket. Two sets at
 similarity s miss each other with chance (1 - s^rows)^bands, 3e-6 at 0.8 and less above. First every set of a bucket is compared
-with the bucket's smallest, so a large group of copies costs a row each; then the sets of buckets that links have not joined
-whole meet by their rarest shingles (see `across`), unless sizes or parities prove them too different. Sets that were proposed are built again and
-compared whole.
+with the bucket's smallest, so a large group of copies costs a row each; then, in buckets that links have not joined whole, with
+members that a hash picks for each bucket anew, which joins most of what is alike by other ways than the smallest; at last the
+sets that are still apart meet by their rarest shingles (see `across`), unless sizes or parities prove them too different. Sets that
+were proposed are built again and compared whole.
 
 Parities: of the shingles that fall on each of 512 places, whether they are odd in number. A shingle that only one of two sets
 has changes one place, so sets differ in at least as many shingles as their parities differ in places.
@@ -33,6 +34,8 @@ _BLOCK = 2048
 _PARITIES = [f"p{i}" for i in range(8)]
 #: Rows that one copy of a set meets when sets are brought to pairs.
 _SHARE = 64
+#: Times that buckets which are not joined yet are compared with a member picked by hash.
+_ROUNDS = 2
 #: Places by which it is counted how often shingles were seen: 8 MB on the driver and in each task, whatever the corpus.
 _PLACES = 1 << 20
 
@@ -188,6 +191,35 @@ def _near_parities(pairs: DataFrame, odd: DataFrame, similarity: float) -> DataF
     return pairs.where((total - apart) / (total + apart) >= similarity).select("a", "b", "one", "two")
 
 
+def _split(members: DataFrame) -> DataFrame:
+    """The buckets of members (bucket, part) that hold two parts."""
+    return members.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
+
+
+def _picked(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b, one, two): each member (bucket, key, part) with one of its bucket, if that is of another part; which one, a hash decides by bucket and turn."""
+    one = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "key", F.lit(turn)).alias("by"), "key", "part")).alias("pick"))
+    pairs = _with_bucket(members, one).where(F.col("part") != F.col("pick.part"))
+    ends = F.struct("key", "part"), F.struct("pick.key", "pick.part")
+    low, high = F.least(*ends), F.greatest(*ends)
+    return pairs.select(low["key"].alias("a"), high["key"].alias("b"), low["part"].alias("one"), high["part"].alias("two")).distinct()
+
+
+def _joined(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(component, wider): parts that those pairs (a, b, one, two) which are proven link, with the name of what they form."""
+    # what is proven joins whole components, so only their names meet here
+    links = stored(_proven(pairs.select("a", "b"), sets, similarity).join(pairs, ["a", "b"]).select("one", "two").distinct(), "joined")
+    return stored(connected_components(links, "one", "two").select(F.col("node").alias("component"), F.col("component").alias("wider")), "wider")
+
+
+def _widened(parts: DataFrame, wider: DataFrame) -> DataFrame:
+    """parts (key, component) under their wider names."""
+    known = parts.join(wider, "component", "left").select("key", F.coalesce("wider", "component").alias("component"))
+    # a set without a link so far is a component of its own name
+    lone = wider.join(parts.select(F.col("key").alias("component")).distinct(), "component", "left_anti").select(F.col("component").alias("key"), F.col("wider").alias("component"))
+    return known.unionByName(lone)
+
+
 def _met_in_balls(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(a, b) keys of sets whose fingerprints are within two bits, by way of one set for each fingerprint; sizes that rule it out do not count."""
     one = sets.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("one"))
@@ -228,21 +260,22 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
     links = stored(_proven(stars, sets, similarity), "links")
     parts = stored(connected_components(links, "a", "b").withColumnRenamed("node", "key"), "linked")
 
-    # buckets that still hold two components: their members meet across components, by rare shingles
+    # buckets that still hold two components: their members meet one picked by hash, then across components, by rare shingles
     left = stored(members.select("bucket", "key", "n").join(parts, "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component"), "left")
-    split = left.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
-    open_ = stored(_with_bucket(left, split).select("key", "n", "part").distinct(), "open")
-    odd = stored(marked.join(open_.select("key"), "key", "left_semi").select("key", "n", *_PARITIES).dropDuplicates(["key"]), "odd")
-    cross = stored(across(open_, sets, similarity).join(stars, ["a", "b"], "left_anti"), "across")
+    left = stored(_with_bucket(left, _split(left)), "split")
+    odd = stored(marked.join(left.select("key"), "key", "left_semi").select("key", "n", *_PARITIES).dropDuplicates(["key"]), "odd")
+    tried = stars
+    for turn in range(_ROUNDS):
+        met = stored(_near_parities(_picked(left, turn).join(tried, ["a", "b"], "left_anti"), odd, similarity), "picked")
+        wider = _joined(met, sets, similarity)
+        parts, tried = stored(_widened(parts, wider), "parts"), tried.unionByName(met.select("a", "b"))
+        left = left.join(wider, F.col("part") == F.col("component"), "left").select("bucket", "key", "n", F.coalesce("wider", "part").alias("part"))
+        left = stored(_with_bucket(left, _split(left)), "left")
+    open_ = stored(left.select("key", "n", "part").distinct(), "open")
+    cross = stored(across(open_, sets, similarity).join(tried, ["a", "b"], "left_anti"), "across")
     cross = stored(_near_parities(cross, odd, similarity), "alike")
-    # what is proven joins whole components, so only their names meet here
-    joined = stored(_proven(cross.select("a", "b"), sets, similarity).join(cross, ["a", "b"]).select("one", "two").distinct(), "joined")
-    wider = connected_components(joined, "one", "two").select(F.col("node").alias("component"), F.col("component").alias("wider"))
-
-    parts = parts.join(wider, "component", "left").select("key", F.coalesce("wider", "component").alias("component"))
-    # a set that no star has links to a component of its own name
-    lone = wider.join(parts.select(F.col("key").alias("component")), "component", "left_anti").select(F.col("component").alias("key"), F.col("wider").alias("component"))
-    named = stored(first.drop("fp", "n").join(parts.unionByName(lone), "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component"), "parts")
+    parts = _widened(parts, _joined(cross, sets, similarity))
+    named = stored(first.drop("fp", "n").join(parts, "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component"), "parts")
     least = named.groupBy("part").agg(F.min("low").alias("component_id"))
     labels = stored(named.select("key", "part").join(least, "part").select("key", "component_id", "part"), "labels")
     return marked.join(labels, "key").select("doc_id", "component_id", "h", "part")
