@@ -154,8 +154,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     texts = texts_of(docs, id_col, text_col)
     filters, shards = _filter_for(texts, bits_per_row)
-    text, key = F.coalesce(docs[text_col], F.lit("")), "__fm_"
-    rows = docs.withColumns({f"{key}h": F.xxhash64(text), f"{key}id": docs[id_col].cast("long")})
+    text, key = F.coalesce(F.col(text_col), F.lit("")), "__fm_"  # by name: parts of a large filter are read back from files
+    rows = docs.withColumns({f"{key}h": F.xxhash64(text), f"{key}id": F.col(id_col).cast("long")})
     parts = tested(rows, f"{key}h", f"{key}maybe", filters, shards, max_filter_bytes)
     rows = functools.reduce(DataFrame.unionByName, parts)
     maybe = rows.where(f"{key}maybe").withColumn(f"{key}sha", F.unhex(F.sha2(text, 256)))
