@@ -43,7 +43,8 @@ def at_ranks(rows: DataFrame, keys: list[str], values: dict[str, tuple[str, Call
     scales = itertools.cycle((lambda c: F.col(c) / 2, _by_size))
     while live.where(F.col("n") > FEW).limit(1).count():
         inside, scale = long.join(live, ["__key", "__c"]).where("__v between low and high"), next(scales)
-        step = F.coalesce((scale("__v") - scale("low")) / (scale("high") - scale("low")), F.lit(0.0))
+        # values that differ in their last digits only have one order of magnitude: such an interval waits for the round by value
+        step = F.coalesce(F.try_divide(scale("__v") - scale("low"), scale("high") - scale("low")), F.lit(0.0))
         binned = inside.withColumn("bin", F.least(F.lit(BINS - 1), F.floor(step * BINS)))
         counts = binned.groupBy("__key", "__c", "name", "rank", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
         upto = F.sum("n").over(Window.partitionBy("__key", "name").orderBy("bin"))

@@ -1,5 +1,6 @@
 """Closed-form cases."""
 
+import math
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldmerge.config import MatchConfig
 from fieldmerge.functions import geometry as g
-from fieldmerge.operators import clustering, crs, policy, scoring, spatial_join
+from fieldmerge.operators import clustering, crs, policy, quantiles, scoring, spatial_join
 from fieldmerge.operators.graph import connected_components
 
 
@@ -82,3 +83,12 @@ def test_projection_round_trip(spark):
     back = p.select("lon", "lat", crs.unproject(F.col("p.x"), F.col("p.y"), F.col("z"), F.col("lat") < 0).alias("q")).collect()
     assert all(abs(r["lon"] - r["q"]["lon"]) < 1e-5 and abs(r["lat"] - r["q"]["lat"]) < 1e-5 for r in back)
     assert points.where("lon = 3").select(crs.utm_epsg(F.col("lon"), F.col("lat")).alias("e")).first()["e"] == "EPSG:32631"
+
+
+def test_ranks_among_values_that_differ_in_their_last_digit(spark):
+    """Many values on two neighbouring doubles: of one order of magnitude, so the round by size cannot part them and must not divide by nothing."""
+    near = math.nextafter(0.7, 1.0)
+    rows = [(0.7,)] * 1500 + [(near,)] * 1501 + [(0.0,), (1.0,)]
+    df = spark.createDataFrame(rows, "v double")
+    got = quantiles.at_ranks(df, [], {"first": ("v", lambda n: F.lit(1)), "low": ("v", lambda n: F.lit(1501)), "high": ("v", lambda n: F.lit(1502)), "last": ("v", lambda n: n)}).first()
+    assert tuple(got) == (0.0, 0.7, near, 1.0)
