@@ -37,7 +37,8 @@ def _grid(a: DataFrame, b: DataFrame, radius: float, cell: float, keys: list[str
         on = on & (F.col(f"{key}_a") == F.col(f"{key}_b"))
     first = (left["gx"] == F.greatest(F.col("cx_a"), F.col("cx_b"))) & (left["gy"] == F.greatest(F.col("cy_a"), F.col("cy_b")))
     on = on & first & _meet(radius)
-    joined = left.join(right, on if extra is None else on & extra)
+    # Spark takes a side for as small as it was before its rows were listed by cells, or cut into pieces; broadcast, it would not fit
+    joined = left.hint("merge").join(right, on if extra is None else on & extra)
     return joined.select(*(f"{c}_a" for c in a.columns), *(f"{c}_b" for c in b.columns))
 
 

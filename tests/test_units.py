@@ -92,3 +92,12 @@ def test_ranks_among_values_that_differ_in_their_last_digit(spark):
     df = spark.createDataFrame(rows, "v double")
     got = quantiles.at_ranks(df, [], {"first": ("v", lambda n: F.lit(1)), "low": ("v", lambda n: F.lit(1501)), "high": ("v", lambda n: F.lit(1502)), "last": ("v", lambda n: n)}).first()
     assert tuple(got) == (0.0, 0.7, near, 1.0)
+
+
+def test_boxes_listed_by_cells_are_not_broadcast(spark):
+    """A few long boxes come in many rows, which Spark does not foresee: the join must exchange them, whatever it takes them for."""
+    many = spark.range(2000).selectExpr("id", "id * 10.0D as x0", "0D as y0", "id * 10.0D + 5 as x1", "5D as y1")
+    long = spark.range(3).selectExpr("id", "0D as x0", "id * 1.0D as y0", "400D as x1", "id * 1.0D as y1")
+    pairs = spatial_join.range_pairs(many, long, 0.0, cell=60.0)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and pairs.count() == 3 * 41
