@@ -54,10 +54,22 @@ def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out).where(known, None)
 
 
-def identifier_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Adds id_score and id_method. Only pairs that no rule settles reach the string comparison, a batch of rows at a time where they are."""
-    ra, rb = F.lower(F.trim(F.col(a))), F.lower(F.trim(F.col(b)))
-    na, nb = normalize_identifier(F.col(a)), normalize_identifier(F.col(b))
+def with_plain_identifier(obs: DataFrame, column: str) -> DataFrame:
+    """Adds <column>_plain, the identifier without what its writers add: computed once an observation, not in each of its pairs."""
+    return obs.withColumn(f"{column}_plain", after_join(normalize_identifier(F.col(column))))
+
+
+def identifier_similarity(pairs: DataFrame, a: str, b: str, plain: tuple[str, str] | None = None) -> DataFrame:
+    """Adds id_score and id_method. Only pairs that no rule settles reach the string comparison, a batch of rows at a time where they are.
+
+    plain names the columns of with_plain_identifier(); without them the identifiers are normalised here.
+    """
+    if plain is None:
+        plain = ("__na", "__nb")
+        pairs = pairs.withColumns({n: after_join(normalize_identifier(F.col(c))) for n, c in zip(plain, (a, b), strict=True)})
+        return identifier_similarity(pairs, a, b, plain).drop(*plain)
+    pairs = pairs.withColumns({n: after_join(F.lower(F.trim(F.col(c)))) for n, c in (("__la", a), ("__lb", b))})
+    ra, rb, na, nb = F.col("__la"), F.col("__lb"), *map(F.col, plain)
     missing = F.coalesce(F.col(a), F.lit("")).eqNullSafe("") | F.coalesce(F.col(b), F.lit("")).eqNullSafe("")
     method = (
         F.when(missing, "NEUTRAL_MISSING")
@@ -66,11 +78,12 @@ def identifier_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
         .when((na != "") & (nb != "") & (F.contains(na, nb) | F.contains(nb, na)), "SUBSTRING_CONTAINMENT")
         .otherwise("FUZZY_STRING_SIMILARITY")
     )
-    fuzzy = method == "FUZZY_STRING_SIMILARITY"
-    marked = pairs.withColumns({"id_method": method, "__ra": F.when(fuzzy, ra), "__rb": F.when(fuzzy, rb)})
+    marked = pairs.withColumn("id_method", after_join(method))
+    fuzzy = F.col("id_method") == "FUZZY_STRING_SIMILARITY"
+    marked = marked.withColumns({"__ra": F.when(fuzzy, ra), "__rb": F.when(fuzzy, rb)})
     scored = marked.withColumn("__fuzzy", g.rounded(_sequence_ratio("__ra", "__rb") * 0.8, 4))
     fixed = F.when(F.col("id_method") == "NEUTRAL_MISSING", 0.5).when(F.col("id_method") == "EXACT_MATCH", 1.0).when(F.col("id_method") == "NORMALIZED_EQUIVALENT", 0.95).when(F.col("id_method") == "SUBSTRING_CONTAINMENT", 0.85)
-    return scored.withColumn("id_score", F.coalesce(fixed, F.col("__fuzzy"))).drop("__ra", "__rb", "__fuzzy")
+    return scored.withColumn("id_score", F.coalesce(fixed, F.col("__fuzzy"))).drop("__la", "__lb", "__ra", "__rb", "__fuzzy")
 
 
 def source_agreement(a: Column, b: Column) -> Column:
@@ -82,7 +95,8 @@ def multi_signal(pairs: DataFrame, cfg: SignalConfig = SIGNALS) -> DataFrame:
     """Adds the eight signals, candidate_score and match_class to pairs with overlap."""
     a, b = g.box(suffix="_a"), g.box(suffix="_b")
     area_a, area_b, per_a, per_b = g.box_area(a), g.box_area(b), g.box_perimeter(a), g.box_perimeter(b)
-    pairs = identifier_similarity(pairs, "survey_no_a", "survey_no_b")
+    plain = ("survey_no_plain_a", "survey_no_plain_b")
+    pairs = identifier_similarity(pairs, "survey_no_a", "survey_no_b", plain if set(plain) <= set(pairs.columns) else None)
     qa, qb = g.compactness(area_a, per_a), g.compactness(area_b, per_b)
     pairs = pairs.withColumns({
         "s_iou": F.col("iou"),

@@ -206,24 +206,26 @@ _IDS = """, ids AS (SELECT *, lower(trim(no_a)) AS ra, lower(trim(no_b)) AS rb,
 named AS (SELECT *, CASE WHEN ra = rb THEN 'EXACT_MATCH' WHEN na = nb THEN 'NORMALIZED_EQUIVALENT' WHEN contains(na, nb) OR contains(nb, na) THEN 'SUBSTRING_CONTAINMENT' ELSE 'FUZZY_STRING_SIMILARITY' END AS id_method FROM ids)"""
 
 
+def named_pairs(spark, sf_dir) -> DataFrame:
+    obs = scoring.with_plain_identifier(observations(spark, sf_dir), "survey_no")
+    return scoring.identifier_similarity(spatial_join.candidate_pairs(obs), "survey_no_a", "survey_no_b", ("survey_no_plain_a", "survey_no_plain_b"))
+
+
 @query(PAIRS_SQL + _IDS + " SELECT id_a, id_b, id_method FROM named")
 def identifier_method(spark, sf_dir):
     """The rule that settles the identifiers of every candidate pair, or that they are left to string comparison."""
-    pairs = spatial_join.candidate_pairs(observations(spark, sf_dir)).select("id_a", "id_b", "survey_no_a", "survey_no_b")
-    return scoring.identifier_similarity(pairs, "survey_no_a", "survey_no_b").select("id_a", "id_b", "id_method")
+    return named_pairs(spark, sf_dir).select("id_a", "id_b", "id_method")
 
 
 @query()
 def identifier_similarity(spark, sf_dir):
     """All candidate pairs; SQL has no sequence comparison, so tests/test_brute_force.py holds the scores against difflib."""
-    pairs = spatial_join.candidate_pairs(observations(spark, sf_dir)).select("id_a", "id_b", "survey_no_a", "survey_no_b")
-    return scoring.identifier_similarity(pairs, "survey_no_a", "survey_no_b").select("id_a", "id_b", "id_method", "id_score")
+    return named_pairs(spark, sf_dir).select("id_a", "id_b", "id_method", "id_score")
 
 
 @query()
 def multi_signal_score(spark, sf_dir):
-    pairs = scoring.multi_signal(scoring.with_overlap(spatial_join.candidate_pairs(observations(spark, sf_dir))))
-    return pairs.select("id_a", "id_b", g.rounded(F.col("candidate_score"), 6).alias("candidate_score"), "match_class")
+    return classed_pairs(spark, sf_dir).select("id_a", "id_b", g.rounded(F.col("candidate_score"), 6).alias("candidate_score"), "match_class")
 
 
 _Q = "least(1.0::DOUBLE, greatest(0.0::DOUBLE, 12.566370614359172::DOUBLE * {a} / ((2.0::DOUBLE * ({w} + {h})) * (2.0::DOUBLE * ({w} + {h})))))"
@@ -232,7 +234,8 @@ _PA, _PB = "(2.0::DOUBLE * ((ax1 - ax0) + (ay1 - ay0)))", "(2.0::DOUBLE * ((bx1
 
 
 def classed_pairs(spark, sf_dir) -> DataFrame:
-    return scoring.multi_signal(scoring.with_overlap(spatial_join.candidate_pairs(observations(spark, sf_dir))))
+    obs = scoring.with_plain_identifier(observations(spark, sf_dir), "survey_no")
+    return scoring.multi_signal(scoring.with_overlap(spatial_join.candidate_pairs(obs)))
 
 
 @query()

@@ -11,6 +11,7 @@ from fieldmerge.config import MatchConfig
 from fieldmerge.functions import geometry as g
 from fieldmerge.operators import clustering, crs, policy, quantiles, scoring, spatial_join
 from fieldmerge.operators.graph import connected_components
+from fieldmerge.plans import matching
 
 
 def test_weights_must_sum_to_one():
@@ -101,3 +102,12 @@ def test_boxes_listed_by_cells_are_not_broadcast(spark):
     pairs = spatial_join.range_pairs(many, long, 0.0, cell=60.0)
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and pairs.count() == 3 * 41
+
+
+def test_identifiers_are_normalised_below_the_join(spark):
+    """Once an observation, not for each of its pairs and again for every rule."""
+    plan = matching.named_pairs(spark, "/root/testdata/sf0.001").select("id_a", "id_b", "id_method")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner", 1)
+    assert "regexp_replace" not in above and "regexp_replace" in below
+    rows = spark.createDataFrame([("Sy No 12/A", "sy.no. 12a"), ("Plot 7", "plot 71"), ("x1", "y2"), (None, "a")], "a string, b string")
+    assert [r["id_method"] for r in scoring.identifier_similarity(rows, "a", "b").collect()] == ["NORMALIZED_EQUIVALENT", "SUBSTRING_CONTAINMENT", "FUZZY_STRING_SIMILARITY", "NEUTRAL_MISSING"]
