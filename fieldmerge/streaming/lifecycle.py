@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,23 +115,47 @@ class _Boxes:
         return [self.boxes[k] for k in sorted({k for s in met for k in self.squares.get(s, ())} | set(self.wide))]
 
 
+class _Few(_Boxes):
+    """The boxes of a small group, all looked at every time: cheaper than squares."""
+
+    def add(self, name: int, *box: float) -> None:
+        if all(map(math.isfinite, box)):
+            self.boxes.append((name, *box))
+
+    def near(self, *box: float) -> list[tuple]:
+        return self.boxes if all(map(math.isfinite, box)) else []
+
+
+#: Requests of a group that are compared without squares.
+_SMALL = 16
+
+
 def _settled(group: pd.DataFrame) -> pd.DataFrame:
     """Requests of whole components in order of request_id; each sees its best box of the registry and the boxes that earlier ones registered."""
-    rows = []
-    for _, part in group.groupby("part", sort=False):
-        known = _Boxes()
-        for r in part.sort_values("request_id").itertuples():
-            best, chosen = (0.0, None) if pd.isna(r.iou) else (r.iou, r.found)
-            for i, x0, y0, x1, y1 in known.near(r.x0, r.y0, r.x1, r.y1) if len(part) > 1 else ():
-                over = max(0.0, min(x1, r.x1) - max(x0, r.x0)) * max(0.0, min(y1, r.y1) - max(y0, r.y0))
-                iou = over / ((x1 - x0) * (y1 - y0) + (r.x1 - r.x0) * (r.y1 - r.y0) - over) if over else 0.0
-                if iou > best:
-                    best, chosen = iou, i
-            action = "NEW" if best < 0.15 else "UNCERTAIN" if best < 0.70 else "CONTINUITY"
-            rows.append((r.request_id, action, None if action == "NEW" else int(chosen), r.x0, r.y0, r.x1, r.y1))
-            if action != "CONTINUITY" and len(part) > 1:
-                known.add(r.request_id, r.x0, r.y0, r.x1, r.y1)
-    return pd.DataFrame(rows, columns=["request_id", "action", "registry_id", "x0", "y0", "x1", "y1"]).astype({"registry_id": "Int64"})
+    group = group.sort_values(["part", "request_id"])
+    part = group["part"].to_numpy()
+    size = np.diff(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))) if len(part) else np.empty(0, np.int64)
+    # at first by the registry alone, which is all that a request without neighbours sees
+    best = group["iou"].astype(float).fillna(0.0).to_numpy(copy=True)
+    chosen = group["found"].astype("Int64").where(group["iou"].notna(), None).tolist()
+    ids, boxes = group["request_id"].tolist(), list(zip(*(group[c].tolist() for c in ("x0", "y0", "x1", "y1")), strict=True))
+    for begin, n in zip((np.cumsum(size) - size)[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        known = _Few() if n <= _SMALL else _Boxes()
+        for k in range(begin, begin + n):
+            x0, y0, x1, y1 = boxes[k]
+            top = float(best[k])
+            for i, a0, b0, a1, b1 in known.near(x0, y0, x1, y1):
+                over = max(0.0, min(a1, x1) - max(a0, x0)) * max(0.0, min(b1, y1) - max(b0, y0))
+                iou = over / ((a1 - a0) * (b1 - b0) + (x1 - x0) * (y1 - y0) - over) if over else 0.0
+                if iou > top:
+                    top, chosen[k] = iou, i
+            best[k] = top
+            if top < 0.70:
+                known.add(ids[k], x0, y0, x1, y1)
+    told = group[["request_id", "x0", "y0", "x1", "y1"]].copy()
+    told["action"] = np.where(best < 0.15, "NEW", np.where(best < 0.70, "UNCERTAIN", "CONTINUITY"))
+    told["registry_id"] = pd.array([None if low else c for low, c in zip(best < 0.15, chosen, strict=True)], dtype="Int64")
+    return told[["request_id", "action", "registry_id", "x0", "y0", "x1", "y1"]]
 
 
 def resolve_batch(requests: DataFrame, registry: DataFrame | None, group_rows: int = GROUP_ROWS) -> DataFrame:

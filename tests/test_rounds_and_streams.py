@@ -5,7 +5,10 @@ import difflib
 import math
 import random
 import statistics
+import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_brute_force import _identities
@@ -155,3 +158,18 @@ def test_ranks_are_exact(spark, monkeypatch):
             assert got[k]["m"] == pytest.approx(statistics.median(mine))
     assert "e" not in got
     assert quantiles.at_ranks(df.limit(0), [], wanted).count() == 0
+
+
+def test_many_small_groups_of_requests_are_settled_in_one_pass():
+    """20,000 requests, of which two or one make a group: a frame for each group took most of the stream's time."""
+    n = 20_000
+    k = np.arange(n)
+    part = np.where(k % 5 == 4, k, k - k % 5 % 2)  # two, two and one of every five
+    x0 = part * 100.0 + (k - part) * 2.0
+    group = pd.DataFrame({"request_id": k, "part": part, "x0": x0, "y0": 0.0, "x1": x0 + 10, "y1": 10.0, "iou": np.nan, "found": np.nan}).sample(frac=1, random_state=1)
+    began = time.process_time()
+    told = lifecycle._settled(group).set_index("request_id").sort_index()
+    assert time.process_time() - began < 2.0
+    second = k != part  # 8 of 12 in common
+    assert (told["action"] == np.where(second, "UNCERTAIN", "NEW")).all()
+    assert told["registry_id"].isna().eq(~second).all() and (told["registry_id"][second] == part[second]).all()
