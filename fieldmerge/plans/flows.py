@@ -190,7 +190,8 @@ def turned_parcels(spark, sf_dir) -> DataFrame:
     place = lambda a, b: F.struct((F.col("cx") + a * w * F.cos(turn) - b * h * F.sin(turn)).alias("x"), (F.col("cy") + a * w * F.sin(turn) + b * h * F.cos(turn)).alias("y"))
     points = [F.when((k % 3 == 0) | F.lit(c != (0.0, 0.25)), place(*c)) for c in corners]
     rows = parcels(spark, sf_dir).withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2})
-    rows = rows.select("id", F.filter(F.array(*points), lambda p: p.isNotNull()).alias("ring"))
+    # the ring is made once, not again for each side of its box
+    rows = rows.select("id", spatial_join.after_join(F.filter(F.array(*points), lambda p: p.isNotNull())).alias("ring"))
     ends = [f(F.transform("ring", lambda p: p[c])).alias(n) for n, c, f in (("x0", "x", F.array_min), ("y0", "y", F.array_min), ("x1", "x", F.array_max), ("y1", "y", F.array_max))]
     return rows.select("id", "ring", *ends)
 
