@@ -126,17 +126,18 @@ def cluster_constrained(obs: DataFrame, edges: DataFrame, group_edges: int = EDG
     id_a, id_b, source_a, source_b, score, iou.
     """
     edges = stored(edges.select("id_a", "id_b", "source_a", "source_b", "score", "iou"), "edges")
-    parts = connected_components(edges, "id_a", "id_b")
+    parts = stored(connected_components(edges, "id_a", "id_b"), "parts")
     marked = stored(edges.join(parts.withColumnRenamed("node", "id_a"), "id_a"), "placed")
-    ends = marked.select("component", F.explode(F.array(F.struct("id_a", "source_a"), F.struct(F.col("id_b").alias("id_a"), F.col("source_b").alias("source_a")))).alias("e"))
-    nodes = ends.groupBy("component", F.col("e.id_a").alias("id")).agg(F.first("e.source_a").alias("source"), F.count(F.lit(1)).alias("n"))
-    kinds = nodes.groupBy("component", "source").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"))
-    sizes = stored(kinds.groupBy("component").agg(F.max("members").alias("most"), (F.sum("n") / 2).cast("long").alias("edges")).where("most > 1"), "twice")
+    ends = marked.select("component", F.explode(F.array(*(F.struct(F.col(f"id_{c}").alias("id"), F.col(f"source_{c}").alias("source")) for c in "ab"))).alias("e"))
+    # two ends of one source in a component are two observations, unless the smallest is the largest
+    held = ends.groupBy("component", F.col("e.source").alias("source")).agg(F.min("e.id").alias("low"), F.max("e.id").alias("high"))
+    twice = stored(held.where("low <> high").select("component").distinct(), "twice")
+    sizes = stored(marked.join(twice, "component").groupBy("component").agg(F.count(F.lit(1)).alias("edges")), "sizes")
     total, largest = sizes.agg(F.sum("edges"), F.max("edges")).first()
-    joined = marked.join(sizes.select("component", "edges"), "component", "left")
-    plain = joined.where("edges is null")
-    members = plain.select(F.explode(F.array("id_a", "id_b")).alias("id"), F.col("component").alias("cluster_id")).distinct()
+    members = parts.join(twice, "component", "left_anti").select(F.col("node").alias("id"), F.col("component").alias("cluster_id"))
+    plain = marked.join(twice, "component", "left_anti")
     told = plain.select("id_a", "id_b", "score", "iou", F.col("component").alias("cluster_id"), F.lit(True).alias("accepted"))
+    joined = marked.join(sizes, "component")
     if total:
         small = _between_clusters(joined.where(F.col("edges") <= group_edges))
         groups = max(1, total // group_edges)
@@ -166,14 +167,14 @@ def reconcile(obs: DataFrame, clusters: DataFrame, edges: DataFrame) -> DataFram
         (F.count("source") != F.size(F.collect_set("source"))).alias("duplicate_source"),
         F.max("extraction_confidence").alias("extraction_confidence"),
         F.when(F.max("area_m2") > 0, (F.max("area_m2") - F.min("area_m2")) / F.max("area_m2") * 100).otherwise(0.0).alias("area_variance_pct"),
+        F.collect_list(F.struct("cx", "cy")).alias("places"),
     )
     scores = edges.where("accepted").groupBy("cluster_id").agg(F.avg("score").alias("avg_match_score"), F.avg("iou").alias("avg_iou_agreement"))
-    place = members.select("cluster_id", F.col("id").alias("i"), "cx", "cy")
-    other = place.select("cluster_id", F.col("i").alias("j"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
-    dx, dy = F.col("cx") - F.col("ox"), F.col("cy") - F.col("oy")
-    drift = place.join(other, "cluster_id").where("i < j").groupBy("cluster_id").agg(F.max(F.sqrt(dx * dx + dy * dy)).alias("drift"))
-    found = basic.join(scores, "cluster_id", "left").join(drift, "cluster_id", "left")
-    return found.withColumn("centroid_drift_m", F.coalesce("drift", F.lit(0.0))).drop("drift")
+    # members are few, one of a source, so their distances are taken from their list and no pair is shuffled
+    apart = lambda p, q: F.sqrt((p["cx"] - q["cx"]) * (p["cx"] - q["cx"]) + (p["cy"] - q["cy"]) * (p["cy"] - q["cy"]))
+    drift = F.array_max(F.transform("places", lambda p: F.array_max(F.transform("places", lambda q: apart(p, q)))))
+    basic = basic.withColumn("centroid_drift_m", F.coalesce(drift, F.lit(0.0))).drop("places")
+    return basic.join(scores, "cluster_id", "left").select("cluster_id", "sources", "source_count", "duplicate_source", "extraction_confidence", "area_variance_pct", "avg_match_score", "avg_iou_agreement", "centroid_drift_m")
 
 
 def merged_geometry(obs: DataFrame, clusters: DataFrame) -> DataFrame:

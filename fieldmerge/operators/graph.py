@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmerge.functions.session import shared_dir
+from fieldmerge.functions.session import shared_dir, stored
 
 
 def _neighbour_minimum(edges: DataFrame) -> DataFrame:
@@ -23,12 +23,12 @@ def _with_minimum(edges: DataFrame) -> DataFrame:
     return high.join(low, (high.u == low.lu) & (high.h == low.lh)).select("u", "v", "m")
 
 
-#: Edges whose trees a task remembers at once.
-_REMEMBERED = 200_000
+#: Edges whose trees a task remembers at once, and the most contractions before the rounds.
+_REMEMBERED, _CONTRACTIONS = 200_000, 8
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the edges (u, v) of a task, _REMEMBERED at a time, an edge from each node to the smallest that they reach: the same components."""
+    """For the edges (u, v) of a task, _REMEMBERED at a time, an edge from each node, itself included, to the smallest that they reach: the same components."""
     parent: dict[int, int] = {}
     seen = 0
 
@@ -38,7 +38,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return x
 
     def told() -> pa.RecordBatch:
-        nodes = [x for x in parent if parent[x] != x]
+        nodes = list(parent)
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["u", "v"])
 
     for batch in batches:
@@ -56,20 +56,21 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable over edges, itself included, for every node that has an edge.
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, low) with the smallest root that a task found for each node, and the edges (u, v) that are left between such roots.
 
-    Each task first joins what its own edges connect, which leaves one edge a node and task, and mostly whole components where edges
-    of one place are read together. Then alternates the large-star and small-star steps, which end after a number of rounds that grows with the logarithm of the
-    component size. Each round is cut with checkpoint(); the driver sees two sums a round. Edges with a null end are ignored,
-    repeated edges and self loops are harmless, an empty table gives an empty table. Raises if max_rounds is not enough.
+    A node whose tasks agree on its root is settled with it; only roots that meet in a node, or are nodes of another tree, have edges
+    left. So each node is shuffled once, and a root that no edge is left at is the smallest node of its component.
     """
-    shared_dir(edges.sparkSession)
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    loops = pairs.where("u = v").select("u").distinct()
-    now = pairs.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_trees, "u long, v long").distinct().checkpoint()
-    if now.isEmpty():
-        return loops.select(F.col("u").alias("node"), F.col("u").alias("component"))
+    own = Window.partitionBy("u").orderBy("v")
+    rows = edges.mapInArrow(_trees, "u long, v long").select("u", "v", F.first("v").over(own).alias("low"), F.row_number().over(own).alias("n"))
+    found = stored(rows.where("n = 1 or v <> low"), "trees")
+    return found.where("n = 1").select(F.col("u").alias("node"), "low"), found.where("n > 1").select(F.col("v").alias("u"), F.col("low").alias("v"))
+
+
+def _in_rounds(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """(node, component) of edges (u, v) by alternate large-star and small-star steps, whose number grows with the logarithm of the component size."""
+    now = edges.mapInArrow(_trees, "u long, v long").where("u <> v").distinct().checkpoint()
     told = lambda edges: edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = told(now)
     for _ in range(max_rounds):
@@ -84,6 +85,37 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()
-    found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
-    alone = loops.select(F.col("u").alias("node")).join(found.select("node"), "node", "left_anti")
-    return found.unionByName(alone.select("node", F.col("node").alias("component")))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+    """(node, component): the smallest node reachable over edges, itself included, for every node that has an edge.
+
+    Each task first joins what its own edges connect; a shuffle of the nodes then shows which trees meet, and only the edges between
+    the roots of such trees are left. That is done again as long as it at least halves what is left, which for components of a few
+    nodes it does to the end; long ones go on in rounds of large-star and small-star steps. The driver sees a count a contraction and
+    two sums a round. Edges with a null end are ignored, repeated edges and self loops are harmless, an empty table gives an
+    empty table. Raises if max_rounds is not enough.
+    """
+    shared_dir(edges.sparkSession)
+    pairs = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u is not null and v is not null")
+    levels, above, before = [], None, None
+    while True:
+        level, pairs = _contracted(pairs)
+        levels.append(level)
+        left = pairs.count()
+        if not left:
+            break
+        if len(levels) == _CONTRACTIONS or (before is not None and 2 * left > before):
+            above = _in_rounds(pairs, max_rounds)
+            break
+        before, pairs = left, pairs.repartition("v")  # trees that share a root lie together
+    for level in reversed(levels):
+        if above is None:
+            above = level.select("node", F.col("low").alias("component"))
+            continue
+        # the second key makes both sides exchange in the join itself, so that AQE may split a giant component
+        high = above.select(F.col("node").alias("__node"), F.xxhash64("node").alias("__hash"), "component")
+        joined = level.join(high, (F.col("low") == F.col("__node")) & (F.xxhash64("low") == F.col("__hash")), "left")
+        above = joined.select("node", F.coalesce("component", "low").alias("component"))
+    return above

@@ -111,3 +111,34 @@ def test_identifiers_are_normalised_below_the_join(spark):
     assert "regexp_replace" not in above and "regexp_replace" in below
     rows = spark.createDataFrame([("Sy No 12/A", "sy.no. 12a"), ("Plot 7", "plot 71"), ("x1", "y2"), (None, "a")], "a string, b string")
     assert [r["id_method"] for r in scoring.identifier_similarity(rows, "a", "b").collect()] == ["NORMALIZED_EQUIVALENT", "SUBSTRING_CONTAINMENT", "FUZZY_STRING_SIMILARITY", "NEUTRAL_MISSING"]
+
+
+def test_small_components_need_no_rounds(spark, monkeypatch):
+    """Trees of all tasks meet in their nodes: components of a few nodes, whose edges lie in different tasks, take no round of stars."""
+    from fieldmerge.operators import graph
+
+    rounds = []
+    whole = graph._with_minimum
+    monkeypatch.setattr(graph, "_with_minimum", lambda edges: rounds.append(1) or whole(edges))
+    edges = [(10 * c + a, 10 * c + a + 1) for a in range(4) for c in range(200)] + [(7, 7), (None, 3), (5000, 5000)]
+    frame = spark.createDataFrame(edges, "src long, dst long").repartition(7, F.xxhash64("dst"))
+    got = {r["node"]: r["component"] for r in connected_components(frame).collect()}
+    assert got == {n: n - n % 10 for c in range(200) for n in range(10 * c, 10 * c + 5)} | {7: 7, 5000: 5000}
+    assert not rounds
+
+
+def test_a_long_chain_is_one_component(spark):
+    order = list(range(1500))
+    random.Random(3).shuffle(order)
+    frame = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "src long, dst long").repartition(5)
+    assert {r["component"] for r in connected_components(frame).collect()} == {0} and connected_components(frame).count() == 1500
+
+
+def test_boxes_joined_with_themselves_are_shuffled_once(spark):
+    rows = [(i, f"s{i % 3}", x, y, x + 10.0, y + 10.0) for i in range(300) for x, y in [((i % 20) * 12.5, (i // 20) * 12.5)]]
+    obs = spark.createDataFrame(rows, "id long, source string, x0 double, y0 double, x1 double, y1 double").repartition(3)
+    pairs = spatial_join.candidate_pairs(obs, 15.0)
+    got = {(r["id_a"], r["id_b"]) for r in pairs.collect()}
+    meet = lambda a, b: a[2] - 15 <= b[4] and a[4] + 15 >= b[2] and a[3] - 15 <= b[5] and a[5] + 15 >= b[3]
+    assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and meet(a, b)}
+    assert "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
