@@ -142,3 +142,13 @@ def test_boxes_joined_with_themselves_are_shuffled_once(spark):
     meet = lambda a, b: a[2] - 15 <= b[4] and a[4] + 15 >= b[2] and a[3] - 15 <= b[5] and a[5] + 15 >= b[3]
     assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and meet(a, b)}
     assert "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pair_features_lie_outside_the_code_of_the_join(spark):
+    rows = [(1, "a", 0.0, 0.0, 10.0, 10.0, None), (2, "b", 1.0, 0.0, 11.0, 12.0, 0.7), (3, "b", None, 0.0, 1.0, 1.0, 0.5)]
+    obs = spark.createDataFrame(rows, "id long, source string, x0 double, y0 double, x1 double, y1 double, extraction_confidence double")
+    found = scoring.pair_features(scoring.with_overlap(spatial_join.candidate_pairs(obs)))
+    row = found.first().asDict()
+    assert (row["f_area_diff_pct"], row["f_vertices_a"], row["f_sources"], row["f_extraction"], row["f_overlap_a"]) == (16.67, 5.0, 2.0, 0.7, 0.9)
+    lines = [line.lstrip(" :+-") for line in found._jdf.queryExecution().executedPlan().toString().splitlines()]
+    assert any(line.startswith("Project [") and "exists(" in line for line in lines)  # without the star of generated code
