@@ -163,7 +163,14 @@ def ring_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def ring_line_distance(ring: pd.Series, line: pd.Series) -> pd.Series:
-    """Distance of a polygon and a line, 0 where the line touches or lies within it; null where either is missing."""
-    found = clipping.line_distances([_points(r) for r in ring], [_points(x) for x in line])
+def _flat_distance(ring: pd.Series, line: pd.Series) -> pd.Series:
+    points = lambda flat: np.empty((0, 2)) if flat is None else np.asarray(flat, float).reshape(-1, 2)
+    found = clipping.line_distances([points(r) for r in ring], [points(x) for x in line])
     return pd.Series(found).where(~np.isnan(found), None)
+
+
+def ring_line_distance(ring: Column | str, line: Column | str) -> Column:
+    """Distance of a polygon and a line, 0 where the line touches or lies within it; null where either is missing."""
+    # numbers in a row reach Python as an array, points as a dictionary each
+    flat = lambda points: F.flatten(F.transform(points, lambda p: F.array(p["x"], p["y"])))
+    return _flat_distance(flat(ring), flat(line))
