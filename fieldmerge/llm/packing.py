@@ -57,10 +57,16 @@ class BestFit:
 
 
 @functools.lru_cache(2)
-def _encoder(path: str, pattern: str) -> Chunks:
+def _encoding(path: str, pattern: str):
+    """Once a worker."""
     import tiktoken
 
-    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+
+
+def _encoder(path: str, pattern: str) -> Chunks:
+    """Its chunks are remembered as long as the task runs: the worker goes on to other stages, which need the memory."""
+    encoding = _encoding(path, pattern)
     return Chunks(lambda x: np.array(encoding.encode_ordinary(x), "<u4").tobytes())
 
 
