@@ -26,17 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: For rows of megabytes: row groups of 8 MB, looked at after each row. By default Parquet holds 100 rows before it looks at their size, and a
+#: row group, which a task writes from and reads into memory whole, is of 128 MB or of these 100 rows.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: later jobs restart from the files, not from the plan.
 
-    So the shuffle files behind it are of no more use once it is written, and Spark is told to drop them then.
+    So the shuffle files behind it are of no more use once it is written, and Spark is told to drop them then. options: the writer's.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fieldmerge/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -87,13 +87,18 @@ def _applied(apply: Callable[[pa.RecordBatch], pa.RecordBatch | None], batches:
         pa.default_memory_pool().release_unused()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Where the session does not set Spark's limit for the bytes of an Arrow batch, it is set to STEP_BYTES, for the session."""
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(STEP_BYTES))
+
+
 def over_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema) -> DataFrame:
     """df through a function of Arrow batches, cut into steps(). make() runs once a task, so that models and caches are built there and go with it.
 
-    Where the session does not set Spark's limit for the bytes of a batch, it is set to STEP_BYTES, for the session.
+    The bytes of a batch are bounded, see bounded_batches().
     """
-    if df.sparkSession.conf.get(_BATCH_BYTES, None) is None:
-        df.sparkSession.conf.set(_BATCH_BYTES, str(STEP_BYTES))
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _applied(make(), batches)

@@ -3,7 +3,8 @@
 1. Texts become chunks of word numbers (`encoded`): each task numbers the words of the stretch it reads and stores the numbers,
    compressed, with its own dictionary. So texts are split once, and only dictionaries are shuffled to count words.
 2. A word that a language has fewer than min_count times is in no candidate; it ends the piece it stands in. The others get
-   dense numbers of b bits over all languages (`numbered`), and each chunk's dictionary is joined to them.
+   dense numbers of b bits over all languages (`numbered`), and each chunk's dictionary is joined to them. A task gets a chunk's numbers
+   after the rows of its dictionary, sorted, so that it holds one chunk at a time however many it has.
 3. Phrases of n words are n * b bits. An invertible permutation spreads them; its first bits, the quotient, choose the bucket
    and the place in a counting quotient filter, the rest, the full remainder, is stored there: nothing is lost. Tasks write a
    filter per bucket for every `shard` phrases (`counted`), and the filters of a bucket, sorted as they are, are merged.
@@ -23,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmerge.functions.session import stored
-from fieldmerge.llm.common import steps
+from fieldmerge.functions.session import LARGE_ROWS, stored
+from fieldmerge.llm.common import STEP_BYTES, bounded_batches, steps
 
 MAX_WORDS = 4
 
@@ -211,7 +212,8 @@ def encoded(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     """Stored chunks (chunk, numbers, words): 4 MB of texts or one longer text each, their words as numbers and the dictionary."""
     rows = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     word = pa.struct([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
-    schema = pa.schema([("chunk", pa.string()), ("n", pa.int64()), ("numbers", pa.binary()), ("words", pa.list_(word))])
+    schema = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("numbers", pa.binary()), ("words", pa.list_(word))])
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
@@ -220,10 +222,10 @@ def encoded(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
                 numbers, langs, words, counts = _chunk(part)
                 told = [{"lang": a, "word": b, "n": int(c)} for a, b, c in zip(langs, words, counts, strict=True)]
                 packed = pa.compress(numbers.astype("<u4").tobytes(), codec="zstd", asbytes=True)
-                yield pa.RecordBatch.from_pylist([{"chunk": f"{TaskContext.get().partitionId()}-{at}", "n": len(numbers), "numbers": packed, "words": told}], schema)
+                yield pa.RecordBatch.from_pylist([{"chunk": TaskContext.get().partitionId() << 32 | at, "n": len(numbers), "numbers": packed, "words": told}], schema)
                 at += 1
 
-    return stored(rows.mapInArrow(run, "chunk string, n long, numbers binary, words array<struct<lang:string,word:string,n:long>>"), "chunks")
+    return stored(rows.mapInArrow(run, "chunk long, n long, numbers binary, words array<struct<lang:string,word:string,n:long>>"), "chunks", **LARGE_ROWS)
 
 
 def numbered(chunks: DataFrame, min_count: int, part_rows: int = 100_000) -> tuple[DataFrame, DataFrame]:
@@ -276,8 +278,11 @@ def counted(chunks: DataFrame, words: DataFrame, min_count: int, shard: int = 4_
     """
     seen = chunks.select("chunk", F.posexplode("words").alias("place", "w"))
     known = seen.join(words.select("id", "lang", "word"), (F.col("w.lang") == F.col("lang")) & (F.col("w.word") == F.col("word")))
-    ids = known.groupBy("chunk").agg(F.collect_list(F.struct("place", "id")).alias("ids"))  # at most the words of a chunk
-    both = chunks.select("chunk", "n", "numbers").join(ids, "chunk")
+    # rows of a dictionary, and after them the numbers that they are for: sorted and spilled by Spark, and never a list of them in a task
+    known = known.select("chunk", "place", "id", F.lit(None).cast("binary").alias("numbers"))
+    ends = chunks.select("chunk", F.lit((1 << 31) - 1).alias("place"), F.col("n").alias("id"), "numbers")
+    both = known.unionByName(ends).repartition("chunk").sortWithinPartitions("chunk", "place")
+    bounded_batches(chunks.sparkSession)
     total, top = chunks.agg(F.sum("n")).first()[0] or 0, words.agg(F.max("id")).first()[0] or 1
     b = max(1, int(top).bit_length())
     layouts = _layouts(b, total, bucket_items)
@@ -291,22 +296,34 @@ def counted(chunks: DataFrame, words: DataFrame, min_count: int, shard: int = 4_
         def flush() -> Iterator[pa.RecordBatch]:
             stream = np.concatenate(held) if held else np.empty(0, np.uint32)
             for layout in layouts:
-                rows = []
+                rows, told = [], 0
                 for row in _filters(stream, layout):
                     rows.append(row)
-                    if len(rows) == 256:
+                    told += sum(len(x) for x in row.values() if isinstance(x, bytes))
+                    if len(rows) == 256 or told > STEP_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
+                        rows, told = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
+        places, ids = [], []  # of the chunk that is read
         for batch in batches:
-            for k in range(batch.num_rows):
-                n, packed, pairs = (batch.column(c)[k] for c in (1, 2, 3))
-                numbers = np.frombuffer(pa.decompress(packed.as_buffer(), 4 * n.as_py(), codec="zstd"), "<u4")
-                place, id_ = (pairs.values.field(c).to_numpy() for c in (0, 1))
-                new = np.zeros(max(int(numbers.max(initial=0)), int(place.max(initial=0)) + 1) + 1, np.uint32)
-                new[place + 1] = id_
+            place, id_, packed = (batch.column(c) for c in (1, 2, 3))
+            at = 0
+            for end in [*np.flatnonzero(packed.is_valid().to_numpy(zero_copy_only=False)), None]:
+                upto = batch.num_rows if end is None else int(end)
+                places.append(place[at:upto].to_numpy().copy())  # a view would hold the batch
+                ids.append(id_[at:upto].to_numpy().copy())
+                if end is None:
+                    break
+                at = upto + 1
+                numbers = np.frombuffer(pa.decompress(packed[upto].as_buffer(), 4 * id_[upto].as_py(), codec="zstd"), "<u4")
+                known, number = np.concatenate(places), np.concatenate(ids)
+                places, ids = [], []
+                if not len(known):
+                    continue
+                new = np.zeros(max(int(numbers.max(initial=0)), int(known.max()) + 1) + 1, np.uint32)
+                new[known + 1] = number
                 held += [new[numbers], np.zeros(1, np.uint32)]
                 size += len(numbers)
                 if size >= shard:

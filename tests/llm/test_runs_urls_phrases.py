@@ -9,7 +9,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from fieldmerge.functions.session import LARGE_ROWS, stored
 from fieldmerge.llm import phrases, queries, runs, urls
 
 SF = "/root/testdata/sf0.001"
@@ -233,3 +236,28 @@ def test_op13_equals_plain_counting(spark):
         assert sorted(map(tuple, found.collect())) == plain_collocations(rows, min_count, absorbed, top)
     assert phrases.collocations(docs.limit(0)).count() == 0
     assert phrases.collocations(docs.where("lang = 'xx'")).count() == 0
+
+
+def test_chunks_reach_a_task_one_at_a_time(spark):
+    """However many chunks a task has, neither Spark's aggregates nor an Arrow batch nor a row group holds them together."""
+    rng = random.Random(3)
+    texts = [("en", " ".join(rng.choice(["a", "b", "c", f"x{k}-{i}"]) for i in range(60))) for k in range(40)] + [("de", "alone"), (None, ""), ("de", None)]
+    docs = spark.createDataFrame(texts, "lang string, text string").repartition(20)
+    chunks = phrases.encoded(docs)
+    words, _ = phrases.numbered(chunks, 3)
+    pairs = phrases.counted(chunks, words, 3, shard=100, bucket_items=64)
+    assert "collect_list" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    name = {r["id"]: r["word"] for r in words.collect()}
+    got = {tuple(name[w] for w in r[1:5] if w): r["a"] for r in pairs.collect()}
+    want = collections.Counter()
+    for _, text in texts:
+        row = (text or "").split()
+        want.update(tuple(row[i : i + n]) for n in (2, 3, 4) for i in range(len(row) - n + 1))
+    assert got == {p: a for p, a in want.items() if a >= 3} and len(got) > 20
+
+
+def test_large_rows_make_small_row_groups(spark):
+    rows = spark.range(8, numPartitions=1).select("id", F.unbase64(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda k: F.sha2(F.concat("id", F.lit("-"), k), 256)), "")).alias("b"))
+    back = stored(rows, "large", **LARGE_ROWS)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata.num_row_groups for f in back.inputFiles()]
+    assert back.count() == 8 and sum(groups) > 1
