@@ -260,6 +260,26 @@ def test_line_distance_and_classifier(spark, monkeypatch):
     assert registry.QUERIES["train_match_classifier"](spark, SF).count() == 0
 
 
+def test_a_forest_in_parts_has_all_its_trees(spark, monkeypatch):
+    """Pairs are joined once, and where draws are many each fit has few trees, on all rows, and all votes count."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    data = reports.labelled_pairs(spark, SF)
+    plan = data._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Join" in line]) == 1
+    keys = {r["id_a"]: r["k_a"] for r in reports.observations(spark, SF).select(F.col("id").alias("id_a"), F.col("k").alias("k_a")).collect()}
+    rows = data.collect()
+    assert len(rows) > 1000 and all(r["k_a"] == keys[r["id_a"]] and r["fold"] == r["k_a"] % 5 and r["label"] == (keys[r["id_b"]] == r["k_a"]) for r in rows)
+    learnt, fitted, fit = sum(r["fold"] != 0 for r in rows), [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, df: fitted.append((self.getNumTrees(), self.getSeed(), df.count())) or fit(self, df))
+    whole = {r["label"]: (r["n"], r["accuracy"]) for r in reports.train_match_classifier(spark, SF).collect()}
+    assert fitted == [(100, 42, learnt)]
+    monkeypatch.setattr(reports, "DRAWS", 40 * learnt)
+    parts = {r["label"]: (r["n"], r["accuracy"]) for r in reports.train_match_classifier(spark, SF).collect()}
+    assert [x for x, _, _ in fitted[1:]] == [40, 40, 20] and len({x for _, x, _ in fitted[1:]}) == 3 and all(n == learnt for _, _, n in fitted)
+    assert {k: n for k, (n, _) in parts.items()} == {k: n for k, (n, _) in whole.items()} and all(x > 0.95 for _, x in parts.values())
+
+
 def test_versions_of_a_table(spark, tmp_path):
     path = str(tmp_path / "t")
     assert files.replace(spark.range(3), path) and files.current(spark, path).count() == 3
